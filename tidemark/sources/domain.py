@@ -19,7 +19,44 @@ K = "CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT)"
 MARKET_OF_USER = ("CASE user_id % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'error' "
                   "WHEN 2 THEN 'signup' ELSE 'view' END")
 
+
+# Good Friday dates of the years covered; the other closures follow from rules.
+GOOD_FRIDAYS = (
+    "1995-04-14 1996-04-05 1997-03-28 1998-04-10 1999-04-02 2000-04-21 2001-04-13 2002-03-29 2003-04-18 "
+    "2004-04-09 2005-03-25 2006-04-14 2007-04-06 2008-03-21 2009-04-10 2010-04-02 2011-04-22 2012-04-06 "
+    "2013-03-29 2014-04-18 2015-04-03 2016-03-25 2017-04-14 2018-03-30 2019-04-19 2020-04-10 2021-04-02 "
+    "2022-04-15 2023-04-07 2024-03-29 2025-04-18"
+).split()
+_HOLIDAY = f"""(
+      (month(d) = 1 AND day(d) = 1) OR (month(d) = 1 AND day(d) = 2 AND isodow(d) = 1)
+   OR (month(d) = 1 AND isodow(d) = 1 AND day(d) BETWEEN 15 AND 21 AND year(d) >= 1998)
+   OR (month(d) = 2 AND isodow(d) = 1 AND day(d) BETWEEN 15 AND 21)
+   OR (month(d) = 5 AND isodow(d) = 1 AND day(d) >= 25)
+   OR (year(d) >= 2022 AND month(d) = 6 AND (day(d) = 19 OR (day(d) = 20 AND isodow(d) = 1) OR (day(d) = 18 AND isodow(d) = 5)))
+   OR (month(d) = 7 AND (day(d) = 4 OR (day(d) = 5 AND isodow(d) = 1) OR (day(d) = 3 AND isodow(d) = 5)))
+   OR (month(d) = 9 AND isodow(d) = 1 AND day(d) <= 7)
+   OR (month(d) = 11 AND isodow(d) = 4 AND day(d) BETWEEN 22 AND 28)
+   OR (month(d) = 12 AND (day(d) = 25 OR (day(d) = 26 AND isodow(d) = 1) OR (day(d) = 24 AND isodow(d) = 5)))
+   OR d IN ({", ".join(f"DATE '{g}'" for g in GOOD_FRIDAYS)}))"""
+_HALF_DAY = """((month(d) = 11 AND isodow(d) = 5 AND day(d) BETWEEN 23 AND 29)
+             OR (month(d) = 12 AND day(d) = 24) OR (month(d) = 7 AND day(d) = 3 AND isodow(d) <= 4))"""
+CALENDAR_FROM, CALENDAR_TO = "1994-12-01", "2025-12-31"
+
 DOMAIN: dict[str, str | tuple[str, str]] = {
+    # every calendar day of the covered range
+    "days": (
+        f"SELECT explode(sequence(DATE '{CALENDAR_FROM}', DATE '{CALENDAR_TO}')) AS d",
+        f"SELECT CAST(g AS DATE) AS d FROM generate_series(TIMESTAMP '{CALENDAR_FROM}', TIMESTAMP '{CALENDAR_TO}', INTERVAL 1 DAY) x(g)"),
+    # exchange sessions, [open_ts, close_ts) in UTC
+    "sessions": (
+        f"""SELECT d, to_utc_timestamp(CAST(d AS TIMESTAMP) + INTERVAL '9:30' HOUR TO MINUTE, 'America/New_York') AS open_ts,
+                   to_utc_timestamp(CAST(d AS TIMESTAMP) + CASE WHEN {_HALF_DAY} THEN INTERVAL '13' HOUR ELSE INTERVAL '16' HOUR END,
+                                    'America/New_York') AS close_ts
+            FROM {{days}} WHERE isodow(d) <= 5 AND NOT {_HOLIDAY}""",
+        f"""SELECT d, ((CAST(d AS TIMESTAMP) + INTERVAL 570 MINUTE) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS open_ts,
+                   ((CAST(d AS TIMESTAMP) + CASE WHEN {_HALF_DAY} THEN INTERVAL 13 HOUR ELSE INTERVAL 16 HOUR END)
+                     AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS close_ts
+            FROM {{days}} WHERE isodow(d) <= 5 AND NOT {_HOLIDAY}"""),
     # hourly bars per market; a bar is the half-open interval [t, t_end)
     "bars": """
         SELECT event_type AS market, date_trunc('hour', ts) AS t,
@@ -38,9 +75,9 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
         SELECT event_id, user_id AS underlying, ts AS t0, {MARKET_OF_USER} AS market,
                CASE {K} % 4 WHEN 0 THEN 'sec_8k' WHEN 1 THEN 'detected'
                     WHEN 2 THEN 'issuer_clock' ELSE 'calendar_flag' END AS t0_source,
-               CASE {K} % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.8
-                    WHEN 2 THEN 0.7 ELSE 0.5 END AS t0_confidence,
-               value AS eps_actual, round(value * (1 + ({K} % 21 - 10) / 50.0), 4) AS eps_estimate,
+               CASE {K} % 4 WHEN 0 THEN 0.95e0 WHEN 1 THEN 0.8e0
+                    WHEN 2 THEN 0.7e0 ELSE 0.5e0 END AS t0_confidence,
+               value AS eps_actual, round(value * (1 + ({K} % 21 - 10) / 50.0e0), 4) AS eps_estimate,
                CASE WHEN {K} % 11 = 0 THEN NULL ELSE value * 100 END AS rev_actual,
                round(value * (100 + event_id % 13 - 6), 4) AS rev_estimate,
                CASE WHEN {K} % 5 = 0 THEN NULL ELSE {K} % 9 END AS n_estimates,
@@ -58,13 +95,13 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
     "events_long": """
         SELECT o_orderkey AS event_id, o_custkey AS underlying, o_orderstatus AS symbol,
                o_orderdate + (o_orderkey % 24) * INTERVAL '1' HOUR AS t0, o_totalprice AS price,
-               (o_orderkey * 104729 % 2001 - 1000) / 10000.0 AS r_24h,
-               (o_orderkey * 7907 % 1201 - 600) / 10000.0 AS r_30m,
+               (o_orderkey * 104729 % 2001 - 1000) / 10000.0e0 AS r_24h,
+               (o_orderkey * 7907 % 1201 - 600) / 10000.0e0 AS r_30m,
                CASE WHEN o_orderkey % 7 = 0 THEN NULL
-                    ELSE (o_orderkey * 15485863 % 401 - 200) / 10.0 END AS eps_surprise,
+                    ELSE (o_orderkey * 15485863 % 401 - 200) / 10.0e0 END AS eps_surprise,
                CASE WHEN o_orderkey % 9 = 0 THEN NULL
-                    ELSE (o_orderkey * 6700417 % 500 + 1) / 10000.0 END AS rvol_20d,
-               (o_orderkey * 31 % 100) / 100.0 AS t0_confidence,
+                    ELSE (o_orderkey * 6700417 % 500 + 1) / 10000.0e0 END AS rvol_20d,
+               (o_orderkey * 31 % 100) / 100.0e0 AS t0_confidence,
                CASE o_orderkey % 4 WHEN 0 THEN 'sec_8k' WHEN 1 THEN 'detected'
                     WHEN 2 THEN 'issuer_clock' ELSE 'calendar_flag' END AS t0_source,
                CASE o_orderkey % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'foreign' ELSE 'other' END AS kind,
@@ -73,19 +110,19 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
     # forecasts of three models on the same events
     "predictions": ("""
         SELECT event_id, underlying, t0, r_24h AS r_true, t0_confidence, t0_source, kind, has_perp, decision_time,
-               m.model, ((event_id * 7919 + m.mid * 331) % 1000) / 1000.0 AS p_up,
-               ((event_id * 48611 + m.mid * 17) % 2001 - 1000) / 20000.0 AS r_hat,
+               m.model, ((event_id * 7919 + m.mid * 331) % 1000) / 1000.0e0 AS p_up,
+               ((event_id * 48611 + m.mid * 17) % 2001 - 1000) / 20000.0e0 AS r_hat,
                CASE WHEN event_id % 6 = m.mid THEN NULL
-                    ELSE ((event_id * 27644437 + m.mid) % 900 + 50) / 10000.0 END AS magnitude_hat
+                    ELSE ((event_id * 27644437 + m.mid) % 900 + 50) / 10000.0e0 END AS magnitude_hat
         FROM (SELECT *, CASE event_id % 2 WHEN 0 THEN 'pre_10m' ELSE 'post_30m' END AS decision_time,
                      explode(array(named_struct('mid', 0, 'model', 'base_rate'), named_struct('mid', 1, 'model', 'linear'),
                                    named_struct('mid', 2, 'model', 'zero'))) AS m FROM {events_long})""",
         """
         SELECT event_id, underlying, t0, r_24h AS r_true, t0_confidence, t0_source, kind, has_perp, decision_time,
-               m.model, ((event_id * 7919 + m.mid * 331) % 1000) / 1000.0 AS p_up,
-               ((event_id * 48611 + m.mid * 17) % 2001 - 1000) / 20000.0 AS r_hat,
+               m.model, ((event_id * 7919 + m.mid * 331) % 1000) / 1000.0e0 AS p_up,
+               ((event_id * 48611 + m.mid * 17) % 2001 - 1000) / 20000.0e0 AS r_hat,
                CASE WHEN event_id % 6 = m.mid THEN NULL
-                    ELSE ((event_id * 27644437 + m.mid) % 900 + 50) / 10000.0 END AS magnitude_hat
+                    ELSE ((event_id * 27644437 + m.mid) % 900 + 50) / 10000.0e0 END AS magnitude_hat
         FROM (SELECT *, CASE event_id % 2 WHEN 0 THEN 'pre_10m' ELSE 'post_30m' END AS decision_time,
                      unnest([{{'mid': 0, 'model': 'base_rate'}}, {{'mid': 1, 'model': 'linear'}},
                              {{'mid': 2, 'model': 'zero'}}]) AS m FROM {events_long})"""),
@@ -95,8 +132,8 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
                     ELSE 'zero' END AS model,
                o_orderdate + (o_orderkey % 24) * INTERVAL '1' HOUR AS entry_time,
                o_orderdate + (o_orderkey % 24 + 24 * (1 + o_orderkey % 5)) * INTERVAL '1' HOUR AS exit_time,
-               (o_orderkey * 37 % 11) / 8.0 AS size,
-               (o_orderkey * 99991 % 401 - 200) / 10000.0 AS net_return,
+               (o_orderkey * 37 % 11) / 8.0e0 AS size,
+               (o_orderkey * 99991 % 401 - 200) / 10000.0e0 AS net_return,
                CASE WHEN o_orderkey % 10 = 0 THEN 'below_threshold' WHEN o_orderkey % 13 = 0 THEN 'entry_fill_lag'
                     ELSE NULL END AS untraded_reason,
                CASE WHEN o_orderkey % 4 = 0 THEN 'archive' ELSE 'none' END AS funding_source
@@ -104,13 +141,13 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
     # hourly funding with holes
     "funding": f"""
         SELECT {MARKET_OF_USER} AS market, date_trunc('hour', ts) AS t,
-               max_by(value, ts) * 0.000001 AS funding_rate, min_by(value, ts) * 0.00001 AS premium
+               max_by(value, ts) * 0.000001e0 AS funding_rate, min_by(value, ts) * 0.00001e0 AS premium
         FROM {{events}} WHERE event_type = 'error'
         GROUP BY {MARKET_OF_USER}, date_trunc('hour', ts)""",
     # market context snapshots
     "ctx": f"""
         SELECT {MARKET_OF_USER} AS market, ts AS t, value * 1000 AS open_interest, value AS mark_px,
-               value * 0.00001 AS premium, value * {K} AS day_ntl_vlm, event_id AS seq
+               value * 0.00001e0 AS premium, value * {K} AS day_ntl_vlm, event_id AS seq
         FROM {{events}} WHERE event_type = 'view' AND value > 0""",
     # consensus snapshots of two vendors
     "snapshots": f"""
@@ -132,7 +169,7 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
                CAST(o_orderdate AS DATE) AS report_date, o_orderpriority AS priority,
                CASE o_orderkey % 4 WHEN 0 THEN 'AMC' WHEN 1 THEN 'Pre-Market' WHEN 2 THEN 'time-not-supplied'
                     ELSE NULL END AS time_flag, o_totalprice AS eps_actual,
-               CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice * (1 + (o_orderkey % 11 - 5) / 60.0) END AS eps_estimate
+               CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_totalprice * (1 + (o_orderkey % 11 - 5) / 60.0e0) END AS eps_estimate
         FROM {orders}""",
     # second vendor's rows: one per line, dated by shipment
     "vendor_rows": """
@@ -189,8 +226,8 @@ class Render:
         if not done:
             return body
         ctes = ", ".join(f"{n} AS ({b.strip()})" for n, b in done.items())
-        if body[:5].upper() == "WITH ":
-            return f"WITH {ctes}, {body[5:]}"
+        if re.match(r"WITH\s", body):
+            return f"WITH {ctes}, {body[4:].lstrip()}"
         return f"WITH {ctes} {body}"
 
     @classmethod
@@ -222,6 +259,7 @@ class Inputs:
 
     def sql(self, text: str) -> DataFrame:
         refs = {n: getattr(self, n) for n in Render.references(text)}
+        text = re.sub(r"isodow\((\w+)\)", r"extract(DOW_ISO FROM \1)", text)
         return self.spark.sql(text, **refs)
 
     @cached_property
