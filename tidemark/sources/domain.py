@@ -180,7 +180,7 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
     # market dimension
     "universe": """
         SELECT concat(p_type, ':', p_brand) AS market, p_type AS dex, p_brand AS underlying,
-               round(median(p_retailprice), 4) AS notional, min(p_size) AS min_size,
+               round(avg(p_retailprice), 4) AS notional, min(p_size) AS min_size,
                count(*) AS n_parts, min(p_partkey) AS cik,
                date_add(DATE '2024-01-01', CAST(min(p_partkey) % 40 AS INT)) AS listed
         FROM {part} GROUP BY p_type, p_brand""",
