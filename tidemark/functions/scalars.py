@@ -191,7 +191,7 @@ def sign_proba(x: Column) -> Column:
 
 
 def clip_proba(p: Column) -> Column:
-    return F.greatest(F.least(p, F.lit(1 - PROBA_CLIP)), F.lit(PROBA_CLIP))
+    return F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1 - PROBA_CLIP)), F.lit(PROBA_CLIP)))
 
 
 def verdict(metric: Column, lo: Column, hi: Column, mde: Column, n: Column) -> Column:

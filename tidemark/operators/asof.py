@@ -114,3 +114,14 @@ def asof_lookup(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: st
     out = asof_join(left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1)), on=["_one"],
                     left_ts=left_ts, right_ts=right_ts, take=take, into=into, **kw)
     return out.drop("_one")
+
+
+def asof_points(df: DataFrame, right: DataFrame, *, key: Sequence[str], on: Sequence[str], points: dict[str, Column],
+                right_ts: str, take: Sequence[str], **kw) -> DataFrame:
+    """One column per named instant in `points`: a struct of the `take` columns in force then,
+    plus `at`. All instants of a row share one as-of pass and one regrouping by `key`."""
+    items = F.array(*[F.struct(F.lit(n).alias("_p"), c.alias("_at")) for n, c in points.items()])
+    long = df.select(*key, *on, F.explode(items).alias("_x")).select(*key, *on, "_x.*")
+    hit = asof_join(long, right, on=on, left_ts="_at", right_ts=right_ts, take=take, into="_h", **kw)
+    packed = F.struct(F.col("_at").alias("at"), *[F.col(f"_h.{c}").alias(c) for c in take])
+    return hit.groupBy(*key).agg(*[F.max(F.when(F.col("_p") == n, packed)).alias(n) for n in points])

@@ -207,3 +207,13 @@ def residual_bands(preds: DataFrame, folds: DataFrame) -> DataFrame:
     later = F.broadcast(folds.filter(F.col("fold").isNotNull()).select(F.col("fold").alias("to_fold")))
     pooled = res.join(later, F.col("to_fold") > F.col("fold")).select("model", F.col("to_fold").alias("fold"), "res")
     return exact_quantiles(pooled, by=["model", "fold"], value="res", probs={"q10": 0.1, "q90": 0.9})
+
+
+def id_digest(df: DataFrame, *, by: str, key: str, digits: int = 4) -> DataFrame:
+    """Content hash of the ids of each group: ids are digested per slice of their md5, then the
+    slice digests (65,536 at most) are digested in order. Group size never reaches one task."""
+    text = F.col(key).cast("string")
+    ids = df.select(by, text.alias("_id"), F.substring(F.md5(text), 1, digits).alias("_b"))
+    part = ids.groupBy(by, "_b").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("_id"))), 256).alias("_h"), F.count("*").alias("_c"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_b", "_h"))), lambda s: s["_h"])
+    return part.groupBy(by).agg(F.sum("_c").alias("n"), F.sha2(F.concat_ws(",", ordered), 256).alias("digest"))

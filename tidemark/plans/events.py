@@ -171,3 +171,14 @@ def expected_t0(upcoming: DataFrame) -> DataFrame:
     for name, val in reversed(rungs):
         label = F.when(val.isNotNull(), name).otherwise(label)
     return upcoming.withColumns({"expected_t0": F.coalesce(*[v for _, v in rungs], default), "expected_t0_source": label})
+
+
+def release_clock(filings: DataFrame, *, key: str, at: str, before: Column) -> DataFrame:
+    """Median New York clock of the acceptances known at `before`, as HH:MM. Seconds of the day
+    take at most 86,400 values, so the exact percentile of a name is a bounded state."""
+    n = fn.ny_time(F.col(at))
+    sec = F.hour(n) * 3600 + F.minute(n) * 60 + F.second(n)
+    g = (filings.filter(F.col(at).isNotNull() & (F.col(at) <= before)).groupBy(key)
+         .agg(F.bround(F.percentile(sec, F.lit(0.5)), 0).cast("bigint").alias("_m"), F.count("*").alias("n")))
+    two = lambda c: F.lpad(c.cast("bigint").cast("string"), 2, "0")
+    return g.select(key, F.concat(two(F.floor(F.col("_m") / 3600)), F.lit(":"), two(F.floor(F.col("_m") % 3600 / 60))).alias("clock"), "n")
