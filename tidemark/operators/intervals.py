@@ -42,7 +42,7 @@ def peak_concurrency(df: DataFrame, *, by: Sequence[str], key: str, entry: str,
     pos = df.withColumn("_c", cls)
     classes = pos.groupBy(*by).agg(F.collect_set("_c").alias("_cs"))  # at most 63 per slice
     us = F.unix_micros("ts")
-    cell = (us - F.pmod(us, F.shiftleft(F.lit(1).cast("bigint"), F.col("_c"))))
+    cell = (us - F.pmod(us, F.expr("shiftleft(CAST(1 AS BIGINT), _c)")))
     grid = counts.join(classes, by).withColumn("_c", F.explode("_cs")).drop("_cs").withColumn("_cell", cell)
     w = Window.partitionBy(*by, "_c", "_cell")
     run = (Window.unboundedPreceding, Window.currentRow)
@@ -54,7 +54,7 @@ def peak_concurrency(df: DataFrame, *, by: Sequence[str], key: str, entry: str,
     at_entry = marks.select(*by, "_c", F.col("ts").alias(entry), F.col("_cell").alias("_cell_in"), "_suf")
     at_exit = marks.select(*by, "_c", F.col("ts").alias(exit_), F.col("_cell").alias("_cell_out"), "_pre")
     j = (pos.select(*by, key, entry, exit_, "_c").join(at_entry, [*by, "_c", entry]).join(at_exit, [*by, "_c", exit_]))
-    step = F.shiftleft(F.lit(1).cast("bigint"), F.col("_c"))
+    step = F.expr("shiftleft(CAST(1 AS BIGINT), _c)")
     inner = F.when(F.col("_cell_out") - F.col("_cell_in") > step,
                    F.sequence(F.col("_cell_in") + step, F.col("_cell_out") - step, step))
     j = j.withColumn("_cell", F.explode_outer(inner)).join(cells, [*by, "_c", "_cell"], "left")

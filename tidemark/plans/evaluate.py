@@ -217,3 +217,20 @@ def id_digest(df: DataFrame, *, by: str, key: str, digits: int = 4) -> DataFrame
     part = ids.groupBy(by, "_b").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("_id"))), 256).alias("_h"), F.count("*").alias("_c"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("_b", "_h"))), lambda s: s["_h"])
     return part.groupBy(by).agg(F.sum("_c").alias("n"), F.sha2(F.concat_ws(",", ordered), 256).alias("digest"))
+
+
+def training_window(rows: DataFrame, *, seasons: int, min_train: int) -> DataFrame:
+    """Training rows of each fold cut to its last `seasons` seasons, floored at the `min_train`
+    most recent events. Season sizes are counted first; only folds that need the floor rank
+    rows, and that ranking keeps min_train rows per fold and task."""
+    sizes = rows.groupBy("fold", "season").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("fold").orderBy(F.col("season").desc())  # seasons of one fold
+    ranked = sizes.withColumn("_sr", F.row_number().over(w))
+    per = ranked.groupBy("fold").agg(F.sum(F.when(F.col("_sr") <= seasons, F.col("_n"))).alias("_nw"), F.max("_sr").alias("_ns"))
+    plan = ranked.join(per, "fold").select("fold", "season", "_sr", "_nw", "_ns")  # folds x seasons
+    j = rows.join(F.broadcast(plan), ["fold", "season"])
+    short = (F.col("_ns") > seasons) & (F.col("_nw") < min_train)
+    normal = j.filter(~short & ((F.col("_ns") <= seasons) | (F.col("_sr") <= seasons)))
+    last = Window.partitionBy("fold").orderBy(F.col("t0").desc(), F.col("event_id").desc())
+    floor = j.filter(short).withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= min_train).drop("_rn")
+    return normal.unionByName(floor).drop("_sr", "_nw", "_ns")

@@ -74,8 +74,7 @@ def append_missing(log: DataFrame, rows: DataFrame, *, key: Sequence[str]) -> Da
     """Log plus the rows whose key it lacks; importing twice changes nothing. Null keys match."""
     have = log.select(*[F.col(k).alias(f"_k_{k}") for k in key]).distinct()
     cond = [rows[k].eqNullSafe(have[f"_k_{k}"]) for k in key]
-    fresh = latest_per_key(rows.join(have, cond, "left_anti"), list(key), [c for c in rows.columns if c not in key])
-    return log.unionByName(fresh, allowMissingColumns=True)
+    return log.unionByName(rows.join(have, cond, "left_anti"), allowMissingColumns=True)
 
 
 def write_versioned(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
