@@ -156,7 +156,7 @@ def read_recovery_rows(x):
     from tidemark.sources import payloads as pl
     log = x.live_calls.filter("seq % 4 <> 0").withColumn("recovered", F.lit(False))
     rec = x.live_calls.filter("seq % 4 <= 1")
-    files = rec.groupBy((F.col("seq") % 64).alias("file")).agg(F.to_json(F.struct(F.lit("lost cards").alias("note"), F.collect_list(F.struct(
+    files = rec.groupBy(F.floor(F.col("seq") / 200).alias("file")).agg(F.to_json(F.struct(F.lit("lost cards").alias("note"), F.collect_list(F.struct(
         "seq", "event_id", "decision_time", F.date_format("run_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("run_at"), "off_schedule", "p_up")).alias("rows"))).alias("payload"))
     return ar.append_missing(log, pl.recovery_rows(files), key=["event_id", "decision_time", "run_at", "off_schedule"])
 

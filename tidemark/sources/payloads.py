@@ -13,7 +13,7 @@ from tidemark.functions import scalars as fn
 from tidemark.operators.dedup import first_per_key, latest_per_key
 
 # Payload shapes
-CANDLES = "array<struct<t:bigint,T:bigint,s:string,i:string,o:string,c:string,h:string,l:string,v:string,n:bigint>>"
+CANDLES = "array<struct<t:bigint,close_ms:bigint,s:string,i:string,o:string,c:string,h:string,l:string,v:string,n:bigint>>"
 FUNDING = "array<struct<coin:string,fundingRate:string,premium:string,time:bigint>>"
 META = ("struct<universe:array<struct<name:string,szDecimals:int,maxLeverage:int,isDelisted:boolean,growthMode:string,"
         "deployerFeeScale:string,onlyIsolated:boolean>>,collateralToken:int>")
@@ -59,9 +59,10 @@ def _millis(c: Column) -> Column:
 def candles(df: DataFrame, seq: str = "seq") -> DataFrame:
     """Bars from string-number records; t_end = t + interval, or T + 1 ms for calendar
     intervals; the last record per (market, interval, t) wins."""
-    r = _rows(df, CANDLES)
+    # t and T differ only in case, which column names do not
+    r = _rows(df.withColumn("payload", F.regexp_replace("payload", '"T"\\s*:', '"close_ms":')), CANDLES)
     t = _millis(F.col("_r.t"))
-    end = F.when(F.col("_r.i").isin(*CALENDAR_INTERVALS), _millis(F.col("_r.T") + 1)).otherwise(
+    end = F.when(F.col("_r.i").isin(*CALENDAR_INTERVALS), _millis(F.col("_r.close_ms") + 1)).otherwise(
         fn.plus_seconds(t, fn.lookup(F.col("_r.i"), fn.INTERVAL_SECONDS | {"4h": 14400, "1d": 86400}, 3600)))
     out = r.select(F.col("_r.s").alias("market"), F.col("_r.i").alias("interval"), t.alias("t"), end.alias("t_end"),
                    *[_num(f"_r.{k}").alias(n) for k, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))],
@@ -109,10 +110,11 @@ def submissions(df: DataFrame) -> DataFrame:
     p = df.withColumn("_p", F.from_json("payload", FILINGS))
     fields = {"accessionNumber": "accession", "form": "form", "filingDate": "filing_date", "acceptanceDateTime": "accepted",
               "items": "items", "primaryDocument": "document", "primaryDocDescription": "description"}
-    z = p.withColumn("_z", F.explode(F.arrays_zip(*[F.col(f"_p.{k}") for k in fields])))
+    z = p.select("cik", "page", F.posexplode(F.arrays_zip(*[
+        F.coalesce(F.col(f"_p.{k}"), F.array().cast("array<string>")).alias(k) for k in fields])).alias("_pos", "_z"))
     out = z.filter(F.col("_z.accessionNumber").isNotNull()).select(
-        "cik", "page", *[F.coalesce(F.col(f"_z.{k}"), F.lit("")).alias(n) for k, n in fields.items()])
-    out = first_per_key(out, ["cik", "accession"], ["page"])
+        "cik", "page", "_pos", *[F.coalesce(F.col(f"_z.{k}"), F.lit("")).alias(n) for k, n in fields.items()])
+    out = first_per_key(out, ["cik", "accession"], ["page", "_pos"]).drop("_pos")
     return out.withColumns({"filing_date": F.col("filing_date").try_cast("date"), "accepted": F.col("accepted").try_cast("timestamp")})
 
 
