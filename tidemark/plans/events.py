@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators.asof import DAY, time_bucket
+from tidemark.operators.asof import DAY
+from tidemark.operators.ranges import range_aggregate, range_join
 
 
 def estimate_ladder(events: DataFrame, second: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -62,38 +63,65 @@ def annotate_bars(bars: DataFrame, rules: DetectorRules) -> DataFrame:
                           "prev_close": prev}).drop("_prev", "_carry")
 
 
-def detect_release(bars: DataFrame, rules: DetectorRules, candidates: Column | None = None) -> DataFrame:
-    """First qualifying bar per (market, local day): start `t` and whether it opens the day.
+def qualifying_bars(bars: DataFrame, rules: DetectorRules, candidates: Column | None = None) -> DataFrame:
+    """Bars whose return and robust volume score both pass: market, day, t, first_bar.
 
-    The cheap return test runs first. A candidate's baseline is found by equi-joins on
-    (market, segment, day number): the ten prior days with data within the clock window, and up
-    to sixty preceding bars of its own segment and day. Groups are one market-day, bounded by
-    the bars of a day. Median and MAD are two exact grouped percentiles.
+    The cheap return test runs first. A candidate then meets its baseline in two equi-joins:
+    bars of the ten prior days with data in the same segment and clock cell, and the bars of its
+    own segment and day in the same or the previous block of sixty positions. Median and MAD are
+    exact over a sample bounded by days x clock window + same-day bars.
     """
     b = annotate_bars(bars, rules)
-    seg_pos = F.row_number().over(Window.partitionBy("market", "day", "seg").orderBy("t"))
-    b = b.withColumn("seg_pos", seg_pos)
+    b = b.withColumn("seg_pos", F.row_number().over(Window.partitionBy("market", "day", "seg").orderBy("t")))
     cond = (F.col("volume") > 0) & (F.col("ret") >= rules.min_return)
     cand = b.filter(cond if candidates is None else cond & candidates)
-    cand = cand.select("market", "day", "seg", "t", F.col("volume").alias("v"), "pos", "clock", "day_no", "seg_pos")
-    cells = cand.withColumn("_dn", F.explode(F.sequence(F.col("day_no") - rules.days, F.col("day_no"))))
-    base = b.select("market", "seg", F.col("day_no").alias("_dn"), F.col("clock").alias("b_clock"),
-                    F.col("seg_pos").alias("b_pos"), F.col("volume").alias("b_vol"))
-    j = cells.join(base, ["market", "seg", "_dn"])
-    prior = (F.col("_dn") < F.col("day_no")) & (F.abs(F.col("b_clock") - F.col("clock")) <= rules.clock_window)
-    same = ((F.col("_dn") == F.col("day_no")) & (F.col("b_pos") < F.col("seg_pos"))
-            & (F.col("b_pos") >= F.col("seg_pos") - rules.same_day_bars))
-    sample = j.filter((prior | same) & F.col("b_vol").isNotNull())
-    key = ["market", "day", "t", "v", "pos"]
-    # a baseline is at most (days x window + same-day bars) values, so it fits one array
-    grouped = sample.groupBy(*key).agg(F.count("*").alias("n"), F.expr("percentile(b_vol, 0.5)").alias("med"),
-                                       F.collect_list("b_vol").alias("vals"))
-    judged = grouped.filter(F.col("n") >= rules.min_baseline)
-    dev = judged.select(*key, "med", F.explode("vals").alias("x")).groupBy(*key, "med").agg(
-        F.expr("percentile(abs(x - med), 0.5)").alias("mad"))
-    scale = F.greatest(F.col("mad") * 1.4826, F.col("med") * 0.25, F.lit(1.0))
-    hit = dev.filter((F.col("v") - F.col("med")) / scale >= rules.z)
-    return hit.groupBy("market", "day").agg(F.min("t").alias("t"), (F.min_by("pos", "t") == 1).alias("first_bar"))
+    cand = cand.select("market", "day", "seg", "t", F.col("volume").alias("v"), "pos", "clock", "day_no", "seg_pos", "prev_close")
+    base = b.select("market", "seg", F.col("day_no").alias("_dn"), F.col("clock").alias("b_clock"), F.col("seg_pos").alias("b_pos"),
+                    F.col("volume").alias("b_vol")).filter(F.col("b_vol").isNotNull())
+    w, k = rules.clock_window, rules.same_day_bars
+    cell = w + 1
+    back = cand.withColumn("_dn", F.explode(F.sequence(F.col("day_no") - rules.days, F.col("day_no") - 1))).withColumn(
+        "_cell", F.explode(F.sequence(F.floor((F.col("clock") - w) / cell), F.floor((F.col("clock") + w) / cell))))
+    prior = back.join(base.withColumn("_cell", F.floor(F.col("b_clock") / cell)), ["market", "seg", "_dn", "_cell"]).filter(
+        F.abs(F.col("b_clock") - F.col("clock")) <= w)
+    block = F.floor(F.col("seg_pos") / k)
+    own = cand.withColumn("_dn", F.col("day_no")).withColumn("_cell", F.explode(F.array(block - 1, block)))
+    same = own.join(base.withColumn("_cell", F.floor(F.col("b_pos") / k)), ["market", "seg", "_dn", "_cell"]).filter(
+        (F.col("b_pos") < F.col("seg_pos")) & (F.col("b_pos") >= F.col("seg_pos") - k))
+    key = ["market", "day", "t", "v", "pos", "prev_close"]
+    sample = prior.select(*key, "b_vol").unionByName(same.select(*key, "b_vol"))
+    judged = sample.groupBy(*key).agg(F.array_sort(F.collect_list("b_vol")).alias("_x")).filter(F.size("_x") >= rules.min_baseline)
+
+    def middle(arr: Column) -> Column:
+        n = F.size(arr)
+        return (F.get(arr, F.floor((n - 1) / 2).cast("int")) + F.get(arr, F.floor(n / 2).cast("int"))) / 2
+    judged = judged.withColumn("_med", middle(F.col("_x")))
+    judged = judged.withColumn("_mad", middle(F.array_sort(F.transform("_x", lambda x: F.abs(x - F.col("_med"))))))
+    scale = F.greatest(F.col("_mad") * 1.4826, F.col("_med") * 0.25, F.lit(1.0))
+    return judged.filter((F.col("v") - F.col("_med")) / scale >= rules.z).select(
+        "market", "day", "t", (F.col("pos") == 1).alias("first_bar"), "prev_close")
+
+
+def detect_release(bars: DataFrame, rules: DetectorRules, candidates: Column | None = None) -> DataFrame:
+    """First qualifying bar per (market, local day): start `t` and whether it opens the day."""
+    hit = qualifying_bars(bars, rules, candidates)
+    return hit.groupBy("market", "day").agg(F.min(F.struct("t", "first_bar")).alias("_h")).select("market", "day", "_h.*")
+
+
+def confirm_pinned(bars: DataFrame, pins: DataFrame, rules: DetectorRules, *, before: int, after: int, span: int,
+                   min_range: float, now: Column) -> DataFrame:
+    """First bar around a pinned release that passes the volume leg at the relaxed return in
+    `rules` and whose next `span` seconds of bars range over `min_range` of the previous close.
+    `pins`: market, pin."""
+    hit = qualifying_bars(bars, rules)
+    near = range_join(pins.withColumns({"_lo": fn.plus_seconds(F.col("pin"), -before), "_hi": fn.plus_seconds(F.col("pin"), after)}), hit,
+                      on=["market"], lo="_lo", hi="_hi", right_ts="t", bucket=DAY, take=["day", "prev_close"], lo_open=False)
+    near = near.withColumnRenamed("_r_ts", "t0_live").withColumn("_to", fn.plus_seconds(F.col("t0_live"), span))
+    near = near.filter(F.col("_to") <= now)
+    rng = range_aggregate(near, bars, key=["market", "pin", "t0_live", "prev_close"], on=["market"], lo="t0_live", hi="_to", right_ts="t",
+                          bucket=DAY, take=["high", "low"], lo_open=False, hi_open=True, aggs=[(F.max("high") - F.min("low")).alias("_rng")])
+    rng = rng.withColumn("range_pct", F.col("_rng") / F.when(F.col("prev_close") > 0, F.col("prev_close"))).filter(F.col("range_pct") >= min_range)
+    return rng.groupBy("market", "pin").agg(F.min(F.struct("t0_live", "range_pct")).alias("_b")).select("market", "pin", "_b.*")
 
 
 def resolve_t0(events: DataFrame, *, window: int = 900) -> DataFrame:
@@ -182,3 +210,60 @@ def release_clock(filings: DataFrame, *, key: str, at: str, before: Column) -> D
          .agg(F.bround(F.percentile(sec, F.lit(0.5)), 0).cast("bigint").alias("_m"), F.count("*").alias("n")))
     two = lambda c: F.lpad(c.cast("bigint").cast("string"), 2, "0")
     return g.select(key, F.concat(two(F.floor(F.col("_m") / 3600)), F.lit(":"), two(F.floor(F.col("_m") % 3600 / 60))).alias("clock"), "n")
+
+
+def upcoming_events(calendar: DataFrame, *, today, days: int, corrections: DataFrame, known: DataFrame, consensus: DataFrame) -> DataFrame:
+    """Rows of the calendar inside [today, today + days] after date corrections, one per name and
+    date, with an event id (known or minted), the expected instant and the newest consensus.
+
+    calendar: underlying, report_date, time_flag, and the ladder columns of `expected_t0`;
+    corrections: underlying, report_date, corrected; known: underlying, report_date, event_id;
+    consensus: underlying, snapshot_time, eps_estimate."""
+    c = calendar.join(corrections, ["underlying", "report_date"], "left").withColumn("report_date", F.coalesce("corrected", "report_date")).drop("corrected")
+    lo = F.lit(today).cast("date")
+    c = c.filter(F.col("report_date").between(lo, F.date_add(lo, days))).dropDuplicates(["underlying", "report_date"])
+    ids = known.groupBy("underlying", "report_date").agg(F.min("event_id").alias("_id"))
+    newest = consensus.groupBy("underlying").agg(F.max_by(F.struct("snapshot_time", "eps_estimate"), "snapshot_time").alias("_c"))
+    j = expected_t0(c).join(ids, ["underlying", "report_date"], "left").join(newest, "underlying", "left")
+    minted = fn.event_id(F.col("underlying").cast("string"), F.col("report_date"))
+    return j.select(F.coalesce(F.col("_id").cast("string"), minted).alias("event_id"), "underlying", "report_date", "expected_t0", "expected_t0_source",
+                    F.col("_c.eps_estimate").alias("eps_estimate"), F.col("_c.snapshot_time").alias("snapshot_time"))
+
+
+def build_events(reports: DataFrame, *, corrections: DataFrame, vendor: DataFrame, second: DataFrame, snapshots: DataFrame, filings: DataFrame,
+                 detections: DataFrame, clocks: DataFrame, facts: DataFrame, third: DataFrame, markets: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The full event table: corrected dates, cross checks, consensus provenance, release
+    instant, fiscal period, market and flags. Every source is matched on its own key and joined
+    on event_id, so the joins after the matchers are co-partitioned."""
+    from tidemark.operators import matchers as mt
+    from tidemark.sources.calendar import attach
+    r = reports.join(corrections, ["underlying", "report_date"], "left").withColumn("report_date", F.coalesce("corrected", "report_date")).drop("corrected")
+    r = r.groupBy("underlying", "report_date").agg(F.min_by(F.struct(*[c for c in r.columns if c not in ("underlying", "report_date")]), "event_id").alias("_r")).select(
+        "underlying", "report_date", "_r.*")
+    hit = mt.nearest_date_match(r, vendor, key="event_id", on="underlying", day="report_date", other_day="vendor_date", window=10,
+                                take=["vendor_eps"], order=["order_key", "line"])
+    r = r.join(hit, "event_id", "left")
+    r = vendor_conflicts(r, confidence=F.lit(None).cast("double")).withColumnRenamed("confidence", "_conflict_conf")
+    acc = mt.filing_acceptance_match(r, filings).select("event_id", "accepted")
+    pre = mt.prior_filing_flag(r, filings).select("event_id", "pre_announced")
+    det = detections.select(F.col("market").alias("_dm"), F.col("day").alias("report_date"), F.col("t").alias("det_t"), F.col("first_bar").alias("det_first"))
+    r = r.join(acc, "event_id", "left").join(pre, "event_id", "left").join(det, (r["det_market"] == det["_dm"]) & (r["report_date"] == det["report_date"]), "left").drop(
+        det["report_date"]).drop("_dm")
+    r = r.join(F.broadcast(clocks), "underlying", "left").withColumn("clock_t0", fn.release_clock(F.col("report_date"), F.col("clock")))  # hand-made clocks
+    near = F.col("det_t") >= fn.plus_seconds(F.col("accepted"), -900)
+    r = r.withColumns({"det_near": F.when(near, F.col("det_t")), "det_near_first": F.coalesce(F.col("det_first") & near, F.lit(False)),
+                       "manual": F.lit(None).cast("timestamp"), "det_first": F.coalesce("det_first", F.lit(False))})
+    r = attach(attach(r, calendar, "accepted", "a_"), calendar, "det_near", "d_")
+    r = r.withColumn("crosses", F.col("a_is_open") != F.col("d_is_open"))
+    e = resolve_t0(r)
+    e = e.withColumn("t0_confidence", F.coalesce("_conflict_conf", "t0_confidence"))
+    est = estimate_ladder(e.select("event_id", F.col("eps_estimate").alias("first")), second, snapshots)
+    period = mt.fiscal_period_match(e, facts, third)
+    mk = mt.market_at_t0(e.select("event_id", F.col("universe_name").alias("underlying"), "t0"), markets)
+    out = e.drop("eps_estimate").join(est, "event_id", "left").join(period, "event_id", "left").join(mk, "event_id", "left")
+    flags = F.concat("flags", F.when(F.col("pre_announced"), F.array(F.lit("pre_announced"))).otherwise(F.array().cast("array<string>")),
+                     F.when(F.col("eps_conflict"), F.array(F.lit("eps_conflict"))).otherwise(F.array().cast("array<string>")),
+                     F.when(F.col("date_conflict"), F.array(F.lit("date_conflict"))).otherwise(F.array().cast("array<string>")))
+    return out.select("event_id", "underlying", "report_date", "t0", "t0_confidence", "t0_source", "t0_lag_s", "eps_actual", "eps_estimate", "estimate_source",
+                      fn.surprise_pct(F.col("eps_actual"), F.col("eps_estimate")).alias("eps_surprise_pct"), F.date_format("period_end", "yyyy-MM").alias("fiscal_period"),
+                      "period_source", "market", F.coalesce("has_perp_at_t0", F.lit(False)).alias("has_perp_at_t0"), F.array_join(F.array_distinct(flags), ";").alias("flags"))
