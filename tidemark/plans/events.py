@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as fn
 from tidemark.operators.asof import DAY
 from tidemark.operators.ranges import range_aggregate, range_join
+from tidemark.session import cut
 
 
 def estimate_ladder(events: DataFrame, second: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -240,27 +241,27 @@ def build_events(reports: DataFrame, *, corrections: DataFrame, vendor: DataFram
     r = reports.join(corrections, ["underlying", "report_date"], "left").withColumn("report_date", F.coalesce("corrected", "report_date")).drop("corrected")
     r = r.groupBy("underlying", "report_date").agg(F.min_by(F.struct(*[c for c in r.columns if c not in ("underlying", "report_date")]), "event_id").alias("_r")).select(
         "underlying", "report_date", "_r.*")
+    r = cut(r)  # every matcher below starts from these rows
     hit = mt.nearest_date_match(r, vendor, key="event_id", on="underlying", day="report_date", other_day="vendor_date", window=10,
                                 take=["vendor_eps"], order=["order_key", "line"])
-    r = r.join(hit, "event_id", "left")
-    r = vendor_conflicts(r, confidence=F.lit(None).cast("double")).withColumnRenamed("confidence", "_conflict_conf")
     acc = mt.filing_acceptance_match(r, filings).select("event_id", "accepted")
     pre = mt.prior_filing_flag(r, filings).select("event_id", "pre_announced")
-    det = detections.select(F.col("market").alias("_dm"), F.col("day").alias("report_date"), F.col("t").alias("det_t"), F.col("first_bar").alias("det_first"))
-    r = r.join(acc, "event_id", "left").join(pre, "event_id", "left").join(det, (r["det_market"] == det["_dm"]) & (r["report_date"] == det["report_date"]), "left").drop(
-        det["report_date"]).drop("_dm")
-    r = r.join(F.broadcast(clocks), "underlying", "left").withColumn("clock_t0", fn.release_clock(F.col("report_date"), F.col("clock")))  # hand-made clocks
+    det = detections.select(F.col("market").alias("det_market"), F.col("day").alias("report_date"), F.col("t").alias("det_t"), F.col("first_bar").alias("det_first"))
+    det = r.select("event_id", "det_market", "report_date").join(det, ["det_market", "report_date"]).select("event_id", "det_t", "det_first")
+    est = estimate_ladder(r.select("event_id", F.col("eps_estimate").alias("first")), second, snapshots)
+    period = mt.fiscal_period_match(r, facts, third)
+    j = r.drop("eps_estimate")
+    for part in (hit, acc, pre, det, est, period):
+        j = j.join(part, "event_id", "left")
+    j = j.join(clocks, "underlying", "left").withColumn("clock_t0", fn.release_clock(F.col("report_date"), F.col("clock")))
+    j = vendor_conflicts(j, confidence=F.lit(None).cast("double")).withColumnRenamed("confidence", "_conflict_conf")
     near = F.col("det_t") >= fn.plus_seconds(F.col("accepted"), -900)
-    r = r.withColumns({"det_near": F.when(near, F.col("det_t")), "det_near_first": F.coalesce(F.col("det_first") & near, F.lit(False)),
+    j = j.withColumns({"det_near": F.when(near, F.col("det_t")), "det_near_first": F.coalesce(F.col("det_first") & near, F.lit(False)),
                        "manual": F.lit(None).cast("timestamp"), "det_first": F.coalesce("det_first", F.lit(False))})
-    r = attach(attach(r, calendar, "accepted", "a_"), calendar, "det_near", "d_")
-    r = r.withColumn("crosses", F.col("a_is_open") != F.col("d_is_open"))
-    e = resolve_t0(r)
-    e = e.withColumn("t0_confidence", F.coalesce("_conflict_conf", "t0_confidence"))
-    est = estimate_ladder(e.select("event_id", F.col("eps_estimate").alias("first")), second, snapshots)
-    period = mt.fiscal_period_match(e, facts, third)
+    j = attach(attach(j, calendar, "accepted", "a_"), calendar, "det_near", "d_").withColumn("crosses", F.col("a_is_open") != F.col("d_is_open"))
+    e = cut(resolve_t0(j).withColumn("t0_confidence", F.coalesce("_conflict_conf", "t0_confidence")))
     mk = mt.market_at_t0(e.select("event_id", F.col("universe_name").alias("underlying"), "t0"), markets)
-    out = e.drop("eps_estimate").join(est, "event_id", "left").join(period, "event_id", "left").join(mk, "event_id", "left")
+    out = e.join(mk, "event_id", "left")
     flags = F.concat("flags", F.when(F.col("pre_announced"), F.array(F.lit("pre_announced"))).otherwise(F.array().cast("array<string>")),
                      F.when(F.col("eps_conflict"), F.array(F.lit("eps_conflict"))).otherwise(F.array().cast("array<string>")),
                      F.when(F.col("date_conflict"), F.array(F.lit("date_conflict"))).otherwise(F.array().cast("array<string>")))
