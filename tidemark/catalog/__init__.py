@@ -4,7 +4,8 @@ from importlib import import_module
 
 from tidemark.catalog.registry import ENTRIES
 
-MODULES = ("scans", "targets", "joins", "scalars", "projections", "aggregates", "windows", "sets", "events", "features")
+MODULES = ("scans", "targets", "joins", "scalars", "projections", "aggregates", "windows", "sets", "events", "features",
+           "evaluation")
 for _m in MODULES:
     import_module(f"tidemark.catalog.{_m}")
 

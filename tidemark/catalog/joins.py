@@ -6,7 +6,7 @@ from tidemark.catalog.common import calendar_of
 from tidemark.catalog.registry import query
 from tidemark.functions import scalars as fn
 from tidemark.operators import matchers as mt
-from tidemark.operators.asof import DAY, asof_join, asof_lookup
+from tidemark.operators.asof import DAY, asof_lookup, asof_parts, asof_points
 from tidemark.operators.dedup import latest_per_key
 from tidemark.plans import trades as tr
 from tidemark.plans import evaluate as ev
@@ -21,7 +21,7 @@ from tidemark.sources import calendar as cal
 def asof_price(x):
     r = x.releases.select("event_id", "market", F.date_trunc("hour", "t0").alias("h"))
     kw = dict(on=["market"], left_ts="h", right_ts="t_end", take=["close", "t_end"], grid=3600, bucket=5 * DAY)
-    out = asof_join(asof_join(r, x.bars, into="a", **kw), x.bars, into="b", strict=True, **kw)
+    out = asof_parts(r, {"a": (x.bars, kw), "b": (x.bars, kw | dict(strict=True))}, key=["event_id"])
     return out.select("event_id", F.col("a.close").alias("price"), F.col("a.t_end").alias("bar_end"),
                       F.col("b.close").alias("strict_price"), F.col("b.t_end").alias("strict_end"))
 
@@ -33,7 +33,7 @@ def asof_price(x):
                  WHEN NOT b.open > 0 THEN 'bad_bar' END AS reason
           FROM {releases} r ASOF LEFT JOIN {bars} b ON r.market = b.market AND r.t0 <= b.t)""")
 def asof_fill_forward(x):
-    out = tr.fill_at(x.releases, x.bars, "t0", into="f", max_lag=1800, grid=3600, bucket=5 * DAY)
+    out = tr.fills_at(x.releases, x.bars, {"f": F.col("t0")}, key=["event_id"], max_lag=1800, grid=3600, bucket=5 * DAY)
     return out.select("event_id", "f.fill", "f.fill_time", "f.range_bps", "f.reason")
 
 
@@ -53,11 +53,10 @@ def asof_next_session(x):
     FROM (SELECT *, t0 - INTERVAL 1 DAY AS t1 FROM {releases}) r ASOF LEFT JOIN one a ON r.market = a.market AND r.t0 >= a.t
     ASOF LEFT JOIN one b ON r.market = b.market AND r.t1 >= b.t""")
 def asof_snapshot(x):
-    kw = dict(on=["market"], right_ts="t", take=["t", "open_interest", "mark_px"], tie="seq")
-    r = x.releases.select("event_id", "market", "t0", fn.plus_seconds(F.col("t0"), -DAY).alias("t1"))
-    out = asof_join(r, x.ctx, left_ts="t0", into="a", **kw)
-    out = asof_join(out, x.ctx, left_ts="t1", into="b", **kw)
-    fresh = fn.seconds_between(F.col("t0"), F.col("b.t")) <= 2 * DAY
+    t0 = F.col("t0")
+    out = asof_points(x.releases, x.ctx, key=["event_id"], on=["market"], points={"a": t0, "b": fn.plus_seconds(t0, -DAY)}, right_ts="t",
+                      take=["t", "open_interest", "mark_px"], tie="seq")
+    fresh = fn.seconds_between(F.col("a.at"), F.col("b.t")) <= 2 * DAY
     return out.select("event_id", F.col("a.t").alias("snap_time"),
                       (F.col("a.open_interest") * F.col("a.mark_px")).alias("oi_notional"),
                       F.when(fresh, fn.log_ret(F.col("a.open_interest"), F.col("b.open_interest"))).alias("oi_chg_24h"))
@@ -310,11 +309,11 @@ def infer_issuer_kind(x):
     WITH r AS (SELECT event_id, market, date_trunc('hour', t0) AS h0, date_trunc('hour', t0 + (event_id % 4) * INTERVAL '1' HOUR) AS h1 FROM {releases}),
          g AS (SELECT r.event_id, h1 > h0 AS any_hour, datediff('hour', h0, h1) AS need, count(f.t) AS got, sum(f.funding_rate) AS s
                FROM r LEFT JOIN {funding} f ON f.market = r.market AND f.t > r.h0 AND f.t <= r.h1 GROUP BY ALL)
-    SELECT event_id, CASE WHEN NOT any_hour THEN 0 WHEN got = need THEN s * 1e4 END AS funding_sum, NOT any_hour OR got = need AS covered FROM g""")
+    SELECT event_id, CASE WHEN NOT any_hour THEN 0 WHEN got = need THEN s END AS funding_sum, NOT any_hour OR got = need AS covered FROM g""")
 def funding_interval_join(x):
     r = x.releases.withColumn("exit_time", fn.plus_seconds(F.col("t0"), (F.col("event_id") % 4) * 3600))
-    out = tr.funding_between(r, x.funding, entry="t0", exit_="exit_time")
-    return out.select("event_id", (F.col("funding_sum") * 1e4).alias("funding_sum"), F.col("funding_sum").isNotNull().alias("covered"))
+    out = tr.funding_between(r, x.funding, key=["event_id"], entry="t0", exit_="exit_time")
+    return out.withColumn("covered", F.col("funding_sum").isNotNull())
 
 
 PAIRED = """SELECT a.event_id, a.decision_time, (a.p_up - CAST(a.r_true > 0 AS INT)) ** 2 AS m_brier,

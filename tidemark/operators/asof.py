@@ -118,10 +118,22 @@ def asof_lookup(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: st
 
 def asof_points(df: DataFrame, right: DataFrame, *, key: Sequence[str], on: Sequence[str], points: dict[str, Column],
                 right_ts: str, take: Sequence[str], **kw) -> DataFrame:
-    """One column per named instant in `points`: a struct of the `take` columns in force then,
+    """One row per `key` with one column per named instant in `points`: a struct of the `take` columns in force then,
     plus `at`. All instants of a row share one as-of pass and one regrouping by `key`."""
     items = F.array(*[F.struct(F.lit(n).alias("_p"), c.alias("_at")) for n, c in points.items()])
     long = df.select(*key, *on, F.explode(items).alias("_x")).select(*key, *on, "_x.*")
     hit = asof_join(long, right, on=on, left_ts="_at", right_ts=right_ts, take=take, into="_h", **kw)
     packed = F.struct(F.col("_at").alias("at"), *[F.col(f"_h.{c}").alias(c) for c in take])
     return hit.groupBy(*key).agg(*[F.max(F.when(F.col("_p") == n, packed)).alias(n) for n in points])
+
+
+def asof_parts(df: DataFrame, parts: dict[str, tuple[DataFrame, dict]], *, key: Sequence[str]) -> DataFrame:
+    """`df` plus one struct per entry of `parts` (name -> right side and `asof_join` arguments).
+    Every lookup starts from `df` itself and is joined back on the unique `key`, so the plan
+    grows with the number of lookups and not with their nesting."""
+    out = df
+    for name, (right, kw) in parts.items():
+        need = list(dict.fromkeys([*key, *kw["on"], kw["left_ts"]]))
+        hit = asof_join(df.select(*need), right, into=name, **kw).select(*key, name)
+        out = out.join(hit, list(key), "left")
+    return out

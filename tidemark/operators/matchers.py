@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators.asof import DAY, asof_join
+from tidemark.operators.asof import DAY, asof_join, asof_parts
 from tidemark.operators.ranges import range_aggregate
 
 
@@ -32,8 +32,7 @@ def nearest_date_match(left: DataFrame, right: DataFrame, *, key: str, on: str,
              .withColumn("_at", F.col(other_day).cast("timestamp")))
     probe = left.select(key, on, day).withColumn("_day", F.col(day).cast("timestamp"))
     kw = dict(on=[on], left_ts="_day", right_ts="_at", take=[other_day, "_row"], grid=DAY, bucket=90 * DAY)
-    both = asof_join(probe, daily, into="_back", **kw)
-    both = asof_join(both, daily, into="_fwd", direction="forward", strict=True, **kw)
+    both = asof_parts(probe, {"_back": (daily, kw), "_fwd": (daily, kw | dict(direction="forward", strict=True))}, key=[key])
 
     def gap(side: str) -> Column:
         g = F.abs(F.datediff(F.col(f"{side}.{other_day}"), F.col(day)))
@@ -80,8 +79,8 @@ def split_near_event(events: DataFrame, splits: DataFrame, *, on: str, lookback:
     """The split ex-instant nearest to t0 inside [t0 - lookback, t0 + horizon], earlier on ties."""
     unique = splits.select(on, "ex_ts").distinct()
     kw = dict(on=[on], left_ts="t0", right_ts="ex_ts", take=["ex_ts"], bucket=90 * DAY)
-    both = asof_join(events.select("event_id", on, "t0"), unique, into="_b", **kw)
-    both = asof_join(both, unique, into="_f", direction="forward", strict=True, **kw)
+    both = asof_parts(events.select("event_id", on, "t0"), {
+        "_b": (unique, kw), "_f": (unique, kw | dict(direction="forward", strict=True))}, key=["event_id"])
     t0 = F.col("t0")
     back = F.when(fn.seconds_between(t0, F.col("_b.ex_ts")) <= lookback, F.col("_b.ex_ts"))
     ahead = F.when(fn.seconds_between(F.col("_f.ex_ts"), t0) <= horizon, F.col("_f.ex_ts"))

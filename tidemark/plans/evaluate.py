@@ -234,3 +234,26 @@ def training_window(rows: DataFrame, *, seasons: int, min_train: int) -> DataFra
     last = Window.partitionBy("fold").orderBy(F.col("t0").desc(), F.col("event_id").desc())
     floor = j.filter(short).withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= min_train).drop("_rn")
     return normal.unionByName(floor).drop("_sr", "_nw", "_ns")
+
+
+def holdout_state(dataset: DataFrame, calendar: DataFrame, *, season: str, now: Column, horizon: int = 86400) -> DataFrame:
+    """One row that says whether the holdout season may be scored: it is closed, nothing is in
+    the future, no row is pending or unlabelled unless its label is unobservable (path resolved),
+    and every scheduled event is in the dataset."""
+    hold = dataset.filter(fn.season(F.col("t0")) == season)
+    missing, pending = F.col("target_missing"), F.coalesce("pending", F.lit(False))
+    unobservable = missing & F.col("resolved") & ~pending
+    due = calendar.filter(fn.season(F.col("t0")) == season).select("event_id", "t0")
+    absent = due.join(hold.select("event_id"), "event_id", "left_anti").agg(F.count("*").alias("n_absent"))
+    end = F.lit(season_end(season)).cast("timestamp")
+    s = hold.agg(F.count("*").alias("n_rows"), F.count_if(fn.plus_seconds(F.col("t0"), horizon) > now).alias("n_future"),
+                 F.count_if((missing | pending) & ~unobservable).alias("n_blocking"), F.count_if(unobservable).alias("n_unobservable"))
+    out = s.join(F.broadcast(absent)).withColumn("closed", now >= fn.plus_seconds(end, horizon))
+    ready = F.col("closed") & (F.col("n_rows") > 0) & (F.col("n_future") == 0) & (F.col("n_blocking") == 0) & (F.col("n_absent") == 0)
+    return out.withColumn("ready", ready)
+
+
+def season_end(season: str) -> str:
+    """First day after a season label such as 2001Q2."""
+    year, quarter = int(season[:4]), int(season[5:])
+    return f"{year + quarter // 4}-{quarter % 4 * 3 + 1:02d}-01"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators.asof import DAY, asof_join, asof_points
+from tidemark.operators.asof import DAY, asof_join, asof_parts, asof_points
 from tidemark.operators.ranges import range_aggregate, running_totals
 from tidemark.plans import history as hs
 from tidemark.sources.calendar import attach, attach_ny_day
@@ -160,8 +160,9 @@ def daily_windows(daily: DataFrame, *, on: str, order: str) -> DataFrame:
 DAILY_KEYS = ("ret_1d", "ret_5d", "ret_20d", "ret_60d", "rvol_20d", "dist_52w_high", "dist_52w_low", "dvol_5d_ratio")
 
 
-def daily_at(rows: DataFrame, windows: DataFrame, *, on: str, at: str, take: tuple[str, ...] = DAILY_KEYS, into: str = "dly") -> DataFrame:
-    return asof_join(rows, windows, on=[on], left_ts=at, right_ts="end_ts", take=list(take), into=into, bucket=90 * DAY)
+def daily_spec(windows: DataFrame, *, on: str, at: str, take: tuple[str, ...] = DAILY_KEYS) -> tuple[DataFrame, dict]:
+    """Lookup of the daily row in force, for `asof_parts`."""
+    return windows, dict(on=[on], left_ts=at, right_ts="end_ts", take=list(take), bucket=90 * DAY)
 
 
 # ---- groups ----------------------------------------------------------------------------------
@@ -175,7 +176,9 @@ def calendar_group(rows: DataFrame, calendar: DataFrame, events: DataFrame, *, h
     ev = ev.withColumn("_ny", fn.ny_date(F.col("t0"))).join(same, "_ny", "left")
     settled = events.select("underlying", fn.plus_seconds(F.col("t0"), horizon).alias("_settled"), F.col("t0").alias("last_t0")).groupBy(
         "underlying", "_settled").agg(F.max("last_t0").alias("last_t0"))
-    ev = asof_join(ev, settled, on=["underlying"], left_ts="as_of", right_ts="_settled", take=["last_t0"], into="_last", bucket=90 * DAY)
+    last = asof_join(rows.select(*KEY, "underlying", "as_of"), settled, on=["underlying"], left_ts="as_of", right_ts="_settled", take=["last_t0"],
+                     into="_last", bucket=90 * DAY).select(*KEY, "_last")
+    ev = ev.join(last, KEY, "left")
     t0 = F.col("t0")
     timing = fn.classify_timing(t0, F.col("is_open"), F.col("is_session_day"))
     wd = F.weekday(fn.ny_time(t0))
@@ -230,7 +233,8 @@ def pre_price_group(rows: DataFrame, bars: DataFrame, windows: DataFrame, calend
     fine = fine.select(*KEY, _drift("x_now", "x_long").alias("drift_60m"), _drift("x_now", "x_short").alias("drift_30m"),
                        _drift("x_now", "x_pc").alias("gap_since_close"), ratio(ext, ext_base).alias("ext_vol_ratio"),
                        ratio(recent, base).alias("vol_30m_ratio"))
-    daily = daily_at(ev, windows, on="market", at="anchor").select(*KEY, *[F.col(f"dly.{k}").alias(k) for k in DAILY_KEYS])
+    daily = asof_parts(rows.select(*KEY, "market", "anchor"), {"dly": daily_spec(windows, on="market", at="anchor")}, key=KEY)
+    daily = daily.select(*KEY, *[F.col(f"dly.{k}").alias(k) for k in DAILY_KEYS])
     return daily.join(fine, KEY, "left")
 
 
@@ -247,11 +251,13 @@ def market_group(rows: DataFrame, benchmark_windows: DataFrame, vix_windows: Dat
     """Benchmark, volatility index and sector proxy at the anchor. `rows` carries `sector`; the
     single-series windows carry a constant key `one`."""
     r = rows.select(*KEY, "sector", "anchor").withColumn("one", F.lit(1))
-    r = daily_at(r, benchmark_windows, on="one", at="anchor", take=("ret_1d", "ret_5d", "ret_20d", "rvol_20d"), into="m")
-    r = daily_at(r, vix_windows, on="one", at="anchor", take=("close", "ret_5d"), into="v")
-    r = daily_at(r, sector_windows, on="sector", at="anchor", take=("ret_1d", "ret_5d"), into="s")
+    base = r
+    r = asof_parts(base, {
+        "m": daily_spec(benchmark_windows, on="one", at="anchor", take=("ret_1d", "ret_5d", "ret_20d", "rvol_20d")),
+        "v": daily_spec(vix_windows, on="one", at="anchor", take=("close", "ret_5d")),
+        "s": daily_spec(sector_windows, on="sector", at="anchor", take=("ret_1d", "ret_5d"))}, key=KEY)
     at = F.col("anchor")
-    pts = asof_points(r, benchmark.withColumn("one", F.lit(1)), key=KEY, on=["one"], right_ts="t_end", take=["t_end", "close"],
+    pts = asof_points(base, benchmark.withColumn("one", F.lit(1)), key=KEY, on=["one"], right_ts="t_end", take=["t_end", "close"],
                       points={"x_now": at, "x_long": fn.plus_seconds(at, -rules.long)}, grid=rules.grid, bucket=rules.bucket)
     positive = F.col("v.close") > 0
     out = r.select(*KEY, F.col("m.ret_1d").alias("mkt_ret_1d"), F.col("m.ret_5d").alias("mkt_ret_5d"), F.col("m.ret_20d").alias("mkt_ret_20d"),
@@ -277,8 +283,8 @@ def perp_state_group(rows: DataFrame, funding: DataFrame, ctx: DataFrame, daily:
     n = F.size("_v")
     mid = (F.get("_v", F.floor((n - 1) / 2).cast("int")) + F.get("_v", F.floor(n / 2).cast("int"))) / 2
     med = daily.withColumn("_v", vals).withColumn("perp_vol_30d", F.when(n >= 5, mid)).drop("_v")
-    r = asof_join(r, med, on=["market"], left_ts="anchor", right_ts="end_ts", take=["perp_vol_30d"], into="d", bucket=90 * DAY)
-    j = r.join(fund, KEY, "left").join(snap, KEY, "left").join(F.broadcast(markets), "market", "left")
+    j = asof_parts(r, {"d": daily_spec(med, on="market", at="anchor", take=("perp_vol_30d",))}, key=KEY)
+    j = j.join(fund, KEY, "left").join(snap, KEY, "left").join(F.broadcast(markets), "market", "left")
     oi, prev = F.col("y_now.open_interest"), F.col("y_day.open_interest")
     fresh = fn.seconds_between(at, F.col("y_day.t")) <= 2 * DAY
     listed = F.coalesce(F.col("has_perp"), F.lit(True)) & (F.col("listing_start") <= at)
@@ -328,17 +334,18 @@ def reaction_group(rows: DataFrame, bars: DataFrame, benchmark: DataFrame, ctx:
     j = r.join(p, KEY)
     p0, p0_end = F.col("x_p0.close"), F.col("x_p0.t_end")
     post_from = F.greatest(p0_end, t0)
-    j = j.withColumn("_from", F.when(p0 > 0, post_from)).withColumn("one", F.lit(1))
+    j = j.withColumn("_from", F.when(p0 > 0, post_from))
     # the path only spans the reaction, so meeting its bars directly is bounded by its length
     path = range_aggregate(j.filter(F.col("_from").isNotNull()), bars, key=KEY, on=["market"], lo="_from", hi="as_of", right_ts="t_end",
                            bucket=DAY, take=["high", "low"], aggs=[F.max("high").alias("_hi"), F.min("low").alias("_lo")])
     j = j.join(path, KEY, "left")
-    b = asof_points(j, benchmark.withColumn("one", F.lit(1)), key=KEY, on=["one"], right_ts="t_end", take=["t_end", "close"],
+    base = r.withColumns({"one": F.lit(1), "_f_at": fn.plus_seconds(as_of, -rules.settle_lag)})
+    b = asof_points(base, benchmark.withColumn("one", F.lit(1)), key=KEY, on=["one"], right_ts="t_end", take=["t_end", "close"],
                     points={"b_ref": back, "b_now": as_of}, grid=rules.grid, bucket=rules.bucket)
-    j = j.join(b, KEY, "left")
-    j = asof_join(j, ctx, on=["market"], left_ts="as_of", right_ts="t", take=["t", "premium"], into="c", tie="seq", bucket=rules.bucket)
-    j = j.withColumn("_f_at", fn.plus_seconds(as_of, -rules.settle_lag))
-    j = asof_join(j, funding, on=["market"], left_ts="_f_at", right_ts="t", take=["t", "premium"], into="f", grid=3600, bucket=rules.bucket)
+    prem = asof_parts(base.select(*KEY, "market", "as_of", "_f_at"), {
+        "c": (ctx, dict(on=["market"], left_ts="as_of", right_ts="t", take=["t", "premium"], tie="seq", bucket=rules.bucket)),
+        "f": (funding, dict(on=["market"], left_ts="_f_at", right_ts="t", take=["t", "premium"], grid=3600, bucket=rules.bucket))}, key=KEY)
+    j = j.join(b, KEY, "left").join(prem.select(*KEY, "c", "f"), KEY, "left")
 
     def reacted(name: str) -> Column:
         hit = F.col(name)

@@ -106,7 +106,7 @@ def input_lag(sources: DataFrame, *, now: Column) -> DataFrame:
     return sources.groupBy("source").agg(F.max("at_ts").alias("newest")).withColumn("lag_s", fn.seconds_between(now, F.col("newest")))
 
 
-def calibration_ledger(calls: DataFrame, *, bands: tuple[float, ...] = (0.0, 0.35, 0.45, 0.55, 0.65, 1.0)) -> DataFrame:
+def calibration_ledger(calls: DataFrame, *, bands: tuple[float, ...] = (0.0, 0.425, 0.475, 0.525, 1.0)) -> DataFrame:
     """Hit rate and Brier against a coin by P(up) band; a pair graded twice counts once, on the
     mean of its probabilities."""
     once = calls.groupBy("pair_id").agg(F.avg("p_up").alias("p_up"), F.max("r").alias("r"), F.avg("size_hat").alias("size_hat"))

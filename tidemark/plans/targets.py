@@ -91,20 +91,24 @@ def compute_targets(events: DataFrame, bars: DataFrame, benchmark: DataFrame | N
         "event_id", "market", "checkpoint", "at_ts")
     hits = asof_join(instants, bars, on=["market"], left_ts="at_ts", right_ts="t_end", take=["close", "t_end"],
                      into="hit", grid=rules.grid, bucket=rules.bucket)
+    names = ["p0", *rules.checkpoints]
+
+    def pack(rows: DataFrame, prefix: str, *cols: str) -> DataFrame:
+        return rows.groupBy("event_id").agg(*[F.max(F.when(F.col("checkpoint") == c, F.struct(*cols))).alias(f"{prefix}_{c}") for c in names])
+    packed = pack(hits, "x", "at_ts", "hit")
     if benchmark is not None:
-        hits = asof_lookup(hits, benchmark, left_ts="at_ts", right_ts="t_end", take=["close", "t_end"], into="bench",
-                           grid=rules.grid, bucket=rules.bucket)
+        bench = asof_lookup(instants, benchmark, left_ts="at_ts", right_ts="t_end", take=["close", "t_end"], into="bench",
+                            grid=rules.grid, bucket=rules.bucket)
+        packed = packed.join(pack(bench, "m", "bench"), "event_id")
     else:
-        hits = hits.withColumn("bench", F.lit(None).cast("struct<close:double,t_end:timestamp>"))
-    names = ["p0", *rules.checkpoints]
-    packed = hits.groupBy("event_id").agg(*[
-        F.max(F.when(F.col("checkpoint") == c, F.struct("at_ts", "hit", "bench"))).alias(f"x_{c}") for c in names])
+        empty = F.lit(None).cast("struct<bench:struct<close:double,t_end:timestamp>>")
+        packed = packed.withColumns({f"m_{c}": empty for c in names})
     paths = bars.select("market").distinct().withColumn("_has_path", F.lit(True))
     wide = base.join(packed, "event_id", "left").join(paths, "market", "left")
 
     p0, p0_end = F.col("x_p0.hit.close"), F.col("x_p0.hit.t_end")
     lag = fn.seconds_between(F.col("x_p0.at_ts"), p0_end)
-    b0, b0_end = F.col("x_p0.bench.close"), F.col("x_p0.bench.t_end")
+    b0, b0_end = F.col("m_p0.bench.close"), F.col("m_p0.bench.t_end")
     bench_ok = fn.seconds_between(F.col("x_p0.at_ts"), b0_end) <= rules.staleness
     usable = F.coalesce((p0 > 0) & (lag <= rules.staleness), F.lit(False))
     ex = F.col("ca_ex_date")
@@ -112,7 +116,7 @@ def compute_targets(events: DataFrame, bars: DataFrame, benchmark: DataFrame | N
 
     out: dict[str, Column] = {}
     for c in rules.checkpoints:
-        hit, at, mh = F.col(f"x_{c}.hit"), F.col(f"x_{c}.at_ts"), F.col(f"x_{c}.bench")
+        hit, at, mh = F.col(f"x_{c}.hit"), F.col(f"x_{c}.at_ts"), F.col(f"m_{c}.bench")
         ok = usable & (hit["t_end"] > p0_end) & (fn.seconds_between(at, hit["t_end"]) <= rules.staleness)
         if c == HEADLINE:
             ok = ok & ~voided

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators.asof import DAY, asof_join, floor_to
+from tidemark.operators.asof import DAY, asof_points, floor_to
 from tidemark.operators.intervals import open_counts, peak_concurrency
 from tidemark.operators.ranges import running_totals
 
+KEY = ("event_id", "decision_time", "model")  # one prediction
 SIZINGS = ("fixed", "by_confidence", "by_magnitude", "magnitude_gate")
 
 
@@ -27,36 +28,35 @@ class TradeRules:
     bucket: int = DAY
 
 
-def fill_at(df: DataFrame, bars: DataFrame, ts: str, *, into: str, max_lag: int, grid: int, bucket: int) -> DataFrame:
-    """Struct `into` (fill, fill_time, range_bps, reason): the open of the first bar that
-    starts at or after `ts`, unless it is missing, too late or not positive."""
-    hit = asof_join(df, bars, on=["market"], left_ts=ts, right_ts="t", take=["open", "high", "low", "t"], into="_f",
-                    direction="forward", grid=grid, bucket=bucket)
-    f = F.col("_f")
-    reason = (F.when(f["t"].isNull(), "no_bar_after_signal")
-              .when(fn.seconds_between(f["t"], F.col(ts)) > max_lag, "fill_lag")
-              .when(~F.coalesce(f["open"] > 0, F.lit(False)), "bad_bar"))
-    ok = reason.isNull()
-    return hit.withColumn(into, F.struct(
-        F.when(ok, f["open"]).alias("fill"), F.when(ok, f["t"]).alias("fill_time"),
-        F.when(ok, F.try_divide(f["high"] - f["low"], f["open"]) * 1e4).alias("range_bps"),
-        reason.alias("reason"))).drop("_f")
+def fills_at(df: DataFrame, bars: DataFrame, points: dict[str, Column], *, key: Sequence[str], max_lag: int, grid: int, bucket: int) -> DataFrame:
+    """Per named instant a struct (fill, fill_time, range_bps, reason): the open of the first
+    bar that starts at or after it, unless it is missing, too late or not positive."""
+    hit = asof_points(df, bars, key=key, on=["market"], points=points, right_ts="t", take=["open", "high", "low", "t"],
+                      direction="forward", grid=grid, bucket=bucket)
 
+    def judge(f: Column) -> Column:
+        reason = (F.when(f["t"].isNull(), "no_bar_after_signal")
+                  .when(fn.seconds_between(f["t"], f["at"]) > max_lag, "fill_lag")
+                  .when(~F.coalesce(f["open"] > 0, F.lit(False)), "bad_bar"))
+        ok = reason.isNull()
+        return F.struct(F.when(ok, f["open"]).alias("fill"), F.when(ok, f["t"]).alias("fill_time"),
+                        F.when(ok, F.try_divide(f["high"] - f["low"], f["open"]) * 1e4).alias("range_bps"), reason.alias("reason"))
+    return df.join(hit.select(*key, *[judge(F.col(n)).alias(n) for n in points]), list(key), "left")
 
-def funding_between(df: DataFrame, funding: DataFrame, *, entry: str, exit_: str, bucket: int = 5 * DAY) -> DataFrame:
+
+def funding_between(df: DataFrame, funding: DataFrame, *, key: Sequence[str], entry: str, exit_: str, bucket: int = 5 * DAY) -> DataFrame:
     """`funding_sum` over the settlement hours h with entry < h <= exit: 0 without a
     settlement, null unless every hour is present. Two prefix-sum lookups per row."""
     run = running_totals(funding, on=["market"], order=["t"], ts="t", bucket=bucket,
                          totals={"_n": F.lit(1), "_s": F.col("funding_rate")})
-    look = df.withColumns({"_h0": floor_to(F.col(entry), 3600), "_h1": floor_to(F.col(exit_), 3600)})
-    kw = dict(on=["market"], right_ts="t", take=["_n", "_s"], grid=3600, bucket=bucket)
-    look = asof_join(look, run, left_ts="_h0", into="_a", **kw)
-    look = asof_join(look, run, left_ts="_h1", into="_z", **kw)
-    need = fn.seconds_between(F.col("_h1"), F.col("_h0")) / 3600.0
+    p = asof_points(df, run, key=key, on=["market"], right_ts="t", take=["_n", "_s"], grid=3600, bucket=bucket,
+                    points={"_a": floor_to(F.col(entry), 3600), "_z": floor_to(F.col(exit_), 3600)})
+    need = fn.seconds_between(F.col("_z.at"), F.col("_a.at")) / 3600.0
     zero = F.lit(0.0)
     got = F.coalesce("_z._n", zero) - F.coalesce("_a._n", zero)
     total = F.coalesce("_z._s", zero) - F.coalesce("_a._s", zero)
-    return look.withColumn("funding_sum", F.when(need <= 0, zero).when(got == need, total)).drop("_h0", "_h1", "_a", "_z")
+    p = p.select(*key, F.when(need <= 0, zero).when(got == need, total).alias("funding_sum"))
+    return df.join(p, list(key), "left")
 
 
 def trade_fills(predictions: DataFrame, bars: DataFrame, rules: TradeRules) -> DataFrame:
@@ -70,24 +70,23 @@ def trade_fills(predictions: DataFrame, bars: DataFrame, rules: TradeRules) -> D
     base = predictions.withColumns({
         "signal_time": fn.plus_seconds(t0, minutes * rules.minute), "exit_signal_time": fn.plus_seconds(t0, rules.horizon),
         "early": early, "side": F.when(early.isNull(), side).otherwise(0)})
-    base = base.withColumns({"_in": F.when(F.col("early").isNull(), F.col("signal_time")),
-                             "_out": F.when(F.col("early").isNull(), F.col("exit_signal_time"))})
-    kw = dict(max_lag=rules.max_lag, grid=rules.grid, bucket=rules.bucket)
-    out = fill_at(fill_at(base, bars, "_in", into="entry", **kw), bars, "_out", into="exit", **kw)
+    go = F.col("early").isNull()
+    out = fills_at(base, bars, {"entry": F.when(go, F.col("signal_time")), "exit": F.when(go, F.col("exit_signal_time"))}, key=KEY,
+                   max_lag=rules.max_lag, grid=rules.grid, bucket=rules.bucket)
     has_bars = bars.select("market").distinct().withColumn("_bars", F.lit(True))
     out = out.join(has_bars, "market", "left")
     reason = (F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("_bars").isNull(), "no_bars")
               .when(F.col("entry.reason").isNotNull(), F.concat(F.lit("entry_"), F.col("entry.reason")))
               .when(F.col("exit.reason").isNotNull(), F.concat(F.lit("exit_"), F.col("exit.reason")))
               .when(F.col("entry.range_bps").isNull() | F.col("exit.range_bps").isNull(), "bad_bar"))
-    return out.withColumn("untraded_reason", reason).drop("_in", "_out", "_bars", "early")
+    return out.withColumn("untraded_reason", reason).drop("_bars", "early")
 
 
 def trade_pnl(fills: DataFrame, funding: DataFrame, rules: TradeRules) -> DataFrame:
     """Costs, funding and net return once per prediction, then one row per sizing rule."""
     ok = F.col("untraded_reason").isNull()
     span = fills.withColumns({"_e0": F.when(ok, F.col("entry.fill_time")), "_e1": F.when(ok, F.col("exit.fill_time"))})
-    j = funding_between(span, funding, entry="_e0", exit_="_e1", bucket=rules.bucket)
+    j = funding_between(span, funding, key=KEY, entry="_e0", exit_="_e1", bucket=rules.bucket)
     cost = F.when(ok, fn.leg_cost_bps(F.col("entry.range_bps")) + fn.leg_cost_bps(F.col("exit.range_bps")))
     funded = ok & F.coalesce(F.col("has_perp"), F.lit(False)) & F.col("funding_sum").isNotNull()
     priced = j.withColumns({

@@ -141,13 +141,13 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
     # hourly funding with holes
     "funding": f"""
         SELECT {MARKET_OF_USER} AS market, date_trunc('hour', ts) AS t,
-               max_by(value, ts) * 0.0001e0 AS funding_rate, min_by(value, ts) * 0.001e0 AS premium
+               max_by(value, ts) * 0.000123457e0 AS funding_rate, min_by(value, ts) * 0.00123457e0 AS premium
         FROM {{events}} WHERE event_type = 'error'
         GROUP BY {MARKET_OF_USER}, date_trunc('hour', ts)""",
     # market context snapshots
     "ctx": f"""
         SELECT {MARKET_OF_USER} AS market, ts AS t, value * 1000 AS open_interest, value AS mark_px,
-               value * 0.001e0 AS premium, value * {K} AS day_ntl_vlm, event_id AS seq
+               value * 0.00123457e0 AS premium, value * {K} AS day_ntl_vlm, event_id AS seq
         FROM {{events}} WHERE event_type = 'view' AND value > 0""",
     # consensus snapshots of two vendors
     "snapshots": f"""
