@@ -257,3 +257,18 @@ def season_end(season: str) -> str:
     """First day after a season label such as 2001Q2."""
     year, quarter = int(season[:4]), int(season[5:])
     return f"{year + quarter // 4}-{quarter % 4 * 3 + 1:02d}-01"
+
+
+def trading_compare(books: DataFrame, model: str, baselines: Sequence[str], *, replicates: int) -> DataFrame:
+    """Per-event PnL of a model (0 when untraded) against the baseline with the best mean over
+    its traded events. `books`: event_id, t0, season, model, pnl (null when untraded)."""
+    b = books.withColumn("day", F.date_format("t0", "yyyy-MM-dd"))
+    means = b.filter(F.col("model").isin(*baselines)).groupBy("model").agg(F.avg("pnl").alias("_m"))
+    best = means.filter("_m IS NOT NULL").agg(F.min(F.struct((-F.col("_m")).alias("_loss"), F.col("model").alias("baseline"))).alias("_b")).select("_b.baseline")  # one row
+    m = b.filter(F.col("model") == model).select("event_id", "season", "day", F.coalesce("pnl", F.lit(0.0)).alias("_pm"))
+    q = b.join(F.broadcast(best), F.col("model") == F.col("baseline")).select("event_id", "baseline", F.coalesce("pnl", F.lit(0.0)).alias("_pb"))
+    d = m.join(q, "event_id").withColumn("diff", F.col("_pm") - F.col("_pb"))
+    band = block_bootstrap(d, by=["baseline"], value="diff", replicates=replicates)
+    se = d.groupBy("baseline").agg((F.stddev_samp("diff") / F.sqrt(F.count("*"))).alias("se"))
+    none = F.lit(None).cast("double")
+    return band.join(se, "baseline").withColumn("verdict", fn.verdict(F.lit("mean_pnl"), F.col("lo"), F.col("hi"), none, F.col("n"))).withColumnRenamed("point", "improvement")

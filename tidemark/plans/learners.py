@@ -67,7 +67,7 @@ def tree_heads(rounds: int = 8, depth: int = 3):
     """Shallow boosted trees that stop early on a deterministic inner split."""
     common = dict(featuresCol="features", maxDepth=depth, minInstancesPerNode=20, maxIter=rounds, stepSize=0.1, validationIndicatorCol="inner_valid", seed=7)
     return (GBTRegressor(labelCol="y", predictionCol="_r", **common),
-            GBTClassifier(labelCol="label", predictionCol="_c", rawPredictionCol="_raw_c", probabilityCol="_prob", **common))
+            GBTClassifier(labelCol="label", predictionCol="_c", **common).setRawPredictionCol("_raw_c").setProbabilityCol("_prob"))
 
 
 def best_of(model):
