@@ -96,9 +96,9 @@ DUE_SQL = f"""SELECT event_id, 'post_30m' AS decision_time, ts + INTERVAL 30 MIN
 
 @query("stream_decision_timer", "event_id:l decision_time:s outcome:s at_ms:l rerun:b", "WITH d AS (" + DUE_SQL + """), w AS (SELECT max(greatest(due, coalesce(det, due))) AS top FROM d)
     SELECT event_id, decision_time, CASE WHEN det <= due + INTERVAL 15 MINUTE THEN 'card' ELSE 'no release' END AS outcome,
-           CASE WHEN det <= due + INTERVAL 15 MINUTE THEN greatest(epoch_ms(due), epoch_ms(det)) ELSE epoch_ms(due) + 900000 END AS at_ms,
-           coalesce(det <= due + INTERVAL 15 MINUTE AND epoch_ms(det) > epoch_ms(due), false) AS rerun
-    FROM d, w WHERE epoch_ms(due) + 900000 <= epoch_ms(top)""")
+           CASE WHEN det <= due + INTERVAL 15 MINUTE THEN greatest(epoch_us(due), epoch_us(det)) // 1000 ELSE epoch_us(due) // 1000 + 900000 END AS at_ms,
+           coalesce(det <= due + INTERVAL 15 MINUTE AND epoch_us(det) // 1000 > epoch_us(due) // 1000, false) AS rerun
+    FROM d, w WHERE epoch_us(due) // 1000 + 900000 <= epoch_us(top) // 1000""")
 def stream_decision_timer(x):
     data, cp = folders(x, "cards")
     e = events_of(x).filter("event_type = 'purchase'")

@@ -47,7 +47,7 @@ class CardTimer(StatefulProcessor):
         self.due = handle.getValueState("due", INSTANT)
         self.seen = handle.getValueState("seen", INSTANT)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         due = self.due.get()[0] if self.due.exists() else None
         seen = self.seen.get()[0] if self.seen.exists() else None
         for batch in rows:
@@ -64,7 +64,7 @@ class CardTimer(StatefulProcessor):
             self.seen.update((seen,))
         return iter(())
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = self.due.get()[0]
         seen = self.seen.get()[0] if self.seen.exists() else None
         made = seen is not None and seen <= due + RETRY_FOR_MS
