@@ -161,7 +161,7 @@ def agg_paired_se_mde(x):
     SELECT decision_time, metric, model, value FROM l QUALIFY row_number() OVER (PARTITION BY decision_time, metric
        ORDER BY CASE WHEN metric = 'accuracy' THEN -value ELSE value END, CASE model WHEN 'zero' THEN 0 ELSE 1 END) = 1""")
 def agg_best_baseline(x):
-    cells = ev.eval_cells(ev.score_rows(x.predictions), by=["model", "decision_time"])
+    cells = ev.eval_cells(ev.score_rows(x.predictions), subsets=False)
     return ev.best_baseline(cells, ["zero", "base_rate"], by=["decision_time"]).filter("metric <> 'spearman_ic'")
 
 

@@ -76,7 +76,7 @@ def score_rows(x):
     SELECT model, decision_time, subset, count(*) AS n, count(hit) AS n_direction, avg(hit) AS accuracy, coalesce((avg(hit) FILTER (WHERE r_true > 0) + avg(hit) FILTER (WHERE r_true < 0)) / 2, avg(hit)) AS balanced_accuracy,
            avg(brier) AS brier, avg(ll) AS log_loss, avg(ae) AS mae, sqrt(avg(ae * ae)) AS rmse, avg(mag_ae) AS magnitude_mae, corr(rt, rh) AS spearman_ic FROM k GROUP BY 1, 2, 3""")
 def eval_cells(x):
-    return ev.eval_cells(ev.explode_subsets(ev.score_rows(x.predictions)))
+    return ev.eval_cells(ev.score_rows(x.predictions))
 
 
 REPLICATES = 200

@@ -124,7 +124,14 @@ def asof_points(df: DataFrame, right: DataFrame, *, key: Sequence[str], on: Sequ
     long = df.select(*key, *on, F.explode(items).alias("_x")).select(*key, *on, "_x.*")
     hit = asof_join(long, right, on=on, left_ts="_at", right_ts=right_ts, take=take, into="_h", **kw)
     packed = F.struct(F.col("_at").alias("at"), *[F.col(f"_h.{c}").alias(c) for c in take])
-    return hit.groupBy(*key).agg(*[F.max(F.when(F.col("_p") == n, packed)).alias(n) for n in points])
+    return pack_points(hit, key=key, name="_p", value=packed, names=list(points))
+
+
+def pack_points(hit: DataFrame, *, key: Sequence[str], name: str, value: Column, names: Sequence[str]) -> DataFrame:
+    """Rows (key, name, value) to one row per key with a column per name. The few named rows of
+    a key are collected once and picked apart, instead of one conditional aggregate per name."""
+    g = hit.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(name), value))).alias("_m"))
+    return g.select(*key, *[F.try_element_at("_m", F.lit(n)).alias(n) for n in names])
 
 
 def asof_parts(df: DataFrame, parts: dict[str, tuple[DataFrame, dict]], *, key: Sequence[str]) -> DataFrame:

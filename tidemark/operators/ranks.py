@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def cumulative_counts(df: DataFrame, *, by: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """Per group and distinct non-null value: `cnt` rows, `before` = rows with smaller values,
-    `total` rows of the group."""
+def cumulative_counts(df: DataFrame, *, by: Sequence[str], value: str, weight: str | None = None, ranges: int = RANGES) -> DataFrame:
+    """Per group and distinct non-null value: `cnt` rows (or their `weight`), `before` = rows
+    with smaller values, `total` rows of the group."""
     by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("cnt"))
+    n = F.sum(weight) if weight else F.count("*")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("cnt"))
     probs = [i / ranges for i in range(1, ranges)]
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 1000).alias("_cuts"))
     cell = counts.join(cuts, by).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
@@ -40,12 +41,24 @@ def average_ranks(df: DataFrame, *, by: Sequence[str], value: str, name: str) ->
     return df.join(ranks, [*by, value])
 
 
-def spearman(df: DataFrame, *, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Rank correlation per group; null below three pairs or for a constant side."""
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranked = average_ranks(average_ranks(pairs, by=by, value="_x", name="_rx"), by=by, value="_y", name="_ry")
-    usable = (F.count("*") >= 3) & (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
-    return ranked.groupBy(*by).agg(F.when(usable, F.corr("_rx", "_ry")).alias("spearman_ic"))
+def spearman(df: DataFrame, *, by: Sequence[str], x: str, y: str, weight: str | None = None) -> DataFrame:
+    """Rank correlation per group; null below three pairs or for a constant side. Equal pairs
+    collapse first, and that one shuffled table serves both rankings and the final sums."""
+    by = list(by)
+    w = F.sum(weight) if weight else F.count("*")
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(w.alias("_w"))
+
+    def ranks(value: str, name: str) -> DataFrame:
+        c = cumulative_counts(pairs, by=by, value=value, weight="_w")
+        return c.select(*by, value, (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(name))
+    r = pairs.join(ranks("_x", "_rx"), [*by, "_x"]).join(ranks("_y", "_ry"), [*by, "_y"])
+    wt, rx, ry = F.col("_w"), F.col("_rx"), F.col("_ry")
+    g = r.groupBy(*by).agg(F.sum("_w").alias("_n"), F.sum(wt * rx * ry).alias("_xy"), F.sum(wt * rx * rx).alias("_xx"), F.sum(wt * ry * ry).alias("_yy"))
+    n = F.col("_n")
+    centre = n * (n + 1) * (n + 1) / 4.0  # the mean of averaged ranks is (n + 1) / 2
+    sx, sy = F.col("_xx") - centre, F.col("_yy") - centre
+    usable = (n >= 3) & (sx > 0) & (sy > 0)
+    return g.select(*by, F.when(usable, (F.col("_xy") - centre) / F.sqrt(F.when(usable, sx * sy))).alias("spearman_ic"))
 
 
 def exact_quantiles(df: DataFrame, *, by: Sequence[str], value: str, probs: dict[str, float],

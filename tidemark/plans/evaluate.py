@@ -81,11 +81,44 @@ def regression_aggs() -> list[Column]:
     return [F.count(err).alias("n_return"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse")]
 
 
-def eval_cells(scores: DataFrame, by: Sequence[str] = ("model", "decision_time", "subset")) -> DataFrame:
-    """All metrics per cell: one grouped pass plus the exact rank correlation."""
-    base = scores.groupBy(*by).agg(F.count("*").alias("n"), *classification_aggs(), *regression_aggs(),
-                                   F.avg("mag_ae").alias("magnitude_mae"))
-    return base.join(spearman(scores, by=by, x="r_hat", y="r_true"), list(by), "left")
+STRATA = ("has_perp", "confident", "t0_source", "kind")
+
+
+def eval_cells(scores: DataFrame, by: Sequence[str] = ("model", "decision_time"), *, min_confidence: float = 0.6, subsets: bool = True) -> DataFrame:
+    """All metrics per cell. Every metric is a ratio of sums, so rows are summed per stratum
+    first and only the few strata rows are copied to the overlapping subsets they belong to;
+    the rank correlation does the same with counts of equal (r_hat, r_true) pairs."""
+    by = list(by)
+    d, hit = F.col("direction"), F.col("hit")
+    err = F.col("r_true") - F.col("r_hat")
+    parts = {"n": F.lit(1), "n_direction": hit.isNotNull().cast("int"), "s_hit": hit, "n_up": (hit.isNotNull() & (d > 0)).cast("int"), "s_up": F.when(d > 0, hit),
+             "n_down": (hit.isNotNull() & (d < 0)).cast("int"), "s_down": F.when(d < 0, hit), "s_brier": F.col("brier"), "s_ll": F.col("ll"),
+             "n_return": err.isNotNull().cast("int"), "s_abs": F.abs(err), "s_sq": err * err, "n_mag": F.col("mag_ae").isNotNull().cast("int"), "s_mag": F.col("mag_ae")}
+    rows = scores.filter(F.col("r_true").isNotNull())
+    keys = by
+    if subsets:
+        rows = rows.withColumn("confident", F.coalesce(F.col("t0_confidence") >= min_confidence, F.lit(False)))
+        keys = [*by, *STRATA]
+
+    def spread(df: DataFrame) -> DataFrame:
+        if not subsets:
+            return df
+        perp = F.coalesce("has_perp", F.lit(False))
+        head = perp & F.col("confident") & F.col("t0_source").isin(*HEADLINE_SOURCES)
+        names = [F.lit("all"), F.when(perp, "has_perp_at_t0"), F.when(head, "headline"), *[F.concat(F.lit(f"{c}="), F.col(c)) for c in ("t0_source", "kind")]]
+        return df.withColumn("subset", F.explode(F.filter(F.array(*names), lambda v: v.isNotNull())))
+    cell = [*by, "subset"] if subsets else by
+    strata = rows.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in parts.items()])
+    g = spread(strata).groupBy(*cell).agg(*[F.sum(k).alias(k) for k in parts])
+    ratio = F.try_divide
+    up, down = ratio(F.col("s_up"), F.col("n_up")), ratio(F.col("s_down"), F.col("n_down"))
+    base = g.select(*cell, "n", "n_direction", "n_return", ratio(F.col("s_hit"), F.col("n_direction")).alias("accuracy"),
+                    F.when(up.isNull(), down).when(down.isNull(), up).otherwise((up + down) / 2).alias("balanced_accuracy"),
+                    ratio(F.col("s_brier"), F.col("n_direction")).alias("brier"), ratio(F.col("s_ll"), F.col("n_direction")).alias("log_loss"),
+                    ratio(F.col("s_abs"), F.col("n_return")).alias("mae"), F.sqrt(ratio(F.col("s_sq"), F.col("n_return"))).alias("rmse"),
+                    ratio(F.col("s_mag"), F.col("n_mag")).alias("magnitude_mae"))
+    pairs = rows.groupBy(*keys, "r_hat", "r_true").agg(F.count("*").alias("_k"))
+    return base.join(spearman(spread(pairs), by=cell, x="r_hat", y="r_true", weight="_k"), cell, "left")
 
 
 def calibration(scores: DataFrame, *, bins: int = 10) -> DataFrame:

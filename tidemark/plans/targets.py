@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators.asof import DAY, asof_join, asof_lookup
+from tidemark.operators.asof import DAY, asof_join, asof_lookup, pack_points
 from tidemark.sources.calendar import attach
 
 # Checkpoint names and offsets in minutes (next_* come from the calendar)
@@ -94,7 +94,8 @@ def compute_targets(events: DataFrame, bars: DataFrame, benchmark: DataFrame | N
     names = ["p0", *rules.checkpoints]
 
     def pack(rows: DataFrame, prefix: str, *cols: str) -> DataFrame:
-        return rows.groupBy("event_id").agg(*[F.max(F.when(F.col("checkpoint") == c, F.struct(*cols))).alias(f"{prefix}_{c}") for c in names])
+        p = pack_points(rows, key=["event_id"], name="checkpoint", value=F.struct(*cols), names=names)
+        return p.select("event_id", *[F.col(f"`{n}`").alias(f"{prefix}_{n}") for n in names])
     packed = pack(hits, "x", "at_ts", "hit")
     if benchmark is not None:
         bench = asof_lookup(instants, benchmark, left_ts="at_ts", right_ts="t_end", take=["close", "t_end"], into="bench",
