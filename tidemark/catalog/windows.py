@@ -65,7 +65,7 @@ def win_last_k(x):
 def win_days_since(x):
     s = x.events_long.groupBy("underlying", fn.plus_seconds(F.col("t0"), DAY).alias("settled")).agg(F.max("t0").alias("last_t0"))
     q = x.events_long.select("event_id", "underlying", "t0", fn.plus_seconds(F.col("t0"), 1800).alias("as_of"))
-    j = asof_join(q, s, on=["underlying"], left_ts="as_of", right_ts="settled", take=["last_t0"], bucket=90 * DAY)
+    j = asof_join(q, s, on=["underlying"], left_ts="as_of", right_ts="settled", take=["last_t0"], bucket=DAY)
     return j.select("event_id", (fn.seconds_between(F.col("t0"), F.col("hit.last_t0")) / DAY).alias("days"))
 
 

@@ -78,7 +78,7 @@ def prior_filing_flag(reports: DataFrame, filings: DataFrame, days: int = 30) ->
 def split_near_event(events: DataFrame, splits: DataFrame, *, on: str, lookback: int, horizon: int) -> DataFrame:
     """The split ex-instant nearest to t0 inside [t0 - lookback, t0 + horizon], earlier on ties."""
     unique = splits.select(on, "ex_ts").distinct()
-    kw = dict(on=[on], left_ts="t0", right_ts="ex_ts", take=["ex_ts"], bucket=90 * DAY)
+    kw = dict(on=[on], left_ts="t0", right_ts="ex_ts", take=["ex_ts"], bucket=DAY)
     both = asof_parts(events.select("event_id", on, "t0"), {
         "_b": (unique, kw), "_f": (unique, kw | dict(direction="forward", strict=True))}, key=["event_id"])
     t0 = F.col("t0")
@@ -101,7 +101,7 @@ def asof_consensus(events: DataFrame, snapshots: DataFrame, preference: tuple[st
     spread = F.explode(F.sequence(F.date_sub("report_date", 1), F.date_add("report_date", 1)))
     ev = events.select("event_id", "symbol", "t0", spread.alias("_day"))
     hits = asof_join(ev, folded, on=["symbol", "_day"], left_ts="t0", right_ts="snapshot_time", strict=True,
-                     take=["snapshot_time", "_e", "_n"], into="_h", bucket=10 * DAY)
+                     take=["snapshot_time", "_e", "_n"], into="_h", bucket=DAY)
     got = hits.filter(F.col("_h").isNotNull()).groupBy("event_id").agg(F.collect_list("_h").alias("_hs"))
     newest = F.array_max(F.transform("_hs", lambda h: h["snapshot_time"]))
     at = got.withColumn("snapshot_time", newest).withColumn(

@@ -177,7 +177,7 @@ def calendar_group(rows: DataFrame, calendar: DataFrame, events: DataFrame, *, h
     settled = events.select("underlying", fn.plus_seconds(F.col("t0"), horizon).alias("_settled"), F.col("t0").alias("last_t0")).groupBy(
         "underlying", "_settled").agg(F.max("last_t0").alias("last_t0"))
     last = asof_join(rows.select(*KEY, "underlying", "as_of"), settled, on=["underlying"], left_ts="as_of", right_ts="_settled", take=["last_t0"],
-                     into="_last", bucket=90 * DAY).select(*KEY, "_last")
+                     into="_last", bucket=DAY).select(*KEY, "_last")
     ev = ev.join(last, KEY, "left")
     t0 = F.col("t0")
     timing = fn.classify_timing(t0, F.col("is_open"), F.col("is_session_day"))
@@ -284,7 +284,7 @@ def perp_state_group(rows: DataFrame, funding: DataFrame, ctx: DataFrame, daily:
     mid = (F.get("_v", F.floor((n - 1) / 2).cast("int")) + F.get("_v", F.floor(n / 2).cast("int"))) / 2
     med = daily.withColumn("_v", vals).withColumn("perp_vol_30d", F.when(n >= 5, mid)).drop("_v")
     j = asof_parts(r, {"d": daily_spec(med, on="market", at="anchor", take=("perp_vol_30d",))}, key=KEY)
-    j = j.join(fund, KEY, "left").join(snap, KEY, "left").join(F.broadcast(markets), "market", "left")
+    j = j.join(fund, KEY, "left").join(snap, KEY, "left").join(markets, "market", "left")
     oi, prev = F.col("y_now.open_interest"), F.col("y_day.open_interest")
     fresh = fn.seconds_between(at, F.col("y_day.t")) <= 2 * DAY
     listed = F.coalesce(F.col("has_perp"), F.lit(True)) & (F.col("listing_start") <= at)
@@ -307,9 +307,9 @@ def surprise_group(events: DataFrame, *, as_of: Column, horizon: int = DAY) -> D
     totals = {"n_all": F.lit(1)}
     for c in ("eps_s", "rev_s"):
         totals |= {f"n_{c}": F.col(c).isNotNull().cast("double"), f"s_{c}": F.col(c), f"q_{c}": F.col(c) * F.col(c)}
-    run = running_totals(past, on=["underlying"], order=["settled_at", "event_id"], ts="settled_at", totals=totals, bucket=90 * DAY)
+    run = running_totals(past, on=["underlying"], order=["settled_at", "event_id"], ts="settled_at", totals=totals, bucket=DAY)
     j = asof_join(ev.withColumn("_as_of", as_of), run, on=["underlying"], left_ts="_as_of", right_ts="settled_at",
-                  take=list(totals), tie="n_all", into="h", bucket=90 * DAY)
+                  take=list(totals), tie="n_all", into="h", bucket=DAY)
 
     def z(c: str) -> Column:
         n, s, q = F.col(f"h.n_{c}"), F.col(f"h.s_{c}"), F.col(f"h.q_{c}")

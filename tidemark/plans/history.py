@@ -14,7 +14,7 @@ from tidemark.operators.asof import DAY, asof_join
 from tidemark.operators.ranges import running_totals, sequence_number
 
 
-def settled_stream(events: DataFrame, horizon: int, bucket: int = 90 * DAY) -> DataFrame:
+def settled_stream(events: DataFrame, horizon: int, bucket: int = DAY) -> DataFrame:
     """Events numbered per underlying in settlement order."""
     s = events.withColumn("settled_at", fn.plus_seconds(F.col("t0"), horizon))
     return sequence_number(s, on=["underlying"], order=["settled_at", "event_id"], ts="settled_at", bucket=bucket)
@@ -24,7 +24,7 @@ def last_settled(events: DataFrame, *, depth: int, horizon: int, as_of: Column,
     """The `depth` newest settled earlier events of each event as rows."""
     s = settled_stream(events, horizon)
     q = events.select("event_id", "underlying", as_of.alias("as_of"))
-    hit = asof_join(q, s, on=["underlying"], left_ts="as_of", right_ts="settled_at", take=["seq"], tie="seq", bucket=90 * DAY)
+    hit = asof_join(q, s, on=["underlying"], left_ts="as_of", right_ts="settled_at", take=["seq"], tie="seq", bucket=DAY)
     want = hit.filter(F.col("hit").isNotNull()).withColumn(
         "seq", F.explode(F.sequence(F.greatest(F.col("hit.seq") - depth + 1, F.lit(1)), F.col("hit.seq"))))
     past = s.select("underlying", "seq", F.col("event_id").alias("past_event_id"), F.col(value).alias("past_r"), F.col("t0").alias("past_t0"))
@@ -45,9 +45,9 @@ def history_features(events: DataFrame, *, horizon: int, as_of: Column, r: str =
         "h_up": F.when(y > 0, one), "h_cn": F.when(F.col(cont).isNotNull(), one), "h_cu": F.when(F.col(cont) > 0, one),
         "h_xn": F.when(x.isNotNull(), one), "h_x1": x, "h_x2": x * x,
         "h_bn": F.when(both, one), "h_bx": F.when(both, x), "h_by": F.when(both, y), "h_bxx": F.when(both, x * x), "h_bxy": F.when(both, x * y)}
-    run = running_totals(s0, on=["underlying"], order=["settled_at", "event_id"], ts="settled_at", totals=totals, bucket=90 * DAY)
+    run = running_totals(s0, on=["underlying"], order=["settled_at", "event_id"], ts="settled_at", totals=totals, bucket=DAY)
     q = events.select("event_id", "underlying", "t0", as_of.alias("as_of"))
-    hit = asof_join(q, run, on=["underlying"], left_ts="as_of", right_ts="settled_at", take=list(totals), tie="h_all", bucket=90 * DAY)
+    hit = asof_join(q, run, on=["underlying"], left_ts="as_of", right_ts="settled_at", take=list(totals), tie="h_all", bucket=DAY)
     h = {k: F.coalesce(F.col(f"hit.{k}"), F.lit(0.0)) for k in totals}
     n, mean = h["h_n"], F.try_divide(h["h_s1"], h["h_n"])
     m2 = F.greatest(h["h_s2"] / F.when(n > 0, n) - mean * mean, F.lit(0.0))
@@ -79,7 +79,7 @@ def last_settled_of(events: DataFrame, known: DataFrame, *, horizon: int, as_of:
     """As `last_settled`, with queries from `events` and the past taken from `known`."""
     s = settled_stream(known, horizon)
     q = events.select("event_id", "underlying", as_of.alias("as_of"))
-    hit = asof_join(q, s, on=["underlying"], left_ts="as_of", right_ts="settled_at", take=["seq"], tie="seq", bucket=90 * DAY)
+    hit = asof_join(q, s, on=["underlying"], left_ts="as_of", right_ts="settled_at", take=["seq"], tie="seq", bucket=DAY)
     want = hit.filter(F.col("hit").isNotNull()).withColumn(
         "seq", F.explode(F.sequence(F.greatest(F.col("hit.seq") - depth + 1, F.lit(1)), F.col("hit.seq"))))
     past = s.select("underlying", "seq", F.col(value).alias("past_r"))

@@ -122,7 +122,7 @@ def follow_through(grid: DataFrame, masks: dict[str, Column], *, least: int = 50
     g = g.withColumn("mask", F.explode(F.filter(tags, lambda v: v.isNotNull())))
     per = g.groupBy("mask", "market").agg(F.count("*").alias("_n"), F.corr("r", "nx").alias("_ac"), F.stddev_samp("r").alias("_sd"))
     per = per.filter(F.col("_n") >= least)
-    big = g.join(F.broadcast(per), ["mask", "market"]).filter(F.abs("r") >= F.col("_sd") * 2)  # one row per mask and market
+    big = g.join(per, ["mask", "market"]).filter(F.abs("r") >= F.col("_sd") * 2)
     signed = F.signum("r") * F.col("nx") * 100
     after = big.groupBy("mask").agg(F.count("*").alias("n_big"), (F.avg((signed < 0).cast("double")) * 100).alias("reversed_pct"), F.avg(signed).alias("mean_signed"))
     return per.groupBy("mask").agg(F.avg("_ac").alias("mean_ac"), F.count("*").alias("markets")).join(after, "mask", "left")
@@ -173,7 +173,7 @@ def premium_deciles(grid: DataFrame, funding: DataFrame, *, slots: int, least: i
     g = forward_return(grid, slots, "fw").join(funding.select("market", "t", "funding_rate", "premium"), ["market", "t"])
     g = g.withColumn("fw", F.col("fw") * 100).filter(F.col("fw").isNotNull() & F.col("premium").isNotNull() & F.col("funding_rate").isNotNull())
     q = g.groupBy("market").agg(F.count("*").alias("n"), F.expr("percentile(premium, array(0.1, 0.9))").alias("_q"), F.expr("percentile(funding_rate, 0.95)").alias("_f"))
-    j = g.join(F.broadcast(q.filter(F.col("n") >= least)), "market")  # one row per market
+    j = g.join(q.filter(F.col("n") >= least), "market")
     return j.groupBy("market").agg(
         F.max("n").alias("n"), F.avg(F.when(F.col("premium") >= F.col("_q")[1], F.col("fw"))).alias("after_rich"),
         F.avg(F.when(F.col("premium") <= F.col("_q")[0], F.col("fw"))).alias("after_cheap"),

@@ -28,6 +28,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables, as the cluster names it in
     ``spark.checkpoint.dir``. Only an in-process master may fall back to a local folder."""
@@ -35,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL.setdefault(app, _LOCAL.get(app) or tempfile.mkdtemp(prefix="tidemark-"))
     return root.rstrip("/")
 
 
