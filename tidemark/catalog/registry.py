@@ -34,6 +34,10 @@ class Entry:
         return f"SELECT {cols} FROM ({Render.duckdb(self.statement)}) q"
 
 
+# Means of decimal data often end exactly on half of the sixth digit, where the order of a sum
+# decides the rounding; both sides move off that point by the same amount.
+NUDGE = 1e-9
+
 ENTRIES: dict[str, Entry] = {}
 
 
@@ -56,7 +60,7 @@ def _spark_cast(name: str, kind: str) -> Column:
         return c.cast("bigint")
     if kind == "n":
         d = c.cast("double")
-        return F.when(~F.isnan(d), F.round(d, 6) + F.lit(0.0))
+        return F.when(~F.isnan(d), F.round(d + F.lit(NUDGE), 6) + F.lit(0.0))
     if kind == "b":
         return c.cast("boolean")
     return c.cast("string")
@@ -68,7 +72,7 @@ def _duck_cast(name: str, kind: str) -> str:
         return f"CAST({c} AS BIGINT)"
     if kind == "n":
         d = f"CAST({c} AS DOUBLE)"
-        return f"CASE WHEN NOT isnan({d}) THEN round({d}, 6) + 0.0 END"
+        return f"CASE WHEN NOT isnan({d}) THEN round({d} + {NUDGE!r}, 6) + 0.0 END"
     if kind == "b":
         return f"CAST({c} AS BOOLEAN)"
     return f"CAST({c} AS VARCHAR)"
