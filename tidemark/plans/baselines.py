@@ -41,47 +41,52 @@ def base_rates(train: DataFrame) -> DataFrame:
                                      F.coalesce(F.avg("y"), F.lit(0.0)).alias("mean_r"), F.coalesce(F.avg(F.abs("y")), F.lit(0.0)).alias("mean_abs_r"))
 
 
-def fold_statistics(train: DataFrame, *, horizon_hours: float = 24.0) -> DataFrame:
-    """Base rates, volatility calibration (pooled sigma, moments and quantiles of z = r / sigma)
-    and the typical extension of the reaction, one row per fold."""
+def fold_statistics(train: DataFrame, *, names: Sequence[str] = NAMES, horizon_hours: float = 24.0) -> DataFrame:
+    """One row per fold with what `names` need: base rates, the typical extension of the
+    reaction, and the volatility calibration (pooled sigma, moments and quantiles of
+    z = r / sigma). Moments share one pass over the training rows."""
     rv = signal(train, "rvol")
     sigma = F.when(rv > 0, rv) * F.sqrt(F.lit(horizon_hours / 24.0))
-    t = train.withColumns({"_sig": sigma, "_rk": signal(train, "reaction")})
-    z = F.col("y") / F.col("_sig")
-    sd = F.stddev_pop("y")
-    pooled = F.coalesce(F.avg("_sig"), F.when(sd > 0, sd), F.lit(1.0))
-    stats = t.groupBy("fold").agg(pooled.alias("pooled_sigma"), F.coalesce(F.avg(z), F.lit(0.0)).alias("z_mean"), F.coalesce(F.avg(F.abs(z)), F.lit(0.0)).alias("z_abs_mean"),
-                                  F.avg(F.abs(F.col("y") - F.col("_rk"))).alias("_ext"))
-    q = exact_quantiles(t, by=["fold"], value="y", transform=z, probs=QUANTILES).drop("n")
-    out = base_rates(train).join(stats, "fold").join(q, "fold", "left")
-    return out.withColumn("extension", F.coalesce("_ext", "mean_abs_r")).drop("_ext")
-
-
-def predict(test: DataFrame, stats: DataFrame, *, names: Sequence[str] = NAMES, horizon_hours: float = 24.0) -> DataFrame:
+    z = F.col("y") / sigma
+    d, sd = F.col("direction"), F.stddev_pop("y")
+    up = F.avg(F.when(d > 0, 1.0).when(d < 0, 0.0))
+    mean_abs = F.coalesce(F.avg(F.abs("y")), F.lit(0.0))
+    aggs = [F.coalesce(fn.clip_proba(up), F.lit(0.5)).alias("up_rate"), F.coalesce(F.avg("y"), F.lit(0.0)).alias("mean_r"), mean_abs.alias("mean_abs_r")]
+    if "always_extends" in names:
+        aggs.append(F.coalesce(F.avg(F.abs(F.col("y") - signal(train, "reaction"))), mean_abs).alias("extension"))
+    if "vol_scaled" in names:
+        aggs += [F.coalesce(F.avg(sigma), F.when(sd > 0, sd), F.lit(1.0)).alias("pooled_sigma"), F.coalesce(F.avg(z), F.lit(0.0)).alias("z_mean"),
+                 F.coalesce(F.avg(F.abs(z)), F.lit(0.0)).alias("z_abs_mean")]
+    out = train.groupBy("fold").agg(*aggs)
+    if "vol_scaled" in names:
+        out = out.join(exact_quantiles(train, by=["fold"], value="y", transform=z, probs=QUANTILES).drop("n"), "fold", "left")
+    return out
+
+
+def predict(test: DataFrame, stats: DataFrame | None, *, names: Sequence[str] = NAMES, horizon_hours: float = 24.0) -> DataFrame:
     """One row per (test row, baseline): p_up, r_hat, magnitude_hat, q10 and q90 of vol_scaled.
     `test` carries fold; `stats` has one row per fold, so it is broadcast."""
-    t = test.join(F.broadcast(stats), "fold")
+    t = test if stats is None else test.join(F.broadcast(stats), "fold")
     h, ha, rv, rk, s = (signal(test, k) for k in ("history", "history_abs", "rvol", "reaction", "surprise"))
     up, m, ma = F.col("up_rate"), F.col("mean_r"), F.col("mean_abs_r")
+    zero, null = F.lit(0.0), F.lit(None).cast("double")
     sigma = F.coalesce(F.when(rv > 0, rv) * F.sqrt(F.lit(horizon_hours / 24.0)), F.col("pooled_sigma"))
 
     def signed(x: Column) -> Column:
         return F.when(x.isNotNull(), fn.sign_proba(x)).otherwise(up)
-    zero = F.lit(0.0)
-    table = {
-        "zero": (F.lit(0.5), zero, zero), "base_rate": (up, m, None), "historical_mean": (signed(h), F.coalesce(h, m), None),
-        "hist_abs_mean": (up, zero, F.coalesce(F.when(ha >= 0, ha), ma)), "vol_scaled": (up, sigma * F.col("z_mean"), sigma * F.col("z_abs_mean")),
-        "sign_of_reaction": (signed(rk), F.coalesce(rk, m), None),
-        "always_extends": (signed(rk), F.coalesce(rk + F.signum(rk) * F.col("extension"), m), None),
-        "surprise_sign": (signed(s), F.coalesce(F.signum(s) * ma, m), None)}
-    cells = []
-    for n in names:
-        p, r, mag = table[n]
-        band = n == "vol_scaled"
-        null = F.lit(None).cast("double")
-        cells.append(F.struct(F.lit(n).alias("model"), p.alias("p_up"), r.alias("r_hat"), (mag if mag is not None else F.abs(r)).alias("magnitude_hat"),
-                              (sigma * F.col("z10") if band else null).alias("q10"), (sigma * F.col("z90") if band else null).alias("q90")))
-    return t.select(*test.columns, F.explode(F.array(*cells)).alias("_c")).select(*test.columns, "_c.*")
+
+    def cell(name: str) -> Column:
+        p, r, mag, q10, q90 = {
+            "zero": (F.lit(0.5), zero, zero, null, null), "base_rate": (up, m, None, null, null),
+            "historical_mean": (signed(h), F.coalesce(h, m), None, null, null),
+            "hist_abs_mean": (up, zero, F.coalesce(F.when(ha >= 0, ha), ma), null, null),
+            "vol_scaled": (up, sigma * F.col("z_mean"), sigma * F.col("z_abs_mean"), sigma * F.col("z10"), sigma * F.col("z90")),
+            "sign_of_reaction": (signed(rk), F.coalesce(rk, m), None, null, null),
+            "always_extends": (signed(rk), F.coalesce(rk + F.signum(rk) * F.col("extension"), m), None, null, null),
+            "surprise_sign": (signed(s), F.coalesce(F.signum(s) * ma, m), None, null, null)}[name]
+        return F.struct(F.lit(name).alias("model"), p.alias("p_up"), r.alias("r_hat"), (F.abs(r) if mag is None else mag).alias("magnitude_hat"),
+                        q10.alias("q10"), q90.alias("q90"))
+    return t.select(*test.columns, F.explode(F.array(*[cell(n) for n in names])).alias("_c")).select(*test.columns, "_c.*")
 
 
 def walk_forward(events: DataFrame, folds: DataFrame, *, names: Sequence[str] = NAMES) -> DataFrame:
@@ -90,4 +95,5 @@ def walk_forward(events: DataFrame, folds: DataFrame, *, names: Sequence[str] =
     train = training_rows(events, folds)
     test = events.withColumn("season", fn.season(F.col("t0"))).join(
         F.broadcast(folds.filter("fold IS NOT NULL").select("season", "fold")), "season")
-    return predict(test, fold_statistics(train), names=names)
+    stats = None if set(names) == {"zero"} else fold_statistics(train, names=names)
+    return predict(test, stats, names=names)
