@@ -157,8 +157,7 @@ def fitted(x, heads):
 @query("ml_contributions", "event_id:l fold:l feature:s push:n")
 def ml_contributions(x):
     test, models = fitted(x, lambda: ln.linear_heads((0.01,), (0.01,)))
-    out = [ln.contributions(test, m) for m in models]
-    return out[0].unionByName(out[1]) if len(out) > 1 else out[0]
+    return ln.stacked(x.spark, [ln.contributions(test, m) for m in models], "event_id bigint, fold int, feature string, push double")
 
 
 @query("ml_importance", "fold:l feature:s importance:n")

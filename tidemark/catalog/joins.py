@@ -99,10 +99,10 @@ def targets_left_join(x):
     SELECT * FROM (SELECT r.event_id, v.vendor_date, datediff('day', r.report_date, v.vendor_date) AS day_diff, v.vendor_eps
     FROM {reports} r JOIN {vendor_rows} v ON v.underlying = r.underlying AND abs(datediff('day', r.report_date, v.vendor_date)) <= 10
     QUALIFY row_number() OVER (PARTITION BY r.event_id ORDER BY abs(datediff('day', r.report_date, v.vendor_date)), v.vendor_date,
-                               v.order_key, v.line) = 1)""")
+                               v.order_key, v.line, v.vendor_eps) = 1)""")
 def nearest_date_match(x):
     return mt.nearest_date_match(x.reports, x.vendor_rows, key="event_id", on="underlying", day="report_date",
-                                 other_day="vendor_date", window=10, take=["vendor_eps"], order=["order_key", "line"])
+                                 other_day="vendor_date", window=10, take=["vendor_eps"], order=["order_key", "line", "vendor_eps"])
 
 
 @query("filing_acceptance_match", "event_id:l report_date:d accepted:t accession:s", """
@@ -350,13 +350,13 @@ def already_done_anti(x):
 @query("vendor_conflict", "event_id:l eps_conflict:b date_conflict:b confidence:n", """
     WITH m AS (SELECT r.event_id, r.report_date, r.eps_actual, v.vendor_date, v.vendor_eps FROM {reports} r JOIN {vendor_rows} v
                ON v.underlying = r.underlying AND abs(datediff('day', r.report_date, v.vendor_date)) <= 10
-               QUALIFY row_number() OVER (PARTITION BY r.event_id ORDER BY abs(datediff('day', r.report_date, v.vendor_date)), v.vendor_date, v.order_key, v.line) = 1)
+               QUALIFY row_number() OVER (PARTITION BY r.event_id ORDER BY abs(datediff('day', r.report_date, v.vendor_date)), v.vendor_date, v.order_key, v.line, v.vendor_eps) = 1)
     SELECT event_id, abs(eps_actual - vendor_eps) > greatest(0.02, 0.05 * abs(vendor_eps)) AS eps_conflict,
            abs(vendor_date - report_date) > 1 AS date_conflict, CASE WHEN abs(vendor_date - report_date) > 1 THEN 0 ELSE 0.8 END AS confidence FROM m""")
 def vendor_conflict(x):
     from tidemark.plans.events import vendor_conflicts
     hit = mt.nearest_date_match(x.reports, x.vendor_rows, key="event_id", on="underlying", day="report_date",
-                                other_day="vendor_date", window=10, take=["vendor_eps"], order=["order_key", "line"])
+                                other_day="vendor_date", window=10, take=["vendor_eps"], order=["order_key", "line", "vendor_eps"])
     return vendor_conflicts(x.reports.join(hit, "event_id"), confidence=F.lit(0.8))
 
 

@@ -243,7 +243,7 @@ def build_events(reports: DataFrame, *, corrections: DataFrame, vendor: DataFram
         "underlying", "report_date", "_r.*")
     r = cut(r)  # every matcher below starts from these rows
     hit = mt.nearest_date_match(r, vendor, key="event_id", on="underlying", day="report_date", other_day="vendor_date", window=10,
-                                take=["vendor_eps"], order=["order_key", "line"])
+                                take=["vendor_eps"], order=["order_key", "line", "vendor_eps"])
     acc = mt.filing_acceptance_match(r, filings).select("event_id", "accepted")
     pre = mt.prior_filing_flag(r, filings).select("event_id", "pre_announced")
     det = detections.select(F.col("market").alias("det_market"), F.col("day").alias("report_date"), F.col("t").alias("det_t"), F.col("first_bar").alias("det_first"))

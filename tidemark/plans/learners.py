@@ -18,7 +18,7 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
@@ -125,11 +125,13 @@ def walk_forward(events: DataFrame, folds: DataFrame, features: Sequence[str], h
     train, test = split(events, folds)
     rates = bl.base_rates(train)
     parts = [predict_fold(test, m, rates, name) for m in fit_folds(train, usable_folds(folds), features, heads)]
-    if not parts:
-        schema = "event_id bigint, t0 timestamp, fold int, y double, model string, p_up double, r_hat double, magnitude_hat double"
-        return events.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
+    return stacked(events.sparkSession, parts, "event_id bigint, t0 timestamp, fold int, y double, model string, p_up double, r_hat double, magnitude_hat double")
+
+
+def stacked(spark: SparkSession, parts: Sequence[DataFrame], schema: str) -> DataFrame:
+    """Union of per-fold results; an empty table of `schema` when no fold was usable."""
+    out = spark.createDataFrame([], schema)
+    for p in parts:
         out = out.unionByName(p)
     return out
 
@@ -201,9 +203,7 @@ def trial_table(events: DataFrame, folds: DataFrame, groups: dict[str, tuple[str
                 continue
             z = m.ret.transform(m.prep.transform(test.filter(F.col("fold") == m.fold)))
             parts.append(z.select(F.lit(t.no).alias("trial"), F.abs(F.col("r_24h") - F.col("_r")).alias("ae"), F.abs("r_24h").alias("ae0")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = stacked(events.sparkSession, parts, "trial int, ae double, ae0 double")
     return out.groupBy("trial").agg(F.avg("ae").alias("value"), (F.avg("ae0") - F.avg("ae")).alias("improvement"), F.count("ae").alias("n"))
 
 
