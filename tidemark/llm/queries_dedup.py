@@ -25,8 +25,8 @@ def op4(spark, sf_dir):
 
 
 @query("op9_line_dedup", """
-WITH l AS (SELECT doc_id, u.line, u.no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-    unnest(ls, range(1, len(ls) + 1)) AS u(line, no)),
+WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 k AS (SELECT doc_id, no, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 f AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key),

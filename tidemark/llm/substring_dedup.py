@@ -131,26 +131,30 @@ def _long_keys(w: Windows, bits: int, replies: pa.Table) -> tuple[np.ndarray, np
     return at, both[order[new]], back, order[new]
 
 
-def dedup(docs: DataFrame, span: int = SPAN, range_rows: int = RANGE_ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, span: int = SPAN, range_rows: int = RANGE_ROWS, shard_bytes: int = SHARD_BYTES, whole: bool = False) -> DataFrame:
     """doc_id, kept (the words left, joined by one space), n_words, n_removed of every row of `docs`
     (doc_id, text), and `spans`, the maximal removed intervals of word positions. A word goes if some
     window of `span` words that covers it has the same words as one that starts earlier: in a smaller
     doc_id, or earlier in the same document. Null text has no words. Rows with a null doc_id come before
     all others, rows that share a doc_id in order of their text; identical rows lose all but one. An
-    empty table gives an empty result; other columns are ignored."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    empty table gives an empty result; other columns are ignored.
+
+    With `whole`, the rows of `docs` themselves with all their columns, whose text is replaced by what is
+    kept where words go."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    docs = docs if whole else docs.select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(SHARDS_MOST, max(16, size // shard_bytes)).bit_length()
     cuts = cut_points(docs, "doc_id", range_rows)
-    parts = docs.withColumn("part", F.coalesce(range_of("doc_id", cuts), F.lit(-1)))
+    parts = docs.withColumn("_part", F.coalesce(range_of("doc_id", cuts), F.lit(-1)))
 
     def first(group: pa.Table) -> pa.Table:
         keys = np.unique(short_keys(Windows(group, span), bits))
-        return packed(group.column("part")[0].as_py(), keys >> np.uint64(32), keys.astype(np.uint32))
+        return packed(group.column("_part")[0].as_py(), keys >> np.uint64(32), keys.astype(np.uint32))
 
     def second(group: pa.Table, replies: pa.Table) -> pa.Table:
         _, keys, _, _ = _long_keys(Windows(group, span), bits, replies)
-        return packed(group.column("part")[0].as_py(), keys[:, 0] >> np.uint64(64 - bits), keys)
+        return packed(group.column("_part")[0].as_py(), keys[:, 0] >> np.uint64(64 - bits), keys)
 
     def third(group: pa.Table, first_replies: pa.Table, replies: pa.Table) -> pa.Table:
         w = Windows(group, span)
@@ -159,10 +163,8 @@ def dedup(docs: DataFrame, span: int = SPAN, range_rows: int = RANGE_ROWS, shard
         is_lead = np.zeros(len(at), bool)
         is_lead[lead] = True
         starts = w.starts[at[gone | ~is_lead]]
-        edge = np.zeros(w.total + 1, np.int64)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, np.minimum(starts + span, w.total), -1)
-        removed = np.cumsum(edge)[:w.total] > 0
+        turns = np.bincount(starts, minlength=w.total + 1) - np.bincount(starts + span, minlength=w.total + 1)
+        removed = np.cumsum(turns)[:w.total] > 0
         kept, spans, n_removed, base = [], [], [], 0
         for words in w.words:
             own = removed[base:base + len(words)]
@@ -171,6 +173,11 @@ def dedup(docs: DataFrame, span: int = SPAN, range_rows: int = RANGE_ROWS, shard
             kept.append(b" ".join(x for x, r in zip(words, own.tolist()) if not r).decode() if n_removed[-1] else b" ".join(words).decode())
             turns = np.flatnonzero(np.diff(np.r_[0, own.astype(np.int8), 0]))
             spans.append([{"start": a, "stop": b} for a, b in turns.reshape(-1, 2).tolist()])
+        if whole:
+            order = pa.array(w.order, pa.int64())
+            group = group.drop_columns(["_part"]).take(order)
+            texts = [k if n else t for k, n, t in zip(kept, n_removed, group.column("text").to_pylist())]
+            return group.set_column(group.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
         return pa.table({"doc_id": group.column("doc_id").take(pa.array(w.order, pa.int64())).combine_chunks(), "kept": pa.array(kept, pa.string()),
                          "n_words": pa.array(w.sizes), "n_removed": pa.array(n_removed, pa.int64()),
                          "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))})
@@ -179,9 +186,9 @@ def dedup(docs: DataFrame, span: int = SPAN, range_rows: int = RANGE_ROWS, shard
         turn = replies.column("turn").to_numpy()
         return third(group, replies.filter(pa.array(turn == 1)), replies.filter(pa.array(turn == 2)))
 
-    by_part = parts.groupBy("part")
+    by_part = parts.groupBy("_part")
     one = by_part.applyInArrow(first, SENT).groupBy("shard").applyInArrow(_elsewhere, REPLY)
     two = by_part.cogroup(one.groupBy("part")).applyInArrow(second, SENT).groupBy("shard").applyInArrow(_earlier, REPLY)
     both = one.withColumn("turn", F.lit(1)).union(two.withColumn("turn", F.lit(2)))
     return by_part.cogroup(both.groupBy("part")).applyInArrow(
-        last, "doc_id long, kept string, n_words long, n_removed long, spans array<struct<start: long, stop: long>>")
+        last, ddl if whole else "doc_id long, kept string, n_words long, n_removed long, spans array<struct<start: long, stop: long>>")
