@@ -101,9 +101,11 @@ def _reply(sent: pa.Table, flags: list[np.ndarray]) -> pa.Table:
 def _elsewhere(sent: pa.Table) -> pa.Table:
     """Round 1, in a shard: which short hashes more than one range sent."""
     own = [np.frombuffer(k, np.uint32) for k in sent.column("keys").to_pylist()]
-    held = np.sort(np.concatenate(own))
+    keys = np.concatenate(own)
+    held = np.sort(keys)
     twice = np.unique(held[1:][held[1:] == held[:-1]])
-    return _reply(sent, [np.isin(k, twice) for k in own])
+    flags = twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys if len(twice) else np.zeros(len(keys), bool)
+    return _reply(sent, np.split(flags, np.cumsum([len(k) for k in own])[:-1]))
 
 
 def _earlier(sent: pa.Table) -> pa.Table:
