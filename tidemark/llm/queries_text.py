@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lang_id, packing, phrases, toxicity
+from tidemark.llm import bpe, lang_id, main_text, packing, phrases, toxicity
 from tidemark.llm.common import documents, table
 from tidemark.llm.registry import query
 
@@ -46,3 +46,8 @@ def op3(spark, sf_dir):
     model = toxicity.fit(docs, labels.filter(~held_out))
     out = toxicity.score(docs, model).drop("evidence")
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op5_main_text")
+def op5(spark, sf_dir):
+    return main_text.extract(table(spark, sf_dir, "pages"))
