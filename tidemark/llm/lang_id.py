@@ -32,6 +32,8 @@ REJECT_AT = 25.0
 BUFFER_CHARS = 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
+#: Symbols a text may have; the shortest models share out what is left evenly among them.
+SYMBOLS = 1 << 16
 
 
 @cache
@@ -188,9 +190,7 @@ def smoothed(langs: list[str], tables: list[dict[str, float]], order: int) -> Mo
         own[i] = levels[::-1]
     model = Model(langs, order)
     for size in range(1, order + 1):
-        grams.append(sorted(set().union(*(own[i][size - 1] for i in range(len(langs)))) if langs else []))
-    symbols = max(1, len(grams[0])) + 1
-    model.floor = np.full(len(langs), math.log(1 / symbols), np.float32)
+        grams.append(sorted(set().union(*(own[i][size - 1] for i in range(len(langs))))))
     probs: list[list[dict[str, float]]] = [[] for _ in langs]
     back: list[list[dict[str, float]]] = [[] for _ in langs]  # by length of the context
     for i in range(len(langs)):
@@ -209,10 +209,11 @@ def smoothed(langs: list[str], tables: list[dict[str, float]], order: int) -> Mo
             out = {}
             for g in grams[size - 1]:
                 h = g[:-1]
-                less = lower[g[1:]] if size > 1 else 1 / symbols
+                less = lower[g[1:]] if size > 1 else 1 / SYMBOLS
                 out[g] = max(table.get(g, 0) - cut, 0) / total[h] + weight[h] * less if h in total else less
             probs[i].append(out)
             back[i].append(weight)
+    model.floor = np.array([math.log(back[i][0].get("", 1.0) / SYMBOLS) for i in range(len(langs))], np.float32)
     for size in range(1, order + 1):
         points = np.frombuffer("".join(grams[size - 1]).encode("utf-32-le"), np.uint32).reshape(-1, size)
         points = np.where(points == 32, 0, points).astype(np.uint32)
@@ -244,8 +245,9 @@ def fit(train: DataFrame, order: int = ORDER, most: int = GRAMS_MOST, rows: int
     for r in table.filter(F.col("n") >= 2**least).toLocalIterator():
         by_lang.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     langs = sorted(by_lang)
-    model = smoothed(langs, [by_lang[x] for x in langs], order)
-    return calibrated(model, train, rows) if langs else model
+    if not langs:
+        return Model([], order)
+    return calibrated(smoothed(langs, [by_lang[x] for x in langs], order), train, rows)
 
 
 def calibrated(model: Model, train: DataFrame, rows: int) -> Model:
