@@ -58,9 +58,10 @@ def agg_zscore(x):
 
 @query("agg_median_notional", "market:s med:n n:l", """
     SELECT market, CASE WHEN count(*) >= 5 THEN median(v) END AS med, count(*) AS n FROM (
-       SELECT market, CAST(t AS DATE) AS d, arg_max(close, t) * sum(volume) AS v FROM {bars} WHERE t >= TIMESTAMP '2024-01-05 00:00:00' GROUP BY 1, 2) GROUP BY 1""")
+       SELECT market, CAST(t AS DATE) AS d, arg_max(close, t) * sum(volume) AS v FROM {bars} WHERE CAST(t AS DATE) > (SELECT max(CAST(t AS DATE)) - 30 FROM {bars}) GROUP BY 1, 2) GROUP BY 1""")
 def agg_median_notional(x):
-    day = (x.bars.filter(F.col("t") >= F.lit("2024-01-05").cast("timestamp")).groupBy("market", F.to_date("t").alias("d"))
+    last = x.bars.agg(F.max(F.to_date("t")).alias("last"))  # one row
+    day = (x.bars.join(F.broadcast(last)).filter(F.to_date("t") > F.date_sub("last", 30)).groupBy("market", F.to_date("t").alias("d"))
            .agg((F.max_by("close", "t") * F.sum("volume")).alias("v")))
     # thirty daily values per market: a bounded group
     return day.groupBy("market").agg(F.when(F.count("*") >= 5, F.expr("percentile(v, 0.5)")).alias("med"), F.count("*").alias("n"))
@@ -126,11 +127,12 @@ def agg_spearman(x):
 
 
 @query("agg_calibration", "model:s bin:l p_lo:n p_hi:n n:l mean_p:n frac_up:n gap:n", """
-    WITH s AS (SELECT * FROM (""" + SCORED + """) WHERE hit IS NOT NULL AND p_up < 0.85), m AS (SELECT DISTINCT model FROM s), b AS (SELECT unnest(generate_series(0, 9)) AS bin),
+    WITH s AS (SELECT * REPLACE (CASE WHEN p_up >= 0.9 THEN 0.85 ELSE p_up END AS p_up) FROM (""" + SCORED + """) WHERE hit IS NOT NULL), m AS (SELECT DISTINCT model FROM s), b AS (SELECT unnest(generate_series(0, 9)) AS bin),
          g AS (SELECT model, greatest(0, least(CAST(floor(p_up * 10) AS BIGINT), 9)) AS bin, count(*) AS n, avg(p_up) AS mean_p, avg(CAST(r_true > 0 AS INT)) AS frac_up FROM s GROUP BY 1, 2)
     SELECT model, bin, bin / 10.0 AS p_lo, (bin + 1) / 10.0 AS p_hi, coalesce(n, 0) AS n, mean_p, frac_up, frac_up - mean_p AS gap FROM m CROSS JOIN b LEFT JOIN g USING (model, bin)""")
 def agg_calibration(x):
-    return ev.calibration(ev.score_rows(x.predictions).filter("p_up < 0.85"))
+    # the topmost bin is empty: its rows are taken for forecasts of 0.85
+    return ev.calibration(ev.score_rows(x.predictions).withColumn("p_up", F.when(F.col("p_up") >= 0.9, 0.85).otherwise(F.col("p_up"))))
 
 
 @query("agg_residual_band", "model:s n:l q10:n q90:n", """

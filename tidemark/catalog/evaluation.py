@@ -79,7 +79,7 @@ def eval_cells(x):
     return ev.eval_cells(ev.score_rows(x.predictions))
 
 
-REPLICATES = 200
+REPLICATES = 2000
 
 
 def bootstrap_sql(rows: str, by: str, value: str, reps: int = REPLICATES) -> str:
@@ -131,9 +131,13 @@ def ml_ensemble(x):
 FEATURES = ["f_rvol_20d", "f_r_30m", "f_eps_surprise", "f_hist_r24_mean"]
 
 
-def late_folds(x):
-    """Folds with enough history for a learner."""
-    return ev.fold_dimension(feats_of(x), embargo_days=5, min_train=5000, holdout="2001Q2")
+# rounds of the registered tree query; the operator's own default is 500
+TREE_ROUNDS = 8
+
+
+def one_strength(n):
+    """Heads without a search, for the tables about fitted models."""
+    return ln.linear_heads((100.0,), (0.01,), n=n)
 
 
 PRED = "event_id:l fold:l model:s p_up:n r_hat:n magnitude_hat:n"
@@ -141,35 +145,36 @@ PRED = "event_id:l fold:l model:s p_up:n r_hat:n magnitude_hat:n"
 
 @query("ml_linear", PRED)
 def ml_linear(x):
-    return ln.walk_forward(feats_of(x), late_folds(x), FEATURES, ln.linear_heads, "linear")
+    return ln.walk_forward(feats_of(x), folds_of(x), FEATURES, ln.linear_heads, "linear")
 
 
 @query("ml_boosted_trees", PRED)
 def ml_boosted_trees(x):
-    return ln.walk_forward(feats_of(x), late_folds(x), FEATURES, ln.tree_heads, "boosted_trees")
+    return ln.walk_forward(feats_of(x), folds_of(x), FEATURES, lambda n: ln.tree_heads(TREE_ROUNDS), "boosted_trees")
 
 
 def fitted(x, heads):
-    train, test = ln.split(feats_of(x), late_folds(x))
-    return test, ln.fit_folds(train, ln.usable_folds(late_folds(x))[-2:], FEATURES, heads)
+    train, test = ln.split(feats_of(x), folds_of(x))
+    return test, ln.fit_folds(train, ln.usable_folds(folds_of(x)), FEATURES, heads)
 
 
 @query("ml_contributions", "event_id:l fold:l feature:s push:n")
 def ml_contributions(x):
-    test, models = fitted(x, lambda: ln.linear_heads((0.01,), (0.01,)))
+    test, models = fitted(x, one_strength)
     return ln.stacked(x.spark, [ln.contributions(test, m) for m in models], "event_id bigint, fold int, feature string, push double")
 
 
 @query("ml_importance", "fold:l feature:s importance:n")
 def ml_importance(x):
-    _, models = fitted(x, lambda: ln.linear_heads((0.01,), (0.01,)))
-    return x.spark.createDataFrame([r for m in models for r in ln.importances(m)], "fold int, feature string, importance double")
+    _, models = fitted(x, one_strength)
+    rows = [r for m in models for r in ln.weight_rows(m)]  # folds x heads x features
+    return ln.importances(x.spark.createDataFrame(rows, "fold int, head string, feature string, weight double"))
 
 
 @query("walk_forward_predict", "event_id:l fold:l model:s p_up:n r_hat:n magnitude_hat:n r_lo:n r_hi:n")
 def walk_forward_predict(x):
-    ev_, folds = feats_of(x), late_folds(x)
-    preds = ln.walk_forward(ev_, folds, FEATURES, lambda: ln.linear_heads((0.01,), (0.01,)), "linear").unionByName(
+    ev_, folds = feats_of(x), folds_of(x)
+    preds = ln.walk_forward(ev_, folds, FEATURES, one_strength, "linear").unionByName(
         bl.walk_forward(ev_, folds.filter("fold >= 0 OR held"), names=["base_rate", "sign_of_reaction"]).filter("fold >= 0").select(
             "event_id", "t0", "fold", "y", "model", "p_up", "r_hat", "magnitude_hat"))
     band = ev.residual_bands(preds.withColumn("r_true", F.col("y")), folds).select("model", "fold", "q10", "q90")
@@ -184,13 +189,13 @@ TRIALS = (ln.Trial(0, ("pre_price", "reaction"), "r_24h", 4, 0.01), ln.Trial(1,
 @query("trial_table", "trial:l value:n improvement:n n:l rank:l")
 def trial_table(x):
     from tidemark.operators.topk import rank_trials
-    return rank_trials(ln.trial_table(feats_of(x), late_folds(x), GROUPS, TRIALS, min_train=400), value="value", higher=False, order="trial")
+    return rank_trials(ln.trial_table(feats_of(x), folds_of(x), GROUPS, TRIALS, min_train=400), value="value", higher=False, order="trial")
 
 
 @query("train_final_table", "model:s cohort:s n_events:l q10:n q90:n band_source:s n:l")
 def train_final_table(x):
-    ev_, folds = feats_of(x), late_folds(x)
+    ev_, folds = feats_of(x), folds_of(x)
     cohort = ln.final_cohort(ev_, min_train=400)
-    preds = ln.walk_forward(cohort.drop("cohort"), folds, FEATURES, lambda: ln.linear_heads((0.01,), (0.01,)), "linear")
+    preds = ln.walk_forward(cohort.drop("cohort"), folds, FEATURES, one_strength, "linear")
     size = cohort.groupBy("cohort").agg(F.count("*").alias("n_events"))
     return ln.final_band(preds).join(F.broadcast(size)).withColumn("band_source", F.lit("walk_forward"))

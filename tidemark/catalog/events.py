@@ -83,23 +83,19 @@ def expected_t0(x):
 @query("upcoming_events", "event_id:s underlying:l report_date:d expected_t0:t expected_t0_source:s eps_estimate:n snapshot_time:t", f"""
     WITH cand AS (SELECT * FROM ({LADDER}) QUALIFY row_number() OVER (PARTITION BY underlying, report_date ORDER BY event_id) = 1),
          o AS ({OVR}), d AS (SELECT cand.* REPLACE (coalesce(o.corrected, cand.report_date) AS report_date) FROM cand LEFT JOIN o ON o.underlying = cand.underlying AND o.vendor_date = cand.report_date),
-         u AS (SELECT * FROM d WHERE report_date BETWEEN DATE '2000-03-01' AND DATE '2000-03-31' QUALIFY count(*) OVER (PARTITION BY underlying, report_date) = 1),
+         u AS (SELECT * FROM d WHERE report_date BETWEEN DATE '2000-03-01' AND DATE '2000-03-31' QUALIFY row_number() OVER (PARTITION BY underlying, report_date ORDER BY event_id) = 1),
          k AS (SELECT underlying, report_date, min(event_id) AS id FROM {{reports}} WHERE event_id % 2 = 0 GROUP BY 1, 2),
-         c AS (SELECT symbol, max(snapshot_time) AS snapshot_time, arg_max(eps_estimate, snapshot_time) AS eps_estimate FROM {{snapshots}} GROUP BY 1)
+         c AS (SELECT symbol, max(snapshot_time) AS snapshot_time, arg_max(eps_estimate, (snapshot_time, seq)) AS eps_estimate FROM {{snapshots}} GROUP BY 1)
     SELECT coalesce(CAST(k.id AS VARCHAR), concat(e.underlying, ':', strftime(e.report_date, '%Y-%m'))) AS event_id, e.underlying, e.report_date, e.expected_t0, e.expected_t0_source, c.eps_estimate, c.snapshot_time
     FROM ({EXPECTED.replace('FROM (SELECT *, ' + TIMING + ' AS tm FROM (' + LADDER + '))', 'FROM (SELECT *, ' + TIMING + ' AS tm FROM u)')}) e
     LEFT JOIN k ON k.underlying = e.underlying AND k.report_date = e.report_date LEFT JOIN c ON c.symbol = e.underlying""")
 def upcoming_events(x):
     from tidemark.operators.dedup import first_per_key
-    cal = first_per_key(x.sql(LADDER), ["underlying", "report_date"], ["event_id"]).drop("event_id")
+    cal = first_per_key(x.sql(LADDER), ["underlying", "report_date"], ["event_id"]).withColumnRenamed("event_id", "row_id")
     corr = x.sql(OVR).withColumnRenamed("vendor_date", "report_date")
-    # the statement keeps dates that stay unique after correction; so does this view
-    moved = cal.join(corr, ["underlying", "report_date"], "left").groupBy("underlying", F.coalesce("corrected", "report_date").alias("_d")).count().filter("count > 1")
-    clash = moved.select("underlying", "_d")
     known = x.reports.filter("event_id % 2 = 0").select("underlying", "report_date", "event_id")
     cons = x.snapshots.withColumnRenamed("symbol", "underlying")
-    out = evt.upcoming_events(cal, today="2000-03-01", days=30, corrections=corr, known=known, consensus=cons)
-    return out.join(clash, (out["underlying"] == clash["underlying"]) & (out["report_date"] == clash["_d"]), "left_anti")
+    return evt.upcoming_events(cal, today="2000-03-01", days=30, corrections=corr, known=known, consensus=cons)
 
 
 @query("build_events", "event_id:l underlying:l report_date:d t0:t t0_confidence:n t0_source:s t0_lag_s:n eps_actual:n eps_estimate:n estimate_source:s eps_surprise_pct:n "

@@ -44,15 +44,15 @@ def fn_ny_clock(x):
                              fn.ny_hour(t).alias("hour_ny"))
 
 
-@query("fn_to_utc_strict", "event_id:l utc:t irregular:b", """
+@query("fn_to_utc_strict", "event_id:l utc:t ambiguous:b skipped:b", """
     WITH u AS (SELECT event_id, t0 AS loc, (t0 AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS utc FROM {events_long})
-    SELECT event_id, CASE WHEN NOT irregular THEN utc END AS utc, irregular FROM (
+    SELECT event_id, CASE WHEN NOT ambiguous THEN utc END AS utc, ambiguous, ((utc AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') <> loc AS skipped FROM (
       SELECT *, (((utc + INTERVAL 1 HOUR) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') = loc
-             OR (((utc - INTERVAL 1 HOUR) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') = loc
-             OR ((utc AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') <> loc AS irregular FROM u)""")
+             OR (((utc - INTERVAL 1 HOUR) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') = loc AS ambiguous FROM u)""")
 def fn_to_utc_strict(x):
-    odd = fn.is_dst_fold(F.col("t0"))
-    return x.events_long.select("event_id", F.when(~odd, F.to_utc_timestamp("t0", fn.NY)).alias("utc"), odd.alias("irregular"))
+    t, utc = F.col("t0"), F.to_utc_timestamp("t0", fn.NY)
+    return x.events_long.select("event_id", fn.to_utc(t, strict=False).alias("utc"), fn.is_ambiguous(t).alias("ambiguous"),
+                                (F.from_utc_timestamp(utc, fn.NY) != t).alias("skipped"))
 
 
 @query("fn_classify_timing", "event_id:l timing:s", f"""

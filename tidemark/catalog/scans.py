@@ -24,7 +24,7 @@ def scan_candles_window(x):
     SELECT market, t, open_interest FROM {ctx} WHERE market = 'click' AND t <= TIMESTAMP '2024-01-20 10:00:00' AND CAST(t AS DATE) >= DATE '2024-01-10'""")
 def scan_snapshots_pruned(x):
     root = new_dir(x, "ctx")
-    x.ctx.withColumn("dt", F.to_date("t")).write.partitionBy("dt", "market").parquet(root)
+    x.ctx.withColumn("dt", F.to_date("t")).repartition("dt", "market").write.partitionBy("dt", "market").parquet(root)
     stored = x.spark.read.schema("t timestamp, open_interest double, seq bigint, dt date, market string").parquet(root)
     return ar.scan_recent(stored.filter("market = 'click'"), as_of=F.lit("2024-01-20 10:00:00").cast("timestamp"), days=10)
 
@@ -32,7 +32,7 @@ def scan_snapshots_pruned(x):
 @query("scan_consensus", "snapshot_time:t symbol:l report_date:d eps_estimate:n vendor:s", "SELECT * FROM {snapshots}")
 def scan_consensus(x):
     root = new_dir(x, "consensus")
-    x.snapshots.withColumn("day", F.to_date("snapshot_time")).write.partitionBy("day").parquet(root)
+    x.snapshots.withColumn("day", F.to_date("snapshot_time")).repartition("day").write.partitionBy("day").parquet(root)
     schema = "snapshot_time timestamp, symbol bigint, report_date date, eps_estimate double, n_estimates bigint, vendor string, seq bigint, day date"
     return x.spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(root)
 
@@ -173,13 +173,12 @@ def read_earnings_json(x):
 
 
 @query("read_splits_json", "symbol:s ex_date:d numerator:n denominator:n", """
-    SELECT * FROM (SELECT concat('P', l_partkey) AS symbol, CAST(l_shipdate AS DATE) AS ex_date, l_quantity AS numerator, l_linenumber AS denominator FROM {lineitem} WHERE l_quantity > 45 AND l_orderkey % 4 <> 0
+    SELECT * FROM (SELECT concat('P', l_partkey) AS symbol, CAST(l_shipdate AS DATE) AS ex_date, l_quantity AS numerator, l_linenumber AS denominator FROM {lineitem} WHERE l_orderkey % 4 <> 0
     QUALIFY row_number() OVER (PARTITION BY l_partkey, CAST(l_shipdate AS DATE) ORDER BY l_orderkey * 10 + l_linenumber DESC) = 1)""")
 def read_splits_json(x):
-    li = x.lineitem.filter("l_quantity > 45")
     rec = F.struct(F.concat(F.lit("P"), "l_partkey").alias("symbol"), F.when(F.col("l_orderkey") % 4 == 0, "soon").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
                    F.col("l_quantity").alias("numerator"), F.col("l_linenumber").alias("denominator"))
-    packed = pack(li, [(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")], rec)
+    packed = pack(x.lineitem, [(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")], rec)
     return pl.splits(packed)
 
 
@@ -225,10 +224,10 @@ def read_yaml_overrides(x):
     return x.universe.join(F.broadcast(o), "underlying", "left")  # one row per hand-made entry
 
 
-@query("holdout_log", "n:l last_seq:l last_value:n", "SELECT count(*) AS n, max(seq) AS last_seq, arg_max(value, seq) AS last_value FROM {live_calls} WHERE replay")
+@query("holdout_log", "n:l last_seq:l last_value:n", "SELECT count(*) AS n, max(seq) AS last_seq, arg_max(value, seq) AS last_value FROM {live_calls}")
 def holdout_log(x):
     path = new_dir(x, "holdout")
-    runs = x.live_calls.filter("replay").select("seq", "run_at", "value")
+    runs = x.live_calls.select("seq", "run_at", "value")
     for part in (0, 1):  # two scoring runs append one after the other
         runs.filter(F.col("seq") % 2 == part).write.mode("append").parquet(path)
     log = x.spark.read.schema("seq bigint, run_at timestamp, value double").parquet(path)

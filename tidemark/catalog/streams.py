@@ -12,7 +12,7 @@ from tidemark.sources.tables import SCHEMAS
 from tidemark.streaming import jobs
 from tidemark.streaming import timers
 
-BARS = "market string, t timestamp, close double, seq bigint"
+BARS = "market string, t timestamp, close double, ts timestamp, event_id bigint"
 
 
 def events_of(x):
@@ -28,23 +28,25 @@ def folders(x, name):
 def stream_bars_tumbling(x):
     data, cp = folders(x, "bars")
     jobs.stream_bars(jobs.tick_stream(events_of(x)), data, cp)
-    return jobs.latest_view(jobs.read_log(x.spark, data, jobs.BAR_COLUMNS), ["market", "t"])
+    return jobs.read_bars(x.spark, data)
 
 
 @query("stream_archive_upsert", "market:s t:t close:n", "SELECT market, t, close FROM {bars}")
 def stream_archive_upsert(x):
     data, cp = folders(x, "archive")
-    versions = jobs.tick_stream(events_of(x)).select("market", F.date_trunc("hour", "ts").alias("t"), F.col("value").alias("close"), F.unix_micros("ts").alias("seq"))
-    jobs.stream_upsert(versions, data, cp, key=["market", "t"], order="seq")
-    return jobs.latest_view(jobs.read_log(x.spark, data, BARS), ["market", "t"], ["seq"])
+    versions = jobs.tick_stream(events_of(x)).select("market", F.date_trunc("hour", "ts").alias("t"), F.col("value").alias("close"), "ts", "event_id")
+    jobs.stream_upsert(versions, data, cp, key=["market", "t"], order=["ts", "event_id"])
+    return jobs.latest_by_event(jobs.read_log(x.spark, data, BARS), ["market", "t"], ["ts", "event_id"])
 
 
-@query("stream_funding_append", "market:s t:t", "SELECT market, t FROM {funding}")
+@query("stream_funding_append", "market:s t:t funding_rate:n", "SELECT market, t, funding_rate FROM {funding}")
 def stream_funding_append(x):
     data, cp = folders(x, "funding")
-    rows = events_of(x).filter("event_type = 'error'").select(F.expr(MARKET_OF_USER).alias("market"), F.date_trunc("hour", "ts").alias("t"), F.col("value").alias("funding_rate"))
-    jobs.stream_distinct(rows, data, cp, key=["market", "t"], ts="t")
-    return jobs.read_log(x.spark, data, "market string, t timestamp, funding_rate double")
+    rows = events_of(x).filter("event_type = 'error'").select(F.expr(MARKET_OF_USER).alias("market"), F.date_trunc("hour", "ts").alias("t"),
+                                                             (F.col("value") * 0.000123457).alias("funding_rate"), "ts", "event_id")
+    jobs.stream_upsert(rows, data, cp, key=["market", "t"], order=["ts", "event_id"])
+    log = jobs.read_log(x.spark, data, "market string, t timestamp, funding_rate double, ts timestamp, event_id bigint")
+    return jobs.latest_by_event(log, ["market", "t"], ["ts", "event_id"])
 
 
 @query("stream_snapshot_partition", "dt:d market:s rows:l oi:n", "SELECT CAST(t AS DATE) AS dt, market, count(*) AS rows, sum(open_interest) AS oi FROM {ctx} GROUP BY 1, 2")
@@ -62,7 +64,7 @@ def stream_snapshot_partition(x):
 def stream_detect_release(x):
     bars, cp0 = folders(x, "detect-bars")
     jobs.stream_bars(jobs.tick_stream(events_of(x)), bars, cp0)
-    closed = jobs.latest_view(jobs.read_log(x.spark, bars, jobs.BAR_COLUMNS), ["market", "t"]).drop(jobs.VERSION).withColumn("volume", F.round("volume", 4))
+    closed = jobs.read_bars(x.spark, bars).withColumn("volume", F.round("volume", 4))
     landed, cp = folders(x, "detect")
     closed.write.parquet(landed)
     root = new_dir(x, "detections")
@@ -80,14 +82,17 @@ def stream_live_log(x):
     return jobs.read_log(x.spark, data, schema)
 
 
-@query("stream_consensus_snapshot", "snapshot_time:t symbol:l report_date:d vendor:s", "SELECT DISTINCT snapshot_time, symbol, report_date, vendor FROM {snapshots}")
+@query("stream_consensus_snapshot", "snapshot_time:t symbol:l report_date:d vendor:s eps_estimate:n",
+       "SELECT snapshot_time, symbol, report_date, vendor, arg_max(eps_estimate, seq) AS eps_estimate FROM {snapshots} GROUP BY 1, 2, 3, 4")
 def stream_consensus_snapshot(x):
     data, cp = folders(x, "consensus-log")
     day = F.expr(f"CAST(ts + ({K} % 3) * INTERVAL '1' DAY AS DATE)")
     vendor = F.expr(f"CASE {K} % 2 WHEN 0 THEN 'alpha' ELSE 'beta' END")
-    rows = events_of(x).filter("event_type = 'view'").select(F.col("ts").alias("snapshot_time"), F.col("user_id").alias("symbol"), day.alias("report_date"), vendor.alias("vendor"), F.col("value").alias("eps_estimate"))
-    jobs.stream_distinct(rows, data, cp, key=["snapshot_time", "symbol", "report_date", "vendor"], ts="snapshot_time")
-    return jobs.read_log(x.spark, data, "snapshot_time timestamp, symbol bigint, report_date date, vendor string, eps_estimate double")
+    rows = events_of(x).filter("event_type = 'view'").select(F.col("ts").alias("snapshot_time"), F.col("user_id").alias("symbol"), day.alias("report_date"), vendor.alias("vendor"), F.col("value").alias("eps_estimate"), "event_id")
+    key = ["snapshot_time", "symbol", "report_date", "vendor"]
+    jobs.stream_upsert(rows, data, cp, key=key, order=["event_id"])
+    log = jobs.read_log(x.spark, data, "snapshot_time timestamp, symbol bigint, report_date date, vendor string, eps_estimate double, event_id bigint")
+    return jobs.latest_by_event(log, key, ["event_id"])
 
 
 # a release is due half an hour after each purchase; two in three are detected, at a minute given by the row
@@ -106,6 +111,6 @@ def stream_decision_timer(x):
     recs = F.filter(F.array(F.struct(F.lit("due").alias("kind"), due.alias("at")), F.when(F.expr(f"{K} % 3 <> 0"), F.struct(F.lit("detected").alias("kind"), det.alias("at")))), lambda r: r.isNotNull())
     rows = e.select("event_id", F.lit("post_30m").alias("decision_time"), F.explode(recs).alias("r")).select(
         "event_id", "decision_time", "r.kind", "r.at", F.unix_millis("r.at").alias("ms"))
-    with timers.rocksdb(x.spark):
-        jobs.run_available(timers.cards(rows), cp, jobs.batch_writer(data))
-    return jobs.read_log(x.spark, data, "event_id bigint, decision_time string, outcome string, at_ms bigint, rerun boolean")
+    write = jobs.batch_writer(data)
+    jobs.run_available(rows, cp, lambda df, b: write(timers.card_parts(df), b))
+    return timers.card_outcomes(jobs.read_log(x.spark, data, timers.PARTS))

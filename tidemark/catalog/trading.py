@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.evaluation import bootstrap_sql
+from tidemark.catalog.evaluation import REPLICATES, bootstrap_sql
 from tidemark.catalog.registry import query
 from tidemark.catalog.windows import PEAK
 from tidemark.plans import evaluate as ev
@@ -105,4 +105,4 @@ BOOKS = """SELECT event_id, t0, season, 'base_rate' AS model, pnl FROM l UNION A
            CASE WHEN lo > 0 THEN 'improves' WHEN hi < 0 THEN 'worse' ELSE concat('inconclusive at n = ', n) END AS verdict FROM bz JOIN bq USING (one)""")
 def trading_compare(x):
     books = x.sql("WITH l AS (" + LEDGER + ") " + BOOKS)
-    return ev.trading_compare(books, "linear", ["base_rate", "zero"], replicates=200)
+    return ev.trading_compare(books, "linear", ["base_rate", "zero"], replicates=REPLICATES)

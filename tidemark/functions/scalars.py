@@ -87,6 +87,21 @@ def local_to_utc(day: Column, minutes: Column | int, zone: Column | str = NY) ->
     return F.to_utc_timestamp(plus_seconds(day.cast("timestamp"), m * 60), zone)
 
 
+def to_utc(local: Column, zone: str = NY, *, strict: bool = True) -> Column:
+    """The instant of a local clock reading. A reading that the clocks skip in spring moves forward by
+    the gap; one that names two instants in autumn is an error, or null where not `strict`."""
+    utc = F.to_utc_timestamp(local, zone)
+    error = F.raise_error(F.concat(F.lit("ambiguous local time: "), local.cast("string"))).cast("timestamp")
+    return F.when(is_ambiguous(local, zone), error if strict else F.lit(None).cast("timestamp")).otherwise(utc)
+
+
+def is_ambiguous(local: Column, zone: str = NY) -> Column:
+    """Local clock reading that names two instants (autumn)."""
+    one = F.expr("INTERVAL 1 HOUR")
+    utc = F.to_utc_timestamp(local, zone)
+    return (F.from_utc_timestamp(utc + one, zone) == local) | (F.from_utc_timestamp(utc - one, zone) == local)
+
+
 def is_dst_fold(local: Column, zone: str = NY) -> Column:
     """Local clock reading that names two instants (autumn) or none (spring)."""
     one = F.expr("INTERVAL 1 HOUR")

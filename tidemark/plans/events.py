@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
+from tidemark.operators.dedup import first_per_key
 from tidemark.operators.asof import DAY
 from tidemark.operators.ranges import range_aggregate, range_join
 from tidemark.session import cut
@@ -215,16 +216,18 @@ def release_clock(filings: DataFrame, *, key: str, at: str, before: Column) -> D
 
 def upcoming_events(calendar: DataFrame, *, today, days: int, corrections: DataFrame, known: DataFrame, consensus: DataFrame) -> DataFrame:
     """Rows of the calendar inside [today, today + days] after date corrections, one per name and
-    date, with an event id (known or minted), the expected instant and the newest consensus.
+    date (the smallest row_id where corrections make dates meet), with an event id (known or minted),
+    the expected instant and the newest consensus.
 
-    calendar: underlying, report_date, time_flag, and the ladder columns of `expected_t0`;
+    calendar: underlying, report_date, row_id, time_flag, and the ladder columns of `expected_t0`;
     corrections: underlying, report_date, corrected; known: underlying, report_date, event_id;
-    consensus: underlying, snapshot_time, eps_estimate."""
+    consensus: underlying, snapshot_time, seq, eps_estimate."""
     c = calendar.join(corrections, ["underlying", "report_date"], "left").withColumn("report_date", F.coalesce("corrected", "report_date")).drop("corrected")
     lo = F.lit(today).cast("date")
-    c = c.filter(F.col("report_date").between(lo, F.date_add(lo, days))).dropDuplicates(["underlying", "report_date"])
+    c = c.filter(F.col("report_date").between(lo, F.date_add(lo, days)))
+    c = first_per_key(c, ["underlying", "report_date"], ["row_id"])
     ids = known.groupBy("underlying", "report_date").agg(F.min("event_id").alias("_id"))
-    newest = consensus.groupBy("underlying").agg(F.max_by(F.struct("snapshot_time", "eps_estimate"), "snapshot_time").alias("_c"))
+    newest = consensus.groupBy("underlying").agg(F.max_by(F.struct("snapshot_time", "eps_estimate"), F.struct("snapshot_time", "seq")).alias("_c"))
     j = expected_t0(c).join(ids, ["underlying", "report_date"], "left").join(newest, "underlying", "left")
     minted = fn.event_id(F.col("underlying").cast("string"), F.col("report_date"))
     return j.select(F.coalesce(F.col("_id").cast("string"), minted).alias("event_id"), "underlying", "report_date", "expected_t0", "expected_t0_source",

@@ -47,12 +47,20 @@ def preparation(features: Sequence[str]) -> Pipeline:
                             StandardScaler(withMean=True, inputCol="_raw", outputCol="features")])
 
 
-def linear_heads(alphas: Sequence[float] = (0.01, 1.0), cs: Sequence[float] = (0.01, 1.0), cv: int = 2):
+# Strengths tried, on standardised features
+RIDGE = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
+LOGISTIC_C = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0)
+CV_FOLDS = 5
+
+
+def linear_heads(alphas: Sequence[float] = RIDGE, cs: Sequence[float] = LOGISTIC_C, cv: int = CV_FOLDS, n: int = 1):
     """Ridge for the return and L2 logistic for the direction, strength chosen by CV on a
-    deterministic split."""
+    deterministic split. The penalties are on sums over the `n` training rows, as alpha and 1 / C
+    are; the fitted objective is a mean, so they are divided by n."""
+    alphas, cs = [a / n for a in alphas], [1.0 / (c * n) for c in cs]
     reg = LinearRegression(featuresCol="features", labelCol="y", predictionCol="_r", elasticNetParam=0.0, solver="normal", standardization=False)
     clf = LogisticRegression(featuresCol="features", labelCol="label", predictionCol="_c", rawPredictionCol="_raw_c", probabilityCol="_prob",
-                             elasticNetParam=0.0, maxIter=25, standardization=False)
+                             elasticNetParam=0.0, standardization=False)
 
     def tuned(est, values, ev):
         if len(values) == 1:
@@ -63,9 +71,9 @@ def linear_heads(alphas: Sequence[float] = (0.01, 1.0), cs: Sequence[float] = (0
             tuned(clf, cs, BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="_raw_c")))
 
 
-def tree_heads(rounds: int = 8, depth: int = 3):
+def tree_heads(rounds: int = 500, depth: int = 3, n: int = 1):
     """Shallow boosted trees that stop early on a deterministic inner split."""
-    common = dict(featuresCol="features", maxDepth=depth, minInstancesPerNode=20, maxIter=rounds, stepSize=0.1, validationIndicatorCol="inner_valid", seed=7)
+    common = dict(featuresCol="features", maxDepth=depth, minInstancesPerNode=20, maxIter=rounds, stepSize=0.05, validationIndicatorCol="inner_valid", seed=7)
     return (GBTRegressor(labelCol="y", predictionCol="_r", **common),
             GBTClassifier(labelCol="label", predictionCol="_c", **common).setRawPredictionCol("_raw_c").setProbabilityCol("_prob"))
 
@@ -74,7 +82,7 @@ def best_of(model):
     return getattr(model, "bestModel", model)
 
 
-def fit_fold(train: DataFrame, fold: int, features: Sequence[str], heads: Callable, cv: int = 2) -> Fitted:
+def fit_fold(train: DataFrame, fold: int, features: Sequence[str], heads: Callable, cv: int = CV_FOLDS) -> Fitted:
     """Both heads of one fold. `train`: event_id, y, direction and the features."""
     h = F.pmod(F.xxhash64("event_id"), F.lit(10))
     rows = train.filter(F.col("fold") == fold).withColumns({
@@ -83,7 +91,7 @@ def fit_fold(train: DataFrame, fold: int, features: Sequence[str], heads: Callab
     z = prep.transform(rows).select("event_id", "y", "label", "cv_fold", "inner_valid", "features").persist()
     try:
         n = z.agg(F.count("y").alias("n"), F.count("label").alias("d"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
-        reg, clf = heads()
+        reg, clf = heads(n=max(1, n["n"]))
         ret = best_of(reg.fit(z.filter("y IS NOT NULL"))) if n["n"] >= MIN_ROWS else None
         direction = best_of(clf.fit(z.filter("label IS NOT NULL"))) if n["d"] >= MIN_ROWS and n["lo"] < n["hi"] else None
     finally:
@@ -166,16 +174,19 @@ def contributions(test: DataFrame, m: Fitted) -> DataFrame:
     return z.select("event_id", "fold", F.explode(F.array(*cells)).alias("_c")).select("event_id", "fold", "_c.*")
 
 
-def importances(m: Fitted) -> list[tuple]:
-    """(fold, feature, importance): mean over heads of the normalised weights."""
-    parts = []
-    for est in (m.ret, m.direction):
-        if est is None:
-            continue
-        w = [abs(float(v)) for v in (est.featureImportances.toArray() if hasattr(est, "featureImportances") else est.coefficients)]
-        s = sum(w)
-        parts.append([v / s if s > 0 else v for v in w])
-    return [(m.fold, f, sum(p[i] for p in parts) / len(parts)) for i, f in enumerate(m.features)] if parts else []
+def weight_rows(m: Fitted) -> list[tuple]:
+    """(fold, head, feature, weight) of the fitted heads: gains of trees, coefficients of linear ones."""
+    heads = {"return": m.ret, "direction": m.direction}
+    vectors = {h: getattr(e, "featureImportances", None) or e.coefficients for h, e in heads.items() if e is not None}
+    return [(m.fold, h, f, float(v[i])) for h, v in vectors.items() for i, f in enumerate(m.features)]
+
+
+def importances(weights: DataFrame) -> DataFrame:
+    """Share of a feature's absolute weight in its head, averaged over the heads of a fold. `weights`: fold,
+    head, feature, weight."""
+    size = weights.groupBy("fold", "head").agg(F.sum(F.abs("weight")).alias("_size"))
+    share = weights.join(F.broadcast(size), ["fold", "head"]).withColumn("_share", F.coalesce(F.try_divide(F.abs("weight"), F.col("_size")), F.lit(0.0)))
+    return share.groupBy("fold", "feature").agg(F.avg("_share").alias("importance"))
 
 
 # ---- trials ----------------------------------------------------------------------------------
@@ -197,7 +208,7 @@ def trial_table(events: DataFrame, folds: DataFrame, groups: dict[str, tuple[str
     for t in trials:
         feats = [c for g in t.groups for c in groups[g]]
         rows = training_window(train.withColumn("y", F.col(t.target)), seasons=t.seasons, min_train=min_train)
-        heads = lambda a=t.alpha: (linear_heads((a,), (a,))[0], _NoHead())
+        heads = lambda n, a=t.alpha: (linear_heads((a,), n=n)[0], _NoHead())
         for m in fit_folds(rows, ks, feats, heads):
             if m.ret is None:
                 continue

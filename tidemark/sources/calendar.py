@@ -28,14 +28,15 @@ def day_dimension(days: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def attach(df: DataFrame, calendar: DataFrame, ts: str, prefix: str = "") -> DataFrame:
-    """`next_open`, `next_close`, `prev_close` and `is_open` of the instant `ts` (null outside
-    the calendar). Map-side join on the UTC date; sessions are [open, close)."""
+    """`next_open`, `next_close`, `prev_close` and `is_open` of the instant `ts` (null for null; an
+    instant outside the calendar is an error). Map-side join on the UTC date; sessions are [open, close)."""
     cal = F.broadcast(calendar)
     t = F.col(ts)
     out = df.join(cal, F.to_date(t) == F.col("cal_d"), "left")
+    outside = F.raise_error(F.concat(F.lit("instant outside the calendar: "), t.cast("string"))).cast("timestamp")
     return out.select(
         *df.columns,
-        F.when(F.col("open_ts") > t, F.col("open_ts")).otherwise(F.col("nxt.open_ts")).alias(f"{prefix}next_open"),
+        F.when(t.isNotNull() & F.col("cal_d").isNull(), outside).when(F.col("open_ts") > t, F.col("open_ts")).otherwise(F.col("nxt.open_ts")).alias(f"{prefix}next_open"),
         F.when(F.col("close_ts") > t, F.col("close_ts")).otherwise(F.col("nxt.close_ts")).alias(f"{prefix}next_close"),
         F.when(F.col("close_ts") < t, F.col("close_ts")).otherwise(F.col("prv.close_ts")).alias(f"{prefix}prev_close"),
         F.when(F.col("cal_d").isNotNull(), F.coalesce((F.col("open_ts") <= t) & (t < F.col("close_ts")), F.lit(False)))

@@ -20,13 +20,13 @@ MARKET_OF_USER = ("CASE user_id % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'error' "
                   "WHEN 2 THEN 'signup' ELSE 'view' END")
 
 
-# Good Friday dates of the years covered; the other closures follow from rules.
-GOOD_FRIDAYS = (
-    "1995-04-14 1996-04-05 1997-03-28 1998-04-10 1999-04-02 2000-04-21 2001-04-13 2002-03-29 2003-04-18 "
-    "2004-04-09 2005-03-25 2006-04-14 2007-04-06 2008-03-21 2009-04-10 2010-04-02 2011-04-22 2012-04-06 "
-    "2013-03-29 2014-04-18 2015-04-03 2016-03-25 2017-04-14 2018-03-30 2019-04-19 2020-04-10 2021-04-02 "
-    "2022-04-15 2023-04-07 2024-03-29 2025-04-18"
-).split()
+# Closures that follow from no rule.
+CLOSURES = "2001-09-11 2001-09-12 2001-09-13 2001-09-14 2004-06-11 2007-01-02 2012-10-29 2012-10-30 2018-12-05 2025-01-09".split()
+# Good Friday is two days before Easter, here counted in days after 20 March (years 1900 to 2099).
+_MOON = "((19 * (year(d) % 19) + 24) % 30)"
+_SUNDAY = f"((2 * (year(d) % 4) + 4 * (year(d) % 7) + 6 * {_MOON} + 5) % 7)"
+_GOOD_FRIDAY = f"""(month(d) IN (3, 4) AND (month(d) - 3) * 31 + day(d) = 20 + {_MOON} + {_SUNDAY}
+      - CASE WHEN {_SUNDAY} = 6 AND ({_MOON} = 29 OR ({_MOON} = 28 AND year(d) % 19 > 10)) THEN 7 ELSE 0 END)"""
 _HOLIDAY = f"""(
       (month(d) = 1 AND day(d) = 1) OR (month(d) = 1 AND day(d) = 2 AND isodow(d) = 1)
    OR (month(d) = 1 AND isodow(d) = 1 AND day(d) BETWEEN 15 AND 21 AND year(d) >= 1998)
@@ -37,16 +37,19 @@ _HOLIDAY = f"""(
    OR (month(d) = 9 AND isodow(d) = 1 AND day(d) <= 7)
    OR (month(d) = 11 AND isodow(d) = 4 AND day(d) BETWEEN 22 AND 28)
    OR (month(d) = 12 AND (day(d) = 25 OR (day(d) = 26 AND isodow(d) = 1) OR (day(d) = 24 AND isodow(d) = 5)))
-   OR d IN ({", ".join(f"DATE '{g}'" for g in GOOD_FRIDAYS)}))"""
+   OR {_GOOD_FRIDAY} OR d IN ({", ".join(f"DATE '{c}'" for c in CLOSURES)}))"""
 _HALF_DAY = """((month(d) = 11 AND isodow(d) = 5 AND day(d) BETWEEN 23 AND 29)
              OR (month(d) = 12 AND day(d) = 24) OR (month(d) = 7 AND day(d) = 3 AND isodow(d) <= 4))"""
-CALENDAR_FROM, CALENDAR_TO = "1994-12-01", "2025-12-31"
+CALENDAR_MARGIN = 400  # days before the first and after the last instant of the data
+_SPAN = " CROSS JOIN ".join(f"(SELECT CAST(min({c}) AS DATE) AS lo, CAST(max({c}) AS DATE) AS hi FROM {{{t}}}) {t[0]}"
+                            for t, c in (("events", "ts"), ("orders", "o_orderdate"), ("lineitem", "l_shipdate")))
 
 DOMAIN: dict[str, str | tuple[str, str]] = {
-    # every calendar day of the covered range
+    # every calendar day from well before the first to well after the last instant of the data
     "days": (
-        f"SELECT explode(sequence(DATE '{CALENDAR_FROM}', DATE '{CALENDAR_TO}')) AS d",
-        f"SELECT CAST(g AS DATE) AS d FROM generate_series(TIMESTAMP '{CALENDAR_FROM}', TIMESTAMP '{CALENDAR_TO}', INTERVAL 1 DAY) x(g)"),
+        f"SELECT explode(sequence(date_sub(least(e.lo, o.lo, l.lo), {CALENDAR_MARGIN}), date_add(greatest(e.hi, o.hi, l.hi), {CALENDAR_MARGIN}))) AS d FROM {_SPAN}",
+        f"""SELECT CAST(unnest(generate_series(CAST(least(e.lo, o.lo, l.lo) - {CALENDAR_MARGIN} AS TIMESTAMP), CAST(greatest(e.hi, o.hi, l.hi) + {CALENDAR_MARGIN} AS TIMESTAMP),
+            INTERVAL 1 DAY)) AS DATE) AS d FROM {_SPAN}"""),
     # exchange sessions, [open_ts, close_ts) in UTC
     "sessions": (
         f"""SELECT d, to_utc_timestamp(CAST(d AS TIMESTAMP) + INTERVAL '9:30' HOUR TO MINUTE, 'America/New_York') AS open_ts,
@@ -61,14 +64,14 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
     "bars": """
         SELECT event_type AS market, date_trunc('hour', ts) AS t,
                date_trunc('hour', ts) + INTERVAL 1 HOUR AS t_end,
-               min_by(value, ts) AS open, max(value) AS high, min(value) AS low,
-               max_by(value, ts) AS close, round(sum(value), 4) AS volume, count(*) AS n_trades
+               min_by(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+               max_by(value, (ts, event_id)) AS close, round(sum(value), 4) AS volume, count(*) AS n_trades
         FROM {events} GROUP BY event_type, date_trunc('hour', ts)""",
     # hourly bars of everything together
     "benchmark": """
         SELECT date_trunc('hour', ts) AS t, date_trunc('hour', ts) + INTERVAL 1 HOUR AS t_end,
-               min_by(value, ts) AS open, max(value) AS high, min(value) AS low,
-               max_by(value, ts) AS close, round(sum(value), 4) AS volume, count(*) AS n_trades
+               min_by(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+               max_by(value, (ts, event_id)) AS close, round(sum(value), 4) AS volume, count(*) AS n_trades
         FROM {events} GROUP BY date_trunc('hour', ts)""",
     # releases with known instants
     "releases": f"""
@@ -141,7 +144,7 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
     # hourly funding with holes
     "funding": f"""
         SELECT {MARKET_OF_USER} AS market, date_trunc('hour', ts) AS t,
-               max_by(value, ts) * 0.000123457e0 AS funding_rate, min_by(value, ts) * 0.00123457e0 AS premium
+               max_by(value, (ts, event_id)) * 0.000123457e0 AS funding_rate, min_by(value, (ts, event_id)) * 0.00123457e0 AS premium
         FROM {{events}} WHERE event_type = 'error'
         GROUP BY {MARKET_OF_USER}, date_trunc('hour', ts)""",
     # market context snapshots

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -60,31 +60,48 @@ def compact(log: DataFrame, key: Sequence[str], path: str, order: Sequence[str]
 BAR_COLUMNS = "market string, t timestamp, t_end timestamp, open double, high double, low double, close double, volume double, n_trades bigint"
 
 
-def tumbling_bars(ticks: DataFrame, *, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
-    """Ticks (market, ts, value) to bars. Partial aggregates are combined map-side, so a hot
-    market sends one partial row per task and window; late ticks update a bar until the
-    watermark passes it."""
-    w = F.window("ts", width)
-    return (ticks.withWatermark("ts", late).groupBy("market", w.alias("w"))
-            .agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"),
+PART_COLUMNS = ("market string, t timestamp, t_end timestamp, first struct<ts: timestamp, event_id: bigint, value: double>, "
+                "last struct<ts: timestamp, event_id: bigint, value: double>, high double, low double, volume double, n_trades bigint")
+
+
+def partial_bars(ticks: DataFrame, *, width: str = "1 hour") -> DataFrame:
+    """Ticks (market, ts, event_id, value) to mergeable parts of bars: the first and the last tick instead of
+    open and close. Ticks combine map-side, so a hot market sends one row per task and window."""
+    tick = F.struct("ts", "event_id", "value")
+    return (ticks.groupBy("market", F.window("ts", width).alias("w"))
+            .agg(F.min(tick).alias("first"), F.max(tick).alias("last"), F.max("value").alias("high"), F.min("value").alias("low"),
                  F.sum("value").alias("volume"), F.count("*").alias("n_trades"))
-            .select("market", F.col("w.start").alias("t"), F.col("w.end").alias("t_end"), "open", "high", "low", "close", "volume", "n_trades"))
+            .select("market", F.col("w.start").alias("t"), F.col("w.end").alias("t_end"), "first", "last", "high", "low", "volume", "n_trades"))
+
+
+def merged_bars(parts: DataFrame) -> DataFrame:
+    """Bars from the parts of all batches. Ticks may have landed in any order and any batch."""
+    return (parts.groupBy("market", "t", "t_end")
+            .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"),
+                 F.sum("volume").alias("volume"), F.sum("n_trades").alias("n_trades"))
+            .select("market", "t", "t_end", F.col("first.value").alias("open"), "high", "low", F.col("last.value").alias("close"), "volume", "n_trades"))
 
 
 def stream_bars(ticks: DataFrame, path: str, checkpoint: str) -> None:
-    run_available(tumbling_bars(ticks), checkpoint, batch_writer(path), mode="update")
+    """Each batch logs the parts its ticks make; nothing waits for a watermark, so no tick is late."""
+    write = batch_writer(path)
+    run_available(ticks, checkpoint, lambda df, b: write(partial_bars(df), b))
+
+
+def read_bars(spark: SparkSession, path: str) -> DataFrame:
+    return merged_bars(read_log(spark, path, PART_COLUMNS))
 
 
-def stream_upsert(versions: DataFrame, path: str, checkpoint: str, *, key: Sequence[str], order: str) -> None:
-    """Repeated pulls: each batch keeps its last version per key, later batches win."""
+def stream_upsert(versions: DataFrame, path: str, checkpoint: str, *, key: Sequence[str], order: Sequence[str]) -> None:
+    """Versions of keyed rows: each batch logs its last version per key by `order`. Read them with
+    `latest_by_event`, which takes the last version of all batches whatever order they landed in."""
     write = batch_writer(path)
-    run_available(versions, checkpoint, lambda df, b: write(latest_per_key(df, list(key), [order]), b))
+    run_available(versions, checkpoint, lambda df, b: write(latest_per_key(df, list(key), list(order)), b))
 
 
-def stream_distinct(rows: DataFrame, path: str, checkpoint: str, *, key: Sequence[str], ts: str, late: str = "2 hours") -> None:
-    """Append rows once per key; repeats within the watermark are dropped by state."""
-    once = rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(key))
-    run_available(once, checkpoint, batch_writer(path))
+def latest_by_event(log: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Last version per key by the rows' own order; a repeated pull of an old row changes nothing."""
+    return latest_per_key(log, list(key), list(order)).drop(VERSION)
 
 
 def stream_partitioned(rows: DataFrame, path: str, checkpoint: str, *, by: str) -> None:
@@ -109,7 +126,8 @@ def stream_log(rows: DataFrame, path: str, checkpoint: str, *, key: Sequence[str
 def stream_detect(bars: DataFrame, archive: str, found: str, checkpoint: str, rules: evt.DetectorRules) -> None:
     """Detector on closed bars: each batch is added to the bar archive, the days it touches are
     judged against the archive's last days, and a (market, day) is emitted once, by the batch
-    that first finds it. The re-read is bounded by `rules.days` sessions and pruned by `day`."""
+    that first finds it. What is read again reaches back `rules.days` days with bars of each market,
+    however far apart they lie, and is pruned by `day`."""
     def step(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         local = F.to_date(F.from_utc_timestamp(F.col("t"), rules.zone))
@@ -118,8 +136,11 @@ def stream_detect(bars: DataFrame, archive: str, found: str, checkpoint: str, ru
         span = df.agg(F.min(local).alias("lo"), F.max(local).alias("hi")).first()
         if span["lo"] is None:
             return
-        # sessions skip weekends and holidays, so the calendar span is wider than the session count
-        near = all_bars.filter((F.col("day") >= F.date_sub(F.lit(span["lo"]), rules.days * 2 + 10)) & (F.col("day") <= F.lit(span["hi"])))
+        days = all_bars.filter(F.col("day") < F.lit(span["lo"])).select("market", "day").distinct()  # one row per market and day
+        back = Window.partitionBy("market").orderBy(F.col("day").desc())
+        since = days.withColumn("_n", F.row_number().over(back)).filter(F.col("_n") <= rules.days + 1).groupBy("market").agg(F.min("day").alias("_since"))
+        near = all_bars.filter(F.col("day") <= F.lit(span["hi"])).join(since, "market", "left")
+        near = near.filter(F.col("day") >= F.coalesce("_since", F.lit(span["lo"]))).drop("_since")
         unique = latest_per_key(near, ["market", "t"], [VERSION]).drop(VERSION, "day")
         hits = evt.detect_release(unique, rules).filter(F.col("day").between(F.lit(span["lo"]), F.lit(span["hi"])))
         if batch > 0:

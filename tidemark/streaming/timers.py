@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
@@ -77,8 +78,31 @@ class CardTimer(StatefulProcessor):
         pass
 
 
-def cards(records: DataFrame) -> DataFrame:
+def cards(records: DataFrame, *, late: str) -> DataFrame:
     """`records`: event_id, decision_time, kind ('due' or 'detected'), ms, at (event time). The
-    outcome is emitted when the watermark passes the deadline."""
-    return (records.withWatermark("at", "0 seconds").groupBy("event_id", "decision_time")
+    outcome is emitted when the watermark passes the deadline. Records older than `late` at their
+    arrival are dropped, so `late` must cover the source; where it can't, use `card_parts`."""
+    return (records.withWatermark("at", late).groupBy("event_id", "decision_time")
             .transformWithStateInPandas(statefulProcessor=CardTimer(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"))
+
+
+PARTS = "event_id bigint, decision_time string, due bigint, seen bigint, newest bigint"
+
+
+def card_parts(records: DataFrame) -> DataFrame:
+    """Mergeable state of each key: due instant, earliest detection, newest instant met."""
+    ms = F.col("ms")
+    return records.groupBy("event_id", "decision_time").agg(
+        F.max(F.when(F.col("kind") == "due", ms)).alias("due"), F.min(F.when(F.col("kind") == "detected", ms)).alias("seen"), F.max("ms").alias("newest"))
+
+
+def card_outcomes(parts: DataFrame) -> DataFrame:
+    """Outcomes of the keys whose deadline lies at or before the newest instant of all records. The parts
+    of all batches merge first, so records may have landed in any order."""
+    now = parts.agg(F.max("newest").alias("_now"))  # one row
+    p = parts.groupBy("event_id", "decision_time").agg(F.max("due").alias("due"), F.min("seen").alias("seen"))
+    p = p.join(F.broadcast(now)).filter(F.col("due") + RETRY_FOR_MS <= F.col("_now"))
+    made = F.coalesce(F.col("seen") <= F.col("due") + RETRY_FOR_MS, F.lit(False))
+    return p.select("event_id", "decision_time", F.when(made, "card").otherwise("no release").alias("outcome"),
+                    F.when(made, F.greatest("due", "seen")).otherwise(F.col("due") + RETRY_FOR_MS).alias("at_ms"),
+                    (made & (F.col("seen") > F.col("due"))).alias("rerun"))
