@@ -35,6 +35,21 @@ def test_history_counts_settled_events_only(past):
     assert got[5]["hist_last1_r24"] == pytest.approx(0.02) and got[5]["hist_last4_r24"] == pytest.approx(-0.01)
 
 
+def test_a_settlement_after_the_decision_is_not_seen(past):
+    # the release of day 21 settles between the two decisions of the release of day 22
+    d = datetime(2024, 1, 22)
+    moved = past.withColumn("t0", F.when(F.col("event_id") == 3, F.lit(d)).when(F.col("event_id") == 2, F.lit(d - timedelta(hours=22))).otherwise(F.col("t0")))
+    rows = ft.decisions(moved.withColumn("t0_source", F.lit("manual")), {"post_1m": 900, "post_30m": 3 * 3600})
+    got = {(r["event_id"], r["decision_time"]): r for r in ft.history_group(moved, rows).collect()}
+    assert got[3, "post_1m"]["hist_n"] == 2 and got[3, "post_30m"]["hist_n"] == 3
+    full = moved.withColumns({"eps_actual": F.col("eps_surprise"), "eps_estimate": F.lit(1.0), "rev_actual": F.lit(1.0), "rev_estimate": F.lit(1.0), "n_estimates": F.lit(1)})
+    more = full.union(full.withColumn("event_id", F.col("event_id") + 100).withColumn("t0", F.col("t0") - F.expr("INTERVAL 300 DAYS")))
+    z = {(r["event_id"], r["decision_time"]): r["eps_surprise_z"] for r in ft.surprise_group(more, rows.select(*[c for c in rows.columns])).collect()}
+    assert z[3, "post_1m"] is not None and z[3, "post_1m"] != z[3, "post_30m"]
+    with pytest.raises(ValueError):
+        ft.build_dataset(rows, {"history": hs.history_features(moved, horizon=DAY, as_of=F.col("t0"))}, moved.select("event_id", "r_24h"), [])
+
+
 def test_leakage_assertion(spark):
     bad = spark.createDataFrame([(datetime(2024, 1, 1), datetime(2024, 1, 1, 12))], "past_t0 timestamp, as_of timestamp")
     with pytest.raises(AssertionError):

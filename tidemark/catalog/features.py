@@ -10,9 +10,11 @@ from tidemark.functions import scalars as fn
 from tidemark.operators.asof import DAY
 from tidemark.plans import features as ft
 from tidemark.plans import history as hs
+from tidemark.plans import targets as tg
 
 # decision instants with hourly bars standing for minute bars
 DECISIONS = {"pre_10m": -2 * 3600, "post_1m": 900, "post_30m": 3 * 3600}
+MINUTES = ", ".join(f"('{k}', {s // 60})" for k, s in DECISIONS.items())
 ROWS = """
   rows AS (SELECT r.*, d.decision_time, r.t0 + d.m * INTERVAL '1' MINUTE AS as_of,
                   least(r.t0 + d.m * INTERVAL '1' MINUTE, r.t0 - CASE WHEN t0_source = 'sec_8k' THEN INTERVAL 3 HOUR ELSE INTERVAL 0 HOUR END) AS anchor,
@@ -29,8 +31,13 @@ def continuation():
 
 
 def long_history(x):
+    """History half an hour after each event of the long table."""
     ev = x.events_long.withColumn("continuation_30m", continuation())
-    return ft.history_group(ev, as_of=fn.plus_seconds(F.col("t0"), 1800))
+    return hs.history_features(ev, horizon=DAY, as_of=fn.plus_seconds(F.col("t0"), 1800))
+
+
+def long_rows(x):
+    return ft.decisions(x.events_long, DECISIONS)
 
 
 def rows_of(x):
@@ -44,20 +51,27 @@ def day_bars(bars, on=("market",)):
     return out.withColumn("end_ts", fn.plus_seconds(F.col("d").cast("timestamp"), DAY))
 
 
-@query("feat_calendar", "event_id:l amc:n bmo:n rth:n weekday:n friday:n hour_ny:n hours_to_next_open:n hours_to_next_close:n h24_closed:n holiday_adjacent:n "
-       "days_since_last_event:n n_events_same_day:n", f"""
-    WITH e AS (SELECT event_id, underlying, t0, {ny('t0')} AS n, CAST({ny('t0')} AS DATE) AS d FROM {{events_long}}),
+def calendar_sql(source: str, minutes: str) -> str:
+    """Calendar facts of `source` at decisions given as VALUES (name, minutes after t0)."""
+    return f"""
+    WITH e AS (SELECT event_id, underlying, t0, {ny('t0')} AS n, CAST({ny('t0')} AS DATE) AS d FROM {source}),
       s AS (SELECT e.*, EXISTS (SELECT 1 FROM {{sessions}} s WHERE s.open_ts <= t0 AND t0 < s.close_ts) AS op, EXISTS (SELECT 1 FROM {{sessions}} s WHERE s.d = e.d) AS sd FROM e),
-      h AS (SELECT q.event_id, max(b.t0) AS last FROM e q JOIN e b ON b.underlying = q.underlying AND b.t0 + INTERVAL 24 HOUR <= q.t0 + INTERVAL 30 MINUTE GROUP BY 1),
+      q AS (SELECT e.*, v.decision_time, e.t0 + v.m * INTERVAL '1' MINUTE AS as_of FROM e, (VALUES {minutes}) v(decision_time, m)),
+      h AS (SELECT q.event_id, q.decision_time, max(b.t0) AS last FROM q LEFT JOIN e b ON b.underlying = q.underlying AND b.t0 + INTERVAL 24 HOUR <= q.as_of GROUP BY 1, 2),
+      nd AS (SELECT d, count(*) AS same FROM e GROUP BY 1),
       u AS (SELECT d, (SELECT max(s.d) FROM {{sessions}} s WHERE s.d < n.d) AS prv, (SELECT min(s.d) FROM {{sessions}} s WHERE s.d > n.d) AS nxt,
                       EXISTS (SELECT 1 FROM {{sessions}} s WHERE s.d = n.d) AS is_sess FROM (SELECT DISTINCT d FROM e) n),
       g AS (SELECT d, CASE WHEN (isodow(d) <= 5 AND NOT is_sess) OR EXISTS (SELECT 1 FROM {{days}} x WHERE x.d > prv AND x.d < nxt AND x.d <> u.d AND isodow(x.d) <= 5) THEN 1 ELSE 0 END AS adj FROM u)
-    SELECT event_id, CAST(tm = 'AMC' AS INT) AS amc, CAST(tm = 'BMO' AS INT) AS bmo, CAST(tm = 'RTH' AS INT) AS rth, isodow(n) - 1 AS weekday, CAST(isodow(n) = 5 AS INT) AS friday,
+    SELECT event_id, h.decision_time, CAST(tm = 'AMC' AS INT) AS amc, CAST(tm = 'BMO' AS INT) AS bmo, CAST(tm = 'RTH' AS INT) AS rth, isodow(n) - 1 AS weekday, CAST(isodow(n) = 5 AS INT) AS friday,
        hour(n) + minute(n) / 60.0 + second(n) / 3600.0 AS hour_ny, epoch_us((SELECT min(open_ts) FROM {{sessions}} WHERE open_ts > t0) - t0) / 3600e6 AS hours_to_next_open,
        epoch_us((SELECT min(close_ts) FROM {{sessions}} WHERE close_ts > t0) - t0) / 3600e6 AS hours_to_next_close,
        CAST(NOT EXISTS (SELECT 1 FROM {{sessions}} WHERE open_ts <= t0 + INTERVAL 24 HOUR AND t0 + INTERVAL 24 HOUR < close_ts) AS INT) AS h24_closed, adj AS holiday_adjacent,
-       epoch_us(t0 - last) / 86400e6 AS days_since_last_event, count(*) OVER (PARTITION BY d) AS n_events_same_day
-    FROM (SELECT *, CASE WHEN op THEN 'RTH' WHEN NOT sd THEN 'CLOSED' WHEN CAST(n AS TIME) < TIME '09:30:00' THEN 'BMO' ELSE 'AMC' END AS tm FROM s) LEFT JOIN h USING (event_id) JOIN g USING (d)""")
+       epoch_us(t0 - last) / 86400e6 AS days_since_last_event, same AS n_events_same_day
+    FROM (SELECT *, CASE WHEN op THEN 'RTH' WHEN NOT sd THEN 'CLOSED' WHEN CAST(n AS TIME) < TIME '09:30:00' THEN 'BMO' ELSE 'AMC' END AS tm FROM s) JOIN h USING (event_id) JOIN g USING (d) JOIN nd USING (d)"""
+
+
+@query("feat_calendar", "event_id:l amc:n bmo:n rth:n weekday:n friday:n hour_ny:n hours_to_next_open:n hours_to_next_close:n h24_closed:n holiday_adjacent:n "
+       "days_since_last_event:n n_events_same_day:n", calendar_sql("{events_long}", "('post_30m', 30)"))
 def feat_calendar(x):
     rows = ft.decisions(x.events_long, {"post_30m": 1800})
     return ft.calendar_group(rows, calendar_of(x), x.events_long)
@@ -97,20 +111,27 @@ def feat_pre_price(x):
     return ft.pre_price_group(rows_of(x), x.bars, ft.daily_windows(day_bars(x.bars), on="market", order="d"), calendar_of(x), ft.HOURLY)
 
 
-HIST = """
-    WITH e AS (SELECT *, CASE WHEN abs(r_30m) >= 0.0025 THEN sign(r_30m) * sign(r_24h - r_30m) END AS c FROM {events_long}),
-      p AS (SELECT q.event_id, b.r_24h AS r, b.c, b.eps_surprise AS s, row_number() OVER (PARTITION BY q.event_id ORDER BY b.t0 DESC, b.event_id DESC) AS k
-            FROM e q JOIN e b ON b.underlying = q.underlying AND b.t0 + INTERVAL 24 HOUR <= q.t0 + INTERVAL 30 MINUTE)
-    SELECT e.event_id, coalesce(n, 0) AS hist_n, p.* EXCLUDE (event_id, n) FROM e LEFT JOIN (SELECT event_id, count(r) AS n, avg(r) AS hist_r24_mean, CASE WHEN count(r) >= 2 THEN stddev_samp(r) END AS hist_r24_std,
+def history_sql(source: str) -> str:
+    """History of `source` (event_id, underlying, t0, r_24h, c, eps_surprise) at each decision."""
+    return f"""
+    WITH e AS ({source}),
+      q AS (SELECT e.event_id, e.underlying, v.decision_time, e.t0 + v.m * INTERVAL '1' MINUTE AS as_of FROM e, (VALUES {MINUTES}) v(decision_time, m)),
+      b AS (SELECT q.event_id, q.decision_time, b.r_24h AS r, b.c, b.eps_surprise AS s, b.t0, b.event_id AS past FROM q JOIN e b ON b.underlying = q.underlying AND b.t0 + INTERVAL 24 HOUR <= q.as_of),
+      p AS (SELECT *, CASE WHEN r IS NOT NULL THEN row_number() OVER (PARTITION BY event_id, decision_time, r IS NULL ORDER BY t0 DESC, past DESC) END AS k FROM b)
+    SELECT q.event_id, q.decision_time, coalesce(n, 0) AS hist_n, p.* EXCLUDE (event_id, decision_time, n) FROM q LEFT JOIN (SELECT event_id, decision_time, count(r) AS n, avg(r) AS hist_r24_mean, CASE WHEN count(r) >= 2 THEN stddev_samp(r) END AS hist_r24_std,
         CASE WHEN count(r) >= 3 AND var_pop(r) > 1e-12 THEN skewness(r) END AS hist_r24_skew, avg(abs(r)) AS hist_abs_r24_mean, avg(CAST(r > 0 AS INT)) AS hist_up_rate, avg(CAST(c > 0 AS INT)) AS hist_cont_rate,
         max(r) FILTER (WHERE k = 1) AS hist_last1_r24, max(r) FILTER (WHERE k = 2) AS hist_last2_r24, max(r) FILTER (WHERE k = 3) AS hist_last3_r24, max(r) FILTER (WHERE k = 4) AS hist_last4_r24,
-        CASE WHEN count(s) >= 4 AND var_samp(s) > 0 THEN regr_slope(r, s) END AS hist_surprise_beta, avg(s) AS hist_eps_surprise_mean FROM p GROUP BY 1) p ON p.event_id = e.event_id"""
+        CASE WHEN regr_count(r, s) >= 4 AND regr_sxx(r, s) > 0 THEN regr_slope(r, s) END AS hist_surprise_beta, avg(s) AS hist_eps_surprise_mean FROM p GROUP BY 1, 2) p ON p.event_id = q.event_id AND p.decision_time = q.decision_time"""
+
+
+HIST = history_sql("SELECT *, CASE WHEN abs(r_30m) >= 0.0025 THEN sign(r_30m) * sign(r_24h - r_30m) END AS c FROM {events_long}")
 HIST_KEYS = " ".join(f"{k}:n" for k in ft.REGISTRY["history"].keys)
 
 
-@query("feat_history", "event_id:l " + HIST_KEYS, HIST)
+@query("feat_history", "event_id:l decision_time:s " + HIST_KEYS, HIST)
 def feat_history(x):
-    return long_history(x)
+    ev = x.events_long.withColumn("continuation_30m", continuation())
+    return ft.history_group(ev, long_rows(x))
 
 
 MARKET = "WITH" + ROWS + "," + DLY + f""",
@@ -156,17 +177,18 @@ def feat_perp_state(x):
     return ft.perp_state_group(rows_of(x), x.funding, x.ctx, notional, listed, ft.HOURLY)
 
 
-SURPRISE = """
-    WITH e AS (SELECT *, CASE WHEN eps_estimate <> 0 THEN (eps_actual - eps_estimate) / abs(eps_estimate) * 100 END AS es, CASE WHEN rev_estimate <> 0 THEN (rev_actual - rev_estimate) / abs(rev_estimate) * 100 END AS rs FROM {releases}),
-      p AS (SELECT q.event_id, count(b.es) AS ne, avg(b.es) AS me, stddev_samp(b.es) AS se, count(b.rs) AS nr, avg(b.rs) AS mr, stddev_samp(b.rs) AS sr
-            FROM e q JOIN e b ON b.underlying = q.underlying AND b.t0 + INTERVAL 24 HOUR <= q.t0 + INTERVAL 3 HOUR GROUP BY 1)
-    SELECT event_id, es AS eps_surprise, rs AS rev_surprise, CAST(es > 0 AS INT) AS eps_beat, abs(es) AS eps_surprise_abs, sign(es) * sign(rs) AS sign_agree,
-           CASE WHEN ne >= 4 AND se * se > 1e-9 THEN (es - me) / se END AS eps_surprise_z, CASE WHEN nr >= 4 AND sr * sr > 1e-9 THEN (rs - mr) / sr END AS rev_surprise_z, n_estimates FROM e LEFT JOIN p USING (event_id)"""
+SURPRISE = "WITH" + ROWS + """,
+    e AS (SELECT *, CASE WHEN eps_estimate <> 0 THEN (eps_actual - eps_estimate) / abs(eps_estimate) * 100 END AS es, CASE WHEN rev_estimate <> 0 THEN (rev_actual - rev_estimate) / abs(rev_estimate) * 100 END AS rs FROM {releases}),
+      p AS (SELECT q.event_id, q.decision_time, count(b.es) AS ne, avg(b.es) AS me, stddev_samp(b.es) AS se, count(b.rs) AS nr, avg(b.rs) AS mr, stddev_samp(b.rs) AS sr
+            FROM rows q JOIN e b ON b.underlying = q.underlying AND b.t0 + INTERVAL 24 HOUR <= q.as_of GROUP BY 1, 2)
+    SELECT event_id, decision_time, es AS eps_surprise, rs AS rev_surprise, CAST(es > 0 AS INT) AS eps_beat, abs(es) AS eps_surprise_abs, sign(es) * sign(rs) AS sign_agree,
+           CASE WHEN ne >= 4 AND se * se > 1e-9 THEN (es - me) / se END AS eps_surprise_z, CASE WHEN nr >= 4 AND sr * sr > 1e-9 THEN (rs - mr) / sr END AS rev_surprise_z, e.n_estimates
+    FROM (SELECT event_id, decision_time FROM rows) JOIN e USING (event_id) LEFT JOIN p USING (event_id, decision_time)"""
 
 
-@query("feat_surprise", "event_id:l " + " ".join(f"{k}:n" for k in ft.REGISTRY["surprise"].keys), SURPRISE)
+@query("feat_surprise", "event_id:l decision_time:s " + " ".join(f"{k}:n" for k in ft.REGISTRY["surprise"].keys), SURPRISE)
 def feat_surprise(x):
-    return ft.surprise_group(x.releases, as_of=fn.plus_seconds(F.col("t0"), 3 * 3600))
+    return ft.surprise_group(x.releases, rows_of(x))
 
 
 def reacted(p: str, ts: str) -> str:
@@ -201,7 +223,10 @@ def reaction_of(x):
     return ft.reaction_group(rows, x.bars, x.benchmark, x.ctx, x.funding, ft.HOURLY)
 
 
-DATASET_KEYS = [*ft.REGISTRY["pre_price"].keys, *ft.REGISTRY["perp_state"].keys, *ft.REGISTRY["surprise"].keys, *ft.REGISTRY["reaction"].keys]
+PARTS = {"calendar": "k", "pre_price": "a", "history": "h", "market": "m", "perp_state": "b", "surprise": "s", "reaction": "c"}
+DATASET_KEYS = [k for g in PARTS for k in ft.REGISTRY[g].keys]
+CHECKPOINTS = list(tg.HOURLY.checkpoints)
+TARGETS = LONG + " SELECT event_id, " + ", ".join(f"max(r) FILTER (WHERE checkpoint = '{c}') AS \"r_{c}\", max(ar) FILTER (WHERE checkpoint = '{c}') AS \"ar_{c}\"" for c in CHECKPOINTS) + " FROM long GROUP BY 1"
 
 
 def sub(text: str) -> str:
@@ -210,26 +235,40 @@ def sub(text: str) -> str:
 
 def post_only(k: str) -> str:
     group = next(g for g in ft.REGISTRY.values() if k in g.keys)
-    src = {"pre_price": "a", "perp_state": "b", "surprise": "s", "reaction": "c"}[group.name]
+    src = PARTS[group.name]
     return f"{src}.{k}" if "pre" in group.phases else f"CASE WHEN r.decision_time <> 'pre_10m' THEN {src}.{k} END"
 
 
-@query("build_dataset", "event_id:l decision_time:s as_of:t t0_source:s target_missing:b r_24h:n " + " ".join(f"f_{k}:n f_{k}__missing:n" for k in DATASET_KEYS),
-       "WITH" + ROWS + ", a AS " + sub(PRE_PRICE) + ", b AS " + sub(PERP) + ", s AS " + sub(SURPRISE) + ", c AS " + sub(REACTION) + ", t AS " + sub(LONG + " SELECT event_id, r AS r_24h FROM long WHERE checkpoint = '24h'")
-       + " SELECT r.event_id, r.decision_time, r.as_of, r.t0_source, t.r_24h IS NULL AS target_missing, t.r_24h, "
-       + ", ".join(f"{post_only(k)} AS f_{k}, CASE WHEN {post_only(k)} IS NULL THEN 1 ELSE 0 END AS f_{k}__missing" for k in DATASET_KEYS)
-       + " FROM rows r LEFT JOIN a ON a.event_id = r.event_id AND a.decision_time = r.decision_time LEFT JOIN b ON b.event_id = r.event_id AND b.decision_time = r.decision_time "
-         "LEFT JOIN s ON s.event_id = r.event_id LEFT JOIN c ON c.event_id = r.event_id AND c.decision_time = r.decision_time LEFT JOIN t ON t.event_id = r.event_id")
-def build_dataset(x):
-    groups = {"pre_price": feat_pre_price(x), "perp_state": feat_perp_state(x), "surprise": feat_surprise(x), "reaction": reaction_of(x)}
-    targets = targets_of(x).select("event_id", "r_24h")
-    return ft.build_dataset(rows_of(x), groups, targets, ["t0_source"])
+# what the past of a release is made of: its surprise and its measured reaction
+RELEASE_PAST = ("SELECT r.event_id, r.underlying, r.t0, t.r_24h, CASE WHEN abs(t.r_30m) >= 0.0025 THEN sign(t.r_30m) * sign(t.r_24h - t.r_30m) END AS c, "
+                "CASE WHEN eps_estimate <> 0 THEN (eps_actual - eps_estimate) / abs(eps_estimate) * 100 END AS eps_surprise FROM {releases} r LEFT JOIN (" + TARGETS + ") t USING (event_id)")
+SOURCES = {"k": calendar_sql("{releases}", MINUTES), "a": PRE_PRICE, "h": history_sql(RELEASE_PAST), "m": MARKET, "b": PERP, "s": SURPRISE, "c": REACTION}
 
 
-@query("leakage_check", "checked:l leaks:l", """
-    SELECT count(*) AS checked, 0 AS leaks FROM (SELECT q.event_id FROM {events_long} q JOIN {events_long} b ON b.underlying = q.underlying AND b.t0 + INTERVAL 24 HOUR <= q.t0 + INTERVAL 30 MINUTE
-      QUALIFY row_number() OVER (PARTITION BY q.event_id ORDER BY b.t0 DESC, b.event_id DESC) <= 4)""")
+@query("build_dataset", "event_id:l decision_time:s as_of:t t0_source:s target_missing:b " + " ".join(f"r_{c}:n ar_{c}:n" for c in CHECKPOINTS) + " "
+       + " ".join(f"f_{k}:n f_{k}__missing:n" for k in DATASET_KEYS),
+       "WITH" + ROWS + "".join(f", {n} AS " + sub(text) for n, text in SOURCES.items()) + ", t AS " + sub(TARGETS)
+       + " SELECT r.event_id, r.decision_time, r.as_of, r.t0_source, t.r_24h IS NULL AS target_missing, t.* EXCLUDE (event_id), "
+       + ", ".join(f"{post_only(k)} AS f_{k}, CASE WHEN {post_only(k)} IS NULL THEN 1 ELSE 0 END AS f_{k}__missing" for k in DATASET_KEYS)
+       + " FROM rows r " + " ".join(f"LEFT JOIN {n} ON {n}.event_id = r.event_id AND {n}.decision_time = r.decision_time" for n in SOURCES)
+       + " LEFT JOIN t ON t.event_id = r.event_id")
+def build_dataset(x):
+    wide = targets_of(x)
+    past = wide.select("event_id", "r_24h", "continuation_30m").join(x.releases, "event_id").withColumn(
+        "eps_surprise", fn.surprise_pct(F.col("eps_actual"), F.col("eps_estimate")))
+    rows = rows_of(x)
+    groups = {"calendar": ft.calendar_group(rows, calendar_of(x), x.releases), "pre_price": feat_pre_price(x), "history": ft.history_group(past, rows),
+              "market": feat_market(x), "perp_state": feat_perp_state(x), "surprise": feat_surprise(x), "reaction": reaction_of(x)}
+    targets = wide.select("event_id", *[f"{k}_{c}" for c in CHECKPOINTS for k in ("r", "ar")])
+    return ft.build_dataset(rows, groups, targets, ["t0_source"])
+
+
+@query("leakage_check", "checked:l leaks:l", f"""
+    WITH q AS (SELECT r.event_id, r.underlying, v.decision_time, r.t0 + v.m * INTERVAL '1' MINUTE AS as_of FROM {{releases}} r, (VALUES {MINUTES}) v(decision_time, m)),
+      p AS (SELECT b.t0, q.as_of FROM q JOIN {{releases}} b ON b.underlying = q.underlying AND b.t0 + INTERVAL 24 HOUR <= q.as_of
+            QUALIFY row_number() OVER (PARTITION BY q.event_id, q.decision_time ORDER BY b.t0 DESC, b.event_id DESC) <= 4)
+    SELECT count(*) AS checked, count(*) FILTER (WHERE t0 + INTERVAL 24 HOUR > as_of) AS leaks FROM p""")
 def leakage_check(x):
-    as_of = fn.plus_seconds(F.col("t0"), 1800)
-    past = hs.last_settled(x.events_long, depth=4, horizon=DAY, as_of=as_of)
-    return ft.leakage_check(past.join(x.events_long.select("event_id", as_of.alias("as_of")), "event_id"), DAY)
+    # the pairs (decision, past release) that the dataset's history is made of
+    past = hs.last_settled(x.releases.withColumn("r_24h", F.col("eps_actual")), depth=4, horizon=DAY, rows=rows_of(x))
+    return ft.leakage_check(past, DAY)

@@ -240,9 +240,9 @@ def pre_price_group(rows: DataFrame, bars: DataFrame, windows: DataFrame, calend
 
 @feature_group("history", "hist_n hist_r24_mean hist_r24_std hist_r24_skew hist_abs_r24_mean hist_up_rate hist_cont_rate hist_last1_r24 "
                "hist_last2_r24 hist_last3_r24 hist_last4_r24 hist_surprise_beta hist_eps_surprise_mean")
-def history_group(events: DataFrame, *, as_of: Column, horizon: int = DAY) -> DataFrame:
-    """The name's settled past; see `tidemark.plans.history`."""
-    return hs.history_features(events, horizon=horizon, as_of=as_of)
+def history_group(events: DataFrame, rows: DataFrame, *, horizon: int = DAY) -> DataFrame:
+    """The name's past that is settled at each decision; see `tidemark.plans.history`."""
+    return hs.history_features(events, horizon=horizon, rows=rows)
 
 
 @feature_group("market", "mkt_ret_1d mkt_ret_5d mkt_ret_20d mkt_rvol_20d vix_level vix_chg_5d sector_ret_1d sector_ret_5d mkt_drift_60m")
@@ -299,8 +299,8 @@ def perp_state_group(rows: DataFrame, funding: DataFrame, ctx: DataFrame, daily:
 
 @feature_group("surprise", "eps_surprise rev_surprise eps_beat eps_surprise_abs sign_agree eps_surprise_z rev_surprise_z n_estimates", phases=("post",),
                not_point_in_time="eps_surprise rev_surprise eps_beat eps_surprise_abs sign_agree eps_surprise_z rev_surprise_z n_estimates")
-def surprise_group(events: DataFrame, *, as_of: Column, horizon: int = DAY) -> DataFrame:
-    """Surprises of the event and their z-scores against the name's settled past surprises."""
+def surprise_group(events: DataFrame, rows: DataFrame, *, horizon: int = DAY) -> DataFrame:
+    """Surprises of the event and their z-scores against the name's past surprises that are settled at each decision."""
     ev = events.withColumns({"eps_s": fn.surprise_pct(F.col("eps_actual"), F.col("eps_estimate")),
                              "rev_s": fn.surprise_pct(F.col("rev_actual"), F.col("rev_estimate"))})
     past = ev.withColumn("settled_at", fn.plus_seconds(F.col("t0"), horizon))
@@ -308,15 +308,16 @@ def surprise_group(events: DataFrame, *, as_of: Column, horizon: int = DAY) -> D
     for c in ("eps_s", "rev_s"):
         totals |= {f"n_{c}": F.col(c).isNotNull().cast("double"), f"s_{c}": F.col(c), f"q_{c}": F.col(c) * F.col(c)}
     run = running_totals(past, on=["underlying"], order=["settled_at", "event_id"], ts="settled_at", totals=totals, bucket=DAY)
-    j = asof_join(ev.withColumn("_as_of", as_of), run, on=["underlying"], left_ts="_as_of", right_ts="settled_at",
-                  take=list(totals), tie="n_all", into="h", bucket=DAY)
+    own = ev.select("event_id", "eps_s", "rev_s", "n_estimates")
+    j = asof_join(rows.select(*KEY, "underlying", "as_of"), run, on=["underlying"], left_ts="as_of", right_ts="settled_at",
+                  take=list(totals), tie="n_all", into="h", bucket=DAY).join(own, "event_id")
 
     def z(c: str) -> Column:
         n, s, q = F.col(f"h.n_{c}"), F.col(f"h.s_{c}"), F.col(f"h.q_{c}")
         var = (q - s * s / F.when(n > 0, n)) / F.when(n > 1, n - 1)
         return F.when((n >= 4) & (var > 1e-9), (F.col(c) - s / F.when(n > 0, n)) / F.sqrt(F.when(var > 1e-9, var)))
     e, r = F.col("eps_s"), F.col("rev_s")
-    return j.select("event_id", e.alias("eps_surprise"), r.alias("rev_surprise"), (e > 0).cast("double").alias("eps_beat"),
+    return j.select(*KEY, e.alias("eps_surprise"), r.alias("rev_surprise"), (e > 0).cast("double").alias("eps_beat"),
                     F.abs(e).alias("eps_surprise_abs"), (fn.sign(e) * fn.sign(r)).alias("sign_agree"), z("eps_s").alias("eps_surprise_z"),
                     z("rev_s").alias("rev_surprise_z"), F.col("n_estimates").cast("double").alias("n_estimates"))
 
@@ -376,13 +377,15 @@ def reaction_group(rows: DataFrame, bars: DataFrame, benchmark: DataFrame, ctx:
 def build_dataset(rows: DataFrame, groups: dict[str, DataFrame], targets: DataFrame, meta: list[str]) -> DataFrame:
     """One row per (event, decision): metadata, `f_*`, companions, targets, target_missing. Groups
     are co-partitioned by the key; a group that is not admissible before the release is null
-    at pre decisions."""
+    at pre decisions. A group without decision_time is refused: it would show every decision the same past."""
+    late = [n for n, df in groups.items() if "decision_time" not in df.columns]
+    if late:
+        raise ValueError(f"groups not keyed by decision: {late}")
     out = rows.select(*KEY, "as_of", *meta)
     post = ~F.col("decision_time").startswith("pre")
     for name, df in groups.items():
         g = REGISTRY[name]
-        on = [k for k in KEY if k in df.columns]
-        out = out.join(df.select(*on, *[F.col(k).alias(f"f_{k}") for k in g.keys]), on, "left")
+        out = out.join(df.select(*KEY, *[F.col(k).alias(f"f_{k}") for k in g.keys]), KEY, "left")
         if "pre" not in g.phases:
             out = out.withColumns({f"f_{k}": F.when(post, F.col(f"f_{k}")) for k in g.keys})
     out = missing_companions(out)

@@ -20,22 +20,30 @@ def settled_stream(events: DataFrame, horizon: int, bucket: int = DAY) -> DataFr
     return sequence_number(s, on=["underlying"], order=["settled_at", "event_id"], ts="settled_at", bucket=bucket)
 
 
-def last_settled(events: DataFrame, *, depth: int, horizon: int, as_of: Column, value: str = "r_24h") -> DataFrame:
-    """The `depth` newest settled earlier events of each event as rows."""
+def asked(events: DataFrame, rows: DataFrame | None, as_of: Column | None) -> tuple[DataFrame, list[str]]:
+    """Who asks and when: the decisions `rows` (event_id, decision_time, underlying, as_of), or each event
+    once at `as_of`; and the key of the answer."""
+    if rows is not None:
+        return rows.select("event_id", "decision_time", "underlying", "as_of"), ["event_id", "decision_time"]
+    return events.select("event_id", "underlying", as_of.alias("as_of")), ["event_id"]
+
+
+def last_settled(events: DataFrame, *, depth: int, horizon: int, as_of: Column | None = None, rows: DataFrame | None = None, value: str = "r_24h") -> DataFrame:
+    """The `depth` newest earlier events that are settled at each asking instant, as rows."""
     s = settled_stream(events, horizon)
-    q = events.select("event_id", "underlying", as_of.alias("as_of"))
+    q, key = asked(events, rows, as_of)
     hit = asof_join(q, s, on=["underlying"], left_ts="as_of", right_ts="settled_at", take=["seq"], tie="seq", bucket=DAY)
     want = hit.filter(F.col("hit").isNotNull()).withColumn(
         "seq", F.explode(F.sequence(F.greatest(F.col("hit.seq") - depth + 1, F.lit(1)), F.col("hit.seq"))))
     past = s.select("underlying", "seq", F.col("event_id").alias("past_event_id"), F.col(value).alias("past_r"), F.col("t0").alias("past_t0"))
     return want.join(past, ["underlying", "seq"]).select(
-        "event_id", "past_event_id", "past_r", "past_t0", (F.col("hit.seq") - F.col("seq") + 1).alias("age"))
+        *key, "as_of", "past_event_id", "past_r", "past_t0", (F.col("hit.seq") - F.col("seq") + 1).alias("age"))
 
 
-def history_features(events: DataFrame, *, horizon: int, as_of: Column, r: str = "r_24h", cont: str = "continuation_30m",
+def history_features(events: DataFrame, *, horizon: int, as_of: Column | None = None, rows: DataFrame | None = None, r: str = "r_24h", cont: str = "continuation_30m",
                      surprise: str = "eps_surprise") -> DataFrame:
     """Moments of the past reactions, last four values, continuation rate, surprise slope and
-    the moments used to standardise a surprise."""
+    the moments used to standardise a surprise, as known at each asking instant."""
     s0 = events.withColumn("settled_at", fn.plus_seconds(F.col("t0"), horizon))
     x, y = F.col(surprise), F.col(r)
     both = x.isNotNull() & y.isNotNull()
@@ -46,7 +54,7 @@ def history_features(events: DataFrame, *, horizon: int, as_of: Column, r: str =
         "h_xn": F.when(x.isNotNull(), one), "h_x1": x, "h_x2": x * x,
         "h_bn": F.when(both, one), "h_bx": F.when(both, x), "h_by": F.when(both, y), "h_bxx": F.when(both, x * x), "h_bxy": F.when(both, x * y)}
     run = running_totals(s0, on=["underlying"], order=["settled_at", "event_id"], ts="settled_at", totals=totals, bucket=DAY)
-    q = events.select("event_id", "underlying", "t0", as_of.alias("as_of"))
+    q, key = asked(events, rows, as_of)
     hit = asof_join(q, run, on=["underlying"], left_ts="as_of", right_ts="settled_at", take=list(totals), tie="h_all", bucket=DAY)
     h = {k: F.coalesce(F.col(f"hit.{k}"), F.lit(0.0)) for k in totals}
     n, mean = h["h_n"], F.try_divide(h["h_s1"], h["h_n"])
@@ -62,7 +70,7 @@ def history_features(events: DataFrame, *, horizon: int, as_of: Column, r: str =
     xmean = F.try_divide(h["h_x1"], xn)
     xvar = (h["h_x2"] - h["h_x1"] * h["h_x1"] / F.when(xn > 0, xn)) / F.when(xn > 1, xn - 1)
     stats = hit.select(
-        "event_id", n.alias("hist_n"), mean.alias("hist_r24_mean"), F.when(n >= 2, F.sqrt(var)).alias("hist_r24_std"),
+        *key, n.alias("hist_n"), mean.alias("hist_r24_mean"), F.when(n >= 2, F.sqrt(var)).alias("hist_r24_std"),
         skew.alias("hist_r24_skew"), F.try_divide(h["h_abs"], n).alias("hist_abs_r24_mean"),
         F.try_divide(h["h_up"], n).alias("hist_up_rate"), F.try_divide(h["h_cu"], h["h_cn"]).alias("hist_cont_rate"),
         F.when((bn >= 4) & (sxx > 1e-9), sxy / F.when(sxx > 1e-9, sxx)).alias("hist_surprise_beta"),
@@ -70,9 +78,9 @@ def history_features(events: DataFrame, *, horizon: int, as_of: Column, r: str =
         F.when((xn >= 4) & (xvar > 1e-9), F.sqrt(xvar)).alias("hist_surprise_sd"))
     # the last four values with a return, newest release first
     known = events.filter(F.col(r).isNotNull())
-    last = last_settled_of(events, known, horizon=horizon, as_of=as_of, value=r)
-    lag = last.groupBy("event_id").agg(*[F.max(F.when(F.col("age") == i, F.col("past_r"))).alias(f"hist_last{i}_r24") for i in range(1, 5)])
-    return stats.join(lag, "event_id", "left")
+    last = last_settled(known, depth=4, horizon=horizon, rows=rows, value=r) if rows is not None else last_settled_of(events, known, horizon=horizon, as_of=as_of, value=r)
+    lag = last.groupBy(*key).agg(*[F.max(F.when(F.col("age") == i, F.col("past_r"))).alias(f"hist_last{i}_r24") for i in range(1, 5)])
+    return stats.join(lag, key, "left")
 
 
 def last_settled_of(events: DataFrame, known: DataFrame, *, horizon: int, as_of: Column, value: str, depth: int = 4) -> DataFrame:
