@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -11,6 +12,7 @@ def local_session(cores: int | str = 8, memory: str = "16g") -> SparkSession:
     """A session for tests and benchmarks on one machine. Call-site capture is off: on wide
     plans it costs more than building the plan."""
     return (SparkSession.builder.master(f"local[{cores}]").appName("tidemark")
+            .config("spark.checkpoint.dir", _scratch().name).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.shuffle.partitions", str(cores)).config("spark.driver.memory", memory)
             .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
@@ -28,18 +30,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_LOCAL: dict[str, str] = {}
+@cache
+def _scratch() -> tempfile.TemporaryDirectory:
+    """The folder of an in-process session; it goes when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="tidemark-", ignore_cleanup_errors=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables, as the cluster names it in
-    ``spark.checkpoint.dir``. Only an in-process master may fall back to a local folder."""
+    ``spark.checkpoint.dir``. Only an in-process master may go without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        app = spark.sparkContext.applicationId
-        root = _LOCAL.setdefault(app, _LOCAL.get(app) or tempfile.mkdtemp(prefix="tidemark-"))
+        root = _scratch().name
     return root.rstrip("/")
 
 
