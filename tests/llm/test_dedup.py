@@ -71,11 +71,13 @@ def test_lines_keep_other_columns_null_ids_and_empty_tables(spark):
     got = {(r["doc_id"], r["text"], r["source"]) for r in line_dedup.dedup(df).collect()}
     assert got == {(1, "a long line here", "src"), (None, "a long line here", "s2"), (2, "", None)}
     assert line_dedup.dedup(df.limit(0)).collect() == []
+    twice = made(spark, [(1, "a long line here"), (2, "x\na long line here"), (2, "a long line here\ny\nA LONG line here"), (2, "x\na long line here")])
+    assert sorted(r["text"] for r in line_dedup.dedup(twice).collect() if r["doc_id"] == 2) == ["x", "x", "y"]
 
 
 def test_lines_are_reversible(spark, docs, monkeypatch):
     def gone(state):
-        return {(r["doc_id"], bytes(k)) for r in line_dedup.drops(state).collect() for k in r["keys"]}
+        return {(r["doc_id"], p) for r in line_dedup.drops(state).collect() for p in r["places"]}
 
     a, b = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
     whole, half = line_dedup.build(docs), line_dedup.build(a)

@@ -1,6 +1,6 @@
 """Reversible line dedup.
 
-The truth is two tables: holders (key, doc_id), one row per line key and document, and counts (key,
+The truth is two tables: holders (key, doc_id, ...), one row per line key and text, and counts (key,
 n_docs, first_doc), exact reference counts. Keys that at least two documents hold also stand in
 cuckoo filters, one per shard of the key space; a filter supports deletion, so taking documents out
 undoes what they brought in. Lines are first tried against the filters, and only those that a filter
@@ -100,7 +100,7 @@ class CuckooFilter:
 
 @dataclass(frozen=True)
 class State:
-    holders: DataFrame  # key binary, doc_id long: each pair once
+    holders: DataFrame  # key binary, doc_id long, text_hash long, places array<int>: the lines of a text with that key
     counts: DataFrame   # key binary, n_docs long, first_doc long
     filters: DataFrame  # shard int, cells binary
     shards: int
@@ -114,21 +114,31 @@ def key_of(line: bytes, least: int = MIN_CHARS) -> bytes | None:
     return hashlib.blake2b(line, digest_size=16).digest()
 
 
+HOLDERS = "key binary, doc_id long, text_hash long, places array<int>"
+
+
 def holders_of(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """The keys of each text and the places, from 0, of the lines that have them."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = [], []
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = {k for k in (key_of(line, least) for line in raw.split(b"\n")) if k}
-                ids += [doc] * len(own)
-                out += own
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
-
-    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return texts.mapInArrow(keys, "key binary, doc_id long")
-
-
-def count(holders: DataFrame) -> DataFrame:
+            rows = []
+            for doc, text_hash, raw in zip(*(c.to_pylist() for c in b.columns)):
+                own: dict[bytes, list[int]] = {}
+                for i, line in enumerate(raw.split(b"\n")):
+                    if k := key_of(line, least):
+                        own.setdefault(k, []).append(i)
+                rows += [(k, doc, text_hash, places) for k, places in own.items()]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32())))],
+                                             ["key", "doc_id", "text_hash", "places"])
+
+    texts = docs.filter("doc_id is not null and text is not null")
+    return texts.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary")).mapInArrow(keys, HOLDERS)
+
+
+def count(holders: DataFrame, repeats: bool = False) -> DataFrame:
+    """Reference counts; with `repeats`, texts that share a doc_id count once."""
+    holders = holders.select("key", "doc_id").distinct() if repeats else holders
     return holders.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
@@ -139,7 +149,7 @@ def shard_of(key: str, shards: int):
 def build(docs: DataFrame, least: int = MIN_CHARS) -> State:
     """State of `docs`; rows that repeat a doc_id are one document."""
     holders = stored(holders_of(docs, least), "holders")
-    counts = stored(count(holders.distinct()) if _repeats(docs) else count(holders), "counts")
+    counts = stored(count(holders, _repeats(docs)), "counts")
     shards = min(SHARDS_MOST, 1 + counts.filter("n_docs > 1").count() // SHARD_KEYS)
     return State(holders, counts, stored(_filters(counts.filter("n_docs > 1").select("key"), shards), "filters"), shards)
 
@@ -158,8 +168,9 @@ def _filters(keys: DataFrame, shards: int) -> DataFrame:
 
 def insert(state: State, docs: DataFrame, least: int = MIN_CHARS) -> State:
     """The state with more documents; documents it already has add nothing."""
-    new = stored(holders_of(docs, least).distinct().join(state.holders, ["key", "doc_id"], "left_anti"), "holders")
-    more = count(new).select("key", F.col("n_docs").alias("more"), F.col("first_doc").alias("lower"))
+    known = state.holders.select("doc_id").distinct()
+    new = stored(holders_of(docs, least).join(known, "doc_id", "left_anti").select(*state.holders.columns), "holders")
+    more = count(new, True).select("key", F.col("n_docs").alias("more"), F.col("first_doc").alias("lower"))
     counts = stored(state.counts.join(more, "key", "full").select(
         "key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"),
         F.least("first_doc", "lower").alias("first_doc"), F.coalesce("n_docs", F.lit(0)).alias("was")), "counts")
@@ -171,8 +182,8 @@ def delete(state: State, ids: DataFrame) -> State:
     """The state without the documents of `ids` (doc_id), as if they had never been inserted."""
     ids = ids.select("doc_id").distinct()
     gone = state.holders.join(ids, "doc_id", "left_semi").select("key").distinct()
-    left = stored(state.holders.join(ids, "doc_id", "left_anti").select("key", "doc_id"), "holders")
-    anew = count(left.join(gone, "key", "left_semi"))
+    left = stored(state.holders.join(ids, "doc_id", "left_anti").select(*state.holders.columns), "holders")
+    anew = count(left.join(gone, "key", "left_semi"), True)
     old = state.counts.join(gone, "key", "left_semi").select("key", F.col("n_docs").alias("was"))
     changed = stored(old.join(anew, "key", "left"), "counts")
     counts = stored(state.counts.join(gone, "key", "left_anti").union(changed.filter("n_docs is not null").select("key", "n_docs", "first_doc")), "counts")
@@ -225,41 +236,28 @@ def candidates(state: State) -> DataFrame:
                     maybe[own] = filters[s].holds(marks[own], places[own])
             yield b.filter(pa.array(maybe))
 
-    return state.holders.mapInArrow(probed, "key binary, doc_id long")
+    return state.holders.mapInArrow(probed, HOLDERS)
 
 
 def drops(state: State) -> DataFrame:
-    """(doc_id, keys): the keys whose lines a document loses, another document with a smaller id holding them."""
+    """(doc_id, text_hash, places): the lines a text loses, a document with a smaller id holding their keys."""
     counts = stored(state.counts.filter("n_docs > 1"), "repeated")
     total = state.holders.count()
     found = attach(candidates(state), counts, ["key"], "n_docs", total, "doc_id")
-    return found.filter("first_doc < doc_id").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    return found.filter("first_doc < doc_id").groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
-def apply(docs: DataFrame, gone: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def apply(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """`docs` with `text` rid of the lines of `gone`, and n_lines, n_dropped. A null text becomes empty."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, lines, dropped = [], [], []
-            for text, keys in zip(b.column("text").to_pylist(), b.column("_keys").to_pylist()):
-                all_lines = (text or "").split("\n")
-                kept, own = all_lines, set(keys or ())
-                if own:
-                    kept = [x for x in all_lines if key_of(x.encode(), least) not in own]
-                texts.append(text or "" if len(kept) == len(all_lines) else "\n".join(kept))
-                lines.append(len(all_lines))
-                dropped.append(len(all_lines) - len(kept))
-            cols = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in b.schema.names if n != "_keys"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
-                                             [*(n for n in b.schema.names if n != "_keys"), "n_lines", "n_dropped"])
-
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys"))
-    return (docs.join(gone, docs["doc_id"] == gone["_id"], "left").drop("_id")
-            .mapInArrow(cut, f"{_ddl(docs)}, n_lines bigint, n_dropped bigint"))
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("places").alias("_places"))
+    out = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_own", F.xxhash64("text"))
+    out = out.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_places"))  # by hash, so long texts are no worse
+    rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(rest)
+    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size(lines).cast("long").alias("n_lines"),
+                      F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def dedup(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
@@ -269,4 +267,4 @@ def dedup(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     doc_id neither lose lines nor take any away; rows that share a doc_id are one document. Ties don't
     arise; an empty table gives an empty one."""
     state = build(docs.select("doc_id", "text"), least)
-    return apply(docs, drops(state), least)
+    return apply(docs, drops(state))
