@@ -73,3 +73,38 @@ def test_newer_tables_are_refused(spark, tmp_path):
     spark.range(3).withColumn("schema_version", F.lit(99)).write.parquet(path)
     with pytest.raises(PySparkException):
         ar.read_versioned(spark, path).collect()
+
+
+def test_calendar_follows_rules_without_an_end(spark):
+    import re
+    from datetime import date
+
+    from tidemark.sources.domain import DOMAIN
+    x = spark.createDataFrame([(date(y, m, d),) for y in (1995, 2001, 2004, 2012, 2018, 2025, 2026, 2031, 2038) for m in range(1, 13) for d in range(1, 29)], "d date")
+    text = re.sub(r"isodow\((\w+)\)", r"extract(DOW_ISO FROM \1)", DOMAIN["sessions"][0])
+    open_ = {r["d"] for r in spark.sql(text, days=x).collect()}
+    closed = [date(2001, 9, 11), date(2001, 9, 14), date(2004, 6, 11), date(2018, 12, 5), date(2025, 1, 9),
+              date(2026, 4, 3), date(2025, 4, 18), date(2031, 4, 11), date(2038, 4, 23), date(1995, 4, 14), date(2026, 9, 7), date(2026, 11, 26)]
+    assert not open_ & set(closed)
+    assert {date(2026, 9, 4), date(2026, 9, 8), date(2026, 4, 2), date(2026, 4, 6), date(2001, 9, 17), date(2001, 9, 10), date(2031, 4, 10)} <= open_
+
+
+def test_instants_outside_the_calendar_are_an_error(spark):
+    from datetime import date
+
+    from tidemark.sources.calendar import attach, day_dimension
+    days = spark.createDataFrame([(date(2026, 1, d),) for d in range(1, 9)], "d date")
+    sessions = spark.createDataFrame([(date(2026, 1, 5), datetime(2026, 1, 5, 14, 30), datetime(2026, 1, 5, 21))], "d date, open_ts timestamp, close_ts timestamp")
+    cal = day_dimension(days, sessions)
+    rows = spark.createDataFrame([(datetime(2026, 1, 5, 15),), (None,)], "t timestamp")
+    assert {r["is_open"] for r in attach(rows, cal, "t").collect()} == {True, None}
+    with pytest.raises(Exception, match="outside the calendar"):
+        attach(spark.createDataFrame([(datetime(2027, 1, 5),)], "t timestamp"), cal, "t").collect()
+
+
+def test_clock_readings_that_are_skipped_or_named_twice(spark):
+    t = spark.createDataFrame([(datetime(2026, 3, 8, 2, 30),), (datetime(2026, 7, 1, 12),), (datetime(2026, 11, 1, 1, 30),)], "t timestamp")
+    assert [r[0] for r in t.select(fn.to_utc(F.col("t"), strict=False)).collect()] == [datetime(2026, 3, 8, 7, 30), datetime(2026, 7, 1, 16), None]
+    assert t.filter("month(t) = 7").select(fn.to_utc(F.col("t"))).collect()[0][0] == datetime(2026, 7, 1, 16)
+    with pytest.raises(Exception, match="ambiguous"):
+        t.select(fn.to_utc(F.col("t"))).collect()

@@ -6,10 +6,10 @@ from tidemark.catalog.aggregates import SCORED
 from tidemark.catalog.projections import SUBSETS
 from tidemark.catalog.registry import query
 from tidemark.catalog.windows import FOLDS, folds_of
-from tidemark.functions import scalars as fn
 from tidemark.plans import baselines as bl
 from tidemark.plans import evaluate as ev
 from tidemark.plans import learners as ln
+from tidemark.plans import linear_folds as lf
 
 # features of the long event table, as the dataset names them
 FEATS = """SELECT event_id, t0, r_24h, r_24h AS y, sign(r_24h) AS direction, t0_confidence >= 0.6e0 AS trainable, has_perp, rvol_20d AS f_rvol_20d, r_30m AS f_r_30m,
@@ -134,47 +134,36 @@ FEATURES = ["f_rvol_20d", "f_r_30m", "f_eps_surprise", "f_hist_r24_mean"]
 # rounds of the registered tree query; the operator's own default is 500
 TREE_ROUNDS = 8
 
-
-def one_strength(n):
-    """Heads without a search, for the tables about fitted models."""
-    return ln.linear_heads((100.0,), (0.01,), n=n)
-
-
 PRED = "event_id:l fold:l model:s p_up:n r_hat:n magnitude_hat:n"
 
 
 @query("ml_linear", PRED)
 def ml_linear(x):
-    return ln.walk_forward(feats_of(x), folds_of(x), FEATURES, ln.linear_heads, "linear")
+    return lf.walk_forward(*ln.split(feats_of(x), folds_of(x)), FEATURES, "linear")
 
 
 @query("ml_boosted_trees", PRED)
 def ml_boosted_trees(x):
-    return ln.walk_forward(feats_of(x), folds_of(x), FEATURES, lambda n: ln.tree_heads(TREE_ROUNDS), "boosted_trees")
+    return ln.walk_forward(feats_of(x), folds_of(x), FEATURES, lambda: ln.tree_heads(TREE_ROUNDS), "boosted_trees")
 
 
-def fitted(x, heads):
-    train, test = ln.split(feats_of(x), folds_of(x))
-    return test, ln.fit_folds(train, ln.usable_folds(folds_of(x)), FEATURES, heads)
-
-
-@query("ml_contributions", "event_id:l fold:l feature:s push:n")
+@query("ml_contributions", "event_id:l fold:l head:s feature:s push:n")
 def ml_contributions(x):
-    test, models = fitted(x, one_strength)
-    return ln.stacked(x.spark, [ln.contributions(test, m) for m in models], "event_id bigint, fold int, feature string, push double")
+    train, test = ln.split(feats_of(x), folds_of(x))
+    return lf.contributions(test, lf.fit(train, FEATURES), FEATURES)
 
 
 @query("ml_importance", "fold:l feature:s importance:n")
 def ml_importance(x):
-    _, models = fitted(x, one_strength)
-    rows = [r for m in models for r in ln.weight_rows(m)]  # folds x heads x features
+    train, _ = ln.split(feats_of(x), folds_of(x))
+    rows = lf.weight_rows(lf.fit(train, FEATURES), FEATURES)  # folds x heads x features
     return ln.importances(x.spark.createDataFrame(rows, "fold int, head string, feature string, weight double"))
 
 
 @query("walk_forward_predict", "event_id:l fold:l model:s p_up:n r_hat:n magnitude_hat:n r_lo:n r_hi:n")
 def walk_forward_predict(x):
     ev_, folds = feats_of(x), folds_of(x)
-    preds = ln.walk_forward(ev_, folds, FEATURES, one_strength, "linear").unionByName(
+    preds = lf.walk_forward(*ln.split(ev_, folds), FEATURES, "linear").unionByName(
         bl.walk_forward(ev_, folds.filter("fold >= 0 OR held"), names=["base_rate", "sign_of_reaction"]).filter("fold >= 0").select(
             "event_id", "t0", "fold", "y", "model", "p_up", "r_hat", "magnitude_hat"))
     band = ev.residual_bands(preds.withColumn("r_true", F.col("y")), folds).select("model", "fold", "q10", "q90")
@@ -186,16 +175,15 @@ GROUPS = {"pre_price": ("f_rvol_20d",), "reaction": ("f_r_30m",), "surprise": ("
 TRIALS = (ln.Trial(0, ("pre_price", "reaction"), "r_24h", 4, 0.01), ln.Trial(1, ("reaction", "surprise", "history"), "r_24h", 40, 1.0), ln.Trial(2, ("surprise",), "r_24h", 8, 0.1))
 
 
-@query("trial_table", "trial:l value:n improvement:n n:l rank:l")
+@query("trial_table", "trial:l value:n improvement:n n:l p_noise:n rank:l")
 def trial_table(x):
     from tidemark.operators.topk import rank_trials
-    return rank_trials(ln.trial_table(feats_of(x), folds_of(x), GROUPS, TRIALS, min_train=400), value="value", higher=False, order="trial")
+    return rank_trials(ln.trial_table(feats_of(x), folds_of(x), GROUPS, TRIALS, min_train=400, replicates=REPLICATES), value="value", higher=False, order="trial")
 
 
 @query("train_final_table", "model:s cohort:s n_events:l q10:n q90:n band_source:s n:l")
 def train_final_table(x):
     ev_, folds = feats_of(x), folds_of(x)
     cohort = ln.final_cohort(ev_, min_train=400)
-    preds = ln.walk_forward(cohort.drop("cohort"), folds, FEATURES, one_strength, "linear")
     size = cohort.groupBy("cohort").agg(F.count("*").alias("n_events"))
-    return ln.final_band(preds).join(F.broadcast(size)).withColumn("band_source", F.lit("walk_forward"))
+    return ln.final_table(cohort.drop("cohort"), ev_, folds, FEATURES).join(F.broadcast(size))

@@ -1,4 +1,4 @@
-"""`pyspark.ml` learners walk-forward by season, and tables about them.
+"""Boosted trees of `pyspark.ml` walk-forward by season, and tables about learners. Linear heads are in `linear_folds`.
 
 Fits of independent (fold, head) pairs are submitted from a small thread pool; every fit is a
 distributed job over the cached rows of its fold. Fewer than `MIN_ROWS` training rows fall back
@@ -12,19 +12,18 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
 from tidemark.operators.ranks import exact_quantiles
 from tidemark.plans import baselines as bl
-from tidemark.plans.evaluate import training_rows, training_window
+from tidemark.plans import linear_folds as lf
+from tidemark.plans.evaluate import block_bootstrap, training_rows, training_window
 
 MIN_ROWS = 30
 KEYS = ["event_id", "fold"]
@@ -47,53 +46,25 @@ def preparation(features: Sequence[str]) -> Pipeline:
                             StandardScaler(withMean=True, inputCol="_raw", outputCol="features")])
 
 
-# Strengths tried, on standardised features
-RIDGE = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
-LOGISTIC_C = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0)
-CV_FOLDS = 5
-
-
-def linear_heads(alphas: Sequence[float] = RIDGE, cs: Sequence[float] = LOGISTIC_C, cv: int = CV_FOLDS, n: int = 1):
-    """Ridge for the return and L2 logistic for the direction, strength chosen by CV on a
-    deterministic split. The penalties are on sums over the `n` training rows, as alpha and 1 / C
-    are; the fitted objective is a mean, so they are divided by n."""
-    alphas, cs = [a / n for a in alphas], [1.0 / (c * n) for c in cs]
-    reg = LinearRegression(featuresCol="features", labelCol="y", predictionCol="_r", elasticNetParam=0.0, solver="normal", standardization=False)
-    clf = LogisticRegression(featuresCol="features", labelCol="label", predictionCol="_c", rawPredictionCol="_raw_c", probabilityCol="_prob",
-                             elasticNetParam=0.0, standardization=False)
-
-    def tuned(est, values, ev):
-        if len(values) == 1:
-            return est.copy({est.regParam: values[0]})
-        return CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().addGrid(est.regParam, list(values)).build(),
-                              evaluator=ev, numFolds=cv, foldCol="cv_fold", parallelism=2)
-    return (tuned(reg, alphas, RegressionEvaluator(labelCol="y", predictionCol="_r", metricName="rmse")),
-            tuned(clf, cs, BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="_raw_c")))
-
-
-def tree_heads(rounds: int = 500, depth: int = 3, n: int = 1):
+def tree_heads(rounds: int = 500, depth: int = 3):
     """Shallow boosted trees that stop early on a deterministic inner split."""
     common = dict(featuresCol="features", maxDepth=depth, minInstancesPerNode=20, maxIter=rounds, stepSize=0.05, validationIndicatorCol="inner_valid", seed=7)
     return (GBTRegressor(labelCol="y", predictionCol="_r", **common),
             GBTClassifier(labelCol="label", predictionCol="_c", **common).setRawPredictionCol("_raw_c").setProbabilityCol("_prob"))
 
 
-def best_of(model):
-    return getattr(model, "bestModel", model)
-
-
-def fit_fold(train: DataFrame, fold: int, features: Sequence[str], heads: Callable, cv: int = CV_FOLDS) -> Fitted:
+def fit_fold(train: DataFrame, fold: int, features: Sequence[str], heads: Callable) -> Fitted:
     """Both heads of one fold. `train`: event_id, y, direction and the features."""
     h = F.pmod(F.xxhash64("event_id"), F.lit(10))
     rows = train.filter(F.col("fold") == fold).withColumns({
-        "cv_fold": F.pmod(F.xxhash64("event_id"), F.lit(cv)).cast("int"), "inner_valid": h == 0, "label": F.when(F.col("direction") > 0, 1.0).when(F.col("direction") < 0, 0.0)})
+        "inner_valid": h == 0, "label": F.when(F.col("direction") > 0, 1.0).when(F.col("direction") < 0, 0.0)})
     prep = preparation(features).fit(rows)
-    z = prep.transform(rows).select("event_id", "y", "label", "cv_fold", "inner_valid", "features").persist()
+    z = prep.transform(rows).select("event_id", "y", "label", "inner_valid", "features").persist()
     try:
         n = z.agg(F.count("y").alias("n"), F.count("label").alias("d"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
-        reg, clf = heads(n=max(1, n["n"]))
-        ret = best_of(reg.fit(z.filter("y IS NOT NULL"))) if n["n"] >= MIN_ROWS else None
-        direction = best_of(clf.fit(z.filter("label IS NOT NULL"))) if n["d"] >= MIN_ROWS and n["lo"] < n["hi"] else None
+        reg, clf = heads()
+        ret = reg.fit(z.filter("y IS NOT NULL")) if n["n"] >= MIN_ROWS else None
+        direction = clf.fit(z.filter("label IS NOT NULL")) if n["d"] >= MIN_ROWS and n["lo"] < n["hi"] else None
     finally:
         z.unpersist()
     return Fitted(fold, prep, list(features), ret, direction)
@@ -155,25 +126,6 @@ def ensemble(preds: DataFrame, weights: dict[str, float], name: str = "ensemble"
     return out.filter(F.col("_n") == len(weights)).drop("_n").withColumn("model", F.lit(name))
 
 
-def coefficients(m: Fitted) -> list[tuple]:
-    """(fold, head, feature, coefficient) of the linear heads, plus a bias row each."""
-    out = []
-    for head, est in (("return", m.ret), ("direction", m.direction)):
-        if est is None:
-            continue
-        out += [(m.fold, head, f, float(c)) for f, c in zip(m.features, est.coefficients, strict=True)]
-        out.append((m.fold, head, "bias", float(est.intercept)))
-    return out
-
-
-def contributions(test: DataFrame, m: Fitted) -> DataFrame:
-    """coef x z of every feature of the return head plus the bias; they sum to r_hat."""
-    z = m.prep.transform(test.filter(F.col("fold") == m.fold)).withColumn("_z", vector_to_array("features"))
-    cells = [F.struct(F.lit(f).alias("feature"), (F.col("_z")[i] * float(c)).alias("push")) for i, (f, c) in enumerate(zip(m.features, m.ret.coefficients, strict=True))]
-    cells.append(F.struct(F.lit("bias").alias("feature"), F.lit(float(m.ret.intercept)).alias("push")))
-    return z.select("event_id", "fold", F.explode(F.array(*cells)).alias("_c")).select("event_id", "fold", "_c.*")
-
-
 def weight_rows(m: Fitted) -> list[tuple]:
     """(fold, head, feature, weight) of the fitted heads: gains of trees, coefficients of linear ones."""
     heads = {"return": m.ret, "direction": m.direction}
@@ -199,30 +151,21 @@ class Trial:
     alpha: float
 
 
-def trial_table(events: DataFrame, folds: DataFrame, groups: dict[str, tuple[str, ...]], trials: Sequence[Trial], *, min_train: int) -> DataFrame:
-    """Objective (mean absolute error of r) of every declared trial over all folds, against the
-    zero forecast. Trials and folds are small declared lists; each fit is a distributed job."""
+def trial_table(events: DataFrame, folds: DataFrame, groups: dict[str, tuple[str, ...]], trials: Sequence[Trial], *, min_train: int, replicates: int) -> DataFrame:
+    """Objective (mean absolute error of r) of every declared trial over all folds, against the zero forecast,
+    and how often a season bootstrap finds no improvement. Trials are a small declared list."""
     train, test = split(events, folds)
-    ks = usable_folds(folds)
-    parts = []
+    out = events.sparkSession.createDataFrame([], "trial int, event_id bigint, season string, day string, ae double, ae0 double")
     for t in trials:
         feats = [c for g in t.groups for c in groups[g]]
         rows = training_window(train.withColumn("y", F.col(t.target)), seasons=t.seasons, min_train=min_train)
-        heads = lambda n, a=t.alpha: (linear_heads((a,), n=n)[0], _NoHead())
-        for m in fit_folds(rows, ks, feats, heads):
-            if m.ret is None:
-                continue
-            z = m.ret.transform(m.prep.transform(test.filter(F.col("fold") == m.fold)))
-            parts.append(z.select(F.lit(t.no).alias("trial"), F.abs(F.col("r_24h") - F.col("_r")).alias("ae"), F.abs("r_24h").alias("ae0")))
-    out = stacked(events.sparkSession, parts, "trial int, ae double, ae0 double")
-    return out.groupBy("trial").agg(F.avg("ae").alias("value"), (F.avg("ae0") - F.avg("ae")).alias("improvement"), F.count("ae").alias("n"))
-
-
-class _NoHead:
-    """Placeholder of a head a trial does not fit."""
-
-    def fit(self, _):
-        return None
+        z = lf.scored(test, lf.fit(rows, feats, alphas=(t.alpha,), cs=()), feats).filter("push_r IS NOT NULL")
+        r = F.aggregate("push_r", F.lit(0.0), lambda a, v: a + v)
+        out = out.unionByName(z.select(F.lit(t.no).alias("trial"), "event_id", "season", F.date_format("t0", "yyyy-MM-dd").alias("day"),
+                                       F.abs(F.col(t.target) - r).alias("ae"), F.abs(t.target).alias("ae0")))
+    means = out.groupBy("trial").agg(F.avg("ae").alias("value"), (F.avg("ae0") - F.avg("ae")).alias("improvement"), F.count("ae").alias("n"))
+    noise = block_bootstrap(out.withColumn("gain", F.col("ae0") - F.col("ae")), by=["trial"], value="gain", replicates=replicates)
+    return means.join(noise.select("trial", "p_noise"), "trial", "left")
 
 
 def final_cohort(events: DataFrame, *, min_train: int) -> DataFrame:
@@ -233,6 +176,21 @@ def final_cohort(events: DataFrame, *, min_train: int) -> DataFrame:
         "cohort", F.when(F.col("_n") >= min_train, "has_perp").otherwise("all")).drop("_n")
 
 
-def final_band(preds: DataFrame) -> DataFrame:
-    """Residual band of out-of-sample predictions."""
-    return exact_quantiles(preds.withColumn("res", F.col("y") - F.col("r_hat")), by=["model"], value="res", probs={"q10": 0.1, "q90": 0.9})
+BAND_ROWS = 30
+
+
+def final_table(cohort: DataFrame, events: DataFrame, folds: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The final fit's residual band and where it comes from: out-of-sample residuals of the cohort, of all
+    events where those are fewer than `BAND_ROWS`, else the residuals of the final fit on its own rows. The
+    final fit uses every trainable row outside the holdout season."""
+    held = folds.filter("held").select("season")
+    own = cohort.filter("trainable").withColumn("season", fn.season(F.col("t0"))).join(F.broadcast(held), "season", "left_anti").withColumn("fold", F.lit(-1))
+    final = lf.fit(own, features)
+    rates = bl.base_rates(own)
+    tables = [("walk_forward", lf.walk_forward(*split(cohort, folds), features, "linear")), ("walk_forward_all_events", lf.walk_forward(*split(events, folds), features, "linear")),
+              ("in_sample", lf.predict(own, final, features, rates, "linear"))]
+    for source, preds in tables:
+        known = preds.filter("y IS NOT NULL")
+        if source == "in_sample" or len(known.select("event_id").limit(BAND_ROWS).collect()) >= BAND_ROWS:
+            return exact_quantiles(known.withColumn("res", F.col("y") - F.col("r_hat")), by=["model"], value="res", probs={"q10": 0.1, "q90": 0.9}).withColumn("band_source", F.lit(source))
+    raise AssertionError("the last source always answers")
