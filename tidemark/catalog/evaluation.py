@@ -69,29 +69,34 @@ def score_rows(x):
     return ev.score_rows(x.predictions)
 
 
-@query("eval_cells", "model:s decision_time:s subset:s n:l n_direction:l accuracy:n balanced_accuracy:n brier:n log_loss:n mae:n rmse:n magnitude_mae:n spearman_ic:n",
-       "WITH s AS (SELECT q.*, u.subset FROM (" + SCORED + ") q JOIN (" + SUBSETS + """) u ON u.event_id = q.event_id AND u.model = q.model),
-    k AS (SELECT *, rank() OVER (PARTITION BY model, decision_time, subset ORDER BY r_true) + (count(*) OVER (PARTITION BY model, decision_time, subset, r_true) - 1) / 2.0 AS rt,
-                 rank() OVER (PARTITION BY model, decision_time, subset ORDER BY r_hat) + (count(*) OVER (PARTITION BY model, decision_time, subset, r_hat) - 1) / 2.0 AS rh FROM s)
-    SELECT model, decision_time, subset, count(*) AS n, count(hit) AS n_direction, avg(hit) AS accuracy, coalesce((avg(hit) FILTER (WHERE r_true > 0) + avg(hit) FILTER (WHERE r_true < 0)) / 2, avg(hit)) AS balanced_accuracy,
-           avg(brier) AS brier, avg(ll) AS log_loss, avg(ae) AS mae, sqrt(avg(ae * ae)) AS rmse, avg(mag_ae) AS magnitude_mae, corr(rt, rh) AS spearman_ic FROM k GROUP BY 1, 2, 3""")
-def eval_cells(x):
-    return ev.eval_cells(ev.score_rows(x.predictions))
-
-
 REPLICATES = 2000
 
 
-def bootstrap_sql(rows: str, by: str, value: str, reps: int = REPLICATES) -> str:
+def bootstrap_sql(rows: str, by: str, value: str, reps: int = REPLICATES, tag: str = "") -> str:
     """Season blocks (the given events always span five seasons or more)."""
     return f"""
-    bb AS (SELECT {by}, season AS block, sum({value}) AS s, count(*) AS n FROM {rows} WHERE {value} IS NOT NULL GROUP BY ALL),
-    bi AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5(block)) - 1 AS idx, count(*) OVER (PARTITION BY {by}) AS size FROM bb),
-    bz AS (SELECT {by}, max(size) AS size, sum(s) / sum(n) AS point, sum(n) AS n FROM bi GROUP BY ALL),
-    bd AS (SELECT {by}, rep, slot, ('0x' || substr(md5(concat(rep, ':', slot)), 1, 8))::BIGINT % size AS idx
-           FROM (SELECT {by}, size, rep, unnest(range(size)) AS slot FROM (SELECT *, unnest(range({reps})) AS rep FROM bz))),
-    br AS (SELECT {by}, rep, sum(s) / sum(n) AS stat FROM bd JOIN bi USING ({by}, idx) GROUP BY ALL),
-    bq AS (SELECT {by}, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi, avg(CAST(stat <= 0 AS INT)) AS p_noise FROM br GROUP BY ALL)"""
+    bb{tag} AS (SELECT {by}, season AS block, sum({value}) AS s, count(*) AS n FROM {rows} WHERE {value} IS NOT NULL GROUP BY ALL),
+    bi{tag} AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5(block)) - 1 AS idx, count(*) OVER (PARTITION BY {by}) AS size FROM bb{tag}),
+    bz{tag} AS (SELECT {by}, max(size) AS size, sum(s) / sum(n) AS point, sum(n) AS n FROM bi{tag} GROUP BY ALL),
+    bd{tag} AS (SELECT {by}, rep, slot, ('0x' || substr(md5(concat(rep, ':', slot)), 1, 8))::BIGINT % size AS idx
+           FROM (SELECT {by}, size, rep, unnest(range(size)) AS slot FROM (SELECT *, unnest(range({reps})) AS rep FROM bz{tag}))),
+    br{tag} AS (SELECT {by}, rep, sum(s) / sum(n) AS stat FROM bd{tag} JOIN bi{tag} USING ({by}, idx) GROUP BY ALL),
+    bq{tag} AS (SELECT {by}, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi, avg(CAST(stat <= 0 AS INT)) AS p_noise FROM br{tag} GROUP BY ALL)"""
+
+
+@query("eval_cells", "model:s decision_time:s subset:s n:l n_direction:l accuracy:n balanced_accuracy:n brier:n log_loss:n mae:n rmse:n magnitude_mae:n spearman_ic:n magnitude_ic:n "
+       "accuracy_scheme:s accuracy_lo:n accuracy_hi:n brier_scheme:s brier_lo:n brier_hi:n",
+       "WITH s AS (SELECT q.*, u.subset FROM (" + SCORED + ") q JOIN (" + SUBSETS + """) u ON u.event_id = q.event_id AND u.model = q.model),
+    k AS (SELECT *, rank() OVER (PARTITION BY model, decision_time, subset ORDER BY r_true) + (count(*) OVER (PARTITION BY model, decision_time, subset, r_true) - 1) / 2.0 AS rt,
+                 rank() OVER (PARTITION BY model, decision_time, subset ORDER BY r_hat) + (count(*) OVER (PARTITION BY model, decision_time, subset, r_hat) - 1) / 2.0 AS rh,
+                 rank() OVER (PARTITION BY model, decision_time, subset ORDER BY abs(r_true)) + (count(*) OVER (PARTITION BY model, decision_time, subset, abs(r_true)) - 1) / 2.0 AS mt,
+                 rank() OVER (PARTITION BY model, decision_time, subset ORDER BY coalesce(magnitude_hat, abs(r_hat))) + (count(*) OVER (PARTITION BY model, decision_time, subset, coalesce(magnitude_hat, abs(r_hat))) - 1) / 2.0 AS mh FROM s),"""
+       + bootstrap_sql("s", "model, decision_time, subset", "hit") + "," + bootstrap_sql("s", "model, decision_time, subset", "brier", tag="2") + """
+    SELECT model, decision_time, subset, any_value(bq.lo) AS accuracy_lo, any_value(bq.hi) AS accuracy_hi, any_value(bq2.lo) AS brier_lo, any_value(bq2.hi) AS brier_hi,
+           'block:season' AS accuracy_scheme, 'block:season' AS brier_scheme, corr(mt, mh) AS magnitude_ic, count(*) AS n, count(hit) AS n_direction, avg(hit) AS accuracy, coalesce((avg(hit) FILTER (WHERE r_true > 0) + avg(hit) FILTER (WHERE r_true < 0)) / 2, avg(hit)) AS balanced_accuracy,
+           avg(brier) AS brier, avg(ll) AS log_loss, avg(ae) AS mae, sqrt(avg(ae * ae)) AS rmse, avg(mag_ae) AS magnitude_mae, corr(rt, rh) AS spearman_ic FROM k JOIN bq USING (model, decision_time, subset) JOIN bq2 USING (model, decision_time, subset) GROUP BY 1, 2, 3""")
+def eval_cells(x):
+    return ev.eval_cells(ev.score_rows(x.predictions), replicates=REPLICATES)
 
 
 @query("bootstrap_blocks", "model:s decision_time:s scheme:s n:l n_blocks:l point:n lo:n hi:n", "WITH sc AS (" + SCORED + ")," + bootstrap_sql("sc", "model, decision_time", "brier")

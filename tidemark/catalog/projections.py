@@ -85,7 +85,7 @@ def scorable_rows(x):
 
 SUBSETS = """SELECT p.*, unnest(list_filter(['all', CASE WHEN has_perp THEN 'has_perp_at_t0' END,
     CASE WHEN has_perp AND t0_confidence >= 0.6 AND t0_source IN ('sec_8k', 'manual', 'detected') THEN 'headline' END,
-    't0_source=' || t0_source, 'kind=' || kind], lambda v: v IS NOT NULL)) AS subset FROM {predictions} p WHERE r_true IS NOT NULL"""
+    't0_source=' || t0_source, 'kind=' || kind, 'timing=' || timing], lambda v: v IS NOT NULL)) AS subset FROM {predictions} p WHERE r_true IS NOT NULL"""
 
 
 @query("subset_masks", "model:s subset:s n:l mean_p:n", "SELECT model, subset, count(*) AS n, avg(p_up) AS mean_p FROM (" + SUBSETS + ") GROUP BY 1, 2")

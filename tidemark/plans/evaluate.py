@@ -59,7 +59,10 @@ def score_rows(preds: DataFrame) -> DataFrame:
         "season": fn.season(F.col("t0")), "day": F.date_format("t0", "yyyy-MM-dd")})
 
 
-def explode_subsets(df: DataFrame, *, min_confidence: float = 0.6, strata: Sequence[str] = ("t0_source", "kind")) -> DataFrame:
+NAMED_STRATA = ("t0_source", "kind", "timing")
+
+
+def explode_subsets(df: DataFrame, *, min_confidence: float = 0.6, strata: Sequence[str] = NAMED_STRATA) -> DataFrame:
     """One copy of a scorable row per named subset it belongs to (they overlap)."""
     perp = F.coalesce("has_perp", F.lit(False))
     head = perp & (F.col("t0_confidence") >= min_confidence) & F.col("t0_source").isin(*HEADLINE_SOURCES)
@@ -81,11 +84,11 @@ def regression_aggs() -> list[Column]:
     return [F.count(err).alias("n_return"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse")]
 
 
-STRATA = ("has_perp", "confident", "t0_source", "kind")
+STRATA = ("has_perp", "confident", *NAMED_STRATA)
 
 
-def eval_cells(scores: DataFrame, by: Sequence[str] = ("model", "decision_time"), *, min_confidence: float = 0.6, subsets: bool = True) -> DataFrame:
-    """All metrics per cell. Every metric is a ratio of sums, so rows are summed per stratum
+def eval_cells(scores: DataFrame, by: Sequence[str] = ("model", "decision_time"), *, min_confidence: float = 0.6, subsets: bool = True, replicates: int = 0) -> DataFrame:
+    """All metrics per cell, with bootstrap intervals of accuracy and Brier score where `replicates` are asked for. Every metric is a ratio of sums, so rows are summed per stratum
     first and only the few strata rows are copied to the overlapping subsets they belong to;
     the rank correlation does the same with counts of equal (r_hat, r_true) pairs."""
     by = list(by)
@@ -105,7 +108,7 @@ def eval_cells(scores: DataFrame, by: Sequence[str] = ("model", "decision_time")
             return df
         perp = F.coalesce("has_perp", F.lit(False))
         head = perp & F.col("confident") & F.col("t0_source").isin(*HEADLINE_SOURCES)
-        names = [F.lit("all"), F.when(perp, "has_perp_at_t0"), F.when(head, "headline"), *[F.concat(F.lit(f"{c}="), F.col(c)) for c in ("t0_source", "kind")]]
+        names = [F.lit("all"), F.when(perp, "has_perp_at_t0"), F.when(head, "headline"), *[F.concat(F.lit(f"{c}="), F.col(c)) for c in NAMED_STRATA]]
         return df.withColumn("subset", F.explode(F.filter(F.array(*names), lambda v: v.isNotNull())))
     cell = [*by, "subset"] if subsets else by
     strata = rows.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in parts.items()])
@@ -118,7 +121,18 @@ def eval_cells(scores: DataFrame, by: Sequence[str] = ("model", "decision_time")
                     ratio(F.col("s_abs"), F.col("n_return")).alias("mae"), F.sqrt(ratio(F.col("s_sq"), F.col("n_return"))).alias("rmse"),
                     ratio(F.col("s_mag"), F.col("n_mag")).alias("magnitude_mae"))
     pairs = rows.groupBy(*keys, "r_hat", "r_true").agg(F.count("*").alias("_k"))
-    return base.join(spearman(spread(pairs), by=cell, x="r_hat", y="r_true", weight="_k"), cell, "left")
+    sizes = rows.select(*keys, F.coalesce("magnitude_hat", F.abs("r_hat")).alias("size_hat"), F.abs("r_true").alias("size")).groupBy(*keys, "size_hat", "size").agg(F.count("*").alias("_k"))
+    magnitude = spearman(spread(sizes), by=cell, x="size_hat", y="size", weight="_k").withColumnRenamed("spearman_ic", "magnitude_ic")
+    out = base.join(spearman(spread(pairs), by=cell, x="r_hat", y="r_true", weight="_k"), cell, "left").join(magnitude, cell, "left")
+    if not replicates:
+        return out
+    # blocks of a cell hold sums, so a row is summed per stratum and block before it is copied to its subsets
+    for score, name in (("hit", "accuracy"), ("brier", "brier")):
+        known = rows.filter(F.col(score).isNotNull())
+        blocks = spread(known.groupBy(*keys, "season", "day").agg(F.sum(score).alias("_s"), F.count("*").alias("_n")))
+        band = block_bootstrap(blocks, by=cell, value="_s", weight="_n", replicates=replicates)
+        out = out.join(band.select(*cell, F.col("scheme").alias(f"{name}_scheme"), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi")), cell, "left")
+    return out
 
 
 def calibration(scores: DataFrame, *, bins: int = 10) -> DataFrame:
@@ -157,33 +171,36 @@ def mde_closed_form(n: Column, base: Column) -> Column:
     return F.when(n > 0, F.lit(fn.Z_POWER) * F.sqrt(v * (1 - v) / F.when(n > 0, n)))
 
 
-def block_labels(df: DataFrame, by: Sequence[str]) -> DataFrame:
+def block_labels(df: DataFrame, by: Sequence[str], single: str = "event_id") -> DataFrame:
     """`block` and `scheme` per row: season with at least five seasons, else UTC day with at
     least five days, else every event on its own."""
     days = df.select(*by, "season", "day").distinct()  # bounded by the calendar
     k = days.groupBy(*by).agg(F.countDistinct("season").alias("_ns"), F.countDistinct("day").alias("_nd"))
     j = df.join(k, list(by))
     s, d = F.col("_ns") >= MIN_BLOCKS, F.col("_nd") >= MIN_BLOCKS
-    return j.withColumns({"block": F.when(s, F.col("season")).when(d, F.col("day")).otherwise(F.col("event_id").cast("string")),
+    return j.withColumns({"block": F.when(s, F.col("season")).when(d, F.col("day")).otherwise(F.col(single).cast("string")),
                           "scheme": F.when(s, "block:season").when(d, "block:day").otherwise("iid")}).drop("_ns", "_nd")
 
 
-def block_bootstrap(df: DataFrame, *, by: Sequence[str], value: str, replicates: int) -> DataFrame:
-    """Interval of a mean by resampling blocks. Rows collapse to (sum, n) per block first; a
+def block_bootstrap(df: DataFrame, *, by: Sequence[str], value: str, replicates: int, weight: str | None = None) -> DataFrame:
+    """Interval of a mean by resampling blocks (rows may be sums of `weight` rows each; their blocks are seasons or
+    days, as single events are gone). Rows collapse to (sum, n) per block first; a
     replicate is sum(block sums) / sum(block counts) over as many draws as there are blocks.
     Draws are digests of (replicate, slot), so every run and engine gets the same ones."""
     by = list(by)
-    rows = block_labels(df.filter(F.col(value).isNotNull()), by)
-    blocks = rows.groupBy(*by, "scheme", "block").agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    rows = block_labels(df.filter(F.col(value).isNotNull()), by, single="day" if weight else "event_id")
+    blocks = rows.groupBy(*by, "scheme", "block").agg(F.sum(value).alias("_s"), (F.sum(weight) if weight else F.count("*")).alias("_n"))
     blocks = digest_index(blocks, by=by, key="block")
     sizes = blocks.groupBy(*by).agg(F.max("size").alias("size"), F.max("scheme").alias("scheme"),
                                     (F.sum("_s") / F.sum("_n")).alias("point"), F.sum("_n").alias("n"))
-    draws = (sizes.select(*by, "size").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # the draws depend on the number of blocks alone, so they are made once per number, as counts
+    draws = (sizes.select("size").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
              .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1))))
     word = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10)
-    draws = draws.withColumn("idx", F.pmod(word.cast("bigint"), F.col("size")))
-    reps = (draws.join(blocks.select(*by, "idx", "_s", "_n"), [*by, "idx"]).groupBy(*by, "rep")
-            .agg((F.sum("_s") / F.sum("_n")).alias("stat")))
+    draws = draws.groupBy("size", F.pmod(word.cast("bigint"), F.col("size")).alias("idx"), "rep").agg(F.count("*").alias("_times"))
+    t = F.col("_times")
+    reps = (draws.join(blocks.select(*by, "size", "idx", "_s", "_n"), ["size", "idx"]).groupBy(*by, "rep")
+            .agg((F.sum(t * F.col("_s")) / F.sum(t * F.col("_n"))).alias("stat")))
     # one value per replicate: a bounded group
     band = reps.groupBy(*by).agg(F.expr("percentile(stat, array(0.025, 0.975))").alias("_q"),
                                  F.avg(F.when(F.col("stat") <= 0, 1.0).otherwise(0.0)).alias("p_noise"))

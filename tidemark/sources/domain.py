@@ -108,11 +108,12 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
                CASE o_orderkey % 4 WHEN 0 THEN 'sec_8k' WHEN 1 THEN 'detected'
                     WHEN 2 THEN 'issuer_clock' ELSE 'calendar_flag' END AS t0_source,
                CASE o_orderkey % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'foreign' ELSE 'other' END AS kind,
+               CASE WHEN o_orderkey % 24 < 13 THEN 'BMO' WHEN o_orderkey % 24 < 20 THEN 'RTH' ELSE 'AMC' END AS timing,
                o_orderkey % 5 <> 0 AS has_perp, o_orderpriority AS priority
         FROM {orders}""",
     # forecasts of three models on the same events
     "predictions": ("""
-        SELECT event_id, underlying, t0, r_24h AS r_true, t0_confidence, t0_source, kind, has_perp, decision_time,
+        SELECT event_id, underlying, t0, r_24h AS r_true, t0_confidence, t0_source, kind, timing, has_perp, decision_time,
                m.model, ((event_id * 7919 + m.mid * 331) % 1000) / 1000.0e0 AS p_up,
                ((event_id * 48611 + m.mid * 17) % 2001 - 1000) / 20000.0e0 AS r_hat,
                CASE WHEN event_id % 6 = m.mid THEN NULL
@@ -121,7 +122,7 @@ DOMAIN: dict[str, str | tuple[str, str]] = {
                      explode(array(named_struct('mid', 0, 'model', 'base_rate'), named_struct('mid', 1, 'model', 'linear'),
                                    named_struct('mid', 2, 'model', 'zero'))) AS m FROM {events_long})""",
         """
-        SELECT event_id, underlying, t0, r_24h AS r_true, t0_confidence, t0_source, kind, has_perp, decision_time,
+        SELECT event_id, underlying, t0, r_24h AS r_true, t0_confidence, t0_source, kind, timing, has_perp, decision_time,
                m.model, ((event_id * 7919 + m.mid * 331) % 1000) / 1000.0e0 AS p_up,
                ((event_id * 48611 + m.mid * 17) % 2001 - 1000) / 20000.0e0 AS r_hat,
                CASE WHEN event_id % 6 = m.mid THEN NULL
