@@ -173,5 +173,7 @@ def win_train_window(x):
 @query("win_prev_close_gap", "market:s t:t gap:n", """
     SELECT market, t, CASE WHEN lag(close) OVER w > 0 THEN open / lag(close) OVER w - 1 END AS gap FROM {bars} WINDOW w AS (PARTITION BY market ORDER BY t)""")
 def win_prev_close_gap(x):
-    prev = F.lag("close").over(Window.partitionBy("market").orderBy("t"))  # bounded by the bar grid
-    return x.bars.select("market", "t", F.when(prev > 0, F.col("open") / F.when(prev > 0, prev) - 1).alias("gap"))
+    from tidemark.sources.archive import with_previous
+    prev = F.col("prev")
+    rows = with_previous(x.bars, "close", "prev", bucket=5 * DAY)
+    return rows.select("market", "t", F.when(prev > 0, F.col("open") / F.when(prev > 0, prev) - 1).alias("gap"))

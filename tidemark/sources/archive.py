@@ -48,6 +48,17 @@ def gap_report(bars: DataFrame, *, step: int, bucket: int = 30 * DAY) -> DataFra
                     (fn.seconds_between(F.col("gap_to"), F.col("t_end")) / step).cast("bigint").alias("missing")))
 
 
+def with_previous(bars: DataFrame, value: str, into: str, *, bucket: int = 30 * DAY) -> DataFrame:
+    """`value` of each market's bar before, two-level as in `gap_report`: a lag inside a time bucket, and the last
+    bar of the bucket before for a bucket's first row."""
+    b = bars.withColumn("_b", time_bucket(F.col("t"), bucket))
+    lasts = b.groupBy("market", "_b").agg(F.max_by(value, "t").alias("_last"))
+    before = lasts.select("market", "_b", F.lag("_last").over(Window.partitionBy("market").orderBy("_b")).alias("_before"))  # one row per bucket
+    w = Window.partitionBy("market", "_b").orderBy("t")
+    j = b.withColumns({"_lag": F.lag(value).over(w), "_n": F.row_number().over(w)}).join(before, ["market", "_b"])
+    return j.withColumn(into, F.when(F.col("_n") > 1, F.col("_lag")).otherwise(F.col("_before"))).drop("_b", "_lag", "_n", "_before")
+
+
 def horizon_gap(archived: DataFrame, served: DataFrame, *, step: int) -> DataFrame:
     """Bars between the end of each market's archive and the newest served bar."""
     top = served.agg(F.max("t_end").alias("horizon"))  # one row
