@@ -5,8 +5,8 @@ tossing then gives every symbol a label below six that depends on a few symbols
 label is 2 * i + b, i being the lowest bit in which a symbol differs from the one before and b that bit, and
 four rounds of this suffice for 64-bit names. Phrases start where labels peak, and a phrase's name is a
 hash of the names in it. Equal substrings therefore get equal names except near their ends, at whatever
-offset they stand. The name that remains at the top stands for the whole text; the names from the third level
-up (some 25 characters and more) are its signatures, kept as the smallest hash in each of 128 bins.
+offset they stand. The name that remains at the top stands for the whole text; the names from the second level
+up (some nine characters and more) are its signatures, kept as the smallest hash in each of 128 bins.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut_points, range_of
 
-LEVEL = 3
+LEVEL = 2
 BINS_BITS = 7
 RANGE_ROWS = 256
 RUN_CHARS = 1 << 20
