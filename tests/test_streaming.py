@@ -80,5 +80,5 @@ def test_log_skips_known_keys(spark, tmp_path):
     schema = "event_id string, run_at timestamp, p double"
     for rows in ([("a", d, 0.1), ("b", d, 0.2)], [("a", d, 0.9), ("c", d + timedelta(hours=1), 0.3)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        jobs.stream_log(jobs.stream_table(spark, src, schema), data, cp, key=["event_id", "run_at"], schema=schema)
-    assert sorted((r["event_id"], r["p"]) for r in jobs.read_log(spark, data, schema).collect()) == [("a", 0.1), ("b", 0.2), ("c", 0.3)]
+        jobs.stream_log(jobs.stream_table(spark, src, schema), data, cp, key=["event_id", "run_at"], schema=schema, ts="run_at")
+    assert sorted((r["event_id"], r["p"]) for r in jobs.read_log(spark, data, f"{schema}, day date").collect()) == [("a", 0.1), ("b", 0.2), ("c", 0.3)]

@@ -78,8 +78,8 @@ def stream_live_log(x):
     call = F.expr(f"CASE {K} % 4 WHEN 0 THEN 'pre_10m' WHEN 1 THEN 'post_1m' WHEN 2 THEN 'post_15m' ELSE 'post_30m' END")
     rows = events_of(x).select(F.col("event_id").alias("seq"), F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("event_id"), call.alias("decision_time"), F.col("ts").alias("run_at"))
     schema = "seq bigint, event_id string, decision_time string, run_at timestamp"
-    jobs.stream_log(rows, data, cp, key=["event_id", "decision_time", "run_at"], schema=schema)
-    return jobs.read_log(x.spark, data, schema)
+    jobs.stream_log(rows, data, cp, key=["event_id", "decision_time", "run_at"], schema=schema, ts="run_at")
+    return jobs.read_log(x.spark, data, f"{schema}, day date")
 
 
 @query("stream_consensus_snapshot", "snapshot_time:t symbol:l report_date:d vendor:s eps_estimate:n",

@@ -111,14 +111,21 @@ def stream_partitioned(rows: DataFrame, path: str, checkpoint: str, *, by: str)
     q.awaitTermination()
 
 
-def stream_log(rows: DataFrame, path: str, checkpoint: str, *, key: Sequence[str], schema: str) -> None:
-    """Append-only log: rows whose key an earlier batch already holds are skipped."""
+def stream_log(rows: DataFrame, path: str, checkpoint: str, *, key: Sequence[str], schema: str, ts: str) -> None:
+    """Append-only log: rows whose key an earlier batch already holds are skipped. `ts` is the instant in
+    the key; the log is partitioned by its day, and only the days of a batch are read again."""
+    if ts not in key:
+        raise ValueError(f"{ts} must be part of the key")
+    day = F.coalesce(F.to_date(ts), F.lit("1970-01-01").cast("date"))
+
     def write(df: DataFrame, batch: int) -> None:
-        fresh = latest_per_key(df, list(key), [c for c in df.columns if c not in key])
+        fresh = latest_per_key(df, list(key), [c for c in df.columns if c not in key]).withColumn("day", day)
         if batch > 0:
-            have = read_log(df.sparkSession, path, schema).filter(F.col(VERSION) < batch).select(*[F.col(k).alias(f"_k_{k}") for k in key])
+            days = [r["day"] for r in df.select(day.alias("day")).distinct().collect()]  # bounded by the calendar
+            have = df.sparkSession.read.schema(f"{schema}, {VERSION} bigint, day date").parquet(path)
+            have = have.filter((F.col(VERSION) < batch) & F.col("day").isin(days)).select(*[F.col(k).alias(f"_k_{k}") for k in key])
             fresh = fresh.join(have, [fresh[k].eqNullSafe(have[f"_k_{k}"]) for k in key], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/{VERSION}={batch}")
+        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{path}/{VERSION}={batch}")
     run_available(rows, checkpoint, write)
 
 
