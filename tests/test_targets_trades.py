@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.plans import evaluate as ev
 from tidemark.plans import targets as tg
 from tidemark.plans import trades as tr
-from tidemark.sources.calendar import attach, attach_ny_day, day_dimension
-from tidemark.sources.domain import Inputs
+from tidemark.sources.calendar import attach, attach_ny_day
+from tidemark.sources.domain import exchange_calendar
 
 BARS = "market string, t timestamp, t_end timestamp, open double, high double, low double, close double, volume double"
 
@@ -20,8 +20,7 @@ def five_minute(start: datetime, closes: list[float], market="m"):
 
 @pytest.fixture(scope="module")
 def calendar(spark):
-    x = Inputs(spark, "/root/testdata/sf0.001")
-    return day_dimension(x.days, x.sessions).cache()
+    return exchange_calendar(spark, "1995-01-01", "2027-12-31").cache()
 
 
 RULES = tg.TargetRules(staleness=600, grid=300)
@@ -44,6 +43,7 @@ def test_reference_price_uses_closed_bars_and_buffer(spark, calendar):
     assert late["p0_time"] == datetime(2026, 8, 26, 20, 15)
     assert base["t_5m"] == datetime(2026, 8, 26, 20, 25) and base["s_5m"] == pytest.approx(79 / 60)
     assert base["label_reason"] is None and base["direction"] == 1.0
+    assert base["t_next_open"] == datetime(2026, 8, 27, 13, 30) and base["t_next_close"] == datetime(2026, 8, 27, 20)
 
 
 def test_bars_after_the_checkpoint_change_nothing(spark, calendar):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import prepare
 from tidemark.sources import tables
+from tidemark.sources.calendar import day_dimension
 
 K = "CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT)"
 MARKET_OF_USER = ("CASE user_id % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'error' "
@@ -240,6 +241,10 @@ class Render:
         return out.replace("{{", "{").replace("}}", "}").replace("unix_micros(", "epoch_us(")
 
 
+def _spark_text(text: str) -> str:
+    return re.sub(r"isodow\((\w+)\)", r"extract(DOW_ISO FROM \1)", text)
+
+
 class Inputs:
     """Domain tables of one data folder, built lazily as DataFrames."""
 
@@ -263,9 +268,14 @@ class Inputs:
 
     def sql(self, text: str) -> DataFrame:
         refs = {n: getattr(self, n) for n in Render.references(text)}
-        text = re.sub(r"isodow\((\w+)\)", r"extract(DOW_ISO FROM \1)", text)
-        return self.spark.sql(text, **refs)
+        return self.spark.sql(_spark_text(text), **refs)
 
     @cached_property
     def scale(self) -> str:
         return self.sf_dir.rsplit("/", 1)[-1]
+
+
+def exchange_calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
+    """The day dimension of an explicit range of dates, by the same rules as `days` and `sessions`."""
+    days = spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS d")
+    return day_dimension(days, spark.sql(_spark_text(DOMAIN["sessions"][0]), days=days))
