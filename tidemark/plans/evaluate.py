@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
 from tidemark.operators.ranks import digest_index, exact_quantiles, spearman
+from tidemark.session import cut
 
 # Fixed values
 HEADLINE_SOURCES = ("sec_8k", "manual", "detected")
@@ -129,7 +130,7 @@ def eval_cells(scores: DataFrame, by: Sequence[str] = ("model", "decision_time")
     # blocks of a cell hold sums, so a row is summed per stratum and block before it is copied to its subsets
     for score, name in (("hit", "accuracy"), ("brier", "brier")):
         known = rows.filter(F.col(score).isNotNull())
-        blocks = spread(known.groupBy(*keys, "season", "day").agg(F.sum(score).alias("_s"), F.count("*").alias("_n")))
+        blocks = cut(spread(known.groupBy(*keys, "season", "day").agg(F.sum(score).alias("_s"), F.count("*").alias("_n"))))  # read several times
         band = block_bootstrap(blocks, by=cell, value="_s", weight="_n", replicates=replicates)
         out = out.join(band.select(*cell, F.col("scheme").alias(f"{name}_scheme"), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi")), cell, "left")
     return out
