@@ -317,6 +317,42 @@ def test_toxicity_of_odd_texts(spark):
     assert [r["score"] for r in toxicity.score(made(spark, [(1, "x")]), None).collect()] == [0.0]
 
 
+def test_toxicity_knows_every_gram_of_the_examples(spark):
+    rng = random.Random(9)
+
+    def words(alphabet, n):
+        return " ".join("".join(rng.choice(alphabet) for _ in range(6)) for _ in range(n))
+
+    rows = [(i, words("aeiourst", 20) + (" nastyword filthy" if i % 5 == 0 else "")) for i in range(300)]
+    rows += [(300, words("bdgklmnp", 30)), (301, words("cfhjvwxz", 30))]  # words no other example has
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(made(spark, rows), labels)
+    every = {h for _, t in rows for h in toxicity.occurrences([t])[1].tolist()}
+    assert set(model.grams.tolist()) == every and (model.weights > 0).all()
+    near = [(1, rows[300][1][:-14] + " aeiou"), (2, rows[301][1][14:])]
+    got = {r["doc_id"]: r["evidence"][0] for r in toxicity.score(made(spark, near), model).collect()}
+    assert [(got[i]["doc_id"], got[i]["toxic"]) for i in (1, 2)] == [(300, 1), (301, 0)] and got[1]["cosine"] > 0.8 and got[2]["cosine"] > 0.8
+
+
+def test_nearest_of_rare_and_common_grams():
+    rng = np.random.default_rng(11)
+    vectors = []
+    for _ in range(500):
+        g = np.unique(np.r_[rng.choice(20, 6, replace=False), 20 + rng.choice(2000, 15, replace=False)])
+        w = rng.random(len(g)) + 0.01
+        vectors.append((g, w / np.sqrt((w * w).sum())))
+    index = toxicity.Index(vectors, rng.integers(0, 2, 500), list(range(500)), 2020)
+    assert 0 < len(index.common) <= 20
+    dense = np.zeros((500, 2020))
+    for i, (g, w) in enumerate(vectors):
+        dense[i, g] = w
+    cuts = np.r_[0, np.cumsum([len(g) for g, _ in vectors[:100]])]
+    near = index.nearest_of(cuts, np.concatenate([g for g, _ in vectors[:100]]), np.concatenate([w for _, w in vectors[:100]]), 10)
+    for i, (docs, cos) in enumerate(near):
+        all_ = np.round(dense @ dense[i], 12)
+        assert docs.tolist() == sorted(range(500), key=lambda j: (-all_[j], j))[:10] and np.allclose(cos, all_[docs])
+
+
 def test_isotonic_rises():
     steps, levels = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0, 1, 0, 1, 1.0]), 0.5)
     assert (np.diff(levels) > 0).all() and (np.diff(steps) > 0).all()
