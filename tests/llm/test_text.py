@@ -272,6 +272,19 @@ def test_kneser_ney_equals_the_formula_and_sums_to_one():
         assert abs(p(gram) - formula(gram)) < 1e-6
 
 
+def test_grams_beyond_the_arrays_count_as_those_in_them(spark, docs):
+    train = docs.select("text", "lang").union(docs.filter("lang = 'es'").limit(1).selectExpr("text", "'rare' AS lang")).filter("lang <> 'es'")
+    whole, tables = lang_id.fit(train), lang_id.fit(train, most=100)
+    assert tables.tables and not whole.tables and tables.langs == whole.langs and "rare" in tables.langs
+    assert np.allclose(whole.floor, tables.floor) and np.allclose(whole.usual, tables.usual, rtol=1e-4) and whole.sharp == tables.sharp
+    assert [t.count() for t in tables.tables] == [len(k) for k in whole.keys]
+    asked = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "12 -- 3"), (-4, "q"), (-5, "the of"), (-6, "ξψφ ωδλ " * 60), (-7, "ñ 日 x")], "doc_id long, text string"))
+    a, b = ({r["doc_id"]: r for r in lang_id.identify(asked, m).collect()} for m in (whole, tables))
+    assert a.keys() == b.keys()
+    for d, r in a.items():
+        assert (r["lang_pred"], r["rejected"]) == (b[d]["lang_pred"], b[d]["rejected"]) and abs(r["score"] - b[d]["score"]) < 1e-4
+
+
 # ---- toxicity
 
 def test_nearest_equals_all_cosines():

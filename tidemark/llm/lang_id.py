@@ -3,7 +3,8 @@
 Texts become lower-case letters with one blank between words. Spark counts every 4-gram of every training
 text per language; a model keeps them, and all shorter grams they imply, in sorted arrays of 64-bit hashes,
 with the log probability that each language gives. A document goes to the language of the lowest cross-entropy per
-letter. How far above a language's usual cross-entropy a text may lie before it is rejected, and how sure a
+letter. Where the grams are more than fit into a task, Spark computes the same models as tables, and the grams of
+the documents are joined with those. How far above a language's usual cross-entropy a text may lie before it is rejected, and how sure a
 lead is, is calibrated on a bounded sample of the training rows.
 """
 
@@ -11,19 +12,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 from tidemark.llm.pretokens import LETTER, buffers, classes
 
 ORDER = 4
-#: Bounds, together with the number of languages, what is sent to the tasks. Grams beyond it go by count, rarest first.
+#: Bounds, together with the number of languages, what is sent to the tasks. With more grams the models stay tables.
 GRAMS_MOST = 1 << 20
 #: Training rows the thresholds are calibrated on, at most.
 CALIBRATION_ROWS = 8192
@@ -114,6 +115,7 @@ class Model:
     floor: np.ndarray | None = None                          # log probability of an unseen symbol
     usual: np.ndarray | None = None                          # (mean, variance between texts, variance per letter) by language
     sharp: float = 1.0
+    tables: list[DataFrame] = field(default_factory=list)    # instead of the arrays, by length of gram - 1: gram, logs, after
 
     def find(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = self.keys[size - 1]
@@ -165,9 +167,11 @@ class Model:
         """Language, confidence and whether the text is rejected."""
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        entropy, n = self.cross_entropy(texts)
+        return self.decide(*self.cross_entropy(texts))
+
+    def decide(self, entropy: np.ndarray, n: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         best = entropy.argmin(axis=1)
-        low = entropy[np.arange(len(texts)), best]
+        low = entropy[np.arange(len(best)), best]
         sure = 1 / np.exp(-self.sharp * np.minimum(n, 200)[:, None] * (entropy - low[:, None])).sum(axis=1)
         mean, between, within = self.usual[best].T
         odd = low > mean + REJECT_AT * np.sqrt(between + within / np.maximum(n, 1))
@@ -231,18 +235,119 @@ def smoothed(langs: list[str], tables: list[dict[str, float]], order: int) -> Mo
     return model
 
 
+def smoothed_tables(langs: list[str], table: DataFrame, order: int) -> Model:
+    """`smoothed` of the table (lang, gram, n) of the highest order, by joins; nothing is collected but one row
+    per language."""
+    every = range(len(langs))
+
+    def by_language(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+        """An array over the languages, 0 where one has none."""
+        sums = df.groupBy(key).agg(*(F.sum(F.when(F.col("lang") == x, value)).alias(f"_{i}") for i, x in enumerate(langs)))
+        return sums.select(key, F.array(*(F.coalesce(F.col(f"_{i}"), F.lit(0)).cast("double") for i in every)).alias(name))
+
+    own = {order: table}
+    for size in range(order - 1, 0, -1):  # a shorter gram counts the symbols it follows, not its occurrences
+        own[size] = stored(own[size + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
+    heads, probs, model = {}, {}, Model(langs, order)
+    for size in range(1, order + 1):
+        seen = {r["lang"]: r for r in own[size].groupBy("lang").agg(F.count_if(F.expr("n = 1")).alias("ones"), F.count_if(F.expr("n = 2")).alias("twos")).collect()}
+        ones_twos = [(seen[x]["ones"], seen[x]["twos"]) for x in langs]
+        cut = [min(0.9, max(0.1, a / (a + 2 * b))) if a else 0.5 for a, b in ones_twos]
+        rows = own[size].withColumn("head", F.expr(f"substring(gram, 1, {size - 1})"))
+        total = by_language(rows, "head", F.col("n"), "total").join(by_language(rows, "head", F.lit(1), "kinds"), "head")
+        weight = F.array(*(F.when(F.col("total")[i] > 0, cut[i] * F.col("kinds")[i] / F.col("total")[i]).otherwise(1.0) for i in every))
+        heads[size] = stored(total.select("head", "total", weight.alias("weight")), "heads")
+        grams = by_language(own[size], "gram", F.col("n"), "n").withColumns({
+            "head": F.expr(f"substring(gram, 1, {size - 1})"), "tail": F.expr("substring(gram, 2)")}).join(heads[size], "head")
+        if size > 1:
+            grams = grams.join(probs[size - 1].select(F.col("gram").alias("tail"), F.col("p").alias("less")), "tail")
+        else:
+            grams = grams.withColumn("less", F.array(*(F.lit(1 / SYMBOLS) for _ in every)))
+        n, total_, less = (lambda i: F.col("n")[i]), (lambda i: F.col("total")[i]), (lambda i: F.col("less")[i])
+        p = F.array(*(F.when(total_(i) > 0, F.greatest(n(i) - cut[i], F.lit(0.0)) / total_(i) + F.col("weight")[i] * less(i)).otherwise(less(i)) for i in every))
+        probs[size] = stored(grams.select("gram", p.alias("p")), "probs")
+    first = heads[1].first()["weight"]
+    model.floor = np.array([math.log(w / SYMBOLS) for w in first], np.float32)
+    for size in range(1, order + 1):
+        logs = F.transform("p", lambda v: F.log(v).cast("float"))
+        after = F.lit(None).cast("array<float>")
+        level = probs[size]
+        if size < order:
+            level = level.join(heads[size + 1].select(F.col("head").alias("gram"), "weight"), "gram", "left")
+            after = F.transform("weight", lambda v: F.log(v).cast("float"))
+        model.tables.append(stored(level.select("gram", logs.alias("logs"), after.alias("after")), "models"))
+    return model
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """Sum of two arrays; a null one counts nothing."""
+    return F.when(a.isNull(), b).otherwise(F.zip_with(a, b, lambda x, y: x + y))
+
+
+def _resolved(grams: DataFrame, model: Model) -> DataFrame:
+    """(gram, logs) of distinct grams of the highest order, and of single letters from texts shorter than that."""
+    floor = F.array(*(F.lit(float(x)).cast("float") for x in model.floor))
+    full, order = grams.filter(F.char_length("gram") == model.order), model.order
+    for size in range(1, order + 1):
+        level = model.tables[size - 1]
+        full = full.join(level.select(F.col("gram").alias("_key"), F.col("logs").alias(f"_l{size}")), F.expr(f"substring(gram, {order - size + 1}, {size})") == F.col("_key"), "left").drop("_key")
+        if size < order:
+            full = full.join(level.select(F.col("gram").alias("_key"), F.col("after").alias(f"_a{size}")), F.expr(f"substring(gram, {order - size}, {size})") == F.col("_key"), "left").drop("_key")
+    logs = F.coalesce("_l1", floor)
+    for size in range(2, order + 1):
+        logs = F.coalesce(f"_l{size}", _plus(F.col(f"_a{size - 1}"), logs))
+    if order == 1:
+        return full.select("gram", logs.alias("logs"))
+    short = grams.filter(F.char_length("gram") < order).join(model.tables[0], "gram", "left")
+    return full.select("gram", logs.alias("logs")).union(short.select("gram", F.coalesce("logs", floor)))
+
+
+def _parts(order: int):
+    """Rows (_row, text) -> (_row, letters, gram, n): the grams of each text that has letters."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, texts = b.column("_row").to_numpy(), [t or "" for t in b.column("text").to_pylist()]
+            for lo, hi in buffers(texts, BUFFER_CHARS):
+                sym, starts = prepared(texts[lo:hi])
+                ends = ends_of(sym, starts, order)
+                letters_in = np.add.reduceat((sym != 0).astype(np.int64), starts)
+                text = np.searchsorted(starts, ends, side="right") - 1
+                for size, at in ((order, ends), (1, np.flatnonzero(sym != 0))):
+                    own = text if size == order else np.searchsorted(starts, at, side="right") - 1
+                    if size < order or order == 1:
+                        brief = ~np.isin(own, text) if order > 1 else np.zeros(len(own), bool)
+                        own, at = own[brief], at[brief]
+                    if not len(at):
+                        continue
+                    chars = np.stack([sym[at - size + 1 + i] for i in range(size)], axis=1)
+                    _, lead, n = np.unique(np.c_[own.astype(np.uint32), chars], axis=0, return_index=True, return_counts=True)
+                    chars = np.where(chars[lead] == 0, 32, chars[lead]).astype("<u4").tobytes().decode("utf-32-le")
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(rows[lo:hi][own[lead]]), pa.array(letters_in[own[lead]]), pa.array([chars[i:i + size] for i in range(0, len(chars), size)], pa.string()),
+                        pa.array(n, pa.int64())], ["_row", "letters", "gram", "n"])
+
+    return read
+
+
+def entropies(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with n (letters) and entropy (by language) from the model's tables."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    parts = stored(rows.select("_row", "text").mapInArrow(_parts(model.order), "_row long, letters long, gram string, n long"), "parts")
+    every = range(len(model.langs))
+    known = parts.join(_resolved(parts.select("gram").distinct(), model), "gram")
+    sums = known.groupBy("_row").agg(F.max("letters").alias("_letters"), F.sum("n").alias("_n"), *(F.sum(F.col("n") * F.col("logs")[i].cast("double")).alias(f"_{i}") for i in every))
+    entropy = F.array(*(F.coalesce(-F.col(f"_{i}") / F.col("_n"), F.lit(0.0)) for i in every))
+    return rows.join(sums, "_row", "left").select(*docs.columns, F.coalesce("_letters", F.lit(0)).cast("long").alias("_letters"), entropy.alias("_entropy"))
+
+
 def fit(train: DataFrame, order: int = ORDER, most: int = GRAMS_MOST, rows: int = CALIBRATION_ROWS) -> Model:
-    """A model of the (text, lang) rows of `train`. All text is counted; see the bounds above."""
+    """A model of the (text, lang) rows of `train`. All text is counted and every gram kept, in tables if they are more than `most`."""
     table = stored(counts(train, order), "grams")
-    sizes = {r["bits"]: r["n"] for r in table.groupBy(F.floor(F.log2("n")).cast("int").alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    least, held = 0, 0
-    for bits in sorted(sizes, reverse=True):
-        held += sizes[bits]
-        if held > most:
-            least = bits + 1
-            break
+    if table.count() > most:
+        langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+        return calibrated(smoothed_tables(langs, table, order), train, rows)
     by_lang: dict[str, dict[str, float]] = {}
-    for r in table.filter(F.col("n") >= 2**least).toLocalIterator():
+    for r in table.toLocalIterator():
         by_lang.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     langs = sorted(by_lang)
     if not langs:
@@ -265,7 +370,11 @@ def calibrated(model: Model, train: DataFrame, rows: int) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(lo, hi - lo), pa.array(n, pa.int64()),
                                                   pa.array(entropy.tolist(), pa.list_(pa.float64()))], ["lang", "n", "entropy"])
 
-    got = [(r["lang"], r["n"], r["entropy"]) for r in sample.mapInArrow(measured, "lang string, n long, entropy array<double>").collect() if r["n"]]
+    if model.tables:
+        sample = entropies(sample, model).select("lang", F.col("_letters").alias("n"), F.col("_entropy").alias("entropy"))
+    else:
+        sample = sample.mapInArrow(measured, "lang string, n long, entropy array<double>")
+    got = [(r["lang"], r["n"], r["entropy"]) for r in sample.collect() if r["n"]]
     usual = np.tile(np.array([10.0, 0.01, 1.0]), (len(model.langs), 1))
     for i, lang in enumerate(model.langs):
         own = np.array([(n, e[i]) for x, n, e in got if x == lang and e[i] == min(e)]).reshape(-1, 2)
@@ -291,7 +400,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` (text and any columns, none named lang_pred, score or rejected) with lang_pred, score (0 to 1) and
     rejected. A text that is null or has no letter gets `und`, score 0, and is rejected, as is one that no
     language's model finds likely. Ties go to the first language by name. Without any training rows all is `und`."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, tables=[]))
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                entropy = b.column("_entropy").flatten().to_numpy().reshape(b.num_rows, -1)
+                langs, sure, odd = sent.value.decide(entropy, b.column("_letters").to_numpy())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(odd)],
+                                                 [*b.schema.names[:-2], "lang_pred", "score", "rejected"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,4 +420,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                                                  [*own.schema.names, "lang_pred", "score", "rejected"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    if model.tables:
+        return entropies(docs, model).mapInArrow(decided, f"{ddl}, lang_pred string, score double, rejected boolean")
     return docs.mapInArrow(judged, f"{ddl}, lang_pred string, score double, rejected boolean")
