@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import lang_id, line_dedup, packing, simhash, substring_dedup
 from tidemark.llm.common import ready, stored
-from tidemark.llm.queries_text import vocabulary
+from tidemark.llm.queries_text import added, vocabulary
 from tidemark.llm.registry import query
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,7 +52,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
     ready(spark)
-    return packing.pack(docs.select("doc_id", "text"), vocabulary())
+    return packing.pack(docs.select("doc_id", "text"), vocabulary(), added=added())
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("SimHash near-dedup", near_copies), ("substring dedup", passages), ("packing", packed)]

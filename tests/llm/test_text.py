@@ -137,6 +137,19 @@ def test_packing_covers_every_id_once(spark, rows):
     assert packing.pack(made(spark, []), vocabulary()).collect() == []
 
 
+def test_packing_query_equals_the_library_as_it_comes(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    lib, end = Tokenizer.from_file(P.path("byte_bpe_50k.json")), "<|endoftext|>"
+    rows = ODD + [(20, f"a {end} b"), (21, end), (22, end + end), (23, f"{end} x  {end}  "), (24, f"<|endoftext{end}|>"), (25, f"word {end}" * 900), (26, "plain text")]
+    made(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_packing"](spark, str(tmp_path)).collect()
+    ids = {d: lib.encode(t or "", add_special_tokens=False).ids + [1] for d, t in rows}
+    assert ids[20] == [64, 220, 50256, 275, 1]
+    assert {(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got} == {
+        (d, a, len(x[a:a + 2048]), zlib.crc32(np.array(x[a:a + 2048], "<u4").tobytes()), len(x)) for d, x in ids.items() for a in range(0, len(x), 2048)}
+
+
 @pytest.mark.parametrize("histogram", [{500: 1000}, {2048: 3, 1: 5}, {1500: 10, 600: 10}, {i: i % 7 for i in range(1, 2049) if i % 7}, {}])
 def test_shortest_pack_first_places_all(histogram):
     patterns = packing.shortest_pack_first(histogram)

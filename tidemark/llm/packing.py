@@ -11,6 +11,8 @@ ranked in many tasks.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,8 +30,7 @@ BUCKET_ROWS = 4096
 
 
 def encoder(path: str):
-    """Pre-tokens -> their ids in one array, and how many each has. `path` holds byte-level BPE ranks;
-    special tokens' strings are ordinary text."""
+    """Pre-tokens -> their ids in one array, and how many each has. `path` holds byte-level BPE ranks."""
     import public_tokenizers
     import tiktoken
 
@@ -48,16 +49,42 @@ def encoder(path: str):
 _LOADED: dict = {}
 
 
-def cut_documents(docs: DataFrame, path: str, room: int = ROOM, end: int = END) -> DataFrame:
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a `tokenizers` file, which that library takes out of a text before all else. Those that
+    need more than their string found are an error."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    for t in held["added_tokens"]:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and held["normalizer"]:
+            raise ValueError(f"added token {t['content']!r} is not matched as it stands")
+    return {t["content"]: t["id"] for t in held["added_tokens"]}
+
+
+def segments(texts: list[str], added: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The texts cut at added tokens (of those that start at one place, the longest): their segments, the id
+    that follows each (-1: none), and how many segments each text has."""
+    if not added or not any(a in t for t in texts for a in added):
+        return texts, np.full(len(texts), -1), np.ones(len(texts), np.int64)
+    pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    cut = [pattern.split(t) for t in texts]  # segment, token, segment, ...
+    follows = [added[c[k]] if k < len(c) else -1 for c in cut for k in range(1, len(c) + 1, 2)]
+    return [x for c in cut for x in c[::2]], np.array(follows, np.int64), np.array([len(c[::2]) for c in cut], np.int64)
+
+
+def cut_documents(docs: DataFrame, path: str, room: int = ROOM, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _LOADED[path] = _LOADED.get(path) or encoder(path)
         last = end.to_bytes(4, "little")
         for own, texts in gathered(batches, BUFFER_CHARS):
+            texts, follows, each = segments(texts, added or {})
             part = split(texts)
             ids, sizes = laid_out(*encode(part.distinct), part.index)
+            stops = np.r_[0, np.cumsum(sizes)][np.cumsum(part.counts)]
+            put = follows >= 0
+            ids = np.insert(ids, stops[put], follows[put])
             data = memoryview(ids.astype("<u4").tobytes())
-            stops = (4 * np.r_[0, np.cumsum(sizes)][np.cumsum(part.counts)]).tolist()
+            stops = (4 * (stops + np.cumsum(put))[np.cumsum(each) - 1]).tolist()
             rows, at = [], 0
             for doc, stop in zip(own, stops):
                 mine, n, at = data[at:stop], (stop - at) // 4 + 1, stop
@@ -123,12 +150,13 @@ def ranked(parts: DataFrame) -> DataFrame:
             .withColumn("rank", (F.col("before") + F.col("own")).cast("long")).drop("bucket", "before", "own"))
 
 
-def pack(docs: DataFrame, path: str, room: int = ROOM, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str, room: int = ROOM, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece of every row of `docs` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset. Null text counts as empty, so every document has at least the closing id. Rows
+    sequence_id, offset. The strings of `added` get their ids wherever they stand in a text; without it
+    they are ordinary text. Null text counts as empty, so every document has at least the closing id. Rows
     that share a doc_id are packed each for itself; ties in rank are broken by all columns. An empty
     table gives an empty result; other columns are ignored."""
-    parts = stored(cut_documents(docs, path, room, end), "pieces")
+    parts = stored(cut_documents(docs, path, room, end, added), "pieces")
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `room` rows
     slots = slots_of(shortest_pack_first(histogram, room))
 

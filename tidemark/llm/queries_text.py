@@ -15,6 +15,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added() -> dict[str, int]:
+    import public_tokenizers
+
+    return packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op1_document_fingerprints")
 def op1(spark, sf_dir):
     return phrases.with_next(documents(spark, sf_dir))
@@ -36,7 +42,7 @@ def op7(spark, sf_dir):
 
 @query("op8_packing")
 def op8(spark, sf_dir):
-    return packing.pack(documents(spark, sf_dir), vocabulary())
+    return packing.pack(documents(spark, sf_dir), vocabulary(), added=added())
 
 
 @query("op3_toxicity")
