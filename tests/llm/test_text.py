@@ -437,6 +437,25 @@ def test_broken_markup(spark):
     assert [(b.text, b.path) for b in main_text.blocks("<article><h1>T</h1><p><b>x<br><p>y</article>z")] == [("T", ("article", "h1")), ("x", ("article", "p")), ("y", ("article", "p")), ("z", ())]
 
 
+def test_an_open_or_empty_element_does_not_end_the_page():
+    chain = main_text.trained()
+    body = "".join(f"<p>{' '.join(['Solen marit dovan kelu besan'] * 6)} {i}.</p>" for i in range(4))
+
+    def read(before="", within=""):
+        page = f"<html><body><nav><a href=/>Home</a> <a href=/x>Contact</a></nav>{before}<article><h1>Kelu marit</h1>{within}{body}</article><footer>&copy; 2024 Dovan</footer></body></html>"
+        return main_text.main_text(page, chain)
+
+    want = read()
+    assert want.startswith("Kelu marit") and want.endswith(" 3.")
+    for odd in ("<button>Go", "<select><option>One<option>Two", "<svg viewBox='0 0 1 1'/>", "<svg><path d='M0'>", "<math/>", "<video src=a>", "<audio>", "<canvas>", "<object data=x>",
+                "<noscript>", "<template>", "<button>Go</button>", "<svg><title>Logo</title><path d='M0'/></svg>", "<button>A<button>B</button>"):
+        for got in (read(before=odd), read(within=odd)):
+            assert all(line in got.split("\n") for line in want.split("\n")), odd
+    assert main_text.blocks("<p>a <svg/>b <math><mi>x</mi><mo/></math> c</p>")[0].text == "a b x c"
+    assert [(b.text, b.path) for b in main_text.blocks("<p>a<button class=k>b</button>c<select><option>d<option>e</select>f</p><style>x")] == [
+        ("a", ("p",)), ("b", ("p", "button")), ("c", ("p",)), ("d", ("p", "select", "option")), ("e", ("p", "select", "option")), ("f", ("p",))]
+
+
 # ---- registration
 
 def test_registered_names():

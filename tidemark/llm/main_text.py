@@ -26,15 +26,26 @@ PAGES, SEED = 700, 7
 MARK = "data-article"
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-                   "strike strong sub sup time tt u var wbr".split())
+                   "strike strong sub sup svg math time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "button", "object", "math", "canvas", "video", "audio")
+#: What stands inside is not markup, or is never shown.
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe")
+#: Of these the ones that hold markup: without an end tag they are read as any element.
+INERT = frozenset(("noscript", "template"))
+#: Elements that are often left open. One whose next tag of its kind is no end tag reaches to the next block at most.
+HOLDERS = frozenset("button select object canvas video audio noscript template".split())
+CHOICES = frozenset("option optgroup".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Start tags that end an svg or math element.
+BREAKS = frozenset("address article aside b big blockquote body br button center code dd div dl dt em embed fieldset figure footer form h1 h2 h3 h4 h5 h6 head "
+                   "header hr i img li main menu nav ol p pre ruby s section small span strike strong sub sup table tt u ul var video".split())
 #: A start tag ends open elements of these kinds, up to the nearest scope.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol table div section article main aside nav header footer body form blockquote dl".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+SAME = {t: re.compile(rf"<(/?){t}\b", re.I) for t in HOLDERS}
 WORDS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -72,6 +83,9 @@ def blocks(page: str) -> list[Block]:
     stack: list[Element] = []
     parts: list[str] = []
     linked = links = 0
+    loose: list[int] = []    # places in the stack of holders without an end tag
+    foreign: list[int] = []  # and of svg and math
+    ahead: dict[str, tuple[int, bool]] = {}  # next tag of a holder's kind: where, and whether it is an end tag
 
     def flush() -> None:
         nonlocal linked
@@ -96,6 +110,15 @@ def blocks(page: str) -> list[Block]:
             flush()
         links -= sum(e.tag == "a" for e in stack[k:])
         del stack[k:]
+        for held in (loose, foreign):
+            while held and held[-1] >= k:
+                held.pop()
+
+    def closed(tag: str) -> bool:
+        if ahead.get(tag, (-1, False))[0] < at:
+            found = SAME[tag].search(page, at)
+            ahead[tag] = (found.start(), bool(found[1])) if found else (len(page), False)
+        return ahead[tag][1]
 
     at = 0
     while at < len(page):
@@ -117,21 +140,40 @@ def blocks(page: str) -> list[Block]:
                 if tag in INLINE and not stack[k].inline:
                     break
             else:
-                if tag not in INLINE:
+                if tag not in INLINE and not foreign:
                     flush()
             continue
+        if foreign and tag in BREAKS:
+            close(foreign[0])
+        if foreign and m[3].rstrip().endswith("/"):
+            continue
         if tag == "br":
             take(" ")
             continue
         if tag in RAW_END:
-            end = RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
-            if tag not in ("svg", "math", "canvas", "button"):
-                flush()
+            end = RAW_END[tag].search(page, at) if tag not in INERT or closed(tag) else None
+            if end or tag not in INERT:
+                at = end.end() if end else len(page)
+                if not foreign:
+                    flush()
+                continue
+        if tag in HOLDERS and not foreign:
+            for k in range(len(stack) - 1, -1, -1):  # a button ends the one before it, as a select does
+                if stack[k].tag in SCOPES or tag not in ("button", "select"):
+                    break
+                if stack[k].tag == tag:
+                    close(k)
+                    break
+            flush()
+            if not closed(tag):
+                loose.append(len(stack))
+            stack.append(Element(tag, names_in(m[3]), MARK in m[3]))
             continue
-        inline = tag in INLINE
+        inline = tag in INLINE or bool(foreign)
         if not inline:
             flush()
+            if loose and tag not in CHOICES and tag not in VOID:
+                close(loose[0])
             ends = ENDS.get(tag, frozenset())
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag in ends or stack[k].tag == "p":
@@ -139,13 +181,15 @@ def blocks(page: str) -> list[Block]:
                     ends = ends - {tag}
                     if not ends:
                         break
-                elif stack[k].tag in SCOPES:
+                elif stack[k].tag in SCOPES or stack[k].tag in HOLDERS:
                     break
             while stack and stack[-1].inline:  # an inline element left open doesn't reach into the next block
                 close(len(stack) - 1)
         if tag in VOID or m[3].rstrip().endswith("/") and inline:
             continue
         attrs = m[3]
+        if tag in FOREIGN:
+            foreign.append(len(stack))
         stack.append(Element(tag, names_in(attrs), MARK in attrs, inline))
         links += tag == "a"
     flush()
@@ -260,6 +304,7 @@ ROLES = {
 class _Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.other = random.Random(seed + 1)
         self.syllables = ["".join((self.r.choice("bdfghklmnprstvwz"), self.r.choice("aeiouäé"), self.r.choice(["", "n", "r", "s", "t"]))) for _ in range(60)]
 
     def word(self) -> str:
@@ -286,6 +331,14 @@ class _Maker:
     def listing(self, a: int, b: int) -> str:
         return f"<ul>{''.join(f'<li>{self.link()}</li>' for _ in range(self.r.randint(a, b)))}</ul>"
 
+    def controls(self) -> str:
+        def words(n: int) -> str:
+            return " ".join("".join(self.other.choices(self.syllables, k=2)) for _ in range(self.other.randint(1, n)))
+
+        tag = self.other.choice(["", "", "select", "video", "audio", "object", "canvas"])
+        inner = "".join(f"<option>{words(3)}" for _ in range(self.other.randint(1, 5))) if tag == "select" else words(9).capitalize() + self.other.choice(["", "."])
+        return f"<{tag}>{inner}</{tag}>" if tag else ""
+
     def nav(self) -> str:
         tag = self.r.choice(["nav", "nav", "div", "header"])
         inner = self.listing(3, 9) if self.r.random() < 0.7 else " | ".join(self.link() for _ in range(self.r.randint(2, 7)))
@@ -319,7 +372,7 @@ class _Maker:
 
     def form(self) -> str:
         return (f"<form{self.attrs('form')}><label>{self.words(1, 3)}</label><input name=q>{self.r.choice(['', f'<p>{self.prose(1, 2)}</p>'])}"
-                f"<button>{self.word()}</button></form>")
+                f"{self.controls()}<button>{self.word()}</button></form>")
 
     def comments(self) -> str:
         tag, item = self.r.choice([("section", "div"), ("div", "div"), ("ol", "li"), ("div", "article"), ("ul", "li")])
