@@ -136,9 +136,6 @@ def ml_ensemble(x):
 FEATURES = ["f_rvol_20d", "f_r_30m", "f_eps_surprise", "f_hist_r24_mean"]
 
 
-# rounds of the registered tree query; the operator's own default is 500
-TREE_ROUNDS = 8
-
 PRED = "event_id:l fold:l model:s p_up:n r_hat:n magnitude_hat:n"
 
 
@@ -149,7 +146,7 @@ def ml_linear(x):
 
 @query("ml_boosted_trees", PRED)
 def ml_boosted_trees(x):
-    return ln.walk_forward(feats_of(x), folds_of(x), FEATURES, lambda: ln.tree_heads(TREE_ROUNDS), "boosted_trees")
+    return ln.walk_forward(feats_of(x), folds_of(x), FEATURES, ln.tree_heads, "boosted_trees")
 
 
 @query("ml_contributions", "event_id:l fold:l head:s feature:s push:n")
