@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidemark.llm.registry import QUERIES, STATEMENTS
 
-MODULES = ("queries_dedup", "queries_text")
+MODULES = ("queries_dedup", "queries_text", "queries_search")
 for _m in MODULES:
     import_module(f"tidemark.llm.{_m}")
 import_module("corpus_pipeline")
