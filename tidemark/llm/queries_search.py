@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import mask_search, prefix_trie
+from tidemark.llm import mask_search, prefix_trie, quality
 from tidemark.llm.common import documents, table
 from tidemark.llm.registry import query
 
@@ -44,3 +44,10 @@ SELECT v.conv_id, v.depth, a.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n,
 FROM v JOIN u USING (key) LEFT JOIN k USING (key) LEFT JOIN v a ON a.key = v.parent""")
 def op12(spark, sf_dir):
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_quality_rules")
+def op13(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).drop("probability")
