@@ -9,6 +9,7 @@ probability of good quality does.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,8 @@ CHARS = 3
 #: Buckets of words, and as many of character runs.
 BUCKETS = 1 << 16
 ITERATIONS, RIDGE = 60, 1e-6
+#: Partitions of the examples; with so few, gradients are summed without a shuffle.
+FEW = 5
 # Fixed thresholds
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
@@ -144,22 +147,25 @@ class Model:
 
 
 def vectors(sample: DataFrame) -> DataFrame:
-    """label, apart and the hashed features of each example."""
+    """label, apart and the hashed features of each example, packed."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             for i, t in enumerate(texts):
-                bucket, share = [], []
-                for kind in range(2):
-                    found = [list(buckets(pieces))[kind][1] for pieces in held_together([t])]
-                    own, n = np.unique(np.concatenate(found), return_counts=True)
-                    bucket.append(own)
-                    share.append(n / max(1, n.sum()))
+                found = [b for pieces in held_together([t]) for _, b in buckets(pieces)]
+                at, n = np.unique(np.concatenate(found), return_counts=True)
                 row = b.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([row.column("label"), row.column("apart"), pa.array([np.concatenate(bucket).astype(np.int32)]),
-                                                  pa.array([np.concatenate(share)])], ["label", "apart", "at", "share"])
+                packed = (zlib.compress(np.diff(at, prepend=0).astype(np.int32).tobytes(), 1), zlib.compress(n.astype(np.int32).tobytes(), 1))
+                yield pa.RecordBatch.from_arrays([row.column("label"), row.column("apart"), *(pa.array([x], pa.binary()) for x in packed)], ["label", "apart", "at", "n"])
 
-    return sample.select("label", "apart", "text").mapInArrow(hashed, "label double, apart boolean, at array<int>, share array<double>")
+    return sample.select("label", "apart", "text").mapInArrow(hashed, "label double, apart boolean, at binary, n binary")
+
+
+def unpacked(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of an example and their shares, of its words and of its runs."""
+    at, n = np.cumsum(np.frombuffer(zlib.decompress(at), np.int32)), np.frombuffer(zlib.decompress(n), np.int32)
+    runs = at >= BUCKETS
+    return at, n / np.where(runs, max(1, n[runs].sum()), max(1, n[~runs].sum()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model | None:
@@ -176,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model | Non
         return None
     if not {(0.0, False), (1.0, False)} <= kinds:  # few rows: all of them train
         rows, kinds = rows.withColumn("apart", F.lit(False)), set()
-    sparse = F.udf(lambda at, share: Vectors.sparse(2 * BUCKETS, at, share), VectorUDT())
-    ready = rows.withColumn("features", sparse("at", "share"))
+    sparse = F.udf(lambda at, n: Vectors.sparse(2 * BUCKETS, *unpacked(at, n)), VectorUDT())
+    ready = rows.withColumn("features", sparse("at", "n")).coalesce(FEW)
     plain = LogisticRegression(maxIter=ITERATIONS, regParam=RIDGE, standardization=False, tol=1e-5)
     found = plain.fit(ready.filter("not apart").select("label", "features"))
     model = Model(found.coefficients.toArray(), float(found.intercept))
@@ -189,8 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model | Non
 def _calibrated(rows: DataFrame, model: Model) -> tuple[float, float]:
     """Slope and shift of the margins, by a logistic regression of the labels on them."""
     sent = rows.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    margin = F.udf(lambda at, share: Vectors.dense(float(sent.value[0][at] @ np.asarray(share) + sent.value[1])), VectorUDT())
-    found = LogisticRegression(maxIter=50, regParam=1e-3).fit(rows.select("label", margin("at", "share").alias("features")))
+
+    def margin(at: bytes, n: bytes):
+        bucket, share = unpacked(at, n)
+        return Vectors.dense(float(sent.value[0][bucket] @ share + sent.value[1]))
+
+    found = LogisticRegression(maxIter=50, regParam=1e-3).fit(rows.select("label", F.udf(margin, VectorUDT())("at", "n").alias("features")))
     return max(0.0, float(found.coefficients[0])), float(found.intercept)
 
 
