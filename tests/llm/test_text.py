@@ -307,19 +307,18 @@ def test_nearest_equals_all_cosines():
         g = np.sort(rng.choice(60, rng.integers(0, 9), replace=False))
         w = rng.random(len(g)) + 0.01
         vectors.append((g, w / np.sqrt((w * w).sum()) if len(g) else w))
-    index = toxicity.Index(vectors, rng.integers(0, 2, 400), list(range(400)), 60)
+    index = toxicity.Index.of(vectors, 60, 16)
     dense = np.zeros((400, 60))
     for i, (g, w) in enumerate(vectors):
         dense[i, g] = w
-    place = {d: i for i, d in enumerate(index.ids)}
     for g, w in vectors[:150]:
         docs, cos = index.nearest(g, w, 10)
         q = np.zeros(60)
         q[g] = w
         all_ = np.round(dense @ q, 12)
-        want = sorted((i for i in place if all_[i] > 0), key=lambda i: (-all_[i], place[i]))[:10]
+        want = sorted((i for i in range(400) if all_[i] > 0), key=lambda i: (-all_[i], i))[:10]
         assert np.allclose(cos, all_[want]) and len(cos) == len(want)
-        assert sorted(np.round(cos, 9)) == sorted(np.round(all_[[index.ids[d] for d in docs]], 9))
+        assert sorted(np.round(cos, 9)) == sorted(np.round(all_[docs], 9))
 
 
 def test_toxicity_of_held_out_documents(spark):
@@ -367,18 +366,55 @@ def test_nearest_of_rare_and_common_grams():
         g = np.unique(np.r_[rng.choice(20, 6, replace=False), 20 + rng.choice(2000, 15, replace=False)])
         w = rng.random(len(g)) + 0.01
         vectors.append((g, w / np.sqrt((w * w).sum())))
-    index = toxicity.Index(vectors, rng.integers(0, 2, 500), list(range(500)), 2020)
-    assert 0 < len(index.common) <= 20
+    index = toxicity.Index.of(vectors, 2020, 32)
     dense = np.zeros((500, 2020))
     for i, (g, w) in enumerate(vectors):
         dense[i, g] = w
-    cuts = np.r_[0, np.cumsum([len(g) for g, _ in vectors[:100]])]
-    near = index.nearest_of(cuts, np.concatenate([g for g, _ in vectors[:100]]), np.concatenate([w for _, w in vectors[:100]]), 10)
-    for i, (docs, cos) in enumerate(near):
+    for i in range(100):
+        docs, cos = index.nearest(*vectors[i], 10)
         all_ = np.round(dense @ dense[i], 12)
         assert docs.tolist() == sorted(range(500), key=lambda j: (-all_[j], j))[:10] and np.allclose(cos, all_[docs])
 
 
+def test_blocks_are_skipped_and_the_nearest_found(spark, monkeypatch):
+    """Over the given documents: nearest examples equal all cosines, in either space, for the whole and for a half; most blocks stay closed."""
+    monkeypatch.setattr(toxicity, "TOLD_BLOCK", 8)
+    monkeypatch.setattr(toxicity, "EVERY_BLOCK", 8)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    texts = [r["text"] or "" for r in docs.select("text").collect()]
+    examples = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    own = [examples[i] for i in model.ids]
+    every, told = model.every, model.telling[2]
+
+    def dense(space, of):
+        out = np.zeros((len(of), len(model.grams)))
+        for row, (g, w) in zip(out, space.vectors(model.weights, of)):
+            row[g] = w
+        return out
+
+    for space, of in ((told, texts), (every, texts[:120])):
+        cosines = np.round(dense(space, of) @ dense(space, own).T, 12)
+        for allowed in (None, model.half == 0):
+            for (g, w), c in zip(space.vectors(model.weights, of), cosines):
+                docs_, cos = space.index.nearest(g, w, 10, allowed)
+                c = c if allowed is None else np.where(allowed, c, 0)
+                want = np.sort(c[c > 1e-12])[::-1][:10]
+                assert np.allclose(cos, want, atol=1e-11) and np.allclose(c[docs_], cos, atol=1e-11)
+
+    rng = np.random.default_rng(3)  # examples of 30 subjects, placed by subject
+    vectors = []
+    for i in range(1500):
+        g = np.sort(np.r_[i // 50 * 20 + rng.choice(20, 6, replace=False), 600 + rng.choice(100, 5, replace=False)])
+        w = np.where(g < 600, 1.0, 0.2) * (rng.random(len(g)) + 0.5)
+        vectors.append((g, w / np.sqrt((w * w).sum())))
+    index = toxicity.Index.of(vectors, 700, 25)
+    for g, w in vectors[::10]:
+        index.nearest(g, w, 10)
+    assert index.seen > 150 * 50 and index.opened < index.seen / 5
+
+
 def test_isotonic_rises():
     steps, levels = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0, 1, 0, 1, 1.0]), 0.5)
     assert (np.diff(levels) > 0).all() and (np.diff(steps) > 0).all()
