@@ -84,17 +84,36 @@ def bootstrap_sql(rows: str, by: str, value: str, reps: int = REPLICATES, tag: s
     bq{tag} AS (SELECT {by}, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi, avg(CAST(stat <= 0 AS INT)) AS p_noise FROM br{tag} GROUP BY ALL)"""
 
 
+def bands_sql(rows: str, by: str, value: str) -> str:
+    """The same bootstrap with the draws made once per number of blocks."""
+    return f"""
+    bb AS (SELECT {by}, season AS block, sum({value}) AS s, count(*) AS n FROM {rows} WHERE {value} IS NOT NULL GROUP BY ALL),
+    bi AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5(block)) - 1 AS idx, count(*) OVER (PARTITION BY {by}) AS size FROM bb),
+    bz AS (SELECT {by}, max(size) AS size, sum(s) / sum(n) AS point, sum(n) AS n FROM bi GROUP BY ALL),
+    bd AS (SELECT size, rep, ('0x' || substr(md5(concat(rep, ':', slot)), 1, 8))::BIGINT % size AS idx, count(*) AS times
+           FROM (SELECT size, rep, unnest(range(size)) AS slot FROM (SELECT size, unnest(range({REPLICATES})) AS rep FROM (SELECT DISTINCT size FROM bz))) GROUP BY ALL),
+    br AS (SELECT {by}, rep, sum(times * s) / sum(times * n) AS stat FROM bd JOIN bi USING (size, idx) GROUP BY ALL),
+    bq AS (SELECT {by}, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi, avg(CAST(stat <= 1e-12 AS INT)) AS p_noise FROM br GROUP BY ALL)"""
+
+
+BANDS = ("accuracy", "brier", "log_loss", "mae", "magnitude_mae")
+SPREAD = "s AS (SELECT q.*, u.subset FROM (" + SCORED + ") q JOIN (" + SUBSETS + ") u ON u.event_id = q.event_id AND u.model = q.model)"
+CELL = "model, decision_time, subset"
+RANKED = f"""k AS (SELECT *, rank() OVER (PARTITION BY {CELL} ORDER BY r_true) + (count(*) OVER (PARTITION BY {CELL}, r_true) - 1) / 2.0 AS rt,
+                 rank() OVER (PARTITION BY {CELL} ORDER BY r_hat) + (count(*) OVER (PARTITION BY {CELL}, r_hat) - 1) / 2.0 AS rh,
+                 rank() OVER (PARTITION BY {CELL} ORDER BY abs(r_true)) + (count(*) OVER (PARTITION BY {CELL}, abs(r_true)) - 1) / 2.0 AS mt,
+                 rank() OVER (PARTITION BY {CELL} ORDER BY coalesce(magnitude_hat, abs(r_hat))) + (count(*) OVER (PARTITION BY {CELL}, coalesce(magnitude_hat, abs(r_hat))) - 1) / 2.0 AS mh FROM s)"""
+
+
 @query("eval_cells", "model:s decision_time:s subset:s n:l n_direction:l accuracy:n balanced_accuracy:n brier:n log_loss:n mae:n rmse:n magnitude_mae:n spearman_ic:n magnitude_ic:n "
-       "accuracy_scheme:s accuracy_lo:n accuracy_hi:n brier_scheme:s brier_lo:n brier_hi:n",
-       "WITH s AS (SELECT q.*, u.subset FROM (" + SCORED + ") q JOIN (" + SUBSETS + """) u ON u.event_id = q.event_id AND u.model = q.model),
-    k AS (SELECT *, rank() OVER (PARTITION BY model, decision_time, subset ORDER BY r_true) + (count(*) OVER (PARTITION BY model, decision_time, subset, r_true) - 1) / 2.0 AS rt,
-                 rank() OVER (PARTITION BY model, decision_time, subset ORDER BY r_hat) + (count(*) OVER (PARTITION BY model, decision_time, subset, r_hat) - 1) / 2.0 AS rh,
-                 rank() OVER (PARTITION BY model, decision_time, subset ORDER BY abs(r_true)) + (count(*) OVER (PARTITION BY model, decision_time, subset, abs(r_true)) - 1) / 2.0 AS mt,
-                 rank() OVER (PARTITION BY model, decision_time, subset ORDER BY coalesce(magnitude_hat, abs(r_hat))) + (count(*) OVER (PARTITION BY model, decision_time, subset, coalesce(magnitude_hat, abs(r_hat))) - 1) / 2.0 AS mh FROM s),"""
-       + bootstrap_sql("s", "model, decision_time, subset", "hit") + "," + bootstrap_sql("s", "model, decision_time, subset", "brier", tag="2") + """
-    SELECT model, decision_time, subset, any_value(bq.lo) AS accuracy_lo, any_value(bq.hi) AS accuracy_hi, any_value(bq2.lo) AS brier_lo, any_value(bq2.hi) AS brier_hi,
-           'block:season' AS accuracy_scheme, 'block:season' AS brier_scheme, corr(mt, mh) AS magnitude_ic, count(*) AS n, count(hit) AS n_direction, avg(hit) AS accuracy, coalesce((avg(hit) FILTER (WHERE r_true > 0) + avg(hit) FILTER (WHERE r_true < 0)) / 2, avg(hit)) AS balanced_accuracy,
-           avg(brier) AS brier, avg(ll) AS log_loss, avg(ae) AS mae, sqrt(avg(ae * ae)) AS rmse, avg(mag_ae) AS magnitude_mae, corr(rt, rh) AS spearman_ic FROM k JOIN bq USING (model, decision_time, subset) JOIN bq2 USING (model, decision_time, subset) GROUP BY 1, 2, 3""")
+       + " ".join(f"{m}_scheme:s {m}_lo:n {m}_hi:n" for m in BANDS),
+       "WITH " + SPREAD + ", " + RANKED + f""",
+    l AS (SELECT {CELL}, season, unnest({list(BANDS)}) AS metric, unnest([hit, brier, ll, ae, mag_ae]) AS v FROM s),"""
+       + bands_sql("l", CELL + ", metric", "v") + f""",
+    w AS (SELECT {CELL}, {", ".join(f"any_value(lo) FILTER (metric = '{m}') AS {m}_lo, any_value(hi) FILTER (metric = '{m}') AS {m}_hi" for m in BANDS)} FROM bq GROUP BY ALL),
+    g AS (SELECT {CELL}, corr(mt, mh) AS magnitude_ic, count(*) AS n, count(hit) AS n_direction, avg(hit) AS accuracy, coalesce((avg(hit) FILTER (WHERE r_true > 0) + avg(hit) FILTER (WHERE r_true < 0)) / 2, avg(hit)) AS balanced_accuracy,
+           avg(brier) AS brier, avg(ll) AS log_loss, avg(ae) AS mae, sqrt(avg(ae * ae)) AS rmse, avg(mag_ae) AS magnitude_mae, corr(rt, rh) AS spearman_ic FROM k GROUP BY ALL)
+    SELECT *, {", ".join(f"'block:season' AS {m}_scheme" for m in BANDS)} FROM g JOIN w USING ({CELL})""")
 def eval_cells(x):
     return ev.eval_cells(ev.score_rows(x.predictions), replicates=REPLICATES)
 
@@ -105,13 +124,55 @@ def bootstrap_blocks(x):
     return ev.block_bootstrap(ev.score_rows(x.predictions), by=["model", "decision_time"], value="brier", replicates=REPLICATES)
 
 
-@query("paired_compare", "decision_time:s n:l point:n lo:n hi:n p_noise:n se:n mde:n verdict:s", "WITH sc AS (" + SCORED + "), df AS (SELECT a.decision_time, a.season, b.brier - a.brier AS diff FROM sc a JOIN sc b ON a.event_id = b.event_id "
-       "AND a.model = 'linear' AND b.model = 'base_rate' WHERE a.brier IS NOT NULL)," + bootstrap_sql("df", "decision_time", "diff") + """,
-    se AS (SELECT decision_time, stddev_samp(diff) / sqrt(count(*)) AS se FROM df GROUP BY 1)
-    SELECT decision_time, n, point, lo, hi, p_noise, se, (1.959963984540054 + 0.8416212335729143) * se AS mde, CASE WHEN lo > 0 THEN 'improves' WHEN hi < 0 THEN 'worse'
-       WHEN hi < (1.959963984540054 + 0.8416212335729143) * se THEN 'not_predictable' ELSE concat('inconclusive at n = ', n) END AS verdict FROM bz JOIN bq USING (decision_time) JOIN se USING (decision_time)""")
+# The rank of a value in a replicate is linear in the block counts, so a rank correlation's sums are cubic in them: their coefficients by (block, block,
+# block) meet the products of a replicate's counts as two long lists.
+COMPARED = "WITH " + SPREAD + ", " + RANKED + f""",
+    c AS (SELECT {CELL}, avg(hit) AS accuracy, avg(brier) AS brier, avg(ll) AS log_loss, corr(rt, rh) AS spearman_ic, avg(ae) AS mae, avg(mag_ae) AS magnitude_mae FROM k GROUP BY ALL),
+    lg AS (SELECT {CELL}, unnest(['accuracy', 'brier', 'log_loss', 'spearman_ic', 'mae', 'magnitude_mae']) AS metric, unnest([accuracy, brier, log_loss, spearman_ic, mae, magnitude_mae]) AS value FROM c),
+    be AS (SELECT decision_time, subset, metric, model AS baseline, value AS baseline_value FROM lg WHERE model <> 'linear' AND value IS NOT NULL
+           QUALIFY row_number() OVER (PARTITION BY decision_time, subset, metric ORDER BY CASE WHEN metric IN ('accuracy', 'spearman_ic') THEN -value ELSE value END, CASE model WHEN 'zero' THEN 0 ELSE 1 END) = 1),
+    pa AS (SELECT a.decision_time, a.subset, a.season, b.model AS baseline, a.r_true, a.r_hat, b.r_hat AS b_r_hat, unnest({list(BANDS)}) AS metric,
+                  unnest([a.hit - b.hit, b.brier - a.brier, b.ll - a.ll, b.ae - a.ae, b.mag_ae - a.mag_ae]) AS diff
+           FROM s a JOIN s b ON a.event_id = b.event_id AND a.decision_time = b.decision_time AND a.subset = b.subset AND a.model = 'linear' AND b.model <> 'linear'),
+    df AS (SELECT pa.* FROM pa JOIN be USING (decision_time, subset, metric, baseline) WHERE diff IS NOT NULL),""" + bands_sql("df", "decision_time, subset, metric", "diff") + """,
+    se AS (SELECT decision_time, subset, metric, stddev_samp(diff) / sqrt(count(*)) AS se FROM df GROUP BY ALL),
+    pr AS (SELECT dense_rank() OVER (ORDER BY decision_time, subset) AS cell, decision_time, subset, season, r_hat AS x, b_r_hat AS z, r_true AS y
+           FROM pa JOIN (SELECT decision_time, subset, baseline FROM be WHERE metric = 'spearman_ic') USING (decision_time, subset, baseline) WHERE pa.metric = 'brier'),
+    pb AS (SELECT cell, season, row_number() OVER (PARTITION BY cell ORDER BY md5(season)) AS idx, count(*) OVER (PARTITION BY cell) AS size FROM (SELECT DISTINCT cell, season FROM pr)),
+    pi AS (SELECT pr.cell, idx, size, x, z, y FROM pr JOIN pb USING (cell, season)),
+    pv AS (SELECT cell, size, idx, side, v, count(*) AS c FROM (SELECT cell, size, idx, unnest(['x', 'z', 'y']) AS side, unnest([x, z, y]) AS v FROM pi) GROUP BY ALL),
+    pg AS (SELECT g.cell, g.side, g.v, g.p, coalesce(c, 0) AS c FROM (SELECT DISTINCT cell, side, v, unnest(range(1, size + 1)) AS p FROM pv) g
+           LEFT JOIN pv ON pv.cell = g.cell AND pv.side = g.side AND pv.v = g.v AND pv.idx = g.p),
+    pc AS (SELECT cell, side, v, p, sum(c) OVER (PARTITION BY cell, side, p ORDER BY v) - c / 2.0 AS a FROM pg),
+    px AS (SELECT cell, side, v, list(a::DOUBLE ORDER BY p) AS a FROM pc GROUP BY ALL),
+    po AS (SELECT pi.cell, pi.idx, pi.size, i.a AS ax, j.a AS az, k.a AS ay FROM pi JOIN px i ON i.cell = pi.cell AND i.side = 'x' AND i.v = pi.x
+           JOIN px j ON j.cell = pi.cell AND j.side = 'z' AND j.v = pi.z JOIN px k ON k.cell = pi.cell AND k.side = 'y' AND k.v = pi.y),
+    p1 AS (SELECT cell, size, idx, p, count(*)::DOUBLE AS n, sum(ax) AS x, sum(az) AS z, sum(ay) AS y FROM (SELECT cell, size, idx, unnest(range(1, size + 1)) AS p, unnest(ax) AS ax, unnest(az) AS az, unnest(ay) AS ay FROM po) GROUP BY ALL),
+    p2 AS (SELECT cell, size, idx, p, q, sum(ax[q] * bx) AS xx, sum(az[q] * bz) AS zz, sum(ay[q] * b_y) AS yy, sum(ay[q] * bx) AS xy, sum(ay[q] * bz) AS zy
+           FROM (SELECT *, unnest(range(1, size + 1)) AS q FROM (SELECT cell, size, idx, ax, az, ay, unnest(range(1, size + 1)) AS p, unnest(ax) AS bx, unnest(az) AS bz, unnest(ay) AS b_y FROM po)) GROUP BY ALL),
+    f1 AS (SELECT cell, size, list(x ORDER BY idx, p) AS x, list(z ORDER BY idx, p) AS z, list(y ORDER BY idx, p) AS y, list(n ORDER BY idx) FILTER (p = 1) AS n FROM p1 GROUP BY ALL),
+    f2 AS (SELECT cell, list(xx ORDER BY idx, p, q) AS xx, list(zz ORDER BY idx, p, q) AS zz, list(yy ORDER BY idx, p, q) AS yy, list(xy ORDER BY idx, p, q) AS xy, list(zy ORDER BY idx, p, q) AS zy FROM p2 GROUP BY ALL),
+    tt AS (SELECT size, rep, list(coalesce(times, 0)::DOUBLE ORDER BY slot) AS t FROM (SELECT size, rep, unnest(range(size)) AS slot FROM (SELECT DISTINCT size, unnest(range(-1, """ + str(REPLICATES) + """)) AS rep FROM pb)) g
+           LEFT JOIN (SELECT size AS zs, rep AS zr, idx AS zi, times FROM bd UNION ALL SELECT DISTINCT size, -1, unnest(range(size)), 1 FROM pb) d ON zs = size AND zr = rep AND zi = slot GROUP BY ALL),
+    t2 AS (SELECT size, rep, t, flatten(list_transform(t, lambda a: list_transform(t, lambda b: a * b))) AS tb FROM tt),
+    t3 AS (SELECT *, flatten(list_transform(t, lambda a: list_transform(tb, lambda b: a * b))) AS tc FROM t2),
+    q1 AS (SELECT cell, rep, list_inner_product(t, n) AS w, list_inner_product(tb, x) AS mx, list_inner_product(tb, z) AS mz, list_inner_product(tb, y) AS my, list_inner_product(tc, xx) AS xx, list_inner_product(tc, zz) AS zz,
+                  list_inner_product(tc, yy) AS yy, list_inner_product(tc, xy) AS xy, list_inner_product(tc, zy) AS zy FROM f1 JOIN f2 USING (cell) JOIN t3 USING (size)),
+    q2 AS (SELECT cell, rep, (xy - mx * my / w) / sqrt((xx - mx * mx / w) * (yy - my * my / w)) - (zy - mz * my / w) / sqrt((zz - mz * mz / w) * (yy - my * my / w)) AS stat FROM q1),
+    q3 AS (SELECT cell, any_value(stat) FILTER (rep < 0) AS point, quantile_cont(stat, 0.025) FILTER (rep >= 0) AS lo, quantile_cont(stat, 0.975) FILTER (rep >= 0) AS hi, avg(CAST(stat <= 1e-12 AS INT)) FILTER (rep >= 0) AS p_noise,
+                  stddev_samp(stat) FILTER (rep >= 0) AS se FROM q2 GROUP BY ALL),
+    qn AS (SELECT cell, any_value(decision_time) AS decision_time, any_value(subset) AS subset, count(*) AS n FROM pr GROUP BY cell),
+    al AS (SELECT decision_time, subset, metric, size AS n_blocks, point, n, lo, hi, p_noise, se FROM bz JOIN bq USING (decision_time, subset, metric) JOIN se USING (decision_time, subset, metric)
+           UNION ALL SELECT decision_time, subset, 'spearman_ic', size, point, n, lo, hi, p_noise, se FROM q3 JOIN qn USING (cell) JOIN (SELECT DISTINCT cell, size FROM pb) USING (cell)),
+    am AS (SELECT *, CASE WHEN metric IN ('accuracy', 'brier') THEN (1.959963984540054 + 0.8416212335729143) * se END AS mde FROM al)
+    SELECT decision_time, subset, metric, baseline, baseline_value, value AS model_value, n, n_blocks, point AS improvement, lo, hi, p_noise, se, mde,
+       CASE WHEN lo > 0 THEN 'improves' WHEN hi < 0 THEN 'worse' WHEN hi < mde THEN 'not_predictable' ELSE concat('inconclusive at n = ', n) END AS verdict
+    FROM am JOIN be USING (decision_time, subset, metric) JOIN (SELECT * FROM lg WHERE model = 'linear') USING (decision_time, subset, metric)"""
+
+
+@query("paired_compare", "decision_time:s subset:s metric:s baseline:s baseline_value:n model_value:n n:l n_blocks:l improvement:n lo:n hi:n p_noise:n se:n mde:n verdict:s", COMPARED)
 def paired_compare(x):
-    return ev.paired_compare(ev.score_rows(x.predictions), "linear", "base_rate", metric="brier", by=["decision_time"], replicates=REPLICATES)
+    return ev.compare_cells(ev.score_rows(x.predictions), ("zero", "base_rate"), replicates=REPLICATES)
 
 
 @query("holdout_guard", "closed:b n_rows:l n_future:l n_blocking:l n_unobservable:l n_absent:l ready:b", """

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators.ranks import digest_index, exact_quantiles, spearman
+from tidemark.operators.ranks import exact_quantiles, spearman
+from tidemark.plans.bootstrap import block_intervals, event_intervals, intervals, rank_gain
 from tidemark.session import cut
 
 # Fixed values
 HEADLINE_SOURCES = ("sec_8k", "manual", "detected")
 HIGHER_IS_BETTER = {"accuracy": True, "brier": False, "log_loss": False, "spearman_ic": True, "mae": False, "magnitude_mae": False}
 SCORE_OF = {"accuracy": "hit", "brier": "brier", "log_loss": "ll", "mae": "ae", "magnitude_mae": "mag_ae"}
-MIN_BLOCKS = 5
+MDE_METRICS = ("accuracy", "brier")
 MAX_NONFINITE_SHARE = 0.1
 
 
@@ -88,8 +89,16 @@ def regression_aggs() -> list[Column]:
 STRATA = ("has_perp", "confident", *NAMED_STRATA)
 
 
+def to_subsets(strata: DataFrame) -> DataFrame:
+    """One copy of a stratum's row per named subset it belongs to."""
+    perp = F.coalesce("has_perp", F.lit(False))
+    head = perp & F.col("confident") & F.col("t0_source").isin(*HEADLINE_SOURCES)
+    names = [F.lit("all"), F.when(perp, "has_perp_at_t0"), F.when(head, "headline"), *[F.concat(F.lit(f"{c}="), F.col(c)) for c in NAMED_STRATA]]
+    return strata.withColumn("subset", F.explode(F.filter(F.array(*names), lambda v: v.isNotNull())))
+
+
 def eval_cells(scores: DataFrame, by: Sequence[str] = ("model", "decision_time"), *, min_confidence: float = 0.6, subsets: bool = True, replicates: int = 0) -> DataFrame:
-    """All metrics per cell, with bootstrap intervals of accuracy and Brier score where `replicates` are asked for. Every metric is a ratio of sums, so rows are summed per stratum
+    """All metrics per cell, with bootstrap intervals of the means where `replicates` are asked for. Every metric is a ratio of sums, so rows are summed per stratum
     first and only the few strata rows are copied to the overlapping subsets they belong to;
     the rank correlation does the same with counts of equal (r_hat, r_true) pairs."""
     by = list(by)
@@ -105,12 +114,7 @@ def eval_cells(scores: DataFrame, by: Sequence[str] = ("model", "decision_time")
         keys = [*by, *STRATA]
 
     def spread(df: DataFrame) -> DataFrame:
-        if not subsets:
-            return df
-        perp = F.coalesce("has_perp", F.lit(False))
-        head = perp & F.col("confident") & F.col("t0_source").isin(*HEADLINE_SOURCES)
-        names = [F.lit("all"), F.when(perp, "has_perp_at_t0"), F.when(head, "headline"), *[F.concat(F.lit(f"{c}="), F.col(c)) for c in NAMED_STRATA]]
-        return df.withColumn("subset", F.explode(F.filter(F.array(*names), lambda v: v.isNotNull())))
+        return to_subsets(df) if subsets else df
     cell = [*by, "subset"] if subsets else by
     strata = rows.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in parts.items()])
     g = spread(strata).groupBy(*cell).agg(*[F.sum(k).alias(k) for k in parts])
@@ -127,13 +131,21 @@ def eval_cells(scores: DataFrame, by: Sequence[str] = ("model", "decision_time")
     out = base.join(spearman(spread(pairs), by=cell, x="r_hat", y="r_true", weight="_k"), cell, "left").join(magnitude, cell, "left")
     if not replicates:
         return out
-    # blocks of a cell hold sums, so a row is summed per stratum and block before it is copied to its subsets
-    for score, name in (("hit", "accuracy"), ("brier", "brier")):
-        known = rows.filter(F.col(score).isNotNull())
-        blocks = cut(spread(known.groupBy(*keys, "season", "day").agg(F.sum(score).alias("_s"), F.count("*").alias("_n"))))  # read several times
-        band = block_bootstrap(blocks, by=cell, value="_s", weight="_n", replicates=replicates)
-        out = out.join(band.select(*cell, F.col("scheme").alias(f"{name}_scheme"), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi")), cell, "left")
-    return out
+    bands = cell_intervals(rows, by=cell, keys=keys, spread=spread, metrics=SCORE_OF, replicates=replicates)
+    wide = bands.groupBy(*cell).pivot("metric", list(SCORE_OF)).agg(F.max("scheme").alias("scheme"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    return out.join(wide, cell, "left")
+
+
+def cell_intervals(rows: DataFrame, *, by: Sequence[str], keys: Sequence[str], spread: Callable[[DataFrame], DataFrame], metrics: Mapping[str, str], replicates: int) -> DataFrame:
+    """Intervals of all `metrics` (name: column) of all cells in one pass. Rows are summed per stratum (`keys`) and day before `spread` copies
+    the sums to the cells they belong to. Only cells that must resample single events see rows again."""
+    named = rows.select(*keys, "event_id", "season", "day", *[F.col(c).alias(m) for m, c in metrics.items()])
+    sums = named.groupBy(*keys, "season", "day").agg(*[f(m).alias(f"{tag}_{m}") for m in metrics for tag, f in (("s", F.sum), ("n", F.count))])
+    bands = cut(block_intervals(spread(sums), by=by, metrics=list(metrics), replicates=replicates))  # a row per cell and metric
+    few = bands.filter("scheme = 'iid'")
+    if few.isEmpty():
+        return bands
+    return bands.filter("scheme <> 'iid'").unionByName(event_intervals(spread(named), few, by=by, metrics=list(metrics), replicates=replicates))
 
 
 def calibration(scores: DataFrame, *, bins: int = 10) -> DataFrame:
@@ -172,45 +184,14 @@ def mde_closed_form(n: Column, base: Column) -> Column:
     return F.when(n > 0, F.lit(fn.Z_POWER) * F.sqrt(v * (1 - v) / F.when(n > 0, n)))
 
 
-def block_labels(df: DataFrame, by: Sequence[str], single: str = "event_id") -> DataFrame:
-    """`block` and `scheme` per row: season with at least five seasons, else UTC day with at
-    least five days, else every event on its own."""
-    days = df.select(*by, "season", "day").distinct()  # bounded by the calendar
-    k = days.groupBy(*by).agg(F.countDistinct("season").alias("_ns"), F.countDistinct("day").alias("_nd"))
-    j = df.join(k, list(by))
-    s, d = F.col("_ns") >= MIN_BLOCKS, F.col("_nd") >= MIN_BLOCKS
-    return j.withColumns({"block": F.when(s, F.col("season")).when(d, F.col("day")).otherwise(F.col(single).cast("string")),
-                          "scheme": F.when(s, "block:season").when(d, "block:day").otherwise("iid")}).drop("_ns", "_nd")
-
-
-def block_bootstrap(df: DataFrame, *, by: Sequence[str], value: str, replicates: int, weight: str | None = None) -> DataFrame:
-    """Interval of a mean by resampling blocks (rows may be sums of `weight` rows each; their blocks are seasons or
-    days, as single events are gone). Rows collapse to (sum, n) per block first; a
-    replicate is sum(block sums) / sum(block counts) over as many draws as there are blocks.
-    Draws are digests of (replicate, slot), so every run and engine gets the same ones."""
-    by = list(by)
-    rows = block_labels(df.filter(F.col(value).isNotNull()), by, single="day" if weight else "event_id")
-    blocks = rows.groupBy(*by, "scheme", "block").agg(F.sum(value).alias("_s"), (F.sum(weight) if weight else F.count("*")).alias("_n"))
-    blocks = digest_index(blocks, by=by, key="block")
-    sizes = blocks.groupBy(*by).agg(F.max("size").alias("size"), F.max("scheme").alias("scheme"),
-                                    (F.sum("_s") / F.sum("_n")).alias("point"), F.sum("_n").alias("n"))
-    # the draws depend on the number of blocks alone, so they are made once per number, as counts
-    draws = (sizes.select("size").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-             .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1))))
-    word = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10)
-    draws = draws.groupBy("size", F.pmod(word.cast("bigint"), F.col("size")).alias("idx"), "rep").agg(F.count("*").alias("_times"))
-    t = F.col("_times")
-    reps = (draws.join(blocks.select(*by, "size", "idx", "_s", "_n"), ["size", "idx"]).groupBy(*by, "rep")
-            .agg((F.sum(t * F.col("_s")) / F.sum(t * F.col("_n"))).alias("stat")))
-    # one value per replicate: a bounded group
-    band = reps.groupBy(*by).agg(F.expr("percentile(stat, array(0.025, 0.975))").alias("_q"),
-                                 F.avg(F.when(F.col("stat") <= 0, 1.0).otherwise(0.0)).alias("p_noise"))
-    return sizes.join(band, by).select(*by, "scheme", "n", F.col("size").alias("n_blocks"), "point",
-                                       F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"), "p_noise")
+def block_bootstrap(df: DataFrame, *, by: Sequence[str], value: str, replicates: int) -> DataFrame:
+    """Interval of a mean by resampling seasons, days or single events, whichever are enough (`plans/bootstrap.py`)."""
+    out = intervals(df, by=by, metrics=[value], replicates=replicates)
+    return out.select(*by, "scheme", "n", "n_blocks", "point", "lo", "hi", "p_noise")
 
 
 def paired_compare(scores: DataFrame, model: str, baseline: str, *, metric: str, by: Sequence[str], replicates: int) -> DataFrame:
-    """Improvement of a model over a baseline on common events: interval, se, MDE, verdict."""
+    """Improvement of a model over a given baseline on common events: interval, se, MDE, verdict."""
     col = SCORE_OF[metric]
     sign = 1.0 if HIGHER_IS_BETTER[metric] else -1.0
     p = paired(scores, model, baseline, [col]).withColumn("diff", F.lit(sign) * (F.col(f"m_{col}") - F.col(f"b_{col}")))
@@ -222,6 +203,54 @@ def paired_compare(scores: DataFrame, model: str, baseline: str, *, metric: str,
         fn.verdict(F.lit(metric), F.col("lo"), F.col("hi"), F.col("mde"), F.col("n"))))
 
 
+def compare_cells(scores: DataFrame, baselines: Sequence[str], *, by: Sequence[str] = ("decision_time",), min_confidence: float = 0.6, replicates: int) -> DataFrame:
+    """Every model that is no baseline against the best baseline of each cell (`by` and subset), for every metric: model, by, subset, metric, baseline,
+    both values, the improvement on common events (positive is better) with its interval, se, smallest detectable effect and verdict.
+
+    Differences to every baseline are summed per stratum and day and then copied to subsets; the best baseline's are kept. The rank correlation meets
+    its best baseline first and resamples ranks. Its se is that of the replicates. Where predictions are identical, the effect is the unpaired bound."""
+    by = list(by)
+    cell = [*by, "subset"]
+    scores = scores.withColumn("confident", F.coalesce(F.col("t0_confidence") >= min_confidence, F.lit(False))).filter(F.col("r_true").isNotNull())
+    cells = cut(eval_cells(scores, ("model", *by), min_confidence=min_confidence))  # read for the best, and for the models' own values
+    best = best_baseline(cells, baselines, by=cell).withColumnsRenamed({"model": "baseline", "value": "baseline_value"})
+    columns = [*SCORE_OF.values(), "r_hat"]
+    base = scores.filter(F.col("model").isin(*baselines)).select("event_id", *by, F.col("model").alias("baseline"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    pairs = scores.filter(~F.col("model").isin(*baselines)).select("event_id", "model", *by, *STRATA, "season", "day", "r_true", *columns).join(base, ["event_id", *by])
+    signed = [(F.lit(1.0 if HIGHER_IS_BETTER[m] else -1.0) * (F.col(c) - F.col(f"b_{c}"))).alias(f"d_{m}") for m, c in SCORE_OF.items()]
+    keys = ["model", "baseline", *by, *STRATA]
+    own = ["model", "baseline", *cell]
+    diffs = pairs.select(*keys, "event_id", "season", "day", *signed)
+    bands = cell_intervals(diffs, by=own, keys=keys, spread=to_subsets, metrics={m: f"d_{m}" for m in SCORE_OF}, replicates=replicates)
+    parts = diffs.groupBy(*keys).agg(*[x for m in SCORE_OF for x in (F.count(f"d_{m}").alias(f"n_{m}"), F.avg(f"d_{m}").alias(f"a_{m}"), F.var_pop(f"d_{m}").alias(f"v_{m}"))])
+    spreads = to_subsets(parts).groupBy(*own).agg(*[_merged_sd(m).alias(m) for m in SCORE_OF])
+    sd = spreads.select(*own, F.explode(F.create_map(*[x for m in SCORE_OF for x in (F.lit(m), F.col(m))])).alias("metric", "sd"))
+    means = bands.join(best, [*cell, "metric", "baseline"]).join(sd, [*own, "metric"], "left").withColumn("se", F.col("sd") / F.sqrt("n"))
+    ranked = to_subsets(pairs).join(best.filter("metric = 'spearman_ic'").select(*cell, "baseline"), [*cell, "baseline"])
+    ranked = ranked.filter("r_hat IS NOT NULL AND b_r_hat IS NOT NULL")
+    rank = rank_gain(ranked, by=own, model="r_hat", baseline="b_r_hat", truth="r_true", replicates=replicates)
+    rank = rank.join(best, [*cell, "metric", "baseline"]).withColumn("se", F.col("se_boot"))
+    out = means.drop("sd").unionByName(rank)
+    values = cells.select("model", *cell, F.explode(F.create_map(*[x for m in HIGHER_IS_BETTER for x in (F.lit(m), F.col(m))])).alias("metric", "model_value"))
+    out = out.join(values, ["model", *cell, "metric"], "left")
+    powered = F.col("metric").isin(*MDE_METRICS)
+    identical = powered & (F.coalesce("se", F.lit(0.0)) <= 0)
+    out = out.withColumn("mde", F.when(identical, mde_closed_form(F.col("n"), F.col("baseline_value"))).when(powered, F.col("se") * fn.Z_POWER))
+    out = out.withColumn("verdict", F.when(identical, "identical_to_baseline").otherwise(fn.verdict(F.col("metric"), F.col("lo"), F.col("hi"), F.col("mde"), F.col("n"))))
+    return out.select("model", *cell, "metric", "baseline", "baseline_value", "model_value", "scheme", "n", "n_blocks", F.col("point").alias("improvement"),
+                      "lo", "hi", "p_noise", "se", "se_boot", "mde", "verdict")
+
+
+def _merged_sd(m: str) -> Column:
+    """Sample deviation of groups given by their numbers, means and variances; sums are of centred values."""
+    n, a, v = F.col(f"n_{m}"), F.col(f"a_{m}"), F.col(f"v_{m}")
+    group = F.filter(F.collect_list(F.struct(n.alias("n"), a.alias("a"), v.alias("v"))), lambda g: g["n"] > 0)  # strata of a cell
+    total = F.aggregate(group, F.lit(0).cast("long"), lambda t, g: t + g["n"])
+    mean = F.aggregate(group, F.lit(0.0), lambda t, g: t + g["n"] * g["a"]) / total
+    squares = F.aggregate(F.transform(group, lambda g: g["n"] * (g["v"] + (g["a"] - mean) * (g["a"] - mean))), F.lit(0.0), lambda t, x: t + x)
+    return F.when(total > 1, F.sqrt(squares / (total - 1)))
+
+
 # ---- folds -----------------------------------------------------------------------------------
 def fold_dimension(events: DataFrame, *, embargo_days: int, min_train: int, holdout: str | None) -> DataFrame:
     """One row per season: train and test sizes, whether it is usable, and its cutoff. Events
