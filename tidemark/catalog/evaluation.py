@@ -10,6 +10,7 @@ from tidemark.plans import baselines as bl
 from tidemark.plans import evaluate as ev
 from tidemark.plans import learners as ln
 from tidemark.plans import linear_folds as lf
+from tidemark.plans import training as tr
 
 # features of the long event table, as the dataset names them
 FEATS = """SELECT event_id, t0, r_24h, r_24h AS y, sign(r_24h) AS direction, t0_confidence >= 0.6e0 AS trainable, has_perp, rvol_20d AS f_rvol_20d, r_30m AS f_r_30m,
@@ -34,7 +35,7 @@ def feats_of(x):
 
 @query("base_rates", "fold:l n_train:l up_rate:n mean_r:n mean_abs_r:n", TRAIN + " SELECT fold, n_train, up_rate, mean_r, mean_abs_r FROM st")
 def base_rates(x):
-    return bl.base_rates(ev.training_rows(feats_of(x), folds_of(x)))
+    return bl.base_rates(tr.expanding(feats_of(x), folds_of(x)))
 
 
 def signed(c: str) -> str:

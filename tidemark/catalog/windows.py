@@ -9,6 +9,7 @@ from tidemark.functions import scalars as fn
 from tidemark.operators import intervals
 from tidemark.operators.asof import DAY, asof_join
 from tidemark.plans import evaluate as ev
+from tidemark.plans.training import window_starts
 from tidemark.plans import features as ft
 from tidemark.plans import history as hs
 from tidemark.plans import patterns as pt
@@ -165,9 +166,7 @@ def win_expanding_residuals(x):
     c AS (SELECT fold, count(*) FILTER (WHERE sr <= 2) AS nw, max(sr) AS ns FROM k GROUP BY 1)
     SELECT fold, count(*) AS n, min(t0) AS first_t0 FROM k JOIN c USING (fold) WHERE ns <= 2 OR CASE WHEN nw >= 450 THEN sr <= 2 ELSE rn <= 450 END GROUP BY 1""")
 def win_train_window(x):
-    rows = ev.training_rows(trainable_of(x), folds_of(x))
-    w = ev.training_window(rows, seasons=2, min_train=450)
-    return w.groupBy("fold").agg(F.count("*").alias("n"), F.min("t0").alias("first_t0"))
+    return window_starts(trainable_of(x), folds_of(x), seasons=2, min_train=450).withColumnRenamed("lo_t0", "first_t0")
 
 
 @query("win_prev_close_gap", "market:s t:t gap:n", """

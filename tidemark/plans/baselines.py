@@ -1,7 +1,7 @@
 """Baselines with fixed semantics: fold statistics joined to the rows they predict.
 
-Training statistics are aggregates per fold (a small table, one row per fold); predictions are
-projections over the test rows of that fold.
+Training statistics are aggregates per fold (a small table, one row per fold, from sums per segment of time:
+`plans/training.py`); predictions are projections over the test rows of that fold.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators.ranks import exact_quantiles
-from tidemark.plans.evaluate import training_rows
+from tidemark.plans.training import TrainingSets, expanding, segment_quantiles
 
 NAMES = ("zero", "base_rate", "historical_mean", "hist_abs_mean", "vol_scaled", "sign_of_reaction", "always_extends", "surprise_sign")
 QUANTILES = {"z10": 0.1, "z25": 0.25, "z50": 0.5, "z75": 0.75, "z90": 0.9}
@@ -33,33 +32,45 @@ def signal(df: DataFrame, name: str) -> Column:
     return F.coalesce(*have) if have else F.lit(None).cast("double")
 
 
-def base_rates(train: DataFrame) -> DataFrame:
-    """Per fold: up rate over non-zero labels (clipped), mean r, mean |r|. `train`: fold, y, direction."""
-    d = F.col("direction")
-    up = F.avg(F.when(d > 0, 1.0).when(d < 0, 0.0))
-    return train.groupBy("fold").agg(F.count("y").alias("n_train"), F.coalesce(fn.clip_proba(up), F.lit(0.5)).alias("up_rate"),
-                                     F.coalesce(F.avg("y"), F.lit(0.0)).alias("mean_r"), F.coalesce(F.avg(F.abs("y")), F.lit(0.0)).alias("mean_abs_r"))
+def _rates(direction: Column) -> dict[str, Column]:
+    return {"up": F.when(direction > 0, 1.0).when(direction < 0, 0.0), "y": F.col("y"), "abs": F.abs("y")}
 
 
-def fold_statistics(train: DataFrame, *, names: Sequence[str] = NAMES, horizon_hours: float = 24.0) -> DataFrame:
+RATES = (("n_train", F.col, "n_y"), ("up_rate", lambda c: F.coalesce(fn.clip_proba(F.col(c)), F.lit(0.5)), "a_up"),
+         ("mean_r", lambda c: F.coalesce(F.col(c), F.lit(0.0)), "a_y"), ("mean_abs_r", lambda c: F.coalesce(F.col(c), F.lit(0.0)), "a_abs"))
+
+
+def base_rates(train: TrainingSets) -> DataFrame:
+    """Per fold: up rate over non-zero labels (clipped), mean r, mean |r|. Rows: seg, y, direction."""
+    sums = train.totals([], _rates(F.col("direction")))
+    return sums.select("fold", *[f(c).alias(name) for name, f, c in RATES])
+
+
+def fold_statistics(train: TrainingSets, *, names: Sequence[str] = NAMES, horizon_hours: float = 24.0) -> DataFrame:
     """One row per fold with what `names` need: base rates, the typical extension of the
     reaction, and the volatility calibration (pooled sigma, moments and quantiles of
     z = r / sigma). Moments share one pass over the training rows."""
-    rv = signal(train, "rvol")
+    rows = train.rows
+    rv = signal(rows, "rvol")
     sigma = F.when(rv > 0, rv) * F.sqrt(F.lit(horizon_hours / 24.0))
     z = F.col("y") / sigma
-    d, sd = F.col("direction"), F.stddev_pop("y")
-    up = F.avg(F.when(d > 0, 1.0).when(d < 0, 0.0))
-    mean_abs = F.coalesce(F.avg(F.abs("y")), F.lit(0.0))
-    aggs = [F.coalesce(fn.clip_proba(up), F.lit(0.5)).alias("up_rate"), F.coalesce(F.avg("y"), F.lit(0.0)).alias("mean_r"), mean_abs.alias("mean_abs_r")]
+    parts = _rates(F.col("direction"))
+    if "always_extends" in names:
+        parts["extension"] = F.abs(F.col("y") - signal(rows, "reaction"))
+    if "vol_scaled" in names:
+        parts |= {"sigma": sigma, "z": z, "abs_z": F.abs(z)}
+    sums = train.totals([], parts)
+    cols = [f(c).alias(name) for name, f, c in RATES[1:]]
     if "always_extends" in names:
-        aggs.append(F.coalesce(F.avg(F.abs(F.col("y") - signal(train, "reaction"))), mean_abs).alias("extension"))
+        cols.append(F.coalesce("a_extension", "a_abs", F.lit(0.0)).alias("extension"))
     if "vol_scaled" in names:
-        aggs += [F.coalesce(F.avg(sigma), F.when(sd > 0, sd), F.lit(1.0)).alias("pooled_sigma"), F.coalesce(F.avg(z), F.lit(0.0)).alias("z_mean"),
-                 F.coalesce(F.avg(F.abs(z)), F.lit(0.0)).alias("z_abs_mean")]
-    out = train.groupBy("fold").agg(*aggs)
+        sd = F.sqrt("v_y")
+        cols += [F.coalesce("a_sigma", F.when(sd > 0, sd), F.lit(1.0)).alias("pooled_sigma"), F.coalesce("a_z", F.lit(0.0)).alias("z_mean"),
+                 F.coalesce("a_abs_z", F.lit(0.0)).alias("z_abs_mean")]
+    out = sums.select("fold", *cols)
     if "vol_scaled" in names:
-        out = out.join(exact_quantiles(train, by=["fold"], value="y", transform=z, probs=QUANTILES).drop("n"), "fold", "left")
+        quantiles = segment_quantiles(train, rows.select("seg", z.alias("z")), by=[], value="z", probs=QUANTILES)
+        out = out.join(quantiles.drop("n"), "fold", "left")
     return out
 
 
@@ -92,7 +103,7 @@ def predict(test: DataFrame, stats: DataFrame | None, *, names: Sequence[str] =
 def walk_forward(events: DataFrame, folds: DataFrame, *, names: Sequence[str] = NAMES) -> DataFrame:
     """Out-of-sample baseline predictions of every usable fold. `events`: t0, trainable, y,
     direction and `f_*` columns."""
-    train = training_rows(events, folds)
+    train = expanding(events, folds)
     test = events.withColumn("season", fn.season(F.col("t0"))).join(
         F.broadcast(folds.filter("fold IS NOT NULL").select("season", "fold")), "season")
     stats = None if set(names) == {"zero"} else fold_statistics(train, names=names)

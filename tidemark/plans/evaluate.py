@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators.ranks import exact_quantiles, spearman
+from tidemark.operators.ranks import spearman
 from tidemark.plans.bootstrap import block_intervals, event_intervals, intervals, rank_gain
+from tidemark.plans.training import TrainingSets, segment_quantiles
 from tidemark.session import cut
 
 # Fixed values
@@ -272,21 +273,12 @@ def fold_dimension(events: DataFrame, *, embargo_days: int, min_train: int, hold
         "fold", F.when(F.col("held"), -1).otherwise(F.col("fold")))
 
 
-def training_rows(events: DataFrame, folds: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
-    """Trainable rows of every fold (expanding window): one copy per later fold."""
-    f = F.broadcast(folds.filter(F.col("fold").isNotNull()).select(F.col("fold"), F.col("cutoff"), F.col("season").alias("test_season")))
-    held = folds.filter(F.col("held")).select(F.col("season").alias("_held"))
-    rows = events.filter(F.col("trainable")).withColumn("season", fn.season(F.col("t0")))
-    rows = rows.join(F.broadcast(held), F.col("season") == F.col("_held"), "left_anti")
-    return rows.join(f, F.col("t0") < F.col("cutoff"))
-
-
 def residual_bands(preds: DataFrame, folds: DataFrame) -> DataFrame:
-    """q10 / q90 of the residuals pooled over the folds whose season precedes each fold."""
-    res = preds.select("model", "fold", (F.col("r_true") - F.col("r_hat")).alias("res")).filter(F.col("res").isNotNull())
-    later = F.broadcast(folds.filter(F.col("fold").isNotNull()).select(F.col("fold").alias("to_fold")))
-    pooled = res.join(later, F.col("to_fold") > F.col("fold")).select("model", F.col("to_fold").alias("fold"), "res")
-    return exact_quantiles(pooled, by=["model", "fold"], value="res", probs={"q10": 0.1, "q90": 0.9})
+    """q10 / q90 of the residuals pooled over the folds whose season precedes each fold. `preds`: model, fold, r_true, r_hat."""
+    later = sorted(r["fold"] for r in folds.filter("fold IS NOT NULL").select("fold").collect())  # seasons
+    rows = preds.select("model", (F.col("fold") + 1).cast("int").alias("seg"), (F.col("r_true") - F.col("r_hat")).alias("res"))
+    sets = TrainingSets(rows, {f: (0, f + 1) for f in later})
+    return segment_quantiles(sets, rows, by=["model"], value="res", probs={"q10": 0.1, "q90": 0.9})
 
 
 def id_digest(df: DataFrame, *, by: str, key: str, digits: int = 4) -> DataFrame:
@@ -299,23 +291,6 @@ def id_digest(df: DataFrame, *, by: str, key: str, digits: int = 4) -> DataFrame
     return part.groupBy(by).agg(F.sum("_c").alias("n"), F.sha2(F.concat_ws(",", ordered), 256).alias("digest"))
 
 
-def training_window(rows: DataFrame, *, seasons: int, min_train: int) -> DataFrame:
-    """Training rows of each fold cut to its last `seasons` seasons, floored at the `min_train`
-    most recent events. Season sizes are counted first; only folds that need the floor rank
-    rows, and that ranking keeps min_train rows per fold and task."""
-    sizes = rows.groupBy("fold", "season").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("fold").orderBy(F.col("season").desc())  # seasons of one fold
-    ranked = sizes.withColumn("_sr", F.row_number().over(w))
-    per = ranked.groupBy("fold").agg(F.sum(F.when(F.col("_sr") <= seasons, F.col("_n"))).alias("_nw"), F.max("_sr").alias("_ns"))
-    plan = ranked.join(per, "fold").select("fold", "season", "_sr", "_nw", "_ns")  # folds x seasons
-    j = rows.join(F.broadcast(plan), ["fold", "season"])
-    short = (F.col("_ns") > seasons) & (F.col("_nw") < min_train)
-    normal = j.filter(~short & ((F.col("_ns") <= seasons) | (F.col("_sr") <= seasons)))
-    last = Window.partitionBy("fold").orderBy(F.col("t0").desc(), F.col("event_id").desc())
-    floor = j.filter(short).withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= min_train).drop("_rn")
-    return normal.unionByName(floor).drop("_sr", "_nw", "_ns")
-
-
 def holdout_state(dataset: DataFrame, calendar: DataFrame, *, season: str, now: Column, horizon: int = 86400) -> DataFrame:
     """One row that says whether the holdout season may be scored: it is closed, nothing is in
     the future, no row is pending or unlabelled unless its label is unobservable (path resolved),

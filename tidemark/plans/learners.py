@@ -23,7 +23,8 @@ from tidemark.functions import scalars as fn
 from tidemark.operators.ranks import exact_quantiles
 from tidemark.plans import baselines as bl
 from tidemark.plans import linear_folds as lf
-from tidemark.plans.evaluate import block_bootstrap, training_rows, training_window
+from tidemark.plans.evaluate import block_bootstrap
+from tidemark.plans.training import TrainingSets, expanding, separate, windowed
 
 MIN_ROWS = 30
 KEYS = ["event_id", "fold"]
@@ -53,10 +54,10 @@ def tree_heads(rounds: int = 500, depth: int = 3):
             GBTClassifier(labelCol="label", predictionCol="_c", **common).setRawPredictionCol("_raw_c").setProbabilityCol("_prob"))
 
 
-def fit_fold(train: DataFrame, fold: int, features: Sequence[str], heads: Callable) -> Fitted:
-    """Both heads of one fold. `train`: event_id, y, direction and the features."""
+def fit_fold(train: TrainingSets, fold: int, features: Sequence[str], heads: Callable) -> Fitted:
+    """Both heads of one fold. Rows: seg, event_id, y, direction and the features."""
     h = F.pmod(F.xxhash64("event_id"), F.lit(10))
-    rows = train.filter(F.col("fold") == fold).withColumns({
+    rows = train.of(fold).withColumns({
         "inner_valid": h == 0, "label": F.when(F.col("direction") > 0, 1.0).when(F.col("direction") < 0, 0.0)})
     prep = preparation(features).fit(rows)
     z = prep.transform(rows).select("event_id", "y", "label", "inner_valid", "features").persist()
@@ -70,11 +71,11 @@ def fit_fold(train: DataFrame, fold: int, features: Sequence[str], heads: Callab
     return Fitted(fold, prep, list(features), ret, direction)
 
 
-def fit_folds(train: DataFrame, folds: Sequence[int], features: Sequence[str], heads: Callable, threads: int = 4) -> list[Fitted]:
-    rows = train.persist()
+def fit_folds(train: TrainingSets, folds: Sequence[int], features: Sequence[str], heads: Callable, threads: int = 4) -> list[Fitted]:
+    rows = train.rows.persist()  # once for all folds
     try:
         with ThreadPoolExecutor(max_workers=threads) as pool:
-            return list(pool.map(lambda k: fit_fold(rows, k, features, heads), folds))
+            return list(pool.map(lambda k: fit_fold(TrainingSets(rows, train.spans), k, features, heads), folds))
     finally:
         rows.unpersist()
 
@@ -93,8 +94,8 @@ def usable_folds(folds: DataFrame) -> list[int]:
     return sorted(r["fold"] for r in folds.filter("fold >= 0").select("fold").collect())
 
 
-def split(events: DataFrame, folds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    train = training_rows(events, folds)
+def split(events: DataFrame, folds: DataFrame) -> tuple[TrainingSets, DataFrame]:
+    train = expanding(events, folds)
     test = events.withColumn("season", fn.season(F.col("t0"))).join(F.broadcast(folds.filter("fold >= 0").select("season", "fold")), "season")
     return train, test
 
@@ -154,11 +155,11 @@ class Trial:
 def trial_table(events: DataFrame, folds: DataFrame, groups: dict[str, tuple[str, ...]], trials: Sequence[Trial], *, min_train: int, replicates: int) -> DataFrame:
     """Objective (mean absolute error of r) of every declared trial over all folds, against the zero forecast,
     and how often a season bootstrap finds no improvement. Trials are a small declared list."""
-    train, test = split(events, folds)
+    _, test = split(events, folds)
     out = events.sparkSession.createDataFrame([], "trial int, event_id bigint, season string, day string, ae double, ae0 double")
     for t in trials:
         feats = [c for g in t.groups for c in groups[g]]
-        rows = training_window(train.withColumn("y", F.col(t.target)), seasons=t.seasons, min_train=min_train)
+        rows = windowed(events.withColumn("y", F.col(t.target)), folds, seasons=t.seasons, min_train=min_train)
         z = lf.scored(test, lf.fit(rows, feats, alphas=(t.alpha,), cs=()), feats).filter("push_r IS NOT NULL")
         r = F.aggregate("push_r", F.lit(0.0), lambda a, v: a + v)
         out = out.unionByName(z.select(F.lit(t.no).alias("trial"), "event_id", "season", F.date_format("t0", "yyyy-MM-dd").alias("day"),
@@ -185,8 +186,9 @@ def final_table(cohort: DataFrame, events: DataFrame, folds: DataFrame, features
     final fit uses every trainable row outside the holdout season."""
     held = folds.filter("held").select("season")
     own = cohort.filter("trainable").withColumn("season", fn.season(F.col("t0"))).join(F.broadcast(held), "season", "left_anti").withColumn("fold", F.lit(-1))
-    final = lf.fit(own, features)
-    rates = bl.base_rates(own)
+    sets = separate(own)
+    final = lf.fit(sets, features)
+    rates = bl.base_rates(sets)
     tables = [("walk_forward", lf.walk_forward(*split(cohort, folds), features, "linear")), ("walk_forward_all_events", lf.walk_forward(*split(events, folds), features, "linear")),
               ("in_sample", lf.predict(own, final, features, rates, "linear"))]
     for source, preds in tables:

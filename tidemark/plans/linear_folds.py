@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
 from tidemark.plans import baselines as bl
+from tidemark.plans.training import TrainingSets, segment_quantiles, separate
 
 # Strengths tried, on standardised features
 RIDGE = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
@@ -38,29 +39,40 @@ class Heads:
     direction: np.ndarray | None
 
 
-def preparation(train: DataFrame, features: Sequence[str]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per fold: medians, then means and deviations of the filled features. A constant feature keeps a
-    deviation of one, so it adds nothing."""
-    med = train.groupBy("fold").agg(*[F.coalesce(F.percentile_approx(c, 0.5, 10_000), F.lit(0.0)).alias(f"_m{i}") for i, c in enumerate(features)])
-    filled = [F.coalesce(F.col(c).cast("double"), F.col(f"_m{i}")) for i, c in enumerate(features)]
-    got = (train.join(F.broadcast(med), "fold").groupBy("fold")  # one row per fold
-           .agg(*[F.first(f"_m{i}").alias(f"m{i}") for i in range(len(features))], *[F.avg(c).alias(f"a{i}") for i, c in enumerate(filled)],
-                *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(filled)]).collect())
-    return {r["fold"]: tuple(np.array([r[f"{k}{i}"] for i in range(len(features))], float) for k in "mas") for r in got}
+def preparation(train: TrainingSets, features: Sequence[str]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per fold: exact medians, then means and deviations of the features filled with them; all features and folds in one pass each. A constant
+    feature keeps a deviation of one, so it adds nothing. A feature without a value is 0."""
+    names = list(features)
+    values = train.rows.select("seg", F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).cast("double").alias("value")) for i, c in enumerate(names)])).alias("_f")).select("seg", "_f.*")
+    med = {(r["fold"], r["feature"]): r["med"] for r in segment_quantiles(train, values, by=["feature"], value="value", probs={"med": 0.5}).collect()}  # folds x features
+    parts = {"all": F.lit(1.0)} | {f"x{i}": F.col(c).cast("double") for i, c in enumerate(names)}
+    out = {}
+    for r in train.totals([], parts).collect():  # a row per fold
+        median, mean, sd = (np.zeros(len(names)) for _ in range(3))
+        for i in range(len(names)):
+            n, have, own, var = r["n_all"], r[f"n_x{i}"], r[f"a_x{i}"] or 0.0, r[f"v_x{i}"] or 0.0
+            median[i] = med.get((r["fold"], i), 0.0)
+            mean[i] = (have * own + (n - have) * median[i]) / n
+            sd[i] = np.sqrt((have * (var + (own - mean[i]) ** 2) + (n - have) * (median[i] - mean[i]) ** 2) / n)
+        out[r["fold"]] = median, mean, np.where(sd > 1e-12 * np.maximum(1, np.abs(mean)), sd, 0.0)
+    return out
 
 
-def _sums(train: DataFrame, features: Sequence[str], prep: dict, add) -> dict[tuple, np.ndarray]:
+def _sums(train: TrainingSets, features: Sequence[str], prep: dict, add) -> dict[tuple, np.ndarray]:
     """`add(fold, design matrix, y, label, split, out)` on the rows of every fold and batch, `out` mapping
-    a key of three integers to an array; the arrays summed over all tasks."""
+    a key of three integers to an array; the arrays summed over all tasks. A row is read once for all its folds."""
+    spans = train.spans
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[tuple, np.ndarray] = {}
         for b in batches:
-            fold = b.column("fold").to_numpy()
+            seg = b.column("seg").to_numpy()
             x = np.stack([b.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(features))], axis=1)
             y, label, split = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("y", "label", "split"))
-            for k in np.unique(fold).tolist():
-                own = fold == k
-                median, mean, sd = prep[k]
+            for k, (median, mean, sd) in prep.items():
+                own = (seg >= spans[k][0]) & (seg < spans[k][1])
+                if not own.any():
+                    continue
                 z = (np.where(np.isnan(x[own]), median, x[own]) - mean) / np.where(sd > 0, sd, 1.0)
                 add(k, np.column_stack([np.ones(len(z)), z]), y[own], label[own], split[own].astype(int), out)
         keys = [k for k, v in out.items() for _ in range(v.size)]
@@ -70,7 +82,7 @@ def _sums(train: DataFrame, features: Sequence[str], prep: dict, add) -> dict[tu
                                          ["fold", "a", "b", "place", "value"])
 
     d = F.col("direction")
-    rows = train.select(F.col("fold").cast("int"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col("y").cast("double"),
+    rows = train.rows.select("seg", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col("y").cast("double"),
                         F.when(d > 0, 1.0).when(d < 0, 0.0).alias("label"), F.pmod(F.xxhash64("event_id"), F.lit(CV_FOLDS)).cast("int").alias("split"))
     got = rows.mapInArrow(summed, "fold int, a int, b int, place int, value double").groupBy("fold", "a", "b", "place").agg(F.sum("value").alias("value")).collect()
     out: dict[tuple, dict[int, float]] = {}
@@ -86,7 +98,7 @@ def _penalty(width: int, strength: float) -> np.ndarray:
     return p
 
 
-def ridge(train: DataFrame, features: Sequence[str], prep: dict, alphas: Sequence[float]) -> dict[int, np.ndarray]:
+def ridge(train: TrainingSets, features: Sequence[str], prep: dict, alphas: Sequence[float]) -> dict[int, np.ndarray]:
     """Coefficients per fold, the strength with the least squared error on held-out splits (the weakest on ties)."""
     width = len(features) + 1
 
@@ -118,7 +130,7 @@ def ridge(train: DataFrame, features: Sequence[str], prep: dict, alphas: Sequenc
     return out
 
 
-def logistic(train: DataFrame, features: Sequence[str], prep: dict, cs: Sequence[float]) -> dict[int, np.ndarray]:
+def logistic(train: TrainingSets, features: Sequence[str], prep: dict, cs: Sequence[float]) -> dict[int, np.ndarray]:
     """Coefficients per fold, the strength with the least log loss averaged over held-out splits (the strongest
     penalty on ties). Split -1 is a model of all rows."""
     width = len(features) + 1
@@ -167,13 +179,15 @@ def logistic(train: DataFrame, features: Sequence[str], prep: dict, cs: Sequence
     return out
 
 
-def fit(train: DataFrame, features: Sequence[str], *, alphas: Sequence[float] = RIDGE, cs: Sequence[float] = LOGISTIC_C) -> list[Heads]:
-    """Both heads of every fold in `train` (fold, event_id, y, direction and the features)."""
-    rows = train.select("fold", "event_id", "y", "direction", *features).persist()
+def fit(train: TrainingSets | DataFrame, features: Sequence[str], *, alphas: Sequence[float] = RIDGE, cs: Sequence[float] = LOGISTIC_C) -> list[Heads]:
+    """Both heads of every fold. Rows: seg (or fold, where each row has its one fold), event_id, y, direction and the features."""
+    sets = train if isinstance(train, TrainingSets) else separate(train)
+    rows = sets.rows.select("seg", "event_id", "y", "direction", *features).persist()
+    sets = TrainingSets(rows, sets.spans)
     try:
-        prep = preparation(rows, features)
-        returns = ridge(rows, features, prep, alphas) if alphas else {}
-        directions = logistic(rows, features, prep, cs) if cs else {}
+        prep = preparation(sets, features)
+        returns = ridge(sets, features, prep, alphas) if alphas else {}
+        directions = logistic(sets, features, prep, cs) if cs else {}
     finally:
         rows.unpersist()
     return [Heads(k, *prep[k], returns.get(k), directions.get(k)) for k in sorted(prep)]
@@ -206,7 +220,7 @@ def predict(test: DataFrame, models: Sequence[Heads], features: Sequence[str], r
     return t.select("event_id", "t0", "fold", "y", F.lit(name).alias("model"), fn.clip_proba(p).alias("p_up"), r.alias("r_hat"), F.abs(r).alias("magnitude_hat"))
 
 
-def walk_forward(train: DataFrame, test: DataFrame, features: Sequence[str], name: str, **grid) -> DataFrame:
+def walk_forward(train: TrainingSets, test: DataFrame, features: Sequence[str], name: str, **grid) -> DataFrame:
     """Out-of-sample predictions of every usable fold."""
     return predict(test, fit(train, features, **grid), features, bl.base_rates(train), name)
 
