@@ -13,7 +13,8 @@ RULES = tr.TradeRules(max_lag=3600, threshold=0.01, minute=720, grid=3600, bucke
 SIGNALS = """SELECT event_id, CASE WHEN event_id % 101 = 0 THEN 'nowhere' ELSE market END AS market, CASE WHEN event_id % 97 = 0 THEN NULL ELSE t0 END AS t0,
    CASE event_id % 3 WHEN 0 THEN 'pre_10m' WHEN 1 THEN 'post_1m' ELSE 'post_30m' END AS decision_time, CASE event_id % 2 WHEN 0 THEN 'linear' ELSE 'zero' END AS model,
    CASE WHEN event_id % 53 = 0 THEN NULL ELSE (event_id * 7919 % 201) / 200e0 END AS p_up, (event_id * 104729 % 2001 - 1000) / 20000e0 AS r_hat,
-   CASE WHEN event_id % 5 <> 0 THEN (event_id * 31 % 800) / 10000e0 END AS magnitude_hat, has_perp FROM {releases}"""
+   CASE WHEN event_id % 5 <> 0 THEN (event_id * 31 % 800) / 10000e0 END AS magnitude_hat, has_perp,
+   (event_id * 37 % 100) / 100e0 AS t0_confidence, CASE event_id % 4 WHEN 0 THEN 'sec_8k' WHEN 1 THEN 'manual' WHEN 2 THEN 'detected' ELSE 'calendar_flag' END AS t0_source FROM {releases}"""
 FILLS = "p AS (" + SIGNALS + """),
   x AS (SELECT *, t0 + CASE decision_time WHEN 'pre_10m' THEN -120 WHEN 'post_1m' THEN 12 ELSE 360 END * INTERVAL '1' MINUTE AS signal_time, t0 + INTERVAL 24 HOUR AS exit_signal_time,
           CASE WHEN t0 IS NULL THEN 'no_t0' WHEN p_up IS NULL OR p_up = 0.5 THEN 'no_signal' WHEN abs(p_up - 0.5) < 0.01 THEN 'below_threshold' END AS early FROM p),
@@ -76,18 +77,34 @@ def portfolio_weights(x):
     return weighted(x)
 
 
-@query("portfolio_metrics", "model:s n_trades:l total_return:n turnover:n turnover_daily:n hit_rate:n mean_pnl_per_trade:n span_days:l n_days:l mean_daily_pnl:n sharpe_like:n max_drawdown:n max_gross_exposure:n",
-       "WITH" + WEIGHTS + """,
-    d AS (SELECT model, CAST(exit_time AS DATE) AS d, sum(weight * net_return) AS p FROM w GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER (PARTITION BY model ORDER BY d) AS cum FROM d),
-    k AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY model ORDER BY d)) AS peak FROM c),
-    dd AS (SELECT model, count(*) AS n_days, avg(p) AS mean_daily_pnl, avg(p) / stddev_samp(p) * sqrt(252) AS sharpe_like, max(peak - cum) AS max_drawdown FROM k GROUP BY 1),
-    up AS (SELECT model, entry_time AS ts, sum(weight) AS v FROM w GROUP BY 1, 2), dn AS (SELECT model, exit_time AS ts, sum(weight) AS v FROM w GROUP BY 1, 2),
-    ex AS (SELECT tt.model, tt.ts, sum(coalesce(up.v, 0)) OVER q - (sum(coalesce(dn.v, 0)) OVER q - coalesce(dn.v, 0)) AS e FROM tt LEFT JOIN up USING (model, ts) LEFT JOIN dn USING (model, ts) WINDOW q AS (PARTITION BY tt.model ORDER BY tt.ts)),
-    t AS (SELECT model, count(*) AS n_trades, sum(weight * net_return) AS total_return, 2 * sum(weight) AS turnover, avg(CAST(weight * net_return > 0 AS INT)) AS hit_rate, avg(weight * net_return) AS mean_pnl_per_trade,
-                 greatest(datediff('day', CAST(min(entry_time) AS DATE), CAST(max(exit_time) AS DATE)) + 1, 1) AS span_days FROM w GROUP BY 1)
-    SELECT t.*, turnover / span_days AS turnover_daily, dd.* EXCLUDE (model), (SELECT max(e) FROM ex WHERE ex.model = t.model) AS max_gross_exposure FROM t JOIN dd USING (model)""")
+SLICE = "model, decision_time, sizing, subset"
+
+
+@query("portfolio_metrics", "model:s decision_time:s sizing:s subset:s n_trades:l n_untraded:l total_return:n turnover:n turnover_daily:n hit_rate:n mean_pnl_per_trade:n span_days:l n_days:l mean_daily_pnl:n "
+       "sharpe_like:n max_drawdown:n max_gross_exposure:n", PNL + f""",
+    al AS (SELECT u.event_id, u.decision_time, u.model, u.sizing, u.size, u.net_return, u.traded, u.t1 AS a, u.t2 AS z, unnest(list_filter(['all', CASE WHEN p.has_perp AND t0_confidence >= 0.6 AND t0_source IN ('sec_8k', 'manual', 'detected') THEN 'headline' END],
+           lambda v: v IS NOT NULL)) AS subset FROM u JOIN p ON p.event_id = u.event_id AND p.decision_time = u.decision_time AND p.model = u.model),
+    nu AS (SELECT {SLICE}, count(*) FILTER (NOT traded) AS n_untraded FROM al GROUP BY ALL), po AS (SELECT * FROM al WHERE traded),
+    ti AS (SELECT DISTINCT {SLICE}, unnest([a, z]) AS ts FROM po), pl AS (SELECT {SLICE}, a AS ts, count(*) AS c FROM po GROUP BY ALL), mi AS (SELECT {SLICE}, z AS ts, count(*) AS c FROM po GROUP BY ALL),
+    oc AS (SELECT {SLICE}, ts, sum(coalesce(pl.c, 0)) OVER q - (sum(coalesce(mi.c, 0)) OVER q - coalesce(mi.c, 0)) AS n_open FROM ti LEFT JOIN pl USING ({SLICE}, ts) LEFT JOIN mi USING ({SLICE}, ts) WINDOW q AS (PARTITION BY {SLICE} ORDER BY ts)),
+    pe AS (SELECT {SLICE}, event_id, max(n_open) AS peak FROM po JOIN oc USING ({SLICE}) WHERE ts BETWEEN a AND z GROUP BY ALL),
+    w AS (SELECT po.*, least(size, 1) / greatest(peak, 1) AS weight FROM po JOIN pe USING ({SLICE}, event_id)),
+    d AS (SELECT {SLICE}, CAST(z AS DATE) AS d, sum(weight * net_return) AS p FROM w GROUP BY ALL), cd AS (SELECT *, sum(p) OVER (PARTITION BY {SLICE} ORDER BY d) AS cum FROM d),
+    k AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY {SLICE} ORDER BY d)) AS peak FROM cd),
+    dd AS (SELECT {SLICE}, count(*) AS n_days, avg(p) AS mean_daily_pnl, avg(p) / stddev_samp(p) * sqrt(252) AS sharpe_like, max(peak - cum) AS max_drawdown FROM k GROUP BY ALL),
+    up AS (SELECT {SLICE}, a AS ts, sum(weight) AS v FROM w GROUP BY ALL), dn AS (SELECT {SLICE}, z AS ts, sum(weight) AS v FROM w GROUP BY ALL),
+    ex AS (SELECT {SLICE}, sum(coalesce(up.v, 0)) OVER q - (sum(coalesce(dn.v, 0)) OVER q - coalesce(dn.v, 0)) AS e FROM ti LEFT JOIN up USING ({SLICE}, ts) LEFT JOIN dn USING ({SLICE}, ts) WINDOW q AS (PARTITION BY {SLICE} ORDER BY ts)),
+    em AS (SELECT {SLICE}, max(e) AS max_gross_exposure FROM ex GROUP BY ALL),
+    tl AS (SELECT {SLICE}, count(*) AS n_trades, sum(weight * net_return) AS total_return, 2 * sum(weight) AS turnover, avg(CAST(weight * net_return > 0 AS INT)) AS hit_rate, avg(weight * net_return) AS mean_pnl_per_trade,
+                  greatest(datediff('day', CAST(min(a) AS DATE), CAST(max(z) AS DATE)) + 1, 1) AS span_days FROM w GROUP BY ALL)
+    SELECT {SLICE}, coalesce(n_trades, 0) AS n_trades, n_untraded, CASE WHEN n_trades IS NULL THEN 0 ELSE total_return END AS total_return, CASE WHEN n_trades IS NULL THEN 0 ELSE turnover END AS turnover,
+       CASE WHEN n_trades IS NULL THEN 0 ELSE turnover / span_days END AS turnover_daily, hit_rate, mean_pnl_per_trade, span_days, coalesce(n_days, 0) AS n_days, mean_daily_pnl, sharpe_like,
+       CASE WHEN n_trades IS NULL THEN 0 ELSE max_drawdown END AS max_drawdown, CASE WHEN n_trades IS NULL THEN 0 ELSE max_gross_exposure END AS max_gross_exposure
+    FROM nu LEFT JOIN tl USING ({SLICE}) LEFT JOIN dd USING ({SLICE}) LEFT JOIN em USING ({SLICE})""")
 def portfolio_metrics(x):
-    return tr.portfolio_metrics(weighted(x), by=["model"])
+    trades = pnl_of(x).withColumns({"entry_time": F.col("entry.fill_time"), "exit_time": F.col("exit.fill_time")})
+    headline = F.col("has_perp") & (F.col("t0_confidence") >= 0.6) & F.col("t0_source").isin(*ev.HEADLINE_SOURCES)
+    return tr.portfolio_slices(trades, {"all": F.lit(True), "headline": headline})
 
 
 LEDGER = """SELECT event_id, t0, season, model, CASE WHEN untraded_reason IS NULL THEN size * net_return END AS pnl FROM (

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
 from tidemark.operators.asof import DAY, asof_points, floor_to
-from tidemark.operators.intervals import open_counts, peak_concurrency
+from tidemark.operators.intervals import most_exposed, open_counts, peak_concurrency, peaks
 from tidemark.operators.ranges import running_totals
+from tidemark.session import cut
 
 KEY = ("event_id", "decision_time", "model")  # one prediction
 SIZINGS = ("fixed", "by_confidence", "by_magnitude", "magnitude_gate")
@@ -128,6 +129,48 @@ def portfolio_metrics(weighted: DataFrame, *, by: Sequence[str], entry: str = "e
             .withColumn("turnover_daily", F.col("turnover") / F.col("span_days")))
 
 
+def portfolio_slices(trades: DataFrame, subsets: dict[str, Column], *, by: Sequence[str] = ("model", "decision_time", "sizing"), key: str = "event_id",
+                     entry: str = "entry_time", exit_: str = "exit_time", cap: float = 1.0) -> DataFrame:
+    """Portfolio metrics of every slice `by` and every subset of its trades. Subsets overlap, and a position's share depends on the positions that are open with
+    it in the subset; marks, weights and daily sums carry a column per subset, so no trade is copied. A slice that traded nothing has zeros.
+    `trades`: by, key, traded, size, net_return, `entry` and `exit_`."""
+    by, names = list(by), list(subsets)
+    flagged = trades.withColumns({f"_in_{n}": F.coalesce(c, F.lit(False)) for n, c in subsets.items()})
+    held = F.col("traded") & F.col(entry).isNotNull() & F.col(exit_).isNotNull() & F.col("net_return").isNotNull() & ~F.isnan("net_return")
+    own = flagged.filter(held)
+    shares = peaks(own, by=by, key=key, entry=entry, exit_=exit_, slices={n: F.col(f"_in_{n}") for n in names})
+    w = own.join(shares.select(*by, key, *[F.col(n).alias(f"_peak_{n}") for n in names]), [*by, key])
+    w = w.withColumns({f"_w_{n}": F.when(F.col(f"_in_{n}"), F.lit(cap) * F.least(F.col("size"), F.lit(1.0)) / F.greatest(f"_peak_{n}", F.lit(1))) for n in names})
+    w = cut(w.select(*by, entry, exit_, *[f"_w_{n}" for n in names], *[(F.col(f"_w_{n}") * F.col("net_return")).alias(f"_p_{n}") for n in names]))
+
+    def long(df: DataFrame, columns: dict[str, str], also: Sequence[str] = ()) -> DataFrame:
+        """A row per subset; `columns` maps a result to the prefix of its columns."""
+        cells = F.array(*[F.struct(F.lit(n).alias("subset"), *[F.col(f"{prefix}{n}").alias(c) for c, prefix in columns.items()]) for n in names])
+        return df.select(*by, *also, F.explode(cells).alias("_c")).select(*by, *also, "_c.*")
+
+    def _where(n: str, instant: str) -> Column:
+        return F.when(F.col(f"_w_{n}").isNotNull(), F.to_date(instant))
+
+    def per(prefix: str, agg) -> list[Column]:
+        return [agg(n).alias(f"{prefix}{n}") for n in names]
+
+    there = long(flagged.groupBy(*by).agg(*per("a_", lambda n: F.count_if(F.col(f"_in_{n}"))), *per("b_", lambda n: F.count_if(F.col(f"_in_{n}") & ~F.col("traded")))),
+                 {"_rows": "a_", "n_untraded": "b_"}).filter("_rows > 0").drop("_rows")
+    sums = w.groupBy(*by).agg(*per("n_", lambda n: F.count(f"_w_{n}")), *per("r_", lambda n: F.sum(f"_p_{n}")), *per("t_", lambda n: F.sum(f"_w_{n}") * 2),
+                              *per("h_", lambda n: F.avg((F.col(f"_p_{n}") > 0).cast("double"))), *per("m_", lambda n: F.avg(f"_p_{n}")),
+                              *per("s_", lambda n: F.greatest(F.datediff(F.max(_where(n, exit_)), F.min(_where(n, entry))) + 1, F.lit(1))))
+    totals = long(sums, {"n_trades": "n_", "total_return": "r_", "turnover": "t_", "hit_rate": "h_", "mean_pnl_per_trade": "m_", "span_days": "s_"}).filter("n_trades > 0")
+    daily = long(w.groupBy(*by, F.to_date(exit_).alias("_day")).agg(*per("d_", lambda n: F.sum(f"_p_{n}"))), {"pnl": "d_"}, ["_day"]).filter("pnl IS NOT NULL")
+    stats = daily_stats(daily, by=[*by, "subset"], day="_day", pnl="pnl")
+    most = long(most_exposed(w, by=by, entry=entry, exit_=exit_, weights=[f"_w_{n}" for n in names]), {"max_gross_exposure": "_w_"})
+    slice_ = [*by, "subset"]
+    out = there.join(totals, slice_, "left").join(stats, slice_, "left").join(most, slice_, "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_trades", "n_days")} | {c: F.when(F.col("n_trades").isNull(), 0.0).otherwise(F.col(c)) for c in
+                                                                         ("total_return", "turnover", "max_drawdown", "max_gross_exposure")}
+    out = out.withColumn("turnover_daily", F.when(F.col("n_trades").isNull(), 0.0).otherwise(F.col("turnover") / F.col("span_days")))
+    return out.withColumns({c: v for c, v in zero.items() if c != "n_trades"}).withColumn("n_trades", zero["n_trades"])
+
+
 def daily_stats(daily: DataFrame, *, by: Sequence[str], day: str, pnl: str) -> DataFrame:
     """Mean, Sharpe-like ratio and drawdown of a daily series; the first peak is 0."""
     order = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
