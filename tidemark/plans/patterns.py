@@ -78,9 +78,14 @@ def _t_stat(col: str) -> Column:
     return F.when((F.count(col) > 2) & (sd > 0), F.avg(col) / F.when(sd > 0, sd) * F.sqrt(F.count(col)))
 
 
-def session_stats(grid: DataFrame, *, big: float) -> DataFrame:
+def in_view(t: str, since: Column | None) -> Column:
+    """Instants at or after `since`; all without one. Returns are taken before, so the first hour in view has its own."""
+    return F.lit(True) if since is None else F.col(t) >= since
+
+
+def session_stats(grid: DataFrame, *, big: float, since: Column | None = None) -> DataFrame:
     """Hours, return, variance share, volume share and rate of big hours per session."""
-    g = grid.filter(F.col("r").isNotNull()).withColumn("session", fn.session_bucket(F.col("t")))
+    g = grid.filter(F.col("r").isNotNull() & in_view("t", since)).withColumn("session", fn.session_bucket(F.col("t")))
     per = g.groupBy("session").agg(F.count("*").alias("hours"), (F.sum("r") * 100).alias("sum_ret_pct"), F.sum(F.col("r") * F.col("r")).alias("_var"),
                                    F.sum("volume").alias("_vol"), F.count_if(F.abs("r") >= big).alias("big_hours"))
     all_ = Window.partitionBy()  # six sessions
@@ -89,35 +94,36 @@ def session_stats(grid: DataFrame, *, big: float) -> DataFrame:
                       (F.col("big_hours") / F.col("hours") * 100).alias("big_rate_pct"))
 
 
-def weekend_moves(grid: DataFrame) -> DataFrame:
-    """Per Friday: equal-weight weekend move (Fri 19:00 to Sun 17:00 New York bar stamps) and
-    the move from there to Monday 08:00, in percent."""
+def weekend_moves(grid: DataFrame, *, books: Column | None = None, since: Column | None = None) -> DataFrame:
+    """Per book and Friday: equal-weight weekend move (Fri 19:00 to Sun 17:00 New York bar stamps) and the move from there to Monday 08:00, in
+    percent. `books` names the books a market is in, as an array; without it all markets are one book."""
     d = F.col("day")
     inst = ny_days(grid).filter(F.weekday(d) == 4).select(
         "day", fn.local_to_utc(d, 19 * 60).alias("fri"), fn.local_to_utc(F.date_add(d, 2), 17 * 60).alias("sun"),
-        fn.local_to_utc(F.date_add(d, 3), 8 * 60).alias("mon"))
-    w = at_instants(grid, inst, ["fri", "sun", "mon"])
-    return w.groupBy("day").agg((F.avg(F.col("sun") - F.col("fri")) * 100).alias("weekend"), (F.avg(F.col("mon") - F.col("sun")) * 100).alias("reopen"))
+        fn.local_to_utc(F.date_add(d, 3), 8 * 60).alias("mon")).filter(in_view("fri", since))
+    w = at_instants(grid, inst, ["fri", "sun", "mon"]).withColumn("book", F.explode(books) if books is not None else F.lit("all"))
+    return w.groupBy("book", "day").agg((F.avg(F.col("sun") - F.col("fri")) * 100).alias("weekend"), (F.avg(F.col("mon") - F.col("sun")) * 100).alias("reopen"))
 
 
 def weekend_summary(moves: DataFrame) -> DataFrame:
-    return moves.agg(F.count("*").alias("n"), F.count_if(F.col("weekend") > 0).alias("up_weekend"), F.avg("weekend").alias("mean_weekend"),
-                     _t_stat("weekend").alias("t_weekend"), F.count_if(F.col("reopen") > 0).alias("up_reopen"), F.avg("reopen").alias("mean_reopen"),
-                     F.count_if(F.signum("weekend") == F.signum("reopen")).alias("same_sign"))
+    """Per book; `moves`: book, weekend, reopen."""
+    return moves.groupBy("book").agg(F.count("*").alias("n"), F.count_if(F.col("weekend") > 0).alias("up_weekend"), F.avg("weekend").alias("mean_weekend"),
+                                     _t_stat("weekend").alias("t_weekend"), F.count_if(F.col("reopen") > 0).alias("up_reopen"), F.avg("reopen").alias("mean_reopen"),
+                                     F.count_if(F.signum("weekend") == F.signum("reopen")).alias("same_sign"))
 
 
-def night_control(grid: DataFrame) -> DataFrame:
+def night_control(grid: DataFrame, *, since: Column | None = None) -> DataFrame:
     """Weekday nights (not Friday) 19:00 to 03:00 New York, equal weight, in percent."""
     d = F.col("day")
-    inst = ny_days(grid).filter(F.weekday(d) < 4).select("day", fn.local_to_utc(d, 19 * 60).alias("a"), fn.local_to_utc(F.date_add(d, 1), 3 * 60).alias("b"))
+    inst = ny_days(grid).filter(F.weekday(d) < 4).select("day", fn.local_to_utc(d, 19 * 60).alias("a"), fn.local_to_utc(F.date_add(d, 1), 3 * 60).alias("b")).filter(in_view("a", since))
     n = at_instants(grid, inst, ["a", "b"]).groupBy("day").agg((F.avg(F.col("b") - F.col("a")) * 100).alias("move"))
     return n.agg(F.count("move").alias("n"), F.count_if(F.col("move") > 0).alias("up"), F.avg("move").alias("mean_move"))
 
 
-def follow_through(grid: DataFrame, masks: dict[str, Column], *, least: int = 50) -> DataFrame:
+def follow_through(grid: DataFrame, masks: dict[str, Column], *, least: int = 50, since: Column | None = None) -> DataFrame:
     """Per mask: mean lag-1 autocorrelation over markets, and how often the hour after a
     two-sigma hour reverses, with its mean signed move in percent."""
-    g = shifted_value(grid, "r", 1, "nx").filter(F.col("r").isNotNull() & F.col("nx").isNotNull())
+    g = shifted_value(grid, "r", 1, "nx").filter(F.col("r").isNotNull() & F.col("nx").isNotNull() & in_view("t", since))
     tags = F.array(*[F.when(m, F.lit(k)) for k, m in masks.items()])
     g = g.withColumn("mask", F.explode(F.filter(tags, lambda v: v.isNotNull())))
     per = g.groupBy("mask", "market").agg(F.count("*").alias("_n"), F.corr("r", "nx").alias("_ac"), F.stddev_samp("r").alias("_sd"))
@@ -128,29 +134,30 @@ def follow_through(grid: DataFrame, masks: dict[str, Column], *, least: int = 50
     return per.groupBy("mask").agg(F.avg("_ac").alias("mean_ac"), F.count("*").alias("markets")).join(after, "mask", "left")
 
 
-def overnight_sign(grid: DataFrame, *, big: float = 2.0) -> DataFrame:
+def overnight_sign(grid: DataFrame, *, big: float = 2.0, since: Column | None = None) -> DataFrame:
     """Does the day session (08:00 to 15:00 New York) keep the sign of the night before it
     (previous day's 15:00 to 08:00); also after a move of `big` percent."""
     d = F.col("day")
     days = ny_days(grid)
     first = days.agg(F.min("day").alias("_first"))
     inst = days.join(F.broadcast(first)).filter((F.weekday(d) < 5) & (F.weekday(d) > 0) & (d > F.col("_first"))).select(
-        "day", fn.local_to_utc(F.date_sub(d, 1), 15 * 60).alias("a"), fn.local_to_utc(d, 8 * 60).alias("b"), fn.local_to_utc(d, 15 * 60).alias("c"))
+        "day", fn.local_to_utc(F.date_sub(d, 1), 15 * 60).alias("a"), fn.local_to_utc(d, 8 * 60).alias("b"), fn.local_to_utc(d, 15 * 60).alias("c")).filter(in_view("a", since))
     m = at_instants(grid, inst, ["a", "b", "c"]).select(((F.col("b") - F.col("a")) * 100).alias("on"), ((F.col("c") - F.col("b")) * 100).alias("dy"))
     ok = m.filter(F.col("on").isNotNull() & F.col("dy").isNotNull() & (F.col("on") != 0))
     same, wide = F.signum("on") == F.signum("dy"), F.abs("on") >= big
     return ok.agg(F.count("*").alias("n"), F.count_if(same).alias("same"), F.count_if(wide).alias("n_big"), F.count_if(same & wide).alias("same_big"))
 
 
-def funding_level(funding: DataFrame) -> DataFrame:
+def funding_level(funding: DataFrame, *, since: Column | None = None) -> DataFrame:
     """Annualised mean funding in percent and the share of positive hours, per market."""
-    return funding.groupBy("market").agg(F.count("funding_rate").alias("hours"), (F.avg("funding_rate") * 24 * 365 * 100).alias("annual_pct"),
+    return funding.filter(in_view("t", since)).groupBy("market").agg(F.count("funding_rate").alias("hours"), (F.avg("funding_rate") * 24 * 365 * 100).alias("annual_pct"),
                                          (F.avg((F.col("funding_rate") > 0).cast("double")) * 100).alias("positive_pct"))
 
 
-def long_short(closes: DataFrame, *, top: int = 5, least: int = 10) -> DataFrame:
+def long_short(closes: DataFrame, *, top: int = 5, least: int = 10, since: Column | None = None) -> DataFrame:
     """Per day with at least `least` markets: mean next-day return of the day's best `top` less
     its worst `top`. `closes`: market, d, lc (one row per market and day)."""
+    closes = closes.filter(in_view("d", since))
     days = closes.select("d").distinct()
     nxt = days.select("d", F.lead("d").over(Window.orderBy("d")).alias("next_d"), F.lag("d").over(Window.orderBy("d")).alias("prev_d"))  # calendar
     c = closes.join(F.broadcast(nxt), "d")
@@ -166,12 +173,12 @@ def long_short(closes: DataFrame, *, top: int = 5, least: int = 10) -> DataFrame
     return j.groupBy("d").agg((best - worst).alias("spread"))
 
 
-def premium_deciles(grid: DataFrame, funding: DataFrame, *, slots: int, least: int = 200) -> DataFrame:
+def premium_deciles(grid: DataFrame, funding: DataFrame, *, slots: int, least: int = 200, since: Column | None = None) -> DataFrame:
     """Per market with enough hours: mean forward return (percent) in the top and bottom premium
     decile, after the top 5 % of funding, and overall. Quantiles are per market over the hours
     of its grid, a bounded group."""
     g = forward_return(grid, slots, "fw").join(funding.select("market", "t", "funding_rate", "premium"), ["market", "t"])
-    g = g.withColumn("fw", F.col("fw") * 100).filter(F.col("fw").isNotNull() & F.col("premium").isNotNull() & F.col("funding_rate").isNotNull())
+    g = g.withColumn("fw", F.col("fw") * 100).filter(in_view("t", since) & F.col("fw").isNotNull() & F.col("premium").isNotNull() & F.col("funding_rate").isNotNull())
     q = g.groupBy("market").agg(F.count("*").alias("n"), F.expr("percentile(premium, array(0.1, 0.9))").alias("_q"), F.expr("percentile(funding_rate, 0.95)").alias("_f"))
     j = g.join(q.filter(F.col("n") >= least), "market")
     return j.groupBy("market").agg(
