@@ -135,3 +135,13 @@ def test_trees_find_a_known_split(spark):
     w = {(h, f): x for _, h, f, x in ln.weight_rows(fitted[0])}
     assert w["return", "f_a"] > 0.95 and w["direction", "f_a"] > 0.95
     assert w["return", "f_a"] + w["return", "f_b"] == pytest.approx(1.0)
+
+
+def test_importances_of_several_models_and_their_ensemble(spark):
+    table = ln.weight_table(spark, {"linear": [(0, "return", "a", 3.0), (0, "return", "b", -1.0), (1, "return", "a", 2.0)], "trees": [(0, "return", "b", 0.4), (0, "direction", "b", 0.1), (0, "direction", "c", 0.3)]})
+    heads = {(r["model"], r["fold"], r["head"]): r["s"] for r in ln.shares(table).groupBy("model", "fold", "head").agg(F.sum("share").alias("s")).collect()}
+    assert len(heads) == 4 and all(v == pytest.approx(1.0) for v in heads.values())
+    single = ln.importances(table)
+    got = {(r["fold"], r["feature"]): r["importance"] for r in ln.ensemble_importance(single, {"linear": 3.0, "trees": 1.0}).collect()}
+    b = (1 + 0.25) / 2
+    assert got == pytest.approx({(0, "a"): 0.75 * 0.75, (0, "b"): 0.25 * 0.75 + b * 0.25, (0, "c"): 0.25 * 0.75 / 2, (1, "a"): 1.0})

@@ -217,11 +217,16 @@ def ml_contributions(x):
     return lf.contributions(test, lf.fit(train, FEATURES), FEATURES)
 
 
-@query("ml_importance", "fold:l feature:s importance:n")
+MEMBERS = {"linear": 1.0, "boosted_trees": 1.0}
+
+
+@query("ml_importance", "model:s fold:l feature:s importance:n")
 def ml_importance(x):
     train, _ = ln.split(feats_of(x), folds_of(x))
-    rows = lf.weight_rows(lf.fit(train, FEATURES), FEATURES)  # folds x heads x features
-    return ln.importances(x.spark.createDataFrame(rows, "fold int, head string, feature string, weight double"))
+    trees = ln.fit_folds(train, sorted(k for k in train.spans if k >= 0), FEATURES, ln.tree_heads)
+    own = {"linear": [r for r in lf.weight_rows(lf.fit(train, FEATURES), FEATURES) if r[0] >= 0], "boosted_trees": [r for m in trees for r in ln.weight_rows(m)]}
+    single = ln.importances(ln.weight_table(x.spark, own))  # models x folds x features
+    return single.unionByName(ln.ensemble_importance(single, MEMBERS))
 
 
 @query("walk_forward_predict", "event_id:l fold:l model:s p_up:n r_hat:n magnitude_hat:n r_lo:n r_hi:n")

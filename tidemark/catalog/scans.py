@@ -266,7 +266,18 @@ def archive_coverage(x):
     return ar.coverage(hourly.unionByName(daily))
 
 
-@query("extract_filing_pages", "page_id:l accepted:t exhibit:s text:s")
+# references that the given pages use; a statement has no general decoder
+DECODED = "regexp_replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+SILENT_SQL = "|".join(rf"<{k}\b.*?</{k}\s*>" for k in pg.SILENT) + "|<!--.*?-->"
+
+
+@query("extract_filing_pages", "page_id:l accepted:t exhibit:s text:s", f"""
+    WITH h AS (SELECT page_id, concat('<div class="info">Accepted</div><div>', strftime(TIMESTAMP '2024-01-01 00:00:00' + page_id * 3607 * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S'),
+           '</div><table><tr><td><a href="/d/', page_id, '.htm">x</a></td><td>EX-99.1</td></tr></table>', html) AS m FROM {{pages}}),
+    b AS (SELECT page_id, regexp_extract(m, 'Accepted[^0-9]{{{{0,80}}}}(\\d{{{{4}}}}-\\d{{{{2}}}}-\\d{{{{2}}}} \\d{{{{2}}}}:\\d{{{{2}}}}:\\d{{{{2}}}})', 1) AS stamp, regexp_extract(m, 'href="([^"]+)"[^<>]*>[^<>]*</a>\\s*</td>\\s*<td[^>]*>\\s*EX-99', 1) AS exhibit,
+           {DECODED.format("regexp_replace(regexp_replace(regexp_replace(m, '(?is)" + SILENT_SQL + "', '', 'g'), '(?i)</?(" + "|".join(pg.BLOCKS) + ")\\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')")} AS t FROM h),
+    l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(replace(x, chr(160), ' '), '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ')), lambda x: x <> '') AS ls FROM b)
+    SELECT page_id, CAST(stamp AS TIMESTAMP) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC' AS accepted, exhibit, array_to_string(ls, chr(10)) AS text FROM b JOIN l USING (page_id)""")
 def extract_filing_pages(x):
     # the given pages are articles; a filing header is put in front so that every rule has work
     stamp = F.date_format(fn.plus_seconds(F.lit("2024-01-01").cast("timestamp"), F.col("page_id") * 3607), "yyyy-MM-dd HH:mm:ss")

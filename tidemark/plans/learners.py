@@ -100,11 +100,14 @@ def split(events: DataFrame, folds: DataFrame) -> tuple[TrainingSets, DataFrame]
     return train, test
 
 
-def walk_forward(events: DataFrame, folds: DataFrame, features: Sequence[str], heads: Callable, name: str) -> DataFrame:
-    """Out-of-sample predictions of every usable fold."""
+def walk_forward(events: DataFrame, folds: DataFrame, features: Sequence[str], heads: Callable, name: str, models: list[Fitted] | None = None) -> DataFrame:
+    """Out-of-sample predictions of every usable fold. The fitted models are put into `models`, for what else is asked of them."""
     train, test = split(events, folds)
     rates = bl.base_rates(train)
-    parts = [predict_fold(test, m, rates, name) for m in fit_folds(train, usable_folds(folds), features, heads)]
+    fitted = fit_folds(train, usable_folds(folds), features, heads)
+    if models is not None:
+        models += fitted
+    parts = [predict_fold(test, m, rates, name) for m in fitted]
     return stacked(events.sparkSession, parts, "event_id bigint, t0 timestamp, fold int, y double, model string, p_up double, r_hat double, magnitude_hat double")
 
 
@@ -134,12 +137,34 @@ def weight_rows(m: Fitted) -> list[tuple]:
     return [(m.fold, h, f, float(v[i])) for h, v in vectors.items() for i, f in enumerate(m.features)]
 
 
+def shares(weights: DataFrame) -> DataFrame:
+    """`share`: a feature's part of the absolute weight of its head; the shares of a head sum to 1, or are all 0. `weights`: fold, head, feature, weight,
+    and model where there are several."""
+    head = [c for c in ("model", "fold", "head") if c in weights.columns]
+    size = weights.groupBy(*head).agg(F.sum(F.abs("weight")).alias("_size"))
+    return weights.join(F.broadcast(size), head).withColumn("share", F.coalesce(F.try_divide(F.abs("weight"), F.col("_size")), F.lit(0.0))).drop("_size")
+
+
 def importances(weights: DataFrame) -> DataFrame:
     """Share of a feature's absolute weight in its head, averaged over the heads of a fold. `weights`: fold,
-    head, feature, weight."""
-    size = weights.groupBy("fold", "head").agg(F.sum(F.abs("weight")).alias("_size"))
-    share = weights.join(F.broadcast(size), ["fold", "head"]).withColumn("_share", F.coalesce(F.try_divide(F.abs("weight"), F.col("_size")), F.lit(0.0)))
-    return share.groupBy("fold", "feature").agg(F.avg("_share").alias("importance"))
+    head, feature, weight, and model where there are several."""
+    by = [c for c in ("model", "fold", "feature") if c in weights.columns]
+    return shares(weights).groupBy(*by).agg(F.avg("share").alias("importance"))
+
+
+def ensemble_importance(members: DataFrame, weights: dict[str, float], name: str = "ensemble") -> DataFrame:
+    """Weighted mean of the members' importances per fold, over the members that have some there; a feature that a member doesn't know counts 0
+    for it. `members`: model, fold, feature, importance."""
+    own = members.filter(F.col("model").isin(*weights)).withColumn("_w", fn.lookup(F.col("model"), weights, 0.0))
+    total = own.select("model", "fold", "_w").distinct().groupBy("fold").agg(F.sum("_w").alias("_total"))  # members of a fold
+    mean = own.groupBy("fold", "feature").agg(F.sum(F.col("importance") * F.col("_w")).alias("_sum")).join(F.broadcast(total), "fold")
+    return mean.select(F.lit(name).alias("model"), "fold", "feature", (F.col("_sum") / F.col("_total")).alias("importance"))
+
+
+def weight_table(spark: SparkSession, models: dict[str, Sequence[tuple]]) -> DataFrame:
+    """(model, fold, head, feature, weight) of fitted models, each given by its `weight_rows`: a row per fold, head and feature."""
+    rows = [(name, *r) for name, own in models.items() for r in own]
+    return spark.createDataFrame(rows, "model string, fold int, head string, feature string, weight double")
 
 
 # ---- trials ----------------------------------------------------------------------------------

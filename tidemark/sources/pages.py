@@ -17,17 +17,38 @@ BLOCKS = ("address", "article", "blockquote", "br", "dd", "div", "dl", "dt", "fo
           "header", "hr", "li", "ol", "p", "pre", "section", "table", "tr", "ul")
 SILENT = ("script", "style", "head", "noscript", "template")
 
-_SILENT = re.compile(r"<(%s)\b.*?</\1\s*>|<!--.*?-->" % "|".join(SILENT), re.S | re.I)
+_OPEN = re.compile(r"<(%s)\b|<!--" % "|".join(SILENT), re.I)
+_ENDS = {kind: re.compile(rf"</{kind}\s*>", re.I) for kind in SILENT} | {"": re.compile("-->")}
 _BREAK = re.compile(r"</?(%s)\b[^>]*>" % "|".join(BLOCKS), re.I)
 _TAG = re.compile(r"<[^>]+>")
 _SPACE = re.compile(r"[^\S\n]+")
 
 
+def without_silent(markup: str) -> str:
+    """The page without comments and silent elements. One without its end stays: whether there is an end further on is looked up once per
+    kind and each time the last one found is passed, so a page is read once however many elements are left open."""
+    out, at, ends = [], 0, {}
+    for m in _OPEN.finditer(markup):
+        if m.start() < at:
+            continue
+        kind = (m[1] or "").lower()
+        found = ends.get(kind)
+        if kind not in ends or found is not None and found.start() < m.end():
+            found = ends[kind] = _ENDS[kind].search(markup, m.end())
+        if found is not None:
+            out.append(markup[at:m.start()])
+            at = found.end()
+    return "".join(out) + markup[at:]
+
+
 def page_text(markup: str | None) -> str | None:
-    """Visible text of one page, one line per block, blank lines dropped."""
+    """Visible text of one page, one line per block, blank lines dropped. Tags are looked for before the last closing bracket only, where each one
+    that begins has an end."""
     if markup is None:
         return None
-    body = _TAG.sub("", _BREAK.sub("\n", _SILENT.sub("", markup)))
+    body, bracket, rest = without_silent(markup).rpartition(">")
+    body, bracket, rest_ = _BREAK.sub("\n", body + bracket).rpartition(">")
+    body = _TAG.sub("", body + bracket) + rest_ + rest
     lines = (_SPACE.sub(" ", line).strip() for line in html.unescape(body).split("\n"))
     return "\n".join(line for line in lines if line)
 
