@@ -138,7 +138,7 @@ def test_trees_find_a_known_split(spark):
 
 
 def test_importances_of_several_models_and_their_ensemble(spark):
-    table = ln.weight_table(spark, {"linear": [(0, "return", "a", 3.0), (0, "return", "b", -1.0), (1, "return", "a", 2.0)], "trees": [(0, "return", "b", 0.4), (0, "direction", "b", 0.1), (0, "direction", "c", 0.3)]})
+    table = ln.weight_table(spark, {"linear": [(0, "return", "a", 3.0), (0, "return", "b", -1.0), (1, "return", "a", 2.0)], "trees": [(0, "return", "b", 0.4), (0, "return", "c", 0.0), (0, "direction", "b", 0.1), (0, "direction", "c", 0.3)]})
     heads = {(r["model"], r["fold"], r["head"]): r["s"] for r in ln.shares(table).groupBy("model", "fold", "head").agg(F.sum("share").alias("s")).collect()}
     assert len(heads) == 4 and all(v == pytest.approx(1.0) for v in heads.values())
     single = ln.importances(table)
