@@ -473,6 +473,42 @@ def test_broken_markup(spark):
     assert [(b.text, b.path) for b in main_text.blocks("<article><h1>T</h1><p><b>x<br><p>y</article>z")] == [("T", ("article", "h1")), ("x", ("article", "p")), ("y", ("article", "p")), ("z", ())]
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<div>x", "<x>", '<a x="1" ', "<a '\"", "</script", "<button><select>", "<b><div></i>", "<p>z</x>", "<td>q<th>", "<!-", "<svg><g>"])
+def test_time_grows_with_the_page(piece):
+    """Unclosed tags, quotes and elements, to any depth: ten times the page takes about ten times as long."""
+    import time
+
+    chain, took = main_text.trained(), []
+    for size in (60_000, 600_000):
+        page = ("<script>" if piece == "</script" else "") + piece * (size // len(piece)) + ('"' if "1" in piece else "")
+        start = time.process_time()
+        main_text.main_text(page, chain)
+        took.append(time.process_time() - start)
+    assert took[1] < 25 * max(took[0], 0.02), took
+
+
+def test_five_megabytes_of_open_elements():
+    chain = main_text.trained()
+    assert main_text.main_text("<a " * 1_600_000, chain) == ""
+    found = main_text.blocks("<article><p>" + "<div class=deep>" * 300_000 + "text", *chain.known)
+    assert [b.text for b in found] == ["text"] and len(found[0].path) == 300_001 and found[0].named
+
+
+def test_ends_of_tags_equal_the_pattern():
+    import random
+
+    rng = random.Random(2)
+    plain = main_text.re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", main_text.re.S)
+    for _ in range(20_000):
+        page = "".join(rng.choices(["<a ", "<b>", "</p", ">", '"', "'", "x", "<", "<!--", "-->", "/", " y=", "<?z"], k=rng.randrange(16)))
+        want = [(m.start(), m.end(), m[3] or "") for m in plain.finditer(page)]
+        got, at, reader = [], 0, main_text.Reader(page)
+        while (found := reader.next(at)) is not None:
+            got.append((found[0], found[1], found[3]))
+            at = found[1]
+        assert got == want, page
+
+
 def test_an_open_or_empty_element_does_not_end_the_page():
     chain = main_text.trained()
     body = "".join(f"<p>{' '.join(['Solen marit dovan kelu besan'] * 6)} {i}.</p>" for i in range(4))

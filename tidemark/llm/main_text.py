@@ -15,7 +15,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,30 +43,120 @@ BREAKS = frozenset("address article aside b big blockquote body br button center
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol table div section article main aside nav header footer body form blockquote dl".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Where a tag, comment or declaration may begin; a tag's slash and name.
+BEGIN = re.compile(r"<(?:[!?]|(/?)([a-zA-Z][^\s/>]*))")
+TAG = re.compile(r"</?[a-zA-Z][^\s/>]*((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.S)
+STOP = re.compile(r"[>\"']")
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 SAME = {t: re.compile(rf"<(/?){t}\b", re.I) for t in HOLDERS}
 WORDS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Tree:
+    """Paths of tags, each kept once: a path is a number, 0 the empty one. Blocks and open elements share them, so depth costs nothing twice."""
+
+    def __init__(self, known: frozenset[str] | None = None):
+        self.known, self.number = known, {}
+        self.parent, self.tag, self.within, self.article = [0], [""], [frozenset()], [False]
+
+    def child(self, path: int, tag: str) -> int:
+        got = self.number.get((path, tag))
+        if got is None:
+            got = self.number[path, tag] = len(self.tag)
+            self.parent.append(path)
+            self.tag.append(tag)
+            own = self.within[path]  # tags of a path (of those that are known, if given)
+            self.within.append(own if tag in own or self.known is not None and tag not in self.known else own | {tag})
+            self.article.append(self.article[path] or tag in ("article", "main"))
+        return got
+
+    def tags(self, path: int) -> tuple[str, ...]:
+        out = []
+        while path:
+            out.append(self.tag[path])
+            path = self.parent[path]
+        return tuple(reversed(out))
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
-    names: frozenset[str]
+    tree: Tree
+    place: int                # its path of block-level tags
+    names: frozenset[str]     # words of its ancestors' classes and ids (of those that are known, if given)
+    named: bool               # whether they have any
     linked: float
     marked: bool = False
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.tree.tags(self.place)
+
 
 @dataclass
 class Element:
+    """An open element, with what it and its ancestors have."""
+
     tag: str
+    place: int
     names: frozenset[str]
+    named: bool
     marked: bool
     inline: bool = field(default=False)
 
 
+class Reader:
+    """Tags of a page in order. A page whose tags all end is read by the pattern. From the first that doesn't, ends are looked for by hand: of the quotes that
+    an endless tag would have to pass, each is remembered, so no stretch of the page is gone over for every tag that begins in it."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.broken = False
+        self.dead: set[int] = set()  # quotes after which no tag that is open there ends
+        self.stop = -1               # the next quote or bracket after the start last asked about
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None, str] | None:
+        """(start, end, name, attributes) of the next tag; a name of None for a comment or declaration."""
+        page = self.page
+        while (m := BEGIN.search(page, at)) is not None:
+            start = m.start()
+            if m[1] is None:
+                whole = OTHER.match(page, start)
+                return start, whole.end(), None, ""
+            if not self.broken:
+                whole = TAG.match(page, start)
+                if whole:
+                    return start, whole.end(), m, whole[1]
+                self.broken = True
+            end = self.end(m.end())
+            if end >= 0:
+                return start, end, m, page[m.end():end - 1]
+            at = start + 1
+        return None
+
+    def end(self, at: int) -> int:
+        page, passed = self.page, []
+        if at > self.last:
+            return -1
+        if self.stop < at:
+            found = STOP.search(page, at)
+            self.stop = found.start() if found else len(page)
+        k = self.stop
+        while k < len(page):
+            if page[k] == ">":
+                return k + 1
+            close = page.find(page[k], k + 1) if k not in self.dead else -1
+            passed.append(k)
+            if close < 0:
+                break
+            found = STOP.search(page, close + 1)
+            k = found.start() if found else len(page)
+        self.dead.update(passed)
+        return -1
+
+
 def names_in(attrs: str) -> frozenset[str]:
     """Words of class, id and role, and `hidden`."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
@@ -77,24 +167,30 @@ def names_in(attrs: str) -> frozenset[str]:
     return frozenset(out)
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; broken and unclosed markup is read as far as it goes."""
+def blocks(page: str, names: frozenset[str] | None = None, tags: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order; broken and unclosed markup is read as far as it goes. The time and room this takes grow with the page's length,
+    whatever is left open in it and however deep; of ancestors' names and tags only `names` and `tags` are kept, if given."""
     out: list[Block] = []
+    tree = Tree(tags)
     stack: list[Element] = []
     parts: list[str] = []
     linked = links = 0
-    loose: list[int] = []    # places in the stack of holders without an end tag
+    where: dict[str, list[int]] = {}  # places in the stack of each tag
+    bounds: list[int] = []   # of block-level elements
+    scopes: list[int] = []   # of scopes
+    barriers: list[int] = [] # of scopes and holders
+    loose: list[int] = []    # of holders without an end tag
     foreign: list[int] = []  # and of svg and math
     ahead: dict[str, tuple[int, bool]] = {}  # next tag of a holder's kind: where, and whether it is an end tag
+    reader = Reader(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                held = [e for e in stack if not e.inline]
-                out.append(Block(text, tuple(e.tag for e in held), frozenset().union(*(e.names for e in stack)),
-                                 min(1.0, linked / len(text)), any(e.marked for e in stack)))
+                e = stack[-1] if stack else ROOT
+                out.append(Block(text, tree, e.place, e.names, e.named, min(1.0, linked / len(text)), e.marked))
             parts.clear()
         linked = 0
 
@@ -104,16 +200,34 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked += len(text.strip())
 
+    def push(tag: str, attrs: str, inline: bool = False) -> None:
+        above, own, k = stack[-1] if stack else ROOT, names_in(attrs), len(stack)
+        kept = own if names is None else own & names
+        stack.append(Element(tag, above.place if inline else tree.child(above.place, tag), above.names if kept <= above.names else above.names | kept,
+                             above.named or bool(own), above.marked or MARK in attrs, inline))
+        where.setdefault(tag, []).append(k)
+        if not inline:
+            bounds.append(k)
+        if tag in SCOPES:
+            scopes.append(k)
+        if tag in SCOPES or tag in HOLDERS:
+            barriers.append(k)
+
     def close(k: int) -> None:
         nonlocal links
-        if any(not e.inline for e in stack[k:]):
+        if bounds and bounds[-1] >= k:
             flush()
-        links -= sum(e.tag == "a" for e in stack[k:])
+        for e in stack[k:]:
+            links -= e.tag == "a"
+            where[e.tag].pop()
         del stack[k:]
-        for held in (loose, foreign):
+        for held in (bounds, scopes, barriers, loose, foreign):
             while held and held[-1] >= k:
                 held.pop()
 
+    def top(held: list[int] | None) -> int:
+        return held[-1] if held else -1
+
     def closed(tag: str) -> bool:
         if ahead.get(tag, (-1, False))[0] < at:
             found = SAME[tag].search(page, at)
@@ -122,52 +236,45 @@ def blocks(page: str) -> list[Block]:
 
     at = 0
     while at < len(page):
-        m = TAG.search(page, at)
-        if m is None:
+        got = reader.next(at)
+        if got is None:
             take(page[at:] if not page.startswith("<", at) or not re.match(r"</?[a-zA-Z!]", page[at:at + 3]) else "")
             break
-        if m.start() > at:
-            take(page[at:m.start()])
-        at = m.end()
-        if m[2] is None:
+        start, end, m, attrs = got
+        if start > at:
+            take(page[at:start])
+        at = end
+        if m is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if tag in INLINE and not stack[k].inline:
-                    break
-            else:
-                if tag not in INLINE and not foreign:
-                    flush()
+            k = top(where.get(tag))
+            if k >= 0 and (tag not in INLINE or k > top(bounds)):
+                close(k)
+            elif tag not in INLINE and not foreign:
+                flush()
             continue
         if foreign and tag in BREAKS:
             close(foreign[0])
-        if foreign and m[3].rstrip().endswith("/"):
+        if foreign and attrs.rstrip().endswith("/"):
             continue
         if tag == "br":
             take(" ")
             continue
         if tag in RAW_END:
-            end = RAW_END[tag].search(page, at) if tag not in INERT or closed(tag) else None
-            if end or tag not in INERT:
-                at = end.end() if end else len(page)
+            finish = RAW_END[tag].search(page, at, reader.last + 1) if tag not in INERT or closed(tag) else None
+            if finish or tag not in INERT:
+                at = finish.end() if finish else len(page)
                 if not foreign:
                     flush()
                 continue
         if tag in HOLDERS and not foreign:
-            for k in range(len(stack) - 1, -1, -1):  # a button ends the one before it, as a select does
-                if stack[k].tag in SCOPES or tag not in ("button", "select"):
-                    break
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if tag in ("button", "select") and top(where.get(tag)) > top(scopes):  # a button ends the one before it, as a select does
+                close(top(where[tag]))
             flush()
             if not closed(tag):
                 loose.append(len(stack))
-            stack.append(Element(tag, names_in(m[3]), MARK in m[3]))
+            push(tag, attrs)
             continue
         inline = tag in INLINE or bool(foreign)
         if not inline:
@@ -175,30 +282,28 @@ def blocks(page: str) -> list[Block]:
             if loose and tag not in CHOICES and tag not in VOID:
                 close(loose[0])
             ends = ENDS.get(tag, frozenset())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in ends or stack[k].tag == "p":
-                    close(k)
-                    ends = ends - {tag}
-                    if not ends:
-                        break
-                elif stack[k].tag in SCOPES or stack[k].tag in HOLDERS:
+            while (k := max(top(where.get(t)) for t in (*ends, "p"))) > top(barriers):
+                close(k)
+                ends = ends - {tag}
+                if not ends:
                     break
             while stack and stack[-1].inline:  # an inline element left open doesn't reach into the next block
                 close(len(stack) - 1)
-        if tag in VOID or m[3].rstrip().endswith("/") and inline:
+        if tag in VOID or attrs.rstrip().endswith("/") and inline:
             continue
-        attrs = m[3]
         if tag in FOREIGN:
             foreign.append(len(stack))
-        stack.append(Element(tag, names_in(attrs), MARK in attrs, inline))
+        push(tag, attrs, inline)
         links += tag == "a"
     flush()
     return out
 
 
-def features(found: list[Block]) -> list[list[str]]:
-    """Names of each block's features."""
-    out = []
+ROOT = Element("", 0, frozenset(), False, False)
+
+
+def features(found: list[Block]) -> Iterator[list[str]]:
+    """Names of each block's features, block by block."""
     n = len(found)
     sizes = [len(b.text) for b in found]
     total = sum(sizes) or 1
@@ -206,24 +311,25 @@ def features(found: list[Block]) -> list[list[str]]:
     for i, b in enumerate(found):
         text, words = b.text, b.text.count(" ") + 1
         ends = sum(text.count(c) for c in ".!?")
-        own = ["bias", f"tag:{b.path[-1] if b.path else ''}", f"words:{min(7, words.bit_length())}", f"linked:{round(b.linked * 4)}",
+        tree, place = b.tree, b.place
+        above = tree.parent[place]
+        own = ["bias", f"tag:{tree.tag[place]}", f"words:{min(7, words.bit_length())}", f"linked:{round(b.linked * 4)}",
                f"sentences:{min(4, ends)}", f"last:{'.' if text[-1] in '.!?:' else ',' if text[-1] == ',' else 'x'}",
                f"place:{4 * before // total}", f"index:{min(i, 3)}", f"left:{min(n - 1 - i, 3)}"]
-        own.append(f"parent:{'>'.join(b.path[-2:])}:{'named' if b.names else ''}")
-        own += [f"in:{t}" for t in set(b.path[:-1])]
+        own.append(f"parent:{tree.tag[above] + '>' if above else ''}{tree.tag[place]}:{'named' if b.named else ''}")
+        own += [f"in:{t}" for t in tree.within[above]]
         own += [f"name:{w}" for w in b.names]
         if i:
-            own.append(f"same:{found[i - 1].path[:-1] == b.path[:-1]}")
+            own.append(f"same:{tree.parent[found[i - 1].place] == above}")
             own.append(f"before:{min(7, (sizes[i - 1] // 6).bit_length())}")
         if i + 1 < n:
             own.append(f"after:{min(7, (sizes[i + 1] // 6).bit_length())}")
         if "©" in text or "(c)" in text.lower():
             own.append("copyright")
-        if not any(t in ("article", "main") for t in b.path):
+        if not tree.article[place]:
             own.append("no article")
-        out.append(own)
+        yield own
         before += sizes[i]
-    return out
 
 
 @dataclass
@@ -231,6 +337,11 @@ class Chain:
     weights: dict[str, float]  # of the label article against the other
     step: np.ndarray           # (2, 2) from label, to label
 
+    @cached_property
+    def known(self) -> tuple[frozenset[str], frozenset[str]]:
+        """Names and tags of ancestors that have a weight."""
+        return tuple(frozenset(f[len(kind):] for f in self.weights if f.startswith(kind)) for kind in ("name:", "in:"))
+
     def labels(self, found: list[Block]) -> list[bool]:
         """Viterbi."""
         get = self.weights.get
@@ -435,14 +546,14 @@ def trained(n: int = PAGES, seed: int = SEED) -> Chain:
 
 def main_text(page: str | None, chain: Chain) -> str:
     """The article's blocks, one to a line."""
-    found = blocks(page or "")
+    found = blocks(page or "", *chain.known)
     return "\n".join(b.text for b, label in zip(found, chain.labels(found)) if label)
 
 
 def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     """page_id, url, text (empty if a page has none), n_chars of every row of `pages` (page_id, url, html).
-    Null html counts as empty; markup may be broken or unclosed. Repeated rows stay repeated; an empty table
-    gives an empty result; other columns are ignored."""
+    Null html counts as empty; markup may be broken or unclosed. A long page takes time and room in proportion to its length. Repeated
+    rows stay repeated; an empty table gives an empty result; other columns are ignored, whatever their names."""
     chain = chain or trained()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
