@@ -43,9 +43,10 @@ BREAKS = frozenset("address article aside b big blockquote body br button center
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol table div section article main aside nav header footer body form blockquote dl".split())
-#: Where a tag, comment or declaration may begin; a tag's slash and name.
-BEGIN = re.compile(r"<(?:[!?]|(/?)([a-zA-Z][^\s/>]*))")
-TAG = re.compile(r"</?[a-zA-Z][^\s/>]*((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: Where a tag (with its slash), comment or declaration may begin, and what ends a tag's name.
+BEGIN = re.compile(r"<(?:[!?]|(/?)[a-zA-Z])")
+NAME_END = re.compile(r"[\s/>]|\Z")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.S)
 STOP = re.compile(r"[>\"']")
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
@@ -115,35 +116,48 @@ class Reader:
         self.page, self.last = page, page.rfind(">")
         self.broken = False
         self.dead: set[int] = set()  # quotes after which no tag that is open there ends
-        self.stop = -1               # the next quote or bracket after the start last asked about
+        self.stop = -1               # the next quote or bracket after the place last asked about
+        self.name = -1               # the end of the name last asked about
+        self.failed = -1             # the end of a name after and in which no attributes begin that end
 
-    def next(self, at: int) -> tuple[int, int, re.Match | None, str] | None:
-        """(start, end, name, attributes) of the next tag; a name of None for a comment or declaration."""
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next tag; the name of a comment or declaration is empty."""
         page = self.page
         while (m := BEGIN.search(page, at)) is not None:
             start = m.start()
             if m[1] is None:
-                whole = OTHER.match(page, start)
-                return start, whole.end(), None, ""
+                return start, OTHER.match(page, start).end(), "", "", ""
             if not self.broken:
                 whole = TAG.match(page, start)
                 if whole:
-                    return start, whole.end(), m, whole[1]
+                    return start, whole.end(), whole[1], whole[2], whole[3]
                 self.broken = True
-            end = self.end(m.end())
-            if end >= 0:
-                return start, end, m, page[m.end():end - 1]
+            if self.name < m.end():
+                self.name = NAME_END.search(page, m.end()).start()
+            name = self.name
+            if name != self.failed:
+                end = self.end(self.next_stop(name))
+                if end < 0:  # a name may hold quotes; the attributes may begin with one of them
+                    for q in [k for k in range(m.end(), name) if page[k] in "\"'"][::-1]:
+                        name, end = q, self.end(q)
+                        if end >= 0:
+                            break
+                if end >= 0:
+                    return start, end, m[1], page[m.end() - 1:name], page[name:end - 1]
+                self.failed = self.name
             at = start + 1
         return None
 
-    def end(self, at: int) -> int:
-        page, passed = self.page, []
-        if at > self.last:
-            return -1
+    def next_stop(self, at: int) -> int:
+        """The first quote or bracket from `at` on; asked with rising `at`."""
         if self.stop < at:
-            found = STOP.search(page, at)
-            self.stop = found.start() if found else len(page)
-        k = self.stop
+            found = STOP.search(self.page, at)
+            self.stop = found.start() if found else len(self.page)
+        return self.stop
+
+    def end(self, k: int) -> int:
+        """Where a tag ends whose attributes have the quote or bracket at k; -1 if nowhere."""
+        page, passed = self.page, []
         while k < len(page):
             if page[k] == ">":
                 return k + 1
@@ -240,14 +254,14 @@ def blocks(page: str, names: frozenset[str] | None = None, tags: frozenset[str]
         if got is None:
             take(page[at:] if not page.startswith("<", at) or not re.match(r"</?[a-zA-Z!]", page[at:at + 3]) else "")
             break
-        start, end, m, attrs = got
+        start, end, slash, name, attrs = got
         if start > at:
             take(page[at:start])
         at = end
-        if m is None:
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if slash:
             k = top(where.get(tag))
             if k >= 0 and (tag not in INLINE or k > top(bounds)):
                 close(k)
