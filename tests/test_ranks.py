@@ -36,6 +36,12 @@ def test_spearman_needs_three_varied_pairs(spark):
     assert {r["g"]: r["spearman_ic"] for r in spearman(df, by=["g"], x="x", y="y").collect()} == {"a": None, "b": None}
 
 
+def test_spearman_of_billions_of_pairs(spark):
+    pairs = [(1.0, 2.0), (2.0, 1.0), (3.0, 3.0)]
+    df = spark.createDataFrame([("a", x, y, w) for x, y in pairs for w in (1_000_000, 2_000_000_000)], "g string, x double, y double, w long")
+    assert spearman(df, by=["g"], x="x", y="y", weight="w").first()["spearman_ic"] == pytest.approx(0.5)
+
+
 def test_digest_index_is_dense(spark):
     df = spark.createDataFrame([("a", i) for i in range(300)] + [("b", 7)], "g string, i int")
     out = digest_index(df, by=["g"], key="i").collect()
