@@ -56,6 +56,13 @@ def test_exhibit_prefers_the_press_release(spark):
     assert got == {1: "/a.htm", 2: "/b.htm", 3: None}
 
 
+def test_acceptance_in_the_repeated_hour_is_the_later_instant(spark):
+    stamps = {"2024-11-03 01:18:05": datetime(2024, 11, 3, 6, 18, 5), "2024-11-03 02:18:05": datetime(2024, 11, 3, 7, 18, 5), "2024-11-03 00:18:05": datetime(2024, 11, 3, 4, 18, 5),
+              "2024-03-10 02:30:00": datetime(2024, 3, 10, 7, 30), "2024-07-01 12:00:00": datetime(2024, 7, 1, 16)}
+    df = spark.createDataFrame([(s, f"<div>Accepted</div><div>{s}</div>") for s in stamps], "s string, html string")
+    assert {r["s"]: r["t"] for r in df.select("s", pg.accepted_instant(F.col("html")).alias("t")).collect()} == stamps
+
+
 def test_malformed_overrides_are_skipped():
     assert st.parse_flat("A: 1\n# note\nbroken\nB:  x # why\n: 3\n") == [("A", "1"), ("B", "x")]
 
