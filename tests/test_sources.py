@@ -29,6 +29,15 @@ def test_failed_calendar_is_an_error(spark):
         pl.earnings_calendar(df).collect()
 
 
+def test_earnings_of_equal_age_keep_the_smallest_actual(spark):
+    old, new = '"lastUpdated":"2026-01-01"', '"lastUpdated":"2026-02-01"'
+    rows = [f'{{"symbol":"A","date":"2026-01-01","epsActual":{v},{u}}}' for v, u in ((1, old), (3, new), ("null", new), (2, new))]
+    rows += ['{"symbol":"B","date":"2026-01-01","epsActual":null}', '{"symbol":"B","date":"2026-01-01","epsActual":-1}', '{"symbol":"B","date":"2026-01-01","epsActual":0}']
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(f"[{','.join(order)}]",)], "payload string")
+        assert {r["symbol"]: r["eps_actual"] for r in pl.earnings(df).collect()} == {"A": 2.0, "B": -1.0}
+
+
 def test_numbers_and_accessions(spark):
     df = spark.createDataFrame([("$0.65", 0.65), ("109,756,200", 109756200.0), ("(0.12)", -0.12), ("5%", 5.0), ("N/A", None), ("", None)], "s string, v double")
     assert all(r[0] == r[1] for r in df.select(fn.parse_number(F.col("s")), "v").collect())

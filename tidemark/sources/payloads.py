@@ -164,13 +164,14 @@ def daily_display(df: DataFrame) -> DataFrame:
 
 def earnings(df: DataFrame) -> DataFrame:
     """One row per (symbol, report date): the latest `lastUpdated` wins, missing counts as
-    oldest; a null actual is a future report."""
+    oldest; of equally old ones the smallest actual, a null last. A null actual is a future report."""
     r = _rows(df, EARNINGS)
     out = r.select(F.col("_r.symbol").alias("symbol"), F.col("_r.date").try_cast("date").alias("report_date"), F.col("_r.epsActual").alias("eps_actual"),
                    F.col("_r.epsEstimated").alias("eps_estimate"), F.col("_r.revenueActual").alias("rev_actual"), F.col("_r.revenueEstimated").alias("rev_estimate"),
                    F.col("_r.lastUpdated").try_cast("date").alias("last_updated"))
     oldest = F.coalesce("last_updated", F.lit("0001-01-01").cast("date"))
-    return latest_per_key(out.filter(F.col("report_date").isNotNull()), ["symbol", "report_date"], [oldest])
+    # nulls are the smallest in this order, as the last actual should be
+    return latest_per_key(out.filter(F.col("report_date").isNotNull()), ["symbol", "report_date"], [oldest, -F.col("eps_actual")])
 
 
 def splits(df: DataFrame, seq: str = "seq") -> DataFrame:
