@@ -29,6 +29,15 @@ def test_failed_calendar_is_an_error(spark):
         pl.earnings_calendar(df).collect()
 
 
+def test_first_row_of_a_symbol_over_the_pages_of_a_day(spark):
+    def body(*rows):
+        return '{"data":{"rows":[%s]},"status":{"rCode":200}}' % ",".join(f'{{"symbol":"{s}","eps":"${v}"}}' for s, v in rows)
+    pages = [("d", 10, body(("a", 4), ("b", 5))), ("d", 2, body(("c", 1), ("b", 2), ("a", 3)))]
+    for order in (pages, pages[::-1]):
+        df = spark.createDataFrame(order, "day string, page int, payload string")
+        assert {r["symbol"]: r["eps_actual"] for r in pl.earnings_calendar(df, page="page").collect()} == {"A": 3.0, "B": 2.0, "C": 1.0}
+
+
 def test_earnings_of_equal_age_keep_the_smallest_actual(spark):
     old, new = '"lastUpdated":"2026-01-01"', '"lastUpdated":"2026-02-01"'
     rows = [f'{{"symbol":"A","date":"2026-01-01","epsActual":{v},{u}}}' for v, u in ((1, old), (3, new), ("null", new), (2, new))]

@@ -192,7 +192,7 @@ def read_calendar_json(x):
     # vendor pages of one day hold at most 200 rows; the first page has the first events
     page = x.reports.groupBy(F.col("report_date").alias("day"), F.floor(e / 100000).alias("page")).agg(F.sort_array(F.collect_list(rec)).alias("rows"))
     body = F.struct(F.struct(F.col("rows")).alias("data"), F.struct(F.lit(200).alias("rCode")).alias("status"))
-    return pl.earnings_calendar(page.select("day", F.to_json(body).alias("payload")))
+    return pl.earnings_calendar(page.select("day", "page", F.to_json(body).alias("payload")), page="page")
 
 
 @query("read_quarterly_json", "symbol:s fiscal_end:d reported:d eps_actual:n eps_estimate:n", """

@@ -182,17 +182,18 @@ def splits(df: DataFrame, seq: str = "seq") -> DataFrame:
     return latest_per_key(out.filter(F.col("ex_date").isNotNull()), ["symbol", "ex_date"], [seq]).drop(seq)
 
 
-def earnings_calendar(df: DataFrame) -> DataFrame:
+def earnings_calendar(df: DataFrame, page: str | None = None) -> DataFrame:
     """The second vendor's calendar of a day: display numbers, first row per symbol; a status
-    other than 200 is an error. Input: day, payload."""
+    other than 200 is an error. Input: day, payload and, where a day has several, the number of the `page`."""
+    at = F.col(page) if page else F.lit(0)
     p = df.withColumn("_p", F.from_json("payload", CALENDAR))
     rows = F.when(F.coalesce(F.col("_p.status.rCode"), F.lit(200)) == 200, F.col("_p.data.rows")).otherwise(
         F.raise_error(F.lit("calendar request failed")))
-    r = p.select("day", F.posexplode(rows).alias("_i", "_r"))
-    out = r.select("day", "_i", F.upper(F.trim("_r.symbol")).alias("symbol"), *[fn.parse_number(F.col(f"_r.{k}")).alias(n) for k, n in (
+    r = p.select("day", at.alias("_page"), F.posexplode(rows).alias("_i", "_r"))
+    out = r.select("day", "_page", "_i", F.upper(F.trim("_r.symbol")).alias("symbol"), *[fn.parse_number(F.col(f"_r.{k}")).alias(n) for k, n in (
         ("eps", "eps_actual"), ("epsForecast", "eps_estimate"), ("surprise", "surprise_pct"), ("noOfEsts", "n_estimates"))],
         F.col("_r.fiscalQuarterEnding").alias("quarter_ending"), F.col("_r.time").alias("time_flag"))
-    return first_per_key(out, ["day", "symbol"], ["_i"]).drop("_i")
+    return first_per_key(out, ["day", "symbol"], ["_page", "_i"]).drop("_page", "_i")
 
 
 def quarterly(df: DataFrame) -> DataFrame:
