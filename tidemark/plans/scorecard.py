@@ -108,8 +108,9 @@ def input_lag(sources: DataFrame, *, now: Column) -> DataFrame:
 
 def calibration_ledger(calls: DataFrame, *, bands: tuple[float, ...] = (0.0, 0.425, 0.475, 0.525, 1.0)) -> DataFrame:
     """Hit rate and Brier against a coin by P(up) band; a pair graded twice counts once, on the
-    mean of its probabilities."""
-    once = calls.groupBy("pair_id").agg(F.avg("p_up").alias("p_up"), F.max("r").alias("r"), F.avg("size_hat").alias("size_hat"))
+    mean of its probabilities. They are summed as decimals, so that a mean on a bound falls on the same side in any order of rows."""
+    mean = F.sum(F.col("p_up").cast("decimal(28,18)")).cast("double") / F.count("p_up")
+    once = calls.groupBy("pair_id").agg(F.when(F.count("p_up") > 0, mean).alias("p_up"), F.max("r").alias("r"), F.avg("size_hat").alias("size_hat"))
     band = F.lit(len(bands) - 2)
     for i in range(len(bands) - 2, 0, -1):
         band = F.when(F.col("p_up") < bands[i], i - 1).otherwise(band)
