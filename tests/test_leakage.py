@@ -82,3 +82,14 @@ def test_registry_rejects_shared_keys_and_unknown_columns(spark):
         ft.feature_group("again", "ret_1d")(lambda: None)
     with pytest.raises(ValueError):
         ft.columns_by_group(spark.createDataFrame([(1.0,)], "f_nope double"))
+
+
+def test_joins_of_the_groups_stay_out_of_the_datasets_plan(past):
+    # all of them have one key: in one plan they make one stage, whose sorts hold memory at once
+    rows = ft.decisions(past.withColumn("t0_source", F.lit("manual")), {"post_1m": 900, "post_30m": 3 * 3600})
+    group = ft.history_group(past, rows)
+    for _ in range(3):
+        group = group.join(rows.select(*ft.KEY), ft.KEY)
+    out = ft.build_dataset(rows, {"history": group}, past.select("event_id", "r_24h"), [])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and out.count() == 12  # the group's and the targets'

@@ -11,6 +11,7 @@ from tidemark.operators.asof import DAY
 from tidemark.plans import features as ft
 from tidemark.plans import history as hs
 from tidemark.plans import targets as tg
+from tidemark.session import cut
 
 # decision instants with hourly bars standing for minute bars
 DECISIONS = {"pre_10m": -2 * 3600, "post_1m": 900, "post_30m": 3 * 3600}
@@ -253,7 +254,7 @@ SOURCES = {"k": calendar_sql("{releases}", MINUTES), "a": PRE_PRICE, "h": histor
        + " FROM rows r " + " ".join(f"LEFT JOIN {n} ON {n}.event_id = r.event_id AND {n}.decision_time = r.decision_time" for n in SOURCES)
        + " LEFT JOIN t ON t.event_id = r.event_id")
 def build_dataset(x):
-    wide = targets_of(x)
+    wide = cut(targets_of(x))  # read by the history and by the targets
     past = wide.select("event_id", "r_24h", "continuation_30m").join(x.releases, "event_id").withColumn(
         "eps_surprise", fn.surprise_pct(F.col("eps_actual"), F.col("eps_estimate")))
     rows = rows_of(x)

@@ -17,6 +17,7 @@ from tidemark.functions import scalars as fn
 from tidemark.operators.asof import DAY, asof_join, asof_parts, asof_points
 from tidemark.operators.ranges import range_aggregate, running_totals
 from tidemark.plans import history as hs
+from tidemark.session import cut
 from tidemark.sources.calendar import attach, attach_ny_day
 
 KEY = ["event_id", "decision_time"]
@@ -376,7 +377,8 @@ def reaction_group(rows: DataFrame, bars: DataFrame, benchmark: DataFrame, ctx:
 # ---- dataset ---------------------------------------------------------------------------------
 def build_dataset(rows: DataFrame, groups: dict[str, DataFrame], targets: DataFrame, meta: list[str]) -> DataFrame:
     """One row per (event, decision): metadata, `f_*`, companions, targets, target_missing. Groups
-    are co-partitioned by the key; a group that is not admissible before the release is null
+    are stored one after the other and then joined: their own joins have the same key, and in one plan all their
+    sorts would fall into one stage and hold memory at once. A group that is not admissible before the release is null
     at pre decisions. A group without decision_time is refused: it would show every decision the same past."""
     late = [n for n, df in groups.items() if "decision_time" not in df.columns]
     if late:
@@ -385,7 +387,7 @@ def build_dataset(rows: DataFrame, groups: dict[str, DataFrame], targets: DataFr
     post = ~F.col("decision_time").startswith("pre")
     for name, df in groups.items():
         g = REGISTRY[name]
-        out = out.join(df.select(*KEY, *[F.col(k).alias(f"f_{k}") for k in g.keys]), KEY, "left")
+        out = out.join(cut(df.select(*KEY, *[F.col(k).alias(f"f_{k}") for k in g.keys])), KEY, "left")
         if "pre" not in g.phases:
             out = out.withColumns({f"f_{k}": F.when(post, F.col(f"f_{k}")) for k in g.keys})
     out = missing_companions(out)
