@@ -356,8 +356,8 @@ def already_done_anti(x):
 def vendor_conflict(x):
     from tidemark.plans.events import vendor_conflicts
     hit = mt.nearest_date_match(x.reports, x.vendor_rows, key="event_id", on="underlying", day="report_date",
-                                other_day="vendor_date", window=10, take=["vendor_eps"], order=["order_key", "line", "vendor_eps"])
-    return vendor_conflicts(x.reports.join(hit, "event_id"), confidence=F.lit(0.8))
+                                other_day="vendor_date", window=10, take=["vendor_eps"], order=["order_key", "line", "vendor_eps"], keep=("report_date", "eps_actual"))
+    return vendor_conflicts(hit, confidence=F.lit(0.8))
 
 
 @query("equal_asof_benchmark", "event_id:l bench:n bench_end:t fresh:b", """
