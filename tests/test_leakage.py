@@ -93,3 +93,18 @@ def test_joins_of_the_groups_stay_out_of_the_datasets_plan(past):
     out = ft.build_dataset(rows, {"history": group}, past.select("event_id", "r_24h"), [])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2 and out.count() == 12  # the group's and the targets'
+
+
+def test_history_is_one_sort_and_the_same_for_names_cut_by_days(spark, past):
+    d = datetime(2024, 1, 1)
+    rows = [(i, i % 2, d + timedelta(hours=7 * i * i % 900), None if i % 5 == 3 else 0.01 * (i % 7 - 3), None if i % 4 else 1.0, None if i % 3 else float(i)) for i in range(60)]
+    ev = past.union(spark.createDataFrame(rows, past.schema).withColumns({"event_id": F.col("event_id") + 100, "underlying": F.col("underlying") + 7}))
+    ask = ft.decisions(ev.withColumn("t0_source", F.lit("manual")), {"post_1m": 900, "post_30m": 30 * 3600})
+    one, cut_ = ([{k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items()} for r in hs.history_features(ev, horizon=DAY, rows=ask, most=most).orderBy(*ft.KEY).collect()]
+                 for most in (1000, 3))
+    assert one == cut_ and len(one) == 132
+    last = {(r["event_id"], r["decision_time"], r["age"]): r["past_r"] for r in hs.last_settled(ev.filter("r_24h IS NOT NULL"), depth=4, horizon=DAY, rows=ask).collect()}
+    for r in one:
+        assert [r[f"hist_last{i}_r24"] for i in (1, 2, 3, 4)] == [last.get((r["event_id"], r["decision_time"], i)) for i in (1, 2, 3, 4)]
+    plan = hs.history_features(ev, horizon=DAY, rows=ask)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 8  # no table of past rows is joined back
