@@ -145,3 +145,17 @@ def test_importances_of_several_models_and_their_ensemble(spark):
     got = {(r["fold"], r["feature"]): r["importance"] for r in ln.ensemble_importance(single, {"linear": 3.0, "trees": 1.0}).collect()}
     b = (1 + 0.25) / 2
     assert got == pytest.approx({(0, "a"): 0.75 * 0.75, (0, "b"): 0.25 * 0.75 + b * 0.25, (0, "c"): 0.25 * 0.75 / 2, (1, "a"): 1.0})
+
+
+def test_final_table_fits_no_source_beyond_the_one_that_answers(monkeypatch, spark):
+    from tidemark.plans import learners as ln
+    calls = []
+    preds = spark.range(40).selectExpr("id AS event_id", "CAST(id AS double) AS y", "0.0D AS r_hat", "'linear' AS model")
+    monkeypatch.setattr(ln, "split", lambda e, f: (None, None))
+    monkeypatch.setattr(ln.lf, "fit", lambda *a, **k: [])
+    monkeypatch.setattr(ln.bl, "base_rates", lambda s: None)
+    monkeypatch.setattr(ln.lf, "predict", lambda *a: calls.append("in_sample") or preds)
+    monkeypatch.setattr(ln.lf, "walk_forward", lambda *a, **k: calls.append("walk") or preds)
+    rows = spark.sql("SELECT 1L AS event_id, true AS trainable, TIMESTAMP '2001-01-01' AS t0")
+    folds = spark.sql("SELECT '2000Q1' AS season, true AS held")
+    assert ln.final_table(rows, rows, folds, []).first()["band_source"] == "walk_forward" and calls == ["walk"]

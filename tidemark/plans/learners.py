@@ -214,10 +214,11 @@ def final_table(cohort: DataFrame, events: DataFrame, folds: DataFrame, features
     sets = separate(own)
     final = lf.fit(sets, features)
     rates = bl.base_rates(sets)
-    tables = [("walk_forward", lf.walk_forward(*split(cohort, folds), features, "linear")), ("walk_forward_all_events", lf.walk_forward(*split(events, folds), features, "linear")),
-              ("in_sample", lf.predict(own, final, features, rates, "linear"))]
-    for source, preds in tables:
-        known = preds.filter("y IS NOT NULL")
+    # a source is fitted only when those before it do not answer
+    tables = [("walk_forward", lambda: lf.walk_forward(*split(cohort, folds), features, "linear")), ("walk_forward_all_events", lambda: lf.walk_forward(*split(events, folds), features, "linear")),
+              ("in_sample", lambda: lf.predict(own, final, features, rates, "linear"))]
+    for source, predicted in tables:
+        known = predicted().filter("y IS NOT NULL")
         if source == "in_sample" or len(known.select("event_id").limit(BAND_ROWS).collect()) >= BAND_ROWS:
             return exact_quantiles(known.withColumn("res", F.col("y") - F.col("r_hat")), by=["model"], value="res", probs={"q10": 0.1, "q90": 0.9}).withColumn("band_source", F.lit(source))
     raise AssertionError("the last source always answers")
