@@ -88,3 +88,17 @@ def test_portfolio_of_overlapping_subsets(spark):
                 assert r[k] == pytest.approx(v, rel=1e-9, abs=1e-12), k
         else:
             assert (r["n_trades"], r["n_days"], r["total_return"], r["turnover"], r["turnover_daily"], r["max_drawdown"], r["max_gross_exposure"], r["sharpe_like"], r["hit_rate"]) == (0, 0, 0, 0, 0, 0, 0, None, None)
+
+
+def test_priced_trades_are_stored_before_they_are_read_again(monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def first(df):
+        raise Stop(df.columns)
+    monkeypatch.setattr(tr, "cut", first)
+    from tidemark.session import local_session
+    rows = local_session(4, "4g").sql("SELECT 1 AS event_id, 'm' AS model, true AS traded, 1.0D AS size, 0.1D AS net_return, TIMESTAMP '2001-01-01' AS entry_time, TIMESTAMP '2001-01-02' AS exit_time")
+    monkeypatch.setattr(tr, "peaks", lambda df, **k: df.selectExpr("model", "event_id", "1 AS `all`"))
+    with pytest.raises(Stop, match="traded.*_in_all"):
+        tr.portfolio_slices(rows, {"all": F.lit(True)}, by=["model"])

@@ -135,7 +135,8 @@ def portfolio_slices(trades: DataFrame, subsets: dict[str, Column], *, by: Seque
     it in the subset; marks, weights and daily sums carry a column per subset, so no trade is copied. A slice that traded nothing has zeros.
     `trades`: by, key, traded, size, net_return, `entry` and `exit_`."""
     by, names = list(by), list(subsets)
-    flagged = trades.withColumns({f"_in_{n}": F.coalesce(c, F.lit(False)) for n, c in subsets.items()})
+    flagged = trades.select(*by, key, "traded", "size", "net_return", F.col(entry).alias(entry), F.col(exit_).alias(exit_), *[F.coalesce(c, F.lit(False)).alias(f"_in_{n}") for n, c in subsets.items()])
+    flagged = cut(flagged)  # marks, intervals, shares and counts all read the priced trades
     held = F.col("traded") & F.col(entry).isNotNull() & F.col(exit_).isNotNull() & F.col("net_return").isNotNull() & ~F.isnan("net_return")
     own = flagged.filter(held)
     shares = peaks(own, by=by, key=key, entry=entry, exit_=exit_, slices={n: F.col(f"_in_{n}") for n in names})
