@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import evaluate as ev
+from tidemark.plans import scorecard as sc
 from tidemark.plans import targets as tg
 from tidemark.plans import trades as tr
 from tidemark.sources.calendar import attach, attach_ny_day
@@ -129,3 +130,25 @@ def test_metric_values(spark):
 def test_season_end():
     assert ev.season_end("2001Q2") == "2001-07-01" and ev.season_end("2026Q4") == "2027-01-01"
     assert date.fromisoformat(ev.season_end("2026Q1")) == date(2026, 4, 1)
+
+
+def test_ledger_adds_a_pair_as_doubles_in_one_order(spark):
+    """Two events whose decimal mean is 0.525 and whose mean of doubles is one bit below."""
+    p = [(1, 0.118), (1, 0.449), (2, 0.601), (2, 0.932)]
+    assert ((p[0][1] + p[1][1]) + (p[2][1] + p[3][1])) / 4 < 0.525
+    rows = [(i, f"n{k}", v, 0.01, 0.02 if k else None) for k in range(40) for i, v in p] + [(3, "null", None, 0.01, 0.02), (4, "open", 0.9, None, 0.02)]
+    schema = "id long, pair_id string, p_up double, r double, size_hat double"
+    for dealt in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        got = sc.calibration_ledger(spark.createDataFrame(dealt, schema).repartition(7)).collect()
+        assert [(g["band"], g["n"], g["hit_rate"]) for g in got] == [(2, 40, 1.0)]
+        assert got[0]["size_error"] == pytest.approx(0.01)
+
+
+def test_ledger_with_three_calls_of_an_event_is_the_same_in_any_order(spark):
+    """The sum ends on either side of the bound; the smallest is added first."""
+    p = next((a, b, c) for a in range(1, 999) for b in range(a, 999) for c in [1425 - a - b] if b <= c < 999
+             and (a / 1000 + b / 1000 + c / 1000) / 3 < 0.475 <= (c / 1000 + b / 1000 + a / 1000) / 3)
+    schema = "id long, pair_id string, p_up double, r double, size_hat double"
+    for dealt in (p, p[::-1]):
+        got = sc.calibration_ledger(spark.createDataFrame([(1, "n", v / 1000, 0.01, 0.02) for v in dealt], schema)).collect()
+        assert [(g["band"], g["n"]) for g in got] == [(1, 1)]

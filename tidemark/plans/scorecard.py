@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
@@ -108,9 +108,18 @@ def input_lag(sources: DataFrame, *, now: Column) -> DataFrame:
 
 def calibration_ledger(calls: DataFrame, *, bands: tuple[float, ...] = (0.0, 0.425, 0.475, 0.525, 1.0)) -> DataFrame:
     """Hit rate and Brier against a coin by P(up) band; a pair graded twice counts once, on the
-    mean of its probabilities. They are summed as decimals, so that a mean on a bound falls on the same side in any order of rows."""
-    mean = F.sum(F.col("p_up").cast("decimal(28,18)")).cast("double") / F.count("p_up")
-    once = calls.groupBy("pair_id").agg(F.when(F.count("p_up") > 0, mean).alias("p_up"), F.max("r").alias("r"), F.avg("size_hat").alias("size_hat"))
+    mean of its probabilities. They are added as doubles in a fixed order, so that a mean on a bound falls on the
+    same side however the rows are dealt: the calls of an event first, then the events by id."""
+    def total(c: str, by: list[str], order: str) -> Column:
+        return F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+    # dealt by pair once; both sums and both aggregates keep to it
+    rows = calls.repartition("pair_id").withColumn("_p", total("p_up", ["pair_id", "id"], "p_up"))
+    events = rows.groupBy("pair_id", "id").agg(F.max("_p").alias("_p"), F.count("p_up").alias("_n"), F.max("r").alias("r"),
+                                               F.sum("size_hat").alias("_size"), F.count("size_hat").alias("_k"))
+    once = events.withColumn("_p", total("_p", ["pair_id"], "id")).groupBy("pair_id").agg(
+        (F.max("_p") / F.nullif(F.sum("_n"), F.lit(0))).alias("p_up"), F.max("r").alias("r"),
+        (F.sum("_size") / F.nullif(F.sum("_k"), F.lit(0))).alias("size_hat"))
     band = F.lit(len(bands) - 2)
     for i in range(len(bands) - 2, 0, -1):
         band = F.when(F.col("p_up") < bands[i], i - 1).otherwise(band)
